@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass looks at; a longer text is walked in such pieces.
@@ -198,3 +198,24 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
 
 #: Counts the ones of 64-bit integers.
 popcount = np.bitwise_count
+
+
+# --------------------------------------------------------------- numbering
+
+#: Rows that share one running number block at most, so no group is numbered by a single task.
+BLOCK_BITS = 13
+
+
+def gapless(rows: DataFrame, group: str, name: str) -> DataFrame:
+    """``rows`` with a number ``name`` from 0 without gaps in each group.
+
+    ``rows`` is a written table whose ``rid`` came from monotonically_increasing_id. Runs of 8192 row ids are
+    counted first; a running sum over those counts gives each run its start, and only runs are sorted.
+    """
+    block = F.shiftright("rid", BLOCK_BITS)
+    counts = rows.groupBy(F.col(group).alias("_g"), block.alias("_b")).agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_g", "_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("rid")).cast("long") - 1
+    numbered = rows.withColumn("_g", F.col(group)).withColumn("_b", block).withColumn("_i", place)
+    return numbered.join(starts, ["_g", "_b"]).withColumn(name, F.col("_start") + F.col("_i")).drop("_g", "_b", "_i", "_start")

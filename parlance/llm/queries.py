@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm.common import documents
+from parlance.llm.packing import assign, tokenised
+from parlance.llm.sharding import shard_documents
 from parlance.llm.simhash import simhash_components
 
 
+def op1_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards of near equal bytes."""
+    found = shard_documents(documents(spark, sf_dir), shards=8)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, cut to pieces of 4096 tokens at most and packed."""
+    pieces = tokenised(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    packed = assign(pieces.drop("ids"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, fingerprint, component_id) of all documents."""
     found = simhash_components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op10_simhash_bktree,)}
+QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op3_pattern_packing, op10_simhash_bktree)}
 ORACLES: dict[str, str] = {}
