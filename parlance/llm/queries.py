@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm.common import documents
+from parlance.llm.langid import identify
 from parlance.llm.packing import assign, tokenised
 from parlance.llm.sharding import shard_documents
 from parlance.llm.simhash import simhash_components
@@ -25,11 +26,16 @@ def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, and whether it was held out."""
+    return identify(documents(spark, sf_dir))
+
+
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, fingerprint, component_id) of all documents."""
     found = simhash_components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op3_pattern_packing, op10_simhash_bktree)}
+QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op3_pattern_packing, op8_ppm_language, op10_simhash_bktree)}
 ORACLES: dict[str, str] = {}
