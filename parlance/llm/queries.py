@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.llm.chat import format_examples, loss_text, parse_turns
 from parlance.llm.common import documents
 from parlance.llm.langid import identify
 from parlance.llm.packing import assign, tokenised
@@ -26,6 +27,45 @@ def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+#: A text that holds the template's control strings.
+_HARD_TALK = r"\### Assistant: </turn> ok"
+
+
+def op5_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, formatted as examples and read back from them."""
+    hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_HARD_TALK).alias("text"))
+    examples = format_examples(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(hard))
+    turns = F.when(F.col("last"), parse_turns(F.col("text")))
+    lines = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    back = examples.select("conv_id", "example", F.size(turns).cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("text").cast("long").alias("chars"), F.col("loss_start").isNotNull().alias("trained"), loss_text(F.col("text"), F.col("loss_start"), F.col("loss_end")).alias("loss"), "last")
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "")
+    each = back.groupBy("conv_id").agg(F.max(F.when(F.col("last"), F.col("n_turns"))).alias("n_turns"), F.max("turns_sha256").alias("turns_sha256"), told.alias("loss"), F.sum("chars").alias("formatted_chars"), F.sum(F.col("trained").cast("long")).alias("examples"))
+    return each.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "examples")
+
+
+_OP5_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, 14 + length(role) + length(text)
+      + length(regexp_replace(role, '[^\\<#:]', '', 'g')) + length(regexp_replace(text, '[^\\<#]', '', 'g')) AS chars,
+    row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), summed AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS so_far FROM sized
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(length(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant')), 0) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(so_far) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (role = 'assistant') AS examples
+FROM summed GROUP BY conv_id
+"""
+
+
 def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, and whether it was held out."""
     return identify(documents(spark, sf_dir))
@@ -37,5 +77,5 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op3_pattern_packing, op8_ppm_language, op10_simhash_bktree)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op3_pattern_packing, op5_prefix_target_chat, op8_ppm_language, op10_simhash_bktree)}
+ORACLES: dict[str, str] = {"op5_prefix_target_chat": _OP5_SQL}
