@@ -31,7 +31,7 @@ from parlance.llm.common import encoded, materialise, only, slices
 #: Length classes that patterns are made of. Patterns have at most three documents.
 CLASSES = 256
 #: Words whose token ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 
 PIECES = "part long, place long, doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
 
