@@ -33,11 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/parlance/{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there and lost executors cost nothing."""
+def materialise(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the lineage ends there and lost executors cost nothing.
+
+    ``by`` names a column of few values whose rows go to folders of their own.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._parlance_path = path
     return out

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from parlance.llm.chat import format_examples, loss_text, parse_turns
 from parlance.llm.common import documents
-from parlance.llm.langid import identify
+from parlance.llm.katz import katz_scores
+from parlance.llm.langid import fold, identify
 from parlance.llm.packing import assign, tokenised
 from parlance.llm.sharding import shard_documents
 from parlance.llm.simhash import simhash_components
@@ -71,11 +72,19 @@ def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability, under what the documents that are not held out teach."""
+    docs = documents(spark, sf_dir)
+    held = fold(docs["doc_id"], 7) == 2
+    found = katz_scores(docs.select("doc_id", "text", (~held).alias("train")))
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, fingerprint, component_id) of all documents."""
     found = simhash_components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op3_pattern_packing, op5_prefix_target_chat, op8_ppm_language, op10_simhash_bktree)}
+QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op3_pattern_packing, op5_prefix_target_chat, op8_ppm_language, op9_katz_backoff, op10_simhash_bktree)}
 ORACLES: dict[str, str] = {"op5_prefix_target_chat": _OP5_SQL}
