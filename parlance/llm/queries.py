@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm.chat import format_examples, loss_text, parse_turns
+from parlance.llm.chunkdedup import repeated_passages
 from parlance.llm.common import documents
 from parlance.llm.katz import katz_scores
 from parlance.llm.langid import fold, identify
@@ -67,6 +68,11 @@ FROM summed GROUP BY conv_id
 """
 
 
+def op7_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated passage of the documents, and who keeps it."""
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, and whether it was held out."""
     return identify(documents(spark, sf_dir))
@@ -86,5 +92,5 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op3_pattern_packing, op5_prefix_target_chat, op8_ppm_language, op9_katz_backoff, op10_simhash_bktree)}
+QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op3_pattern_packing, op5_prefix_target_chat, op7_gear_chunks, op8_ppm_language, op9_katz_backoff, op10_simhash_bktree)}
 ORACLES: dict[str, str] = {"op5_prefix_target_chat": _OP5_SQL}
