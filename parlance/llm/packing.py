@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from parlance.llm.common import encoded, materialise, only, slices
+from parlance.llm.common import encoded, hash_words, materialise, only, slices
 
 #: Length classes that patterns are made of. Patterns have at most three documents.
 CLASSES = 256
@@ -43,8 +43,6 @@ _tokenizers: dict[int, tuple[Tokenizer, dict[bytes, bytes]]] = {}
 
 def _learn(tok: Tokenizer, known: dict[bytes, bytes], missing: list[bytes]) -> None:
     """Token ids of words that are new. The tokenizer drops white space, so words in one line don't touch each other."""
-    if len(known) > REMEMBERED:
-        known.clear()
     words = [w.decode() for w in missing]
     starts = np.cumsum([0] + [len(w) + 1 for w in words])
     enc = tok.encode(" ".join(words), add_special_tokens=False)
@@ -56,17 +54,37 @@ def _learn(tok: Tokenizer, known: dict[bytes, bytes], missing: list[bytes]) -> N
 
 
 def token_ids(tok: Tokenizer, known: dict[bytes, bytes], texts: list[bytes], end: int) -> Iterator[bytes]:
-    """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-    lines = [(t if b"<|" in t else t.lower()).split() for t in texts]
-    missing = list({w for line in lines for w in line if w not in known})
+    """The ids of each text and the end id, as little-endian unsigned 32-bit integers.
+
+    The distinct words of all the texts are looked up once each and their ids dealt out to where they stand.
+    """
+    tail = int(end).to_bytes(4, "little")
+    marked = [i for i, t in enumerate(texts) if b"<|" in t]  # these may name special tokens, for which case matters
+    if marked:
+        apart = {i: np.array(tok.encode(texts[i].decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for i in marked}
+        texts = [b"" if i in apart else t for i, t in enumerate(texts)]
+    line = b"\n".join(texts).lower()
+    hashes, starts, ends = hash_words(line)
+    _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+    words = [line[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    missing = [w for w in words if w not in known]
     if len(missing) + len(known) > REMEMBERED:
         known.clear()
-        missing = list({w for line in lines for w in line})
+        missing = words
     for at in range(0, len(missing), 20_000):
         _learn(tok, known, missing[at : at + 20_000])
-    tail = int(end).to_bytes(4, "little")
-    for line in lines:
-        yield b"".join(map(known.__getitem__, line)) + tail
+    ids_of = list(map(known.__getitem__, words))
+    pool = np.frombuffer(b"".join(ids_of), "<u4")
+    n = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
+    begin, each = (np.cumsum(n) - n)[of], n[of]
+    upto = np.cumsum(each)
+    ids = pool[np.repeat(begin - (upto - each), each) + np.arange(int(upto[-1]) if len(upto) else 0)]
+    doc_ends = np.cumsum([len(t) + 1 for t in texts])
+    cuts = np.concatenate(([0], upto))[np.searchsorted(starts, doc_ends)].tolist()
+    at = 0
+    for i, cut in enumerate(cuts):
+        yield (apart[i] if marked and i in apart else ids[at:cut].tobytes()) + tail
+        at = cut
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int = 1) -> DataFrame:
