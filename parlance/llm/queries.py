@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from parlance.llm.chat import format_examples, loss_text, parse_turns
 from parlance.llm.chunkdedup import repeated_passages
 from parlance.llm.common import documents
+from parlance.llm.decontam import contaminated
 from parlance.llm.katz import katz_scores
 from parlance.llm.langid import fold, identify
 from parlance.llm.packing import assign, tokenised
@@ -22,6 +23,11 @@ def op1_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds."""
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, cut to pieces of 4096 tokens at most and packed."""
     pieces = tokenised(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -92,5 +98,5 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op3_pattern_packing, op5_prefix_target_chat, op7_gear_chunks, op8_ppm_language, op9_katz_backoff, op10_simhash_bktree)}
+QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op2_simhash_decontamination, op3_pattern_packing, op5_prefix_target_chat, op7_gear_chunks, op8_ppm_language, op9_katz_backoff, op10_simhash_bktree)}
 ORACLES: dict[str, str] = {"op5_prefix_target_chat": _OP5_SQL}
