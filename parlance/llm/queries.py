@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm.chat import format_examples, loss_text, parse_turns
 from parlance.llm.chunkdedup import repeated_passages
-from parlance.llm.common import documents
+from parlance.llm.common import documents, shared_dir
 from parlance.llm.decontam import contaminated
 from parlance.llm.katz import katz_scores
 from parlance.llm.langid import fold, identify
 from parlance.llm.packing import assign, tokenised
+from parlance.llm.rabitq import nearest
 from parlance.llm.sharding import shard_documents
 from parlance.llm.simhash import simhash_components
+from parlance.llm.warc import read_archives, write_archives
 
 
 def op1_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +39,11 @@ def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_rabitq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every row whose vec_id is divisible by 50."""
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 #: A text that holds the template's control strings.
 _HARD_TALK = r"\### Assistant: </turn> ok"
 
@@ -74,6 +83,31 @@ FROM summed GROUP BY conv_id
 """
 
 
+def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written as archives and read back."""
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return read_archives(spark, folder)
+
+
+_OP6_SQL = """
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), named AS (
+  SELECT page_id, payload_bytes, hex,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((('0x' || substr(hex, CAST(i // 8 * 10 + 1 AS BIGINT), 10))::BIGINT >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31) + 1, 1)), '') AS payload_digest,
+    row_number() OVER (PARTITION BY hex ORDER BY page_id DESC NULLS LAST) AS i,
+    max(page_id) OVER (PARTITION BY hex) AS top
+  FROM hashed
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN i = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN i > 1 THEN top END AS refers_to
+FROM named
+"""
+
+
 def op7_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every repeated passage of the documents, and who keeps it."""
     return repeated_passages(documents(spark, sf_dir))
@@ -98,5 +132,5 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op2_simhash_decontamination, op3_pattern_packing, op5_prefix_target_chat, op7_gear_chunks, op8_ppm_language, op9_katz_backoff, op10_simhash_bktree)}
-ORACLES: dict[str, str] = {"op5_prefix_target_chat": _OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op2_simhash_decontamination, op3_pattern_packing, op4_rabitq_search, op5_prefix_target_chat, op6_warc_zstd, op7_gear_chunks, op8_ppm_language, op9_katz_backoff, op10_simhash_bktree)}
+ORACLES: dict[str, str] = {"op5_prefix_target_chat": _OP5_SQL, "op6_warc_zstd": _OP6_SQL}
