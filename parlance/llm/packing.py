@@ -14,6 +14,7 @@ pieces of a length fall to row order; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
@@ -41,16 +42,38 @@ PIECES = "part long, place long, doc_id long, piece int, start long, length long
 _tokenizers: dict[int, tuple[Tokenizer, dict[bytes, bytes]]] = {}
 
 
+#: Parts of a word of ASCII characters that never share a token: runs of letters, digits, runs of all else.
+_PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+
+
 def _learn(tok: Tokenizer, known: dict[bytes, bytes], missing: list[bytes]) -> None:
-    """Token ids of words that are new. The tokenizer drops white space, so words in one line don't touch each other."""
-    words = [w.decode() for w in missing]
+    """Token ids of words that are new, put together from those of their parts.
+
+    The parts that are new go to the tokenizer: runs of letters one by one to its model, all others in one line,
+    where white space keeps them apart.
+    """
+    made: dict[bytes, list[bytes]] = {}
+    others: dict[bytes, None] = {}
+    encode = tok.model.tokenize
+    for w in missing:
+        parts = _PARTS.findall(w) if w.isascii() and b"'" not in w else [w]
+        if len(parts) > 1:
+            made[w] = parts
+        for p in parts:
+            if p not in known:
+                if p.isascii() and p.isalpha():
+                    known[p] = np.array([t.id for t in encode(p.decode())], dtype="<u4").tobytes()
+                else:
+                    others[p] = None
+    words = [p.decode() for p in others]
     starts = np.cumsum([0] + [len(w) + 1 for w in words])
     enc = tok.encode(" ".join(words), add_special_tokens=False)
     ids = np.array(enc.ids, dtype="<u4")
-    at = np.array([o[0] for o in enc.offsets], dtype=np.int64)
-    cut = np.searchsorted(at, starts)
-    for w, a, b in zip(missing, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        known[w] = ids[a:b].tobytes()
+    cut = np.searchsorted(np.array([o[0] for o in enc.offsets], dtype=np.int64), starts)
+    for p, a, b in zip(others, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        known[p] = ids[a:b].tobytes()
+    for w, parts in made.items():
+        known[w] = b"".join(map(known.__getitem__, parts))
 
 
 def token_ids(tok: Tokenizer, known: dict[bytes, bytes], texts: list[bytes], end: int) -> Iterator[bytes]:
@@ -91,7 +114,8 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: i
     """Pieces of at most ``capacity`` tokens, written: (part, place, doc_id, piece, start, length, ids, ids_crc32).
 
     ``place`` numbers the pieces of one length within a part (a task's share of the rows). The tokenizer must
-    split at white space and drop it, so that a text's ids are those of its words in order.
+    split at white space and drop it, and between ASCII letters and other ASCII characters than the apostrophe, so
+    that a text's ids are those of its words' parts in order.
     """
     with open(tokenizer_path, encoding="utf-8") as file:  # on the driver; the file is a parameter of fixed size
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
