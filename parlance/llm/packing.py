@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
@@ -32,7 +33,7 @@ from parlance.llm.common import encoded, hash_words, materialise, only, slices
 #: Length classes that patterns are made of. Patterns have at most three documents.
 CLASSES = 256
 #: Words whose token ids a task remembers.
-REMEMBERED = 1_200_000
+REMEMBERED = 2_000_000
 
 PIECES = "part long, place long, doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
 
@@ -61,8 +62,8 @@ def _learn(tok: Tokenizer, known: dict[bytes, bytes], missing: list[bytes]) -> N
             made[w] = parts
         for p in parts:
             if p not in known:
-                if p.isascii() and p.isalpha():
-                    known[p] = np.array([t.id for t in encode(p.decode())], dtype="<u4").tobytes()
+                if p.isalpha() and p.isascii():
+                    known[p] = array("I", [t.id for t in encode(p.decode())]).tobytes()
                 else:
                     others[p] = None
     words = [p.decode() for p in others]
