@@ -64,7 +64,7 @@ def bm25(terms: DataFrame, query: list[str], doc: str, weights: dict[str, float]
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(LEAST_IDF)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    return joined.groupBy(doc).agg(F.sum(part).alias("score"), F.countDistinct("term").alias("hits"))
+    return joined.groupBy(doc).agg(F.round(F.sum(part), 12).alias("score"), F.countDistinct("term").alias("hits"))  # rounded: the order of a sum makes no difference
 
 
 def and_then_or(scored: DataFrame, terms: int, limit: int, doc: str) -> DataFrame:
