@@ -108,15 +108,15 @@ def knn(vectors: DataFrame, query: list[float], k: int, chats: list[int] | None
     return near.select(key, "distance").orderBy("distance", key).limit(k)
 
 
-def knn_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", by: str | None = None) -> DataFrame:
-    """(query_id, key, distance, rank): the k nearest of each query, of a bounded set that is broadcast.
+def knn_each(vectors: DataFrame, queries: DataFrame, k: int, by: str, key: str = "vec_id") -> DataFrame:
+    """(query_id, key, distance, rank): the k nearest of each query among the rows with its value of ``by``.
 
-    ``queries`` is (query_id, q). A row keeps to candidates with its own value of ``by``, where that is given.
+    ``queries`` is (query_id, by, q), a stated set that is small enough to broadcast.
     """
-    left = vectors.select(key, "embedding", *([by] if by else []))
     dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    scored = left.withColumn("_n", size("embedding")).join(F.broadcast(queries.withColumn("_m", size("q"))), by) if by else left.withColumn("_n", size("embedding")).crossJoin(F.broadcast(queries.withColumn("_m", size("q"))))
+    left = vectors.select(key, by, "embedding", size("embedding").alias("_n"))
+    scored = left.join(F.broadcast(queries.withColumn("_m", size("q"))), by)
     scored = scored.where((F.col("_n") > 0) & (F.col("_m") > 0)).select("query_id", key, (1 - dot / (F.col("_n") * F.col("_m"))).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -54,16 +54,16 @@ def bm25(terms: DataFrame, query: list[str], doc: str, weights: dict[str, float]
     spark = terms.sparkSession
     asked = spark.createDataFrame([(t,) for t in dict.fromkeys(query)], "term string") if query else spark.createDataFrame([], "term string")
     size = lengths(terms, doc)
-    whole = size.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))  # one row
+    n, mean = size.agg(F.count("*"), F.coalesce(F.avg("size"), F.lit(0.0))).head()
     held = terms.select(doc, *[F.filter(c, lambda t: t.isin(query) if query else F.lit(False)).alias(c) for c in terms.columns if c != doc])
     found = postings(held, doc, weights)
     df = found.groupBy("term").agg(F.count("*").alias("df"))  # one row for each query term
     if allowed is not None:
         found = found.join(allowed.select(doc).distinct(), doc, "left_semi")
-    joined = found.join(F.broadcast(df.join(asked, "term", "left_semi")), "term").join(size, doc).crossJoin(F.broadcast(whole))
-    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    joined = found.join(F.broadcast(df.join(asked, "term", "left_semi")), "term").join(size, doc)
+    raw = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(LEAST_IDF)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.lit(mean or 1.0)))
     return joined.groupBy(doc).agg(F.round(F.sum(part), 12).alias("score"), F.countDistinct("term").alias("hits"))  # rounded: the order of a sum makes no difference
 
 

@@ -53,47 +53,72 @@ def _gather(rows: DataFrame, keys: list[str], kind: str, order: list[str], first
 # -------------------------------------------------------------------- windows
 
 
+def runs(rows: DataFrame, keys: list[str], at: str, tie: str, gap_s: int) -> DataFrame:
+    """Rows with ``run_at`` and ``run_tie``: the first row of the stretch each is in, stretches being apart by over ``gap_s``.
+
+    Keys are taken in slices of time of at least a day, so that a busy key is spread over tasks. What crosses a slice
+    (the last row before it, the last stretch begun) is carried over by one row for each slice.
+    """
+    slice_s = max(86_400, gap_s + 1)
+    null_keys = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_k{i}") for i, k in enumerate(keys)]
+    own = [f"_k{i}" for i in range(len(keys))]
+    cut = rows.select("*", *null_keys, F.floor(F.col(at) / slice_s).alias("_slice"))
+    before = Window.partitionBy(*own).orderBy("_slice")
+    edges = cut.groupBy(*own, "_slice").agg(F.max(at).alias("_top")).withColumn("_last", F.lag("_top").over(before)).drop("_top")
+    inside = Window.partitionBy(*own, "_slice").orderBy(at, tie)
+    marked = cut.join(edges, [*own, "_slice"]).withColumn("_prev", F.coalesce(F.lag(at).over(inside), "_last"))
+    first = F.when(F.col("_prev").isNull() | (F.col(at) - F.col("_prev") > gap_s), F.struct(F.col(at).alias("a"), F.col(tie).alias("t")))
+    marked = marked.withColumn("_start", F.last(first, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = marked.groupBy(*own, "_slice").agg(F.max("_start").alias("_begun"))
+    carried = ends.withColumn("_carry", F.last("_begun", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1))).drop("_begun")
+    found = marked.join(carried, [*own, "_slice"]).withColumn("_start", F.coalesce("_start", "_carry"))
+    return found.select(*rows.columns, F.col("_start.a").alias("run_at"), F.col("_start.t").alias("run_tie"))
+
+
 def number_windows(messages: DataFrame, gap_min: int = schema.WINDOW_GAP_MIN, max_msgs: int = schema.WINDOW_MAX_MSGS, max_chars: int = schema.WINDOW_MAX_CHARS) -> DataFrame:
-    """Messages with ``window``: the number of the time window within their chat and topic.
+    """Messages with ``run_at``, ``run_tie`` and ``window``: the number of the time window within its run.
 
     In order of (date, msg_id) a message begins a window when more than ``gap_min`` minutes lie before it, when the
     open window is full, or when its line and a line feed would not fit any more; a longer line is a window alone.
-    Where a window ends depends on all before it back to the last gap, so each (chat, topic) is walked once in
-    order; a task holds no more than the open window's counters, whatever a chat's size.
+    A gap ends a window whatever came before, so runs between gaps are walked apart from each other, in order; a
+    task holds no more than the open window's counters.
     """
-    names = messages.columns
-    at = {n: names.index(n) for n in ("chat_id", "topic_id", "date", "line")}
+    apart = runs(messages, ["chat_id", "topic_id"], "date", "msg_id", gap_min * 60)
+    names = apart.columns
+    at = {n: names.index(n) for n in ("chat_id", "topic_id", "run_at", "run_tie", "line")}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, number, count, chars, last = None, 0, 0, 0, 0
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, count, chars = None, 0, 0, 0
         for batch in batches:
-            chat, topic, date, line = (batch.column(at[n]).to_pylist() for n in ("chat_id", "topic_id", "date", "line"))
+            *key, line = (batch.column(i).to_pylist() for i in at.values())
             out = []
-            for key, d, text in zip(zip(chat, topic, strict=True), date, line, strict=True):
+            for k, text in zip(zip(*key, strict=True), line, strict=True):
                 size = len(text or "")
-                if key != now:
-                    now, number, count, chars = key, 0, 0, 0
-                elif d - last > gap_min * 60 or count >= max_msgs or chars + 1 + size > max_chars:
+                if k != now:
+                    now, number, count, chars = k, 0, 0, 0
+                elif count >= max_msgs or chars + 1 + size > max_chars:
                     number, count, chars = number + 1, 0, 0
                 chars += size + (count > 0)
-                count, last = count + 1, d
+                count += 1
                 out.append(number)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*names, "window"])
 
-    ordered = messages.repartition("chat_id", "topic_id").sortWithinPartitions("chat_id", "topic_id", "date", "msg_id")
-    return ordered.mapInArrow(run, T.StructType([*messages.schema.fields, T.StructField("window", T.LongType())]))
+    key = ["chat_id", "topic_id", "run_at", "run_tie"]
+    ordered = apart.repartition(*key).sortWithinPartitions(*key, "date", "msg_id")
+    return ordered.mapInArrow(walk, T.StructType([*apart.schema.fields, T.StructField("window", T.LongType())]))
 
 
 def windows(messages: DataFrame, **limits: int) -> DataFrame:
     """``window`` units of rendered messages."""
-    return _gather(number_windows(messages, **limits), ["chat_id", "topic_id", "window"], "window", ["date"]).select(*UNIT_COLUMNS)
+    return _gather(number_windows(messages, **limits), ["chat_id", "topic_id", "run_at", "run_tie", "window"], "window", ["date"]).select(*UNIT_COLUMNS)
 
 
-def gap_sessions(events: DataFrame, key: str, at: str, gap_s: int) -> DataFrame:
+def gap_sessions(events: DataFrame, key: str, at: str, tie: str, gap_s: int) -> DataFrame:
     """Events with ``session``: how many gaps of over ``gap_s`` seconds came before, within a key."""
-    w = Window.partitionBy(key).orderBy(at)
-    new = F.coalesce((F.col(at) - F.lag(at).over(w) > gap_s).cast("long"), F.lit(0))
-    return events.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_new")
+    apart = runs(events, [key], at, tie, gap_s)
+    starts = apart.select(F.col(key).alias("_key"), F.col("run_at").alias("_at")).distinct()
+    starts = starts.withColumn("session", (F.row_number().over(Window.partitionBy("_key").orderBy("_at")) - 1).cast("long"))
+    return apart.join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("run_at") == F.col("_at"))).drop("_key", "_at", "run_at", "run_tie")
 
 
 # -------------------------------------------------------------------- threads

@@ -148,7 +148,7 @@ numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY chat_id ORDER BY date RANGE
 SELECT chat_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(date) AS date_start, max(date) AS date_end FROM numbered GROUP BY ALL""")
 def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of users: a pause of over a day ends one."""
-    rows = units.gap_sessions(notes(spark, sf_dir), "chat_id", "date", 86_400)
+    rows = units.gap_sessions(notes(spark, sf_dir), "chat_id", "date", "msg_id", 86_400)
     return rows.groupBy("chat_id", "session").agg(F.count("*").alias("n"), F.min("date").alias("date_start"), F.max("date").alias("date_end"))
 
 
