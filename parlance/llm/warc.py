@@ -109,7 +109,9 @@ def parse_record(data: bytes, where: str) -> tuple[dict[str, str], bytes]:
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample by hash of page_id; a fixed text where there is too little to learn from."""
-    sample = pages.select(F.substring(pages["html"], 1, SAMPLE_BYTES).alias("html"), F.xxhash64(pages["page_id"]).alias("h")).where("html is not null")
+    few = min(1.0, 8.0 * SAMPLE_PAGES / max(1, pages.count()))  # so that no task sends many
+    drawn = F.shiftrightunsigned(F.xxhash64(pages["page_id"], F.lit(7)), 11) / F.lit(float(1 << 53)) <= few
+    sample = pages.where(drawn).select(F.substring(pages["html"], 1, SAMPLE_BYTES).alias("html"), F.xxhash64(pages["page_id"]).alias("h")).where("html is not null")
     rows = [r.html.encode() for r in sample.orderBy("h", "html").limit(SAMPLE_PAGES).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, rows).as_bytes()
