@@ -1,7 +1,7 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 The hash at a byte sums a random number for each of the last 16 bytes, shifted by their distance. A text is cut at
-ends of words whose hash has two high bits clear, if the chunk has ``LEAST_CHUNK`` bytes; so cuts depend on the
+ends of words whose hash is in the lowest third, if the chunk has ``LEAST_CHUNK`` bytes; so cuts depend on the
 content nearby, and an insertion shifts the chunks but soon leaves them equal again. A word of over 64 bytes is cut
 inside likewise. Chunks with the digest of a chunk in an earlier document are repeats; repeats that stand side by
 side for at least ``LEAST_WORDS`` words are a repeated passage. The first document that has it keeps it.
@@ -27,13 +27,14 @@ from parlance.llm.blocks import key_partitions, load_block, meet, runs_of, sprea
 from parlance.llm.common import PIECE_BYTES, encoded, materialise, mix64, only
 
 #: Bytes that a chunk has at least, and words that a repeated passage has at least in whole chunks.
-LEAST_CHUNK = 20
+LEAST_CHUNK = 16
 LEAST_WORDS = 24
 
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LONG_WORD = 64
+_THIRD = np.uint32((1 << 32) // 3)
 
 
 def gear(raw: np.ndarray) -> np.ndarray:
@@ -60,7 +61,7 @@ def cut_points(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         if hi == n:
             space = np.append(space, True)
         ends = np.flatnonzero(space[1:] & ~space[:-1])
-        found.append((ends + at + 1, h[ends] >> np.uint32(30) == 0))
+        found.append((ends + at + 1, h[ends] < _THIRD))
         inside = np.flatnonzero(h >> np.uint32(27) == 0) + at + 1
         inner.append(inside[inside < n])
     ends, good = (np.concatenate(x) for x in zip(*found, strict=True))
