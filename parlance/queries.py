@@ -7,6 +7,7 @@ chat on a time line.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -538,7 +539,7 @@ def streamed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = stream.select(F.col("user_id").alias("chat_id"), F.col("event_id").alias("msg_id"), F.lit(None).cast("long").alias("topic_id"), F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("date"), F.col("event_type").alias("line"), F.lit(0).cast("long").alias("reactions"))
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parlance-")
-    folder = f"{base}/stream-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, id(stream))))}"
+    folder = f"{base}/stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     columns = "chat_id long, msg_id long, topic_id long, date long, line string, reactions long"
     cut = lambda m: units.windows(m, gap_min=1440, max_msgs=10**6, max_chars=10**9)
     maintain(rows, folder, f"{folder}/checkpoint", cut, ["chat_id", "msg_id"], columns).awaitTermination()
