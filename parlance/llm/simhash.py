@@ -226,6 +226,10 @@ def simhash_components(docs: DataFrame, words: int = 3, seed: int = 42, radius:
 ROUTES = 6
 #: Bins of the one-permutation sketch, one byte each; its estimate of 0.8 has a standard error of 0.018.
 BINS = 512
+#: Estimates within this of the threshold are decided by the texts themselves.
+DOUBT = 0.06
+#: Documents in doubt whose row numbers may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Bits in which fingerprints of texts with a similarity of 0.8 may differ: the mean of 9.7 and over 3.5 deviations.
 NEAR_RADIUS = 20
 #: A route's shard with more texts than this is split by its members' next minima.
@@ -270,8 +274,28 @@ def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(some == 0, 1.0, (raw - 1 / 255) / (1 - 1 / 255))
 
 
+def _forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of a spanning forest of greatest weight over what ``labels`` has joined already."""
+    sets, kept = Labels(len(labels)), []
+    sets.of = labels.copy()
+    index = np.arange(len(a))
+    while len(index := index[sets.apart(a[index], b[index])]):
+        ends = np.concatenate((sets.of[a[index]], sets.of[b[index]]))
+        both = np.concatenate((index, index))
+        order = np.lexsort((both, -weight[both], ends))  # each set takes its best pair
+        best = np.unique(both[order][np.concatenate(([True], ends[order][1:] != ends[order][:-1]))])
+        kept.append(best)
+        sets.join(a[best], b[best])
+    keep = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return a[keep], b[keep], weight[keep]
+
+
 def near_links(texts: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst) over the rids of ``texts`` (distinct ones): near pairs that connect what all near pairs connect."""
+    """(src, dst, sure) over the rids of ``texts`` (distinct ones).
+
+    The pairs that are sure connect what all sure pairs connect. Of the pairs in doubt a shard gives those that would
+    connect its sets otherwise apart, the likeliest first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(batches)
@@ -286,13 +310,20 @@ def near_links(texts: DataFrame, similarity: float) -> DataFrame:
         width = np.diff(np.append(heads, len(fp)))
         sets = Labels(len(fp))
 
+        doubts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
         def compare(a: np.ndarray, b: np.ndarray) -> None:
             for at in range(0, len(a), 1 << 15):
                 x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
                 on = sets.apart(x, y)
                 x, y = x[on], y[on]
-                on = _estimate(sketch[x], sketch[y]) >= similarity
+                alike = _estimate(sketch[x], sketch[y])
+                on = alike >= similarity + DOUBT
                 sets.join(x[on], y[on])
+                on = ~on & (alike >= similarity - DOUBT)
+                doubts.append((x[on], y[on], alike[on]))
+            if sum(len(d[0]) for d in doubts) > 1 << 21:
+                doubts[:] = [_forest(sets.of, *map(np.concatenate, zip(*doubts, strict=True)))]
 
         many = np.flatnonzero(width > 1)
         for k in many.tolist():  # different texts of one fingerprint, against each in turn
@@ -309,9 +340,38 @@ def near_links(texts: DataFrame, similarity: float) -> DataFrame:
                 w = np.repeat(wj[at], n)
                 compare(np.repeat(heads[i[at]], n) + inner // w, np.repeat(heads[j[at]], n) + inner % w)
         linked = np.flatnonzero(sets.of != np.arange(len(fp)))
-        yield pa.RecordBatch.from_arrays([pa.array(rid[linked]), pa.array(rid[sets.of[linked]])], ["src", "dst"])
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if doubts:
+            a, b, _ = _forest(sets.of, *map(np.concatenate, zip(*doubts, strict=True)))
+        src, dst = np.concatenate((rid[linked], rid[a])), np.concatenate((rid[sets.of[linked]], rid[b]))
+        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(np.arange(len(src)) < len(linked))], ["src", "dst", "sure"])
+
+    return _routed(texts).repartition("key").mapInArrow(run, "src long, dst long, sure boolean")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The (src, dst) pairs whose texts' sets of word shingles have the Jaccard similarity, exactly."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            grams = [np.unique(hash_grams(hash_words(t or b"")[0], words)).tobytes() for t in encoded(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], ["rid", "grams"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for i in range(batch.num_rows):
+                a, b = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in (2, 3))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                ok.append(both >= similarity * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
-    return _routed(texts).repartition("key").mapInArrow(run, "src long, dst long")
+    ids = materialise(pairs.select(F.explode(F.array("src", "dst")).alias("rid")).distinct(), "doubt")
+    few = ids.count() <= BROADCAST_IDS
+    held = materialise(docs.select("rid", "text").join(F.broadcast(ids) if few else ids, "rid", "left_semi").mapInArrow(sets, "rid long, grams binary"), "grams")
+    one = held.select(F.col("rid").alias("src"), F.col("grams").alias("a"))
+    two = held.select(F.col("rid").alias("dst"), F.col("grams").alias("b"))
+    return pairs.join(one, "src").join(two, "dst").select("src", "dst", "a", "b").mapInArrow(alike, "src long, dst long")
 
 
 def _portions(sizes: np.ndarray, limit: int) -> Iterator[slice]:
@@ -340,12 +400,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     """(rid, kept_rid): every row that has a near-duplicate, with its group's smallest rid.
 
     ``docs`` has a unique long ``rid`` and ``text``. Two texts are near-duplicates when the Jaccard similarity of
-    their sets of word shingles, as a sketch of 512 bins estimates it, reaches ``similarity``; groups are connected.
-    Blank and null texts have equal (empty) sets and form one group.
+    their sets of word shingles reaches ``similarity``; groups are connected. A sketch of 512 bins decides what is clearly
+    so, and the texts what is in doubt. Blank and null texts have equal (empty) sets and form one group.
     """
-    rows = materialise(sketches(only(docs, "rid", "text"), words), "sketch")
+    own = only(docs, "rid", "text")
+    rows = materialise(sketches(own, words), "sketch")
     texts = materialise(rows.groupBy("digest").agg(F.min("rid").alias("rid"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("minima").alias("minima")).drop("digest"), "texts")
-    cc = components(near_links(texts, similarity))
+    links = materialise(near_links(texts, similarity), "near")
+    sure, doubt = (links.where(c).select("src", "dst") for c in ("sure", "not sure"))
+    cc = components(sure.unionByName(verified(doubt.distinct(), own, similarity, words)))
     first = rows.groupBy("digest").agg(F.min("rid").alias("first"), F.count("*").alias("copies"))
     label = first.join(cc.select(F.col("node").alias("first"), "component"), "first", "left").select("digest", "copies", F.coalesce("component", "first").alias("kept_rid"), F.col("component").isNotNull().alias("linked"))
     return rows.select("rid", "digest").join(label.where("linked or copies > 1"), "digest").select("rid", "kept_rid")
