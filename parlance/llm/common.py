@@ -185,7 +185,7 @@ def encoded(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about ``limit`` bytes of text at most (one longer text stands alone)."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))

@@ -33,7 +33,7 @@ from parlance.llm.common import encoded, hash_words, materialise, only, slices
 #: Length classes that patterns are made of. Patterns have at most three documents.
 CLASSES = 256
 #: Words whose token ids a task remembers.
-REMEMBERED = 2_000_000
+REMEMBERED = 600_000
 
 PIECES = "part long, place long, doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
 
@@ -127,7 +127,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: i
             _tokenizers[key] = (Tokenizer.from_str(shared.value), {})
         tok, known = _tokenizers[key]
         part, seen = TaskContext.get().partitionId(), {}
-        for batch in slices(batches):
+        for batch in slices(batches, "text", 4 << 20):
             doc_ids = batch.column(0).to_pylist()
             out: dict[str, list] = {k: [] for k in ("place", "doc_id", "piece", "start", "length", "ids", "crc")}
             for doc_id, ids in zip(doc_ids, token_ids(tok, known, [t or b"" for t in encoded(batch.column(1))], end), strict=True):
