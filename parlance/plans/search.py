@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parlance import schema
 from parlance.functions import text as tx
 from parlance.operators import dense, lexical, rank
+from parlance.storage import checkpointed
 
 MODES = ("hybrid", "lexical", "dense")
 
@@ -51,7 +52,7 @@ def search(units: DataFrame, messages: DataFrame, vectors: DataFrame | None, que
     if mode != "dense":
         if words:
             lists.append(lexical.lexical(units.select("unit_id", "text"), query, limit, "unit_id", "text", allowed).select("unit_id", "place"))
-            anchors = message_places(messages, units, query, limit).join(allowed.select("unit_id"), "unit_id", "left_semi")
+            anchors = checkpointed(message_places(messages, units, query, limit)).join(allowed.select("unit_id"), "unit_id", "left_semi")
             lists.append(anchors.select("unit_id", "place"))
         else:
             notes.append("the query has no searchable words")
@@ -63,7 +64,7 @@ def search(units: DataFrame, messages: DataFrame, vectors: DataFrame | None, que
             lists.append(near.select("unit_id", F.row_number().over(Window.orderBy("distance", "unit_id")).alias("place")))
     if not lists:
         return out, notes
-    found = rank.fuse(lists, allowed, "unit_id", limit)
+    found = checkpointed(rank.fuse(lists, allowed, "unit_id", limit))  # some forty rows, read several times below
     if reranker and words:
         found = rank.reaction_bonus(rank.rerank(found, query, reranker))
     found = rank.dedup(found).orderBy("place").limit(k)

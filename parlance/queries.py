@@ -18,7 +18,7 @@ from parlance.functions import text as tx
 from parlance.operators import chats as ch
 from parlance.operators import dense, leads, lexical, rank, readers, units
 from parlance.plans.search import search
-from parlance.storage import PENDING, changed, deleted, latest, merge, next_media_state
+from parlance.storage import PENDING, changed, checkpointed, deleted, latest, merge, next_media_state
 from parlance.streaming.maintenance import latest_version, maintain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -341,7 +341,7 @@ def kept_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search over conversations: windows and threads, lexical and dense lists."""
     m = units.render(talks(spark, sf_dir))
-    u = units.windows(m).unionByName(units.threads(m)).withColumn("unit_id", F.xxhash64("chat_id", "kind", F.to_json("msg_ids")))
+    u = checkpointed(units.windows(m).unionByName(units.threads(m)).withColumn("unit_id", F.xxhash64("chat_id", "kind", F.to_json("msg_ids"))))
     v = u.select("unit_id", "chat_id", "date_start", dense.embed(F.col("text")).alias("embedding"))
     found, _ = search(u, m, v, "thonen inging thand")
     return found.select("unit_id", "chat_id", "kind", "msg_ids", "place", "anchor", F.round("score", 6).alias("score"))
