@@ -256,7 +256,7 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = encoded(batch.column(1))
-            grams = [hash_grams(hash_words(t or b"")[0], words) for t in texts]
+            grams = [np.unique(hash_grams(hash_words(t or b"")[0], words)) for t in texts]  # sets: repeats weigh nothing
             counts = np.array([len(g) for g in grams], dtype=np.int64)
             fp = _majority(np.concatenate(grams) if grams else np.zeros(0, np.uint64), counts)
             digest = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts]

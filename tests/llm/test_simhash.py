@@ -112,3 +112,14 @@ def test_near_duplicates_against_brute_force(spark, docs_of, monkeypatch, route_
     kept = {r.doc_id for r in drop_near_duplicates(docs).collect()}
     assert kept == {want[i] for i in range(len(rows))}
     assert near_duplicates(docs.limit(0).selectExpr("doc_id as rid", "text")).count() == 0
+
+
+def test_repeated_lines_weigh_nothing(spark, docs_of):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(10):
+        page = " ".join(f"w{x}" for x in rng.integers(0, 5000, 100))
+        line = " ".join(f"l{x}" for x in rng.integers(0, 5000, 7))
+        rows += [f"{page} {line}", " ".join([page, *[line] * 50])]
+    assert all(jaccard(*rows[i : i + 2]) >= 0.9 for i in range(0, 20, 2))
+    assert {r.doc_id for r in drop_near_duplicates(docs_of(list(enumerate(rows)))).collect()} == set(range(0, 20, 2))
