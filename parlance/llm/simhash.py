@@ -418,6 +418,6 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     """``docs`` with one row of each group of near-duplicates (the first), its columns as they are."""
     if "rid" in docs.columns:
         raise ValueError("rid names the row numbers here")
-    rows = docs.withColumn("rid", F.monotonically_increasing_id())
+    rows = materialise(docs.withColumn("rid", F.monotonically_increasing_id()), "numbered")  # once: splits may differ from job to job
     gone = near_duplicates(rows, similarity, words).where("rid <> kept_rid").select("rid")
     return rows.join(gone, "rid", "left_anti").select(*docs.columns)

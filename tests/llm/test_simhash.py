@@ -123,3 +123,16 @@ def test_repeated_lines_weigh_nothing(spark, docs_of):
         rows += [f"{page} {line}", " ".join([page, *[line] * 50])]
     assert all(jaccard(*rows[i : i + 2]) >= 0.9 for i in range(0, 20, 2))
     assert {r.doc_id for r in drop_near_duplicates(docs_of(list(enumerate(rows)))).collect()} == set(range(0, 20, 2))
+
+
+def test_row_numbers_outlive_other_splits(spark, docs_of, tmp_path):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 80)) for _ in range(40)]
+    docs_of([(i, texts[i % 40]) for i in range(60)]).repartition(8).write.parquet(str(tmp_path / "docs"))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    left = drop_near_duplicates(spark.read.parquet(str(tmp_path / "docs")))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        assert sorted(r.text for r in left.collect()) == sorted(texts)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
