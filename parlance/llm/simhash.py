@@ -228,6 +228,8 @@ ROUTES = 6
 BINS = 512
 #: Estimates within this of the threshold are decided by the texts themselves.
 DOUBT = 0.06
+#: Pairs in doubt that a text gives in the first round; each further round gives eight times as many.
+LIKELY = 4
 #: Documents in doubt whose row numbers may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Bits in which fingerprints of texts with a similarity of 0.8 may differ: the mean of 9.7 and over 3.5 deviations.
@@ -274,43 +276,52 @@ def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(some == 0, 1.0, (raw - 1 / 255) / (1 - 1 / 255))
 
 
-def _forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs of a spanning forest of greatest weight over what ``labels`` has joined already."""
-    sets, kept = Labels(len(labels)), []
-    sets.of = labels.copy()
-    index = np.arange(len(a))
-    while len(index := index[sets.apart(a[index], b[index])]):
-        ends = np.concatenate((sets.of[a[index]], sets.of[b[index]]))
-        both = np.concatenate((index, index))
-        order = np.lexsort((both, -weight[both], ends))  # each set takes its best pair
-        best = np.unique(both[order][np.concatenate(([True], ends[order][1:] != ends[order][:-1]))])
-        kept.append(best)
-        sets.join(a[best], b[best])
-    keep = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-    return a[keep], b[keep], weight[keep]
+def _likeliest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, many: int) -> np.ndarray:
+    """Which pairs are among the ``many`` of greatest weight of either end."""
+    keep = np.zeros(len(a), dtype=bool)
+    for end in (a, b):
+        order = np.lexsort((-weight, end))
+        starts = np.flatnonzero(np.concatenate(([True], end[order][1:] != end[order][:-1])))
+        place = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+        keep[order[place < many]] = True
+    return keep
 
 
-def near_links(texts: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst, sure) over the rids of ``texts`` (distinct ones).
+def near_links(shards: DataFrame, similarity: float, likely: int) -> DataFrame:
+    """(src, dst, kind) over the rids of ``shards``, which are (key, label, rid, fp, sketch) rows.
 
-    The pairs that are sure connect what all sure pairs connect. Of the pairs in doubt a shard gives those that would
-    connect its sets otherwise apart, the likeliest first.
+    Rows of one label are joined already. The pairs that are sure (kind 0) connect what all sure pairs connect. Of the
+    pairs in doubt between sets otherwise apart (kind 1) a task gives each text's ``likely`` likeliest; kind 2 has in
+    ``src`` the key of a shard with further ones, to be asked again when those given are decided.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(batches)
         if table is None:
             return
-        key, fp, rid = (table.column(c).to_numpy() for c in ("key", "fp", "rid"))
+        key, label, fp, rid = (table.column(c).to_numpy() for c in ("key", "label", "fp", "rid"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
         order = np.lexsort((rid, fp, key))
-        key, fp, rid, sketch = key[order], fp[order].view(np.uint64), rid[order], sketch[order]
+        key, label, fp, rid, sketch = key[order], label[order], fp[order].view(np.uint64), rid[order], sketch[order]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))
         node, heads = np.cumsum(new) - 1, np.flatnonzero(new)
         width = np.diff(np.append(heads, len(fp)))
         sets = Labels(len(fp))
+        order = np.lexsort((label, key))
+        first = np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (label[order][1:] != label[order][:-1])))
+        sets.join(order, order[np.flatnonzero(first)[np.cumsum(first) - 1]])
+        was = sets.of.copy()
 
         doubts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        more: list[np.ndarray] = []
+
+        def give() -> None:
+            a, b, alike = map(np.concatenate, zip(*doubts, strict=True))
+            on = sets.apart(a, b)
+            a, b, alike = a[on], b[on], alike[on]
+            keep = _likeliest(a, b, alike, likely)
+            more.append(np.unique(key[a[~keep]]))
+            doubts[:] = [(a[keep], b[keep], alike[keep])]
 
         def compare(a: np.ndarray, b: np.ndarray) -> None:
             for at in range(0, len(a), 1 << 15):
@@ -322,8 +333,8 @@ def near_links(texts: DataFrame, similarity: float) -> DataFrame:
                 sets.join(x[on], y[on])
                 on = ~on & (alike >= similarity - DOUBT)
                 doubts.append((x[on], y[on], alike[on]))
-            if sum(len(d[0]) for d in doubts) > 1 << 21:
-                doubts[:] = [_forest(sets.of, *map(np.concatenate, zip(*doubts, strict=True)))]
+            if sum(len(d[0]) for d in doubts[1:]) > 1 << 21:
+                give()
 
         many = np.flatnonzero(width > 1)
         for k in many.tolist():  # different texts of one fingerprint, against each in turn
@@ -339,14 +350,17 @@ def near_links(texts: DataFrame, similarity: float) -> DataFrame:
                 inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 w = np.repeat(wj[at], n)
                 compare(np.repeat(heads[i[at]], n) + inner // w, np.repeat(heads[j[at]], n) + inner % w)
-        linked = np.flatnonzero(sets.of != np.arange(len(fp)))
+        linked = np.flatnonzero((was == np.arange(len(fp))) & (sets.of != was))
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if doubts:
-            a, b, _ = _forest(sets.of, *map(np.concatenate, zip(*doubts, strict=True)))
-        src, dst = np.concatenate((rid[linked], rid[a])), np.concatenate((rid[sets.of[linked]], rid[b]))
-        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(np.arange(len(src)) < len(linked))], ["src", "dst", "sure"])
+            give()
+            a, b, _ = doubts[0]
+        left = np.unique(np.concatenate([np.zeros(0, np.int64), *more]))
+        src, dst = np.concatenate((rid[linked], np.minimum(rid[a], rid[b]), left)), np.concatenate((rid[sets.of[linked]], np.maximum(rid[a], rid[b]), left))
+        kind = np.repeat(np.array([0, 1, 2], dtype=np.int32), [len(linked), len(a), len(left)])
+        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(kind)], ["src", "dst", "kind"])
 
-    return _routed(texts).repartition("key").mapInArrow(run, "src long, dst long, sure boolean")
+    return shards.repartition("key").mapInArrow(run, "src long, dst long, kind int")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
@@ -396,6 +410,32 @@ def _routed(texts: DataFrame) -> DataFrame:
     return marked.select(F.when(F.col("hot").isNull(), F.col("k.a")).otherwise(F.col("k.b")).alias("key"), "rid", "fp", "sketch")
 
 
+def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with the label that the edges give each rid."""
+    cc = components(edges).select(F.col("node").alias("rid"), "component")
+    return rows.drop("label").join(cc, "rid", "left").withColumn("label", F.coalesce("component", "rid")).drop("component")
+
+
+def _near_edges(routed: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(src, dst): what is sure or verified; shards with pairs in doubt are asked again until none between sets apart is left."""
+    shards = routed.withColumn("label", F.col("rid"))
+    edges = tried = None
+    part, likely = shards, LIKELY
+    while True:
+        found = materialise(near_links(part, similarity, likely), "near")
+        sure, doubt = (found.where(F.col("kind") == k).select("src", "dst") for k in (0, 1))
+        doubt = doubt.distinct()
+        doubt = materialise(doubt if tried is None else doubt.join(tried, ["src", "dst"], "left_anti"), "pairs")
+        new = sure.unionByName(materialise(verified(doubt, docs, similarity, words), "verified"))
+        edges = new if edges is None else edges.unionByName(new)
+        left = materialise(found.where(F.col("kind") == 2).select(F.col("src").alias("key")).distinct(), "left")
+        if left.isEmpty():
+            return edges
+        tried = doubt if tried is None else tried.unionByName(doubt)
+        likely *= 8
+        part = _labelled(shards.join(left, "key", "left_semi"), edges)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """(rid, kept_rid): every row that has a near-duplicate, with its group's smallest rid.
 
@@ -406,9 +446,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     own = only(docs, "rid", "text")
     rows = materialise(sketches(own, words), "sketch")
     texts = materialise(rows.groupBy("digest").agg(F.min("rid").alias("rid"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("minima").alias("minima")).drop("digest"), "texts")
-    links = materialise(near_links(texts, similarity), "near")
-    sure, doubt = (links.where(c).select("src", "dst") for c in ("sure", "not sure"))
-    cc = components(sure.unionByName(verified(doubt.distinct(), own, similarity, words)))
+    cc = components(_near_edges(_routed(texts), own, similarity, words))
     first = rows.groupBy("digest").agg(F.min("rid").alias("first"), F.count("*").alias("copies"))
     label = first.join(cc.select(F.col("node").alias("first"), "component"), "first", "left").select("digest", "copies", F.coalesce("component", "first").alias("kept_rid"), F.col("component").isNotNull().alias("linked"))
     return rows.select("rid", "digest").join(label.where("linked or copies > 1"), "digest").select("rid", "kept_rid")

@@ -136,3 +136,28 @@ def test_row_numbers_outlive_other_splits(spark, docs_of, tmp_path):
         assert sorted(r.text for r in left.collect()) == sorted(texts)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def altered(words, similarity, step=1):
+    """The words with as many changed, from the front or the back, as leave just that similarity of shingles."""
+    n, w = len(words) - 4, list(words)
+    for k, i in enumerate(range(5, len(words) - 5, 5), 1):
+        if n - 5 * k < similarity * (n + 5 * k):
+            break
+        w[step * i] = f"z{similarity}{w[step * i]}"
+    return w
+
+
+def test_doubt_is_decided_before_pruning(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(simhash, "_estimate", lambda a, b: np.full(len(a), 0.8))  # says nothing: the texts must decide
+    monkeypatch.setattr(simhash, "LIKELY", 1, raising=False)
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 50000, 300)]
+        far = [altered(words, s) for s in (0.72, 0.74, 0.76)]
+        group = [words, *far, *[altered(w, 0.82, -1) for w in far]]
+        rows += [" ".join(group[i]) for i in rng.permutation(len(group))]
+    want = brute_components(list(range(len(rows))), lambda i, j: jaccard(rows[i], rows[j]) >= 0.8)
+    assert {r.doc_id for r in drop_near_duplicates(docs_of(list(enumerate(rows)))).collect()} == set(want.values())
+    assert 12 * 3 < len(set(want.values())) < len(rows)
