@@ -86,6 +86,8 @@ def spread(keys: np.ndarray, partitions: int) -> np.ndarray:
 
 def runs_of(at: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(value, start, end) of the runs of equal values."""
-    cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))).tolist() if len(at) else []
+    if len(at) == 0:
+        return
+    cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))).tolist()
     for a, b in zip(cut, [*cut[1:], len(at)], strict=True):
         yield int(at[a]), a, b

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.blocks import runs_of
 from parlance.llm.common import components, encoded, hash_grams, hash_words, materialise, mix64, only, popcount, slices
 
 #: A shard with more fingerprints than this is split by a further block of bits.
@@ -234,10 +235,10 @@ LIKELY = 4
 BROADCAST_IDS = 500_000
 #: Bits in which fingerprints of texts with a similarity of 0.8 may differ: the mean of 9.7 and over 3.5 deviations.
 NEAR_RADIUS = 20
-#: A route's shard with more texts than this is split by its members' next minima.
+#: A route's shard with more texts than this is compared in pairs of blocks of about half as many.
 ROUTE_ROWS = 4_000
 
-_ROUTE_MULTIPLIERS = mix64(np.arange(1, ROUTES + 3, dtype=np.uint64)) | _U(1)
+_ROUTE_MULTIPLIERS = mix64(np.arange(1, ROUTES + 2, dtype=np.uint64)) | _U(1)
 
 
 def _sketch(grams: np.ndarray) -> bytes:
@@ -262,7 +263,7 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
             counts = np.array([len(g) for g in grams], dtype=np.int64)
             fp = _majority(np.concatenate(grams) if grams else np.zeros(0, np.uint64), counts)
             digest = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts]
-            minima = [[int(mix64(g * m).min().view(np.int64)) for m in _ROUTE_MULTIPLIERS[:-1]] if len(g) else [0] * (ROUTES + 1) for g in grams]
+            minima = [[int(mix64(g * m).min().view(np.int64)) for m in _ROUTE_MULTIPLIERS[:-1]] if len(g) else [0] * ROUTES for g in grams]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(fp.view(np.int64)), pa.array([_sketch(g) for g in grams], pa.binary()), pa.array(minima, pa.list_(pa.int64()))], ["rid", "digest", "fp", "sketch", "minima"])
 
     return docs.mapInArrow(run, "rid long, digest binary, fp long, sketch binary, minima array<long>")
@@ -288,9 +289,9 @@ def _likeliest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, many: int) -> n
 
 
 def near_links(shards: DataFrame, similarity: float, likely: int) -> DataFrame:
-    """(src, dst, kind) over the rids of ``shards``, which are (key, label, rid, fp, sketch) rows.
+    """(src, dst, kind) over the rids of ``shards``, which are (key, label, side, rid, fp, sketch) rows.
 
-    Rows of one label are joined already. The pairs that are sure (kind 0) connect what all sure pairs connect. Of the
+    All rows of side -1 meet within their key, and those of side 2; rows of side 0 meet those of side 1. Rows of one label are joined already. The pairs that are sure (kind 0) connect what all sure pairs connect. Of the
     pairs in doubt between sets otherwise apart (kind 1) a task gives each text's ``likely`` likeliest; kind 2 has in
     ``src`` the key of a shard with further ones, to be asked again when those given are decided.
     """
@@ -299,13 +300,14 @@ def near_links(shards: DataFrame, similarity: float, likely: int) -> DataFrame:
         table = _table(batches)
         if table is None:
             return
-        key, label, fp, rid = (table.column(c).to_numpy() for c in ("key", "label", "fp", "rid"))
+        key, label, side, fp, rid = (table.column(c).to_numpy() for c in ("key", "label", "side", "fp", "rid"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-        order = np.lexsort((rid, fp, key))
-        key, label, fp, rid, sketch = key[order], label[order], fp[order].view(np.uint64), rid[order], sketch[order]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))
-        node, heads = np.cumsum(new) - 1, np.flatnonzero(new)
-        width = np.diff(np.append(heads, len(fp)))
+        order = np.lexsort((rid, fp, key, side >= 0))
+        key, label, side, fp, rid, sketch = key[order], label[order], side[order], fp[order].view(np.uint64), rid[order], sketch[order]
+        whole = int(np.count_nonzero(side < 0))  # rows of whole shards come first, those of blocks after
+        new = np.concatenate((np.full(min(whole, 1), True), (key[1:whole] != key[: max(0, whole - 1)]) | (fp[1:whole] != fp[: max(0, whole - 1)])))
+        heads = np.flatnonzero(new)
+        width = np.diff(np.append(heads, whole))
         sets = Labels(len(fp))
         order = np.lexsort((label, key))
         first = np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (label[order][1:] != label[order][:-1])))
@@ -350,6 +352,14 @@ def near_links(shards: DataFrame, similarity: float, likely: int) -> DataFrame:
                 inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 w = np.repeat(wj[at], n)
                 compare(np.repeat(heads[i[at]], n) + inner // w, np.repeat(heads[j[at]], n) + inner % w)
+        for _, start, end in runs_of(key[whole:]):
+            x, y, inside = (np.flatnonzero(side[whole + start : whole + end] == k) + whole + start for k in (0, 1, 2))
+            for x, y in ((x, y), (inside, inside)):
+                for at in range(0, len(x), 256):
+                    q = x[at : at + 256]
+                    near = (popcount(fp[q][:, None] ^ fp[y]) <= NEAR_RADIUS) & sets.apart(q[:, None], y)
+                    i, j = np.nonzero(near & (q[:, None] > y) if y is inside else near)
+                    compare(q[i], y[j])
         linked = np.flatnonzero((was == np.arange(len(fp))) & (sets.of != was))
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if doubts:
@@ -397,17 +407,34 @@ def _portions(sizes: np.ndarray, limit: int) -> Iterator[slice]:
         start = stop
 
 
-def _routed(texts: DataFrame) -> DataFrame:
-    """(key, rid, fp, sketch): each text in a shard for each of its min-wise hashes; large shards by two and three of them."""
-    key = lambda i, depth: F.xxhash64(F.lit(i), *[F.col("minima")[(i + d) % (ROUTES + 1)] for d in range(depth)])
-    keys = lambda depth: F.array(*[key(i, depth) for i in range(ROUTES)])
-    slim = texts.select(F.posexplode(keys(1)).alias("i", "key"))
-    hot = materialise(slim.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > ROUTE_ROWS).select("key"), "hot")
-    rows = texts.select("rid", "fp", "sketch", F.explode(F.arrays_zip(keys(1).alias("a"), keys(3).alias("b"))).alias("k"))
+def _routed(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(key, rid, fp, sketch): each text in a shard for each of its min-wise hashes; and of large shards, written, if any."""
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("minima")[i]) for i in range(ROUTES)])
+    hot = materialise(texts.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > ROUTE_ROWS).select("key"), "hot")
+    rows = texts.select(F.explode(keys).alias("key"), "rid", "fp", "sketch")
     if hot.isEmpty():
-        return rows.select(F.col("k.a").alias("key"), "rid", "fp", "sketch")
-    marked = rows.join(hot.select(F.col("key").alias("hot")), F.col("k.a") == F.col("hot"), "left")
-    return marked.select(F.when(F.col("hot").isNull(), F.col("k.a")).otherwise(F.col("k.b")).alias("key"), "rid", "fp", "sketch")
+        return rows, None
+    return rows.join(hot, "key", "left_anti"), materialise(rows.join(hot, "key", "left_semi"), "hot-rows")
+
+
+def _blocks(hot: DataFrame) -> DataFrame:
+    """(key, label, side, rid, fp, sketch): large shards as pairs of blocks, so that all pairs of different labels meet.
+
+    The rows of a shard's largest label meet only the others, side 0 and 1 of a key; the others meet one another
+    likewise, and within a block (side 2). Where all rows have one label nothing is left to compare.
+    """
+    size = hot.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("n"), F.sum("n").alias("all"))
+    count = lambda c: F.ceil(c / max(1, ROUTE_ROWS // 2)).cast("int")
+    size = materialise(size.select("key", "top", count(F.col("n")).alias("tops"), count(F.col("all") - F.col("n")).alias("others")), "sizes")
+    rows = hot.join(size, "key").withColumn("is_top", F.col("label") == F.col("top"))
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("rid"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("others"))).cast("int"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda x: x < n)
+    task = lambda kind, a, b, side: F.struct(F.xxhash64("key", F.lit(kind), a, b).alias("key"), side.alias("side"))
+    top = F.transform(upto(F.col("others")), lambda j: task(0, F.col("i"), j, F.lit(0)))
+    across = F.transform(upto(F.col("tops")), lambda j: task(0, j, F.col("i"), F.lit(1)))
+    among = F.transform(upto(F.col("others")), lambda j: task(1, F.least("i", j), F.greatest("i", j), F.when(j == F.col("i"), 2).when(j > F.col("i"), 0).otherwise(1)))
+    rows = rows.withColumn("e", F.explode(F.when(F.col("is_top"), top).otherwise(F.concat(across, among))))
+    return rows.select("e.key", "label", "e.side", "rid", "fp", "sketch")
 
 
 def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -416,10 +443,13 @@ def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.drop("label").join(cc, "rid", "left").withColumn("label", F.coalesce("component", "rid")).drop("component")
 
 
-def _near_edges(routed: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+def _near_edges(texts: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
     """(src, dst): what is sure or verified; shards with pairs in doubt are asked again until none between sets apart is left."""
-    shards = routed.withColumn("label", F.col("rid"))
+    cool, hot = _routed(texts)
+    shards = cool.withColumn("label", F.col("rid")).withColumn("side", F.lit(-1))
     edges = tried = None
+    if hot is not None:
+        shards = shards.unionByName(_blocks(hot.withColumn("label", F.col("rid"))))
     part, likely = shards, LIKELY
     while True:
         found = materialise(near_links(part, similarity, likely), "near")
@@ -446,7 +476,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     own = only(docs, "rid", "text")
     rows = materialise(sketches(own, words), "sketch")
     texts = materialise(rows.groupBy("digest").agg(F.min("rid").alias("rid"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("minima").alias("minima")).drop("digest"), "texts")
-    cc = components(_near_edges(_routed(texts), own, similarity, words))
+    cc = components(_near_edges(texts, own, similarity, words))
     first = rows.groupBy("digest").agg(F.min("rid").alias("first"), F.count("*").alias("copies"))
     label = first.join(cc.select(F.col("node").alias("first"), "component"), "first", "left").select("digest", "copies", F.coalesce("component", "first").alias("kept_rid"), F.col("component").isNotNull().alias("linked"))
     return rows.select("rid", "digest").join(label.where("linked or copies > 1"), "digest").select("rid", "kept_rid")

@@ -161,3 +161,17 @@ def test_doubt_is_decided_before_pruning(spark, docs_of, monkeypatch):
     want = brute_components(list(range(len(rows))), lambda i, j: jaccard(rows[i], rows[j]) >= 0.8)
     assert {r.doc_id for r in drop_near_duplicates(docs_of(list(enumerate(rows)))).collect()} == set(want.values())
     assert 12 * 3 < len(set(want.values())) < len(rows)
+
+
+def test_large_shards_lose_nothing(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(simhash, "ROUTE_ROWS", 3)
+    rng = np.random.default_rng(8)
+    template = [f"t{x}" for x in range(200)]
+    rows = []
+    for k in range(120):  # pairs at 0.80 to 0.87 that share a template with all others
+        words = template + [f"w{x}" for x in rng.integers(0, 50000, 150)]
+        rows += [" ".join(words), " ".join(altered(words, 0.80 + 0.0004 * k, -1))]
+    assert all(0.8 <= jaccard(*rows[i : i + 2]) < 0.87 for i in range(0, 240, 2))
+    want = brute_components(list(range(len(rows))), lambda i, j: jaccard(rows[i], rows[j]) >= 0.8)
+    assert len(set(want.values())) == 120
+    assert {r.doc_id for r in drop_near_duplicates(docs_of(list(enumerate(rows)))).collect()} == set(want.values())
