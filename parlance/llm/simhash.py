@@ -235,6 +235,8 @@ LIKELY = 4
 BROADCAST_IDS = 500_000
 #: Bits in which fingerprints of texts with a similarity of 0.8 may differ: the mean of 9.7 and over 3.5 deviations.
 NEAR_RADIUS = 20
+#: Texts of a large shard that all its others are compared with first.
+REPRESENTATIVES = 4
 #: A route's shard with more texts than this is compared in pairs of blocks of about half as many.
 ROUTE_ROWS = 4_000
 
@@ -417,6 +419,23 @@ def _routed(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return rows.join(hot, "key", "left_anti"), materialise(rows.join(hot, "key", "left_semi"), "hot-rows")
 
 
+def _to_representatives(hot: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst, sure): texts of large shards, and those of a few representatives of their shard that may be alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("sketch", "other"))
+            alike = _estimate(a, b)
+            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike >= similarity + DOUBT)], ["src", "dst", "sure"])
+            yield found.filter(pa.array(alike >= similarity - DOUBT))
+
+    some = hot.groupBy("key").agg(*[F.min_by("rid", F.xxhash64("rid", F.lit(k))).alias(f"r{k}") for k in range(REPRESENTATIVES)])
+    some = some.select("key", F.explode(F.array_distinct(F.array(*[f"r{k}" for k in range(REPRESENTATIVES)]))).alias("rid"))
+    some = materialise(hot.join(some, ["key", "rid"]).select("key", F.col("rid").alias("dst"), F.col("sketch").alias("other")), "some")
+    pairs = hot.join(some, "key").where("rid <> dst").select(F.col("rid").alias("src"), "dst", "sketch", "other")
+    return pairs.mapInArrow(run, "src long, dst long, sure boolean").distinct()
+
+
 def _blocks(hot: DataFrame) -> DataFrame:
     """(key, label, side, rid, fp, sketch): large shards as pairs of blocks, so that all pairs of different labels meet.
 
@@ -449,7 +468,12 @@ def _near_edges(texts: DataFrame, docs: DataFrame, similarity: float, words: int
     shards = cool.withColumn("label", F.col("rid")).withColumn("side", F.lit(-1))
     edges = tried = None
     if hot is not None:
-        shards = shards.unionByName(_blocks(hot.withColumn("label", F.col("rid"))))
+        near = materialise(_to_representatives(hot, similarity), "representatives")
+        sure = near.where("sure").select("src", "dst")
+        doubt = materialise(near.where("not sure").select("src", "dst").join(sure.select("src"), "src", "left_anti").distinct(), "pairs")
+        edges = sure.unionByName(materialise(verified(doubt, docs, similarity, words), "verified"))
+        tried = doubt
+        shards = shards.unionByName(_blocks(materialise(_labelled(hot, edges), "labelled")))
     part, likely = shards, LIKELY
     while True:
         found = materialise(near_links(part, similarity, likely), "near")

@@ -175,3 +175,19 @@ def test_large_shards_lose_nothing(spark, docs_of, monkeypatch):
     want = brute_components(list(range(len(rows))), lambda i, j: jaccard(rows[i], rows[j]) >= 0.8)
     assert len(set(want.values())) == 120
     assert {r.doc_id for r in drop_near_duplicates(docs_of(list(enumerate(rows)))).collect()} == set(want.values())
+
+
+def test_large_groups_are_dealt_to_bounded_tasks(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(simhash, "ROUTE_ROWS", 40)
+    rng, sizes, links_of = np.random.default_rng(9), [], simhash.near_links
+
+    def spied(shards, *rest):
+        sizes.extend(r["count"] for r in shards.groupBy("key").count().collect())
+        return links_of(shards, *rest)
+
+    monkeypatch.setattr(simhash, "near_links", spied)
+    words = [f"w{x}" for x in range(300)]
+    rows = [" ".join([*words[:i], f"z{i}", *words[i + 1 :]]) for i in range(300)]
+    rows += [" ".join(rng.permutation(words)) for _ in range(5)]
+    assert {r.doc_id for r in drop_near_duplicates(docs_of(list(enumerate(rows)))).collect()} == {0, *range(300, 305)}
+    assert sum(sizes) < 2 * 6 * len(rows) and max(sizes, default=0) <= 80
