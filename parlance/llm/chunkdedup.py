@@ -3,10 +3,11 @@
 The hash at a byte sums a random number for each of the last 16 bytes, shifted by their distance. A text is cut at
 ends of words whose hash is in the lowest third, if the chunk has ``LEAST_CHUNK`` bytes; so cuts depend on the
 content nearby, and an insertion shifts the chunks but soon leaves them equal again. A word of over 64 bytes is cut
-inside likewise. Chunks with the digest of a chunk in an earlier document are repeats; repeats that stand side by
-side for at least ``LEAST_WORDS`` words are a repeated passage. The first document that has it keeps it.
+inside likewise. Windows are the shortest runs of chunks with ``LEAST_WORDS`` words that begin, or that end, at each
+chunk. A window that one earlier document has as a whole is a repeat; repeats that overlap are one repeated passage.
+The first document that has its first window keeps it.
 
-Chunk digests meet in partitions by digest: each block of documents asks of its distinct digests which earlier
+Window digests meet in partitions by digest: each block of documents asks of its distinct digests which earlier
 document has them first (see ``blocks``). A passage that every document shares is one entry for each block.
 
 Defined results: rows come in the order in which Spark reads them, which says what is earlier; a null or empty text
@@ -34,6 +35,7 @@ _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LONG_WORD = 64
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _THIRD = np.uint32((1 << 32) // 3)
 
 
@@ -89,7 +91,7 @@ def cut_points(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Chunks:
-    """The chunks of a block's texts, and the block's distinct digests by partition."""
+    """The chunks of a block's texts, their windows, and the block's distinct window digests by partition."""
 
     def __init__(self, texts: list[bytes | None], partitions: int):
         cuts, words, digests, counts = [], [], [], []
@@ -104,8 +106,15 @@ class Chunks:
         self.cuts, self.words = np.concatenate([*cuts, np.zeros(0, np.int64)]), np.concatenate([*words, np.zeros(0, np.int64)])
         self.count = np.array(counts, dtype=np.int64)
         self.first = np.cumsum(self.count) - self.count
-        self.doc = np.repeat(np.arange(len(texts)), self.count)
-        self.digest = mix64(np.array(digests, dtype=np.uint64))
+        self.start, self.end = self._windows()
+        self.doc = np.repeat(np.arange(len(texts)), self.count)[self.start]  # of each window
+        # a polynomial in the chunks' digests sums up a window
+        up, down = np.ones((2, len(digests) + 1), dtype=np.uint64)
+        np.cumprod(np.full(len(digests), _BASE, np.uint64), out=up[1:])
+        np.cumprod(np.full(len(digests), pow(int(_BASE), -1, 1 << 64), np.uint64), out=down[1:])
+        upto = np.zeros(len(digests) + 1, dtype=np.uint64)
+        np.cumsum(mix64(np.array(digests, dtype=np.uint64)) * up[:-1], out=upto[1:])
+        self.digest = mix64((upto[self.end] - upto[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
         keys, place, inverse = np.unique(self.digest, return_index=True, return_inverse=True)
         at = spread(keys, partitions)
         order = np.argsort(at, kind="stable")
@@ -116,6 +125,18 @@ class Chunks:
         self.several = np.zeros(len(keys), dtype=bool)
         self.several[self.of[self.doc != self.holder[self.of]]] = True
 
+    def _windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of the shortest runs of chunks with ``LEAST_WORDS`` words from and up to each chunk, ascending."""
+        n, last = len(self.cuts), np.repeat(self.first + self.count, self.count)
+        words = np.concatenate(([0], np.cumsum(self.words)))
+        start, end = np.arange(n), np.searchsorted(words, words[:-1] + LEAST_WORDS)
+        ok = end <= last
+        start, end = start[ok], end[ok]
+        back = np.searchsorted(words, words[1:] - LEAST_WORDS, side="right") - 1
+        ok = back >= np.repeat(self.first, self.count)
+        both = np.unique(np.concatenate((start * (n + 1) + end, back[ok] * (n + 1) + np.arange(1, n + 1)[ok])))
+        return both // (n + 1), both % (n + 1)
+
 
 _ASK = "p int, block long, keys binary, holders binary, several binary"
 _TOLD = "block long, p int, answer binary"
@@ -178,7 +199,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _passages(block: int, table: pa.Table, answers: list[tuple[int, bytes]], partitions: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, start, end, words, keeper) of the repeated passages of a block, in bytes."""
+    """(row, start, end, words, keeper) of the repeated passages of a block, in bytes; keeper is the first window's."""
     c = Chunks(encoded(table.column("text").combine_chunks()), partitions)
     first = {p: a for p, a, _ in runs_of(c.at)}
     repeated, keeper, elsewhere = np.zeros(len(c.keys), bool), np.full(len(c.keys), _NO_ID), np.zeros(len(c.keys), bool)
@@ -190,12 +211,23 @@ def _passages(block: int, table: pa.Table, answers: list[tuple[int, bytes]], par
         keeper[at] = np.frombuffer(data, "<i8", n, 12 * n)
     # an occurrence is a repeat unless its own document is the first of all
     again = repeated[c.of] & (elsewhere[c.of] | (c.holder[c.of] != c.doc))
-    turn = np.flatnonzero(np.concatenate(([True], (again[1:] != again[:-1]) | (c.doc[1:] != c.doc[:-1])))) if len(again) else np.zeros(0, np.int64)
-    for a, b in zip(turn.tolist(), [*turn[1:].tolist(), len(again)], strict=True):
-        words = int(c.words[a:b].sum())
-        if again[a] and words >= LEAST_WORDS:
-            start = int(c.cuts[a - 1]) if a > c.first[c.doc[a]] else 0
-            yield int(c.doc[a]), start, int(c.cuts[b - 1]), words, int(keeper[c.of[a]])
+    text = np.repeat(np.arange(len(c.count)), c.count)
+    held: list[int] = []
+
+    def passage(a: int, b: int, k: int) -> tuple[int, int, int, int, int]:
+        start = int(c.cuts[a - 1]) if a > c.first[text[a]] else 0
+        return int(text[a]), start, int(c.cuts[b - 1]), int(c.words[a:b].sum()), int(keeper[c.of[k]])
+
+    for k in np.flatnonzero(again).tolist():
+        a, b = int(c.start[k]), int(c.end[k])
+        if held and a < held[1]:
+            held[1] = max(held[1], b)
+        else:
+            if held:
+                yield passage(*held)
+            held = [a, b, k]
+    if held:
+        yield passage(*held)
 
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, int]:

@@ -66,3 +66,12 @@ def test_defined_results(spark, docs_of):
     kept = drop_repeats(docs).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", text), ("2", None), ("3", ""), ("4", "  "), ("5", rows[-1][1])], key=lambda x: x[0])
     assert repeated_passages(docs.limit(0)).count() == drop_repeats(docs.limit(0)).count() == 0
+
+
+def test_common_phrases_are_no_passage(spark, docs_of):
+    phrases = [prose(11) for _ in range(8)]
+    rows = [(i, f"{prose(40)} {p} {prose(40)}") for i, p in enumerate(phrases)]
+    rows.append((8, " ".join(phrases)))  # each phrase from another document
+    docs = docs_of(rows).coalesce(1)
+    assert repeated_passages(docs).count() == 0
+    assert {r.doc_id: r.text for r in drop_repeats(docs).collect()} == dict(rows)
