@@ -69,9 +69,12 @@ def test_defined_results(spark, docs_of):
 
 
 def test_common_phrases_are_no_passage(spark, docs_of):
-    phrases = [prose(11) for _ in range(8)]
-    rows = [(i, f"{prose(40)} {p} {prose(40)}") for i, p in enumerate(phrases)]
-    rows.append((8, " ".join(phrases)))  # each phrase from another document
+    text, rows = prose(100), []
+    cuts = cut_points(text.encode())[0].tolist()
+    for i, (a, b) in enumerate(zip([0, *cuts[:-1]], cuts, strict=True)):  # each chunk in another document
+        other = prose(40)
+        rows.append((i, other[: cut_points(other.encode())[0][2]] + " " * (a == 0) + text[a:b] + " " + prose(40)))
+    rows.append((len(rows), text))
     docs = docs_of(rows).coalesce(1)
     assert repeated_passages(docs).count() == 0
     assert {r.doc_id: r.text for r in drop_repeats(docs).collect()} == dict(rows)
