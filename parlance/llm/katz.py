@@ -2,260 +2,359 @@
 
 A bigram's probability is its discounted count over its context's, or else the context's backoff weight times the
 word's own probability; a word's own is its discounted count over all, and what the discounts free is the share of
-unseen words. Words and pairs are counted over all training documents; pairs seen once count in the totals and the
-counts of counts but, as is usual, get no entry of their own (``CUTOFF``).
+unseen words, which are one class: each unseen word has that whole share. Words and pairs are counted over all
+training documents, and every pair that occurs has its discounted entry.
 
-The texts are stored as blocks of some megabytes. Every block asks each partition of the tables for the distinct
-words and pairs it holds, with its own counts of them: so the counting and the look-ups are one shuffle, of distinct
-n-grams and not of tokens. A partition answers with the totals in the order asked. Backoff weights come from the
-kept entries by joins, and go to the blocks whose contexts have one. Each block then scores its own tokens. Frequent
-contexts are spread over partitions by their successors, and a partition's share never depends on one key.
+The texts are stored as blocks of some megabytes. Counting and looking up are one shuffle for words and one for
+pairs, of what is distinct in a block and not of tokens: a block asks each partition of a table for the words (pairs)
+it holds, with its own counts of them, and the partition answers with the totals in the order asked. Words are
+answered first. That numbers them, so that a pair is two small numbers and not two hashes, and tells a block each
+word's total, which it sends along with the pairs that end in the word. So the partition that holds a context's pairs
+sums up what the context's backoff weight needs, and no table of pairs is written or joined. Contexts that are too
+frequent for one partition are dealt over several by their second words; their sums are few and are broadcast.
+
+Blocks and partitions grow with the root of the text's size above ``ROOT_FROM``, so that a question keeps its length
+while questions are sent from every block to every partition; a task's memory then grows with that root.
 
 Defined results: a null text is an empty document, which is one end token; a text begins after a start mark that is
-no token; with no training rows every word is unseen and has probability 1; a null doc_id is kept; equal rows are
-scored and counted each; an empty table gives no rows; columns other than those named are not read.
+no token; a long text is cut at white space to pieces of some ``PIECE_BYTES``, which changes no result; with no
+training rows every word is unseen and has probability 1; a null doc_id is kept; equal rows are scored and counted
+each; an empty table gives no rows; columns other than those named are not read.
 """
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import encoded, hash_words, materialise, mix64, slices
 
-#: Bytes of text in a block, and of all text for each partition of the tables.
-BLOCK_BYTES = 6 << 20
-PARTITION_BYTES = 4 << 20
-#: Blocks from which it is guessed which words are frequent.
-SAMPLE_BLOCKS = 8
+#: Bytes of text in a block, and of all text for each partition of words and of pairs.
+BLOCK_BYTES = 4 << 20
+WORD_PARTITION_BYTES = 16 << 20
+PAIR_PARTITION_BYTES = 4 << 20
+#: Bytes of all text above which the three grow with the root.
+ROOT_FROM = 64 << 30
+#: A longer text is cut to pieces.
+PIECE_BYTES = 1 << 20
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
-#: Pairs get an entry from this count on.
-CUTOFF = 2
 
 _U = np.uint64
 END, START = _U(0x5BD1E995A3C59AC3), _U(0x27D4EB2F165667C5)
 
-_BLOCKS = "block long, size long, doc_ids binary, nulls binary, train binary, sizes binary, text binary"
-_ASKS = "kind int, p int, block long, keys binary, runs binary, seconds binary, counts binary"
-_TOLD = "kind int, block long, p int, k1 long, k2 long, c long, answer binary"
-_ASK_WORDS, _ASK_PAIRS = 0, 1
-_WORD, _PAIR, _CONTEXT, _TOTALS, _ANSWER = 2, 3, 4, 5, 6
+_BLOCKS = "block long, rows binary, doc_ids binary, flags binary, before binary, sizes binary, text binary"
+_ASKS = "p int, block long, data binary"
+_TOLD = "kind int, p int, block long, answer binary, k long, n array<long>, own double"
+_ANSWER, _TOTALS, _FREQUENT = 0, 1, 2
+#: Bits of a piece's flags.
+_NULL_ID, _TRAIN, _LAST, _CUT = 1, 2, 4, 8
+_GAP = re.compile(rb"[\t-\r ]")
 
 
-# --------------------------------------------------------------------- blocks
+# ---------------------------------------------------------------------- bytes
 
 
-def _as_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, train) rows as blocks of whole documents."""
-    squeeze, part = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
-    ids: list[int | None] = []
-    texts: list[bytes] = []
-    train: list[bool] = []
-    size, number = 0, 0
-
-    def block() -> pa.RecordBatch:
-        line = b"\n".join(texts)
-        row = [(part << 32) + number, size, np.array([x or 0 for x in ids], "<i8").tobytes(), np.array([x is None for x in ids], "?").tobytes(), np.array(train, "?").tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), squeeze.compress(line)]
-        return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i < 2 else pa.binary()) for i, v in enumerate(row)], [c.split()[0] for c in _BLOCKS.split(", ")])
-
-    for batch in slices(batches):
-        ids += batch.column(0).to_pylist()
-        new = [t or b"" for t in encoded(batch.column(1))]
-        texts += new
-        train += batch.column(2).to_pylist()
-        size += sum(map(len, new))
-        if size >= BLOCK_BYTES:
-            yield block()
-            ids, texts, train, size, number = [], [], [], 0, number + 1
-    if texts:
-        yield block()
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned integers, each in the fewest bytes that hold its largest, lowest bytes first."""
+    out = []
+    for a in arrays:
+        a = np.ascontiguousarray(a, "<u8")
+        width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+        out.append(struct.pack("<IB", len(a), width) + a.view("u1").reshape(-1, 8)[:, :width].T.tobytes())
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n, width = struct.unpack_from("<IB", data, at)
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 5).reshape(width, n).T
+        out.append(wide.view("<u8").ravel())
+        at += 5 + n * width
+    return out
 
 
-class Tokens:
-    """The tokens of a block: hashes of words and the word before, the document of each, and the distinct ones."""
-
-    def __init__(self, sizes: bytes, text: bytes, partitions: int, frequent: np.ndarray):
-        size = np.frombuffer(sizes, "<i8")
-        words, starts, _ = hash_words(zstandard.ZstdDecompressor().decompress(text))
-        begin = np.cumsum(size + 1) - size - 1
-        doc = np.searchsorted(begin, starts, side="right") - 1
-        self.docs = len(size)
-        self.count = np.bincount(doc, minlength=self.docs) + 1
-        self.first = np.cumsum(self.count) - self.count
-        self.word = np.full(len(words) + self.docs, END)
-        self.word[np.arange(len(words)) + doc] = words
-        before = np.concatenate(([START], self.word[:-1]))
-        before[self.first] = START
-        self.partitions = partitions
-        # distinct words, by partition and hash
-        self.words, inverse = np.unique(self.word, return_inverse=True)
-        self.words_at = self._spread(mix64(self.words))  # where its pairs are, if it isn't frequent
-        order = np.argsort(self.words_at, kind="stable")
-        self.words, self.words_at = self.words[order], self.words_at[order]
-        self.word_of = _inverted(order)[inverse]
-        # distinct pairs, by partition, first and second word
-        _, one, inverse = np.unique(pair_key(before, self.word), return_index=True, return_inverse=True)
-        first, second = before[one], self.word[one]
-        shares = np.where(np.isin(first, frequent), second % _U(max(4, partitions // 16)), _U(0))
-        at = self._spread(mix64(first) + shares)
-        order = np.lexsort((second, first, at))
-        self.firsts, self.seconds, self.pairs_at = first[order], second[order], at[order]
-        self.pair_of = _inverted(order)[inverse]
-
-    def _spread(self, keys: np.ndarray) -> np.ndarray:
-        return ((mix64(keys) >> _U(20)) % _U(self.partitions)).astype(np.int64)
-
-
-def _inverted(order: np.ndarray) -> np.ndarray:
-    out = np.empty(len(order), dtype=np.int64)
-    out[order] = np.arange(len(order))
-    return out
+def _deltas(rising: np.ndarray) -> np.ndarray:
+    return np.diff(rising, prepend=rising.dtype.type(0))
 
 
-def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix64(mix64(first ^ _U(0x94D049BB133111EB)) + second)
+def _groups(at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of the runs of equal values."""
+    heads = _heads(at)
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(at)], strict=True):
+        yield int(at[a]), a, b
 
 
-def _small(counts: np.ndarray) -> bytes:
-    """Counts in the fewest bytes each that hold the largest."""
-    return counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
+def _heads(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
 
 
-def _counts(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{max(1, len(data) // max(1, n))}").astype(np.int64)
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    arrow = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), arrow[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def frequent_words(blocks: DataFrame, partitions: int) -> np.ndarray:
-    """Words that are over one in ``partitions`` tokens of a few blocks: their pairs are dealt to several partitions.
+# --------------------------------------------------------------------- blocks
 
-    Where pairs go has no effect on results, so that a bounded sample is enough.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                words, n = np.unique(hash_words(zstandard.ZstdDecompressor().decompress(row["text"]))[0], return_counts=True)
-                often = n * partitions >= n.sum()
-                yield pa.RecordBatch.from_arrays([pa.array(words[often].view(np.int64))], ["word"])
+def _pieces(text: bytes) -> Iterator[tuple[bytes, np.uint64, bool]]:
+    """(piece, hash of the word before it, whether it is the last) of a text, cut at white space."""
+    at, before = 0, START
+    while len(text) - at > PIECE_BYTES:
+        gap = _GAP.search(text, at + PIECE_BYTES)
+        if not gap:
+            break
+        piece = text[at : gap.start()]
+        yield piece, before, False
+        words = hash_words(piece)[0]
+        at, before = gap.start(), words[-1] if len(words) else before
+    yield text[at:], before, True
 
-    many = max(1, blocks.count())
-    found = blocks.where(F.pmod(F.xxhash64("block"), F.lit(many)) < SAMPLE_BLOCKS).select("text").mapInArrow(count, "word long").distinct().collect()
-    return np.array([START, *[np.int64(r.word).view(np.uint64) for r in found]], dtype=np.uint64)
 
+def _as_blocks(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, part = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
+        held: list[tuple] = []
+        size, number, row = 0, 0, 0
+
+        def block() -> pa.RecordBatch:
+            rows, ids, flags, before, texts = zip(*held, strict=True)
+            data = [np.array(rows, "<i8"), np.array([i or 0 for i in ids], "<i8"), np.array(flags, "u1"), np.array(before, "<u8"), np.array([len(t) for t in texts], "<i8")]
+            return _batch(_BLOCKS, [((part << 32) + number, *[x.tobytes() for x in data], squeeze.compress(b"\n".join(texts)))])
+
+        for batch in slices(batches):
+            for doc, text, train in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                for piece, before, last in _pieces(text or b""):
+                    flags = _NULL_ID * (doc is None) + _TRAIN * train + _LAST * last + _CUT * (not last or before != START)
+                    held.append(((part << 40) + row, doc, flags, before, piece))
+                    size += len(piece)
+                    if size >= limit:
+                        yield block()
+                        held, size, number = [], 0, number + 1
+                row += 1
+        if held:
+            yield block()
+
+    return run
 
-def _asker(partitions: int, frequent: np.ndarray):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+class Tokens:
+    """The tokens of a block, as places in its sorted distinct words, and the words before them."""
+
+    def __init__(self, row: dict):
+        size, self.flags = np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["flags"], "u1")
+        before = np.frombuffer(row["before"], "<u8")
+        hashes, starts, _ = hash_words(zstandard.ZstdDecompressor().decompress(row["text"]))
+        piece = (np.searchsorted(np.cumsum(size + 1) - size - 1, starts, side="right") - 1).astype(np.int32)
+        last = (self.flags & _LAST > 0).astype(np.int64)
+        count = np.bincount(piece, minlength=len(size)) + last
+        word = np.full(count.sum(), END)
+        word[np.arange(len(hashes)) + (np.cumsum(last) - last)[piece]] = hashes
+        del hashes, starts
+        self.piece = np.repeat(np.arange(len(size), dtype=np.int32), count)
+        self.train = (self.flags & _TRAIN > 0)[self.piece]
+        # hashes are uniform, so that partitions are their ranges, and sorted words are sorted by partition
+        self.words, inverse = np.unique(np.concatenate((word, before[before != START])), return_inverse=True)
+        self.word = inverse[: len(word)].astype(np.int32)
+        ahead = np.full(len(size), len(self.words), np.int32)  # the start's place is after all words
+        ahead[before != START] = inverse[len(word) :]
+        self.before = np.concatenate((self.word[:1], self.word[:-1]))
+        first = np.cumsum(count) - count
+        self.before[first[count > 0]] = ahead[count > 0]
+
+
+def _word_partition(hashes: np.ndarray, partitions: int) -> np.ndarray:
+    return (((hashes >> _U(32)) * _U(partitions)) >> _U(32)).astype(np.int64)
+
+
+class Pairs:
+    """The distinct pairs of a block in the order in which they are asked for."""
+
+    def __init__(self, t: Tokens, ids: np.ndarray, table: Table):
+        width = len(t.words) + 1
+        distinct, inverse = np.unique(t.before.astype(np.int64) * width + t.word, return_inverse=True)
+        first, second = np.divmod(distinct, width)
+        del distinct
+        one, two = np.append(ids, _U(table.ids))[first], ids[second]
+        at = (one.astype(np.float64) * (table.partitions / (table.ids + 1))).astype(np.int64)
+        place = np.minimum(np.searchsorted(table.frequent, one), len(table.frequent) - 1)
+        shares = np.where(table.frequent[place] == one, table.shares[place], 1).astype(np.uint64)
+        at = (at + (mix64(two + _U(1)) % shares).astype(np.int64)) % table.partitions
+        order = np.argsort(at, kind="stable")
+        self.at, self.first, self.second, self.one, self.two = at[order], first[order], second[order], one[order], two[order]
+        turned = np.empty(len(order), np.int32)
+        turned[order] = np.arange(len(order), dtype=np.int32)
+        self.of = turned[inverse]
+
+
+class Table:
+    """Where pairs are: how many words have a number, and the contexts (the start mark among them) that are dealt."""
+
+    def __init__(self, ids: int, partitions: int, frequent: np.ndarray, shares: np.ndarray):
+        self.ids, self.partitions, self.frequent, self.shares = ids, partitions, frequent, shares
+
+
+# ---------------------------------------------------------------------- asking
+
+
+def _ask_words(partitions: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # one block in memory at a time
                 row = batch.slice(i, 1).to_pylist()[0]
-                t = Tokens(row["sizes"], row["text"], partitions, frequent)
-                train = np.repeat(np.frombuffer(row["train"], "?"), t.count).astype(float)
-                rows: list[tuple] = []
-                counts = np.bincount(t.word_of, weights=train, minlength=len(t.words)).astype(np.int64)
-                named = ~np.isin(t.words, frequent) & (t.words != END)  # the pairs of the same partition begin with these
-                for p, a, b in _groups(t.words_at):
-                    rows.append((_ASK_WORDS, p, row["block"], t.words[a:b][~named[a:b]].tobytes(), b"", b"", _small(counts[a:b])))
-                counts = np.bincount(t.pair_of, weights=train, minlength=len(t.firsts)).astype(np.int64)
-                for p, a, b in _groups(t.pairs_at):
-                    heads = np.flatnonzero(np.concatenate(([True], t.firsts[a + 1 : b] != t.firsts[a : b - 1])))
-                    runs = np.diff(np.append(heads, b - a))
-                    rows.append((_ASK_PAIRS, p, row["block"], t.firsts[a:b][heads].tobytes(), _small(runs), t.seconds[a:b].tobytes(), _small(counts[a:b])))
-                yield _rows(rows, _ASKS)
-
-    return ask
+                t = Tokens(row)
+                seen = np.bincount(t.word, weights=t.train, minlength=len(t.words)).astype(np.uint64)
+                other = np.bincount(t.word, weights=~t.train, minlength=len(t.words)).astype(np.uint64)
+                groups = _groups(_word_partition(t.words, partitions))
+                yield _batch(_ASKS, [(p, row["block"], pack(t.words[a:b], seen[a:b], other[a:b])) for p, a, b in groups])
 
+    return run
+
+
+def _answer_words(often: int):
+    """Totals, numbers and words that at least ``often`` tokens are, for each partition of words."""
+
+    def close(p: int, asked: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack(data) for _, data in asked]
+        words, seen, other = (np.concatenate(x) for x in zip(*parts, strict=True))
+        distinct, inverse = np.unique(words, return_inverse=True)
+        total = np.bincount(inverse, weights=seen).astype(np.int64)
+        tokens = total + np.bincount(inverse, weights=other).astype(np.int64)
+        yield _batch(_TOLD, [(_TOTALS, p, None, None, len(distinct), _tally(total), None)])
+        yield _batch(_TOLD, [(_FREQUENT, p, None, None, i, [int(tokens[i])], None) for i in np.flatnonzero(tokens >= often).tolist()])
+        ends = np.cumsum([len(x[0]) for x in parts]).tolist()
+        yield _batch(_TOLD, [(_ANSWER, p, block, pack(_deltas(inverse[a:b]), total[inverse[a:b]]), None, None, None) for (block, _), a, b in zip(asked, [0, *ends[:-1]], ends, strict=True)])
+
+    return _by_partition(close)
 
-def _groups(at: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else []
-    for a, b in zip(cut, [*cut[1:], len(at)], strict=True):
-        yield int(at[a]), int(a), int(b)
-
-
-_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
-
-
-def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    names = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), _ARROW[t]) for c, (_, t) in zip(zip(*rows, strict=True), names, strict=True)], [n for n, _ in names])
-
-
-# --------------------------------------------------------------------- tables
-
-
-def _answerer(frequent: np.ndarray):
-    """Totals for all that was asked of a partition: its entries, counts of counts, and an answer to each block."""
-
-    def told(kind: int, n: int, **columns) -> pa.RecordBatch:
-        fields = [x.split() for x in _TOLD.split(", ")]
-        arrays = []
-        for name, t in fields:
-            v = np.full(n, kind, np.int32) if name == "kind" else columns.get(name)
-            arrays.append(pa.nulls(n, _ARROW[t]) if v is None else pa.array(v, _ARROW[t]))
-        return pa.RecordBatch.from_arrays(arrays, [f[0] for f in fields])
-
-    def close(kind: int, p: int, asked: list[dict], begin: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        first = [np.frombuffer(r["keys"], "<u8") for r in asked]
-        if kind == _ASK_WORDS:
-            first = [np.sort(np.concatenate((k, begin.get(r["block"], k[:0])))) for k, r in zip(first, asked, strict=True)]
-        size = [len(r["seconds"]) // 8 if kind == _ASK_PAIRS else len(k) for k, r in zip(first, asked, strict=True)]
-        counts = np.concatenate([_counts(r["counts"], n) for r, n in zip(asked, size, strict=True)])
-        ends = np.cumsum(size)
-        if kind == _ASK_PAIRS:
-            one = np.concatenate([np.repeat(k, _counts(r["runs"], len(k))) for k, r in zip(first, asked, strict=True)])
-            two = np.concatenate([np.frombuffer(r["seconds"], "<u8") for r in asked])
-            key = pair_key(one, two)
-        else:
-            one = two = key = np.concatenate(first)
-        _, place, inverse = np.unique(key, return_index=True, return_inverse=True)
-        total = np.bincount(inverse, weights=counts).astype(np.int64)
-        some = total >= (CUTOFF if kind == _ASK_PAIRS else 1)
-        many = np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
-        yield told(_TOTALS, DISCOUNTED + 3, k1=np.full(DISCOUNTED + 3, kind), k2=np.array([-1, 0, *range(1, DISCOUNTED + 2)]), c=np.array([np.count_nonzero(total), total.sum(), *many]))
-        n = int(some.sum())
-        ones, twos = one[place][some].view(np.int64), two[place][some].view(np.int64)
-        if kind == _ASK_PAIRS:
-            yield told(_PAIR, n, k1=ones, k2=twos, c=total[some])
-        else:
-            yield told(_WORD, n, k1=ones, c=total[some])
-            for r, a, b in zip(asked, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):  # words that may be contexts of an entry
-                at = np.flatnonzero(total[inverse[a:b]] >= CUTOFF)
-                mine = key[a:b][at]
-                if END in mine:  # as many starts as ends; the start has no place of its own
-                    at, mine = np.append(at, -1), np.append(mine, START)
-                yield told(_CONTEXT, len(mine), block=np.full(len(mine), r["block"]), k1=mine.view(np.int64), c=(p << 32) + at)
-        reply = np.where(some, total, 0)[inverse]
-        yield told(_ANSWER, len(asked), block=np.array([r["block"] for r in asked]), p=np.full(len(asked), p), k1=np.full(len(asked), kind), answer=[np.array([b - a], "<u4").tobytes() + _small(reply[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
-
-    def both(p: int, asked: list[dict]) -> Iterator[pa.RecordBatch]:
-        words, pairs = ([r for r in asked if r["kind"] == k] for k in (_ASK_WORDS, _ASK_PAIRS))
-        begin = {r["block"]: k[~np.isin(k, frequent)] for r in pairs for k in [np.frombuffer(r["keys"], "<u8")]}
-        for kind, rows in ((_ASK_WORDS, words), (_ASK_PAIRS, pairs)):
-            if rows:
-                yield from close(kind, p, rows, begin)
+
+def _tally(total: np.ndarray) -> list[int]:
+    """Kinds and tokens, and how many kinds were seen 1, 2 ... times."""
+    return [np.count_nonzero(total), int(total.sum()), *np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2].tolist()]
+
+
+def _by_partition(close):
+    """Runs ``close`` over each partition's questions in sorted (p, block, data) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, asked = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["p"] != now and asked:
-                    yield from both(now, asked)
+            for p, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != now and asked:
+                    yield from close(now, asked)
                     asked = []
-                now = row["p"]
-                asked.append(row)
+                now = p
+                asked.append((block, data))
         if asked:
-            yield from both(now, asked)
+            yield from close(now, asked)
+
+    return run
+
+
+class Answers:
+    """What a block was told of its words (totals and numbers), and of its pairs (totals, and sums of their contexts)."""
+
+    def __init__(self):
+        self.words: list[tuple[int, bytes]] = []
+        self.pairs: list[bytes] = []
+
+    def of_words(self, bases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        each = [(p, *unpack(data)) for p, data in self.words]
+        ids = np.concatenate([_U(bases[p]) + np.cumsum(steps) for p, steps, _ in each])
+        return ids, np.concatenate([total for *_, total in each]).astype(np.int64)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Answers]]:
+    """Each block and what it was told, from rows sorted by block, kind (words, pairs, the block) and partition."""
+    told = Answers()
+    for batch in batches:
+        for i, kind in enumerate(batch.column("kind").to_pylist()):
+            row = batch.slice(i, 1).to_pylist()[0]
+            if kind == 0:
+                told.words.append((row["p"], row["text"]))
+            elif kind == 1:
+                told.pairs.append(row["text"])
+            else:
+                yield row, told
+                told = Answers()
+
+
+def _ask_pairs(bases, table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, told in _met(batches):
+            t = Tokens(row)
+            ids, total = told.of_words(bases.value)
+            pairs = Pairs(t, ids, table.value)
+            counts = np.bincount(pairs.of, weights=t.train, minlength=len(pairs.at)).astype(np.uint64)
+            total = total[pairs.second]
+            asks = []
+            for p, a, b in _groups(pairs.at):
+                heads = _heads(pairs.one[a:b])
+                steps = _deltas(pairs.two[a:b])
+                steps[heads] = pairs.two[a:b][heads]
+                asks.append((p, row["block"], pack(_deltas(pairs.one[a:b][heads]), np.diff(heads, append=b - a), steps, counts[a:b], total[a:b])))
+            yield _batch(_ASKS, asks)
 
     return run
 
 
+def _answer_pairs(d: Discounts, table):
+    """Totals of pairs and what the backoff weights of their contexts are made of, for each partition of pairs."""
+
+    def close(p: int, asked: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        width, frequent = _U(table.value.ids + 1), table.value.frequent
+        keys, counts, ends_in, contexts, runs = [], [], [], [], []
+        for _, data in asked:
+            heads, run, steps, count, total = unpack(data)
+            heads, run = np.cumsum(heads), run.astype(np.int64)
+            starts = np.cumsum(run) - run
+            so_far = np.cumsum(steps)
+            keys.append(np.repeat(heads * width - so_far[starts] + steps[starts], run) + so_far)
+            counts.append(count)
+            ends_in.append(total)
+            contexts.append(heads)
+            runs.append(run)
+        sizes = [len(x) for x in keys]
+        distinct, place, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        del keys
+        total = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
+        first = distinct // width
+        del distinct
+        own = np.where(total > 0, d.own(np.concatenate(ends_in)[place].astype(np.int64)), 0.0)
+        heads = _heads(first)
+        sums = [np.add.reduceat((total == r).astype(np.int64), heads) for r in range(1, DISCOUNTED + 1)]
+        sums.append(np.add.reduceat(np.where(total > DISCOUNTED, total, 0), heads))
+        own, first = np.add.reduceat(own, heads), first[heads]
+        yield _batch(_TOLD, [(_TOTALS, p, None, None, None, _tally(total), None)])
+        dealt = np.flatnonzero(np.isin(first, frequent)).tolist()
+        yield _batch(_TOLD, [(_FREQUENT, p, None, None, int(first[i]), [int(s[i]) for s in sums], float(own[i])) for i in dealt])
+        rows, at = [], 0
+        for (block, _), size, context, run in zip(asked, sizes, contexts, runs, strict=True):
+            reply = total[inverse[at : at + size]]
+            at += size
+            of = np.searchsorted(first, context)
+            backs_off = np.minimum.reduceat(reply, np.cumsum(run) - run) == 0
+            rows.append((_ANSWER, p, block, pack(reply, *[s[of] for s in sums], own[of[backs_off]].view(np.uint64)), None, None, None))
+        yield _batch(_TOLD, rows)
+
+    return _by_partition(close)
+
+
+# ------------------------------------------------------------------- discounts
+
+
 def good_turing(many: dict[int, int], k: int = DISCOUNTED) -> list[float]:
     """Discounts of the counts 1 to k from the numbers of n-grams seen 1 to k+1 times.
 
@@ -271,140 +370,87 @@ def good_turing(many: dict[int, int], k: int = DISCOUNTED) -> list[float]:
     return out
 
 
+def discounted(count: np.ndarray, d: list[float]) -> np.ndarray:
+    """Counts after discounting; 0 stays 0."""
+    by = np.array([0.0, *[r * x for r, x in enumerate(d, 1)]])
+    return np.where(count <= DISCOUNTED, by[np.minimum(count, DISCOUNTED)], count)
+
+
 class Discounts:
-    """What all scoring needs of the whole corpus: a few numbers."""
+    """What all scoring needs to know of all words: a few numbers."""
 
-    def __init__(self, totals: dict[tuple[int, int], int]):
-        of = lambda kind: {r: totals.get((kind, r), 0) for r in range(-1, DISCOUNTED + 2)}
-        words, pairs = of(_ASK_WORDS), of(_ASK_PAIRS)
-        self.types, self.tokens = words[-1], words[0]
-        self.word, self.pair = good_turing(words), good_turing(pairs)
+    def __init__(self, tally: list[int]):
+        self.types, self.tokens = tally[:2]
+        words = dict(enumerate(tally[2:], 1))
+        self.word = good_turing(words)
         freed = sum(words[r] * r * (1 - self.word[r - 1]) for r in range(1, DISCOUNTED + 1))
         self.scale = 1.0 / self.tokens if freed > 0 else 1.0 / (self.tokens + 1)
         self.unseen = freed / self.tokens if freed > 0 else 1.0 / (self.tokens + 1)
 
-    @staticmethod
-    def discounted(count: np.ndarray, d: list[float]) -> np.ndarray:
-        """Counts after discounting; 0 stays 0."""
-        by = np.array([0.0, *[r * x for r, x in enumerate(d, 1)]])
-        return np.where(count <= DISCOUNTED, by[np.minimum(count, DISCOUNTED)], count)
-
-    @staticmethod
-    def column(count: Column, d: list[float]) -> Column:
-        out = count.cast("double")
-        for r, x in enumerate(d, 1):
-            out = F.when(count == r, F.lit(r * x)).otherwise(out)
-        return out
-
-
-def _weights(told: DataFrame, d: Discounts) -> DataFrame:
-    """(k1, weight, more): the logarithm of each context's backoff weight, and 1 if its counts leave no mass and are divided by one more."""
-    words = told.where(F.col("kind") == _WORD).select("k1", "c")
-    pairs = told.where(F.col("kind") == _PAIR).select("k1", "k2", "c")
-    own = words.select(F.col("k1").alias("k2"), (Discounts.column(F.col("c"), d.word) * d.scale).alias("own"))
-    sums = pairs.join(own, "k2").groupBy("k1").agg(F.sum(Discounts.column(F.col("c"), d.pair)).alias("kept"), F.sum("own").alias("own"))
-    start, end = (int(x.view(np.int64)) for x in (START, END))
-    sums = sums.withColumn("of", F.when(F.col("k1") == start, F.lit(end)).otherwise(F.col("k1")))  # as many starts as ends
-    each = sums.join(words.select(F.col("k1").alias("of"), "c"), "of")
-    more = F.when(F.col("kept") < F.col("c") - 1e-6, 0).otherwise(1)  # some must be left
-    each = each.select("k1", more.alias("more"), (F.col("kept") / (F.col("c") + more)).alias("kept"), "own")
-    return each.select("k1", F.log10((1 - F.col("kept")) / (1 - F.col("own"))).alias("weight"), "more")
-
+    def own(self, total: np.ndarray) -> np.ndarray:
+        """The probability of a word with this total by itself."""
+        return np.where(total > 0, discounted(total, self.word) * self.scale, self.unseen)
 
-# ---------------------------------------------------------------------- scores
-
-_INPUT = "block long, kind int, p int, data binary, doc_ids binary, nulls binary, train binary, sizes binary"
-_SCORES = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+def _tallied(told: DataFrame) -> list[int]:
+    each = [F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(DISCOUNTED + 3)]
+    return list(told.where(F.col("kind") == _TOTALS).agg(*each).head())
 
-#: Weights that are packed together.
-PACK_ROWS = 1 << 20
 
+# ---------------------------------------------------------------------- scores
 
-def _pack_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, place, weight, more) rows as one value for each block of many rows."""
-    held: list[pa.RecordBatch] = []
+_SCORES = "row long, cut boolean, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
-    def close() -> pa.RecordBatch:
-        block, place, weight, more = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
-        order = np.lexsort((place, block))
-        block, place, weight, more = block[order], place[order], weight[order], more[order]
-        blocks, data = [], []
-        for k, a, b in _groups(block):
-            blocks.append(k)
-            p, at = (place[a:b] + 1) >> 32, ((place[a:b] + 1) & 0xFFFFFFFF) - 1
-            each = np.diff(at, prepend=0)  # places ascend within a partition
-            starts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-            each[starts] = at[starts] + 1
-            head = np.array([b - a, len(starts), max(1, np.min_scalar_type(int(each.max(initial=0))).itemsize)], "<i4").tobytes()
-            data.append(head + p[starts].astype("<i4").tobytes() + starts.astype("<i4").tobytes() + weight[a:b].tobytes() + more[a:b].astype("u1").tobytes() + _small(each))
-        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(data, pa.binary())], ["block", "data"])
 
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= PACK_ROWS:
-            yield close()
-            held = []
-    if any(b.num_rows for b in held):
-        yield close()
-
-
-def _scorer(d: Discounts, partitions: int, frequent: np.ndarray):
-    def score_block(row: dict, told: dict[int, list[bytes]], weights: list[bytes]) -> pa.RecordBatch:
-        t = Tokens(row["sizes"], row["data"], partitions, frequent)
-        counts = [np.concatenate([_counts(x[4:], int(np.frombuffer(x, "<u4", 1)[0])) for x in told[k]]) for k in (_ASK_WORDS, _ASK_PAIRS)]
-        c = counts[0][t.word_of]
-        own = Discounts.discounted(counts[0], d.word) * d.scale
-        own = np.log10(np.where(counts[0] > 0, own, d.unseen))
-        # each word's backoff weight and what its pairs' counts are divided by; in the end those of the start
-        weight, more = np.zeros(len(t.words) + 1), np.zeros(len(t.words) + 1)
-        begins = np.zeros(partitions, dtype=np.int64)
-        for p, a, _ in _groups(t.words_at):
-            begins[p] = a
-        for data in weights:
-            n, groups, width = np.frombuffer(data, "<i4", 3).tolist()
-            p, starts = np.frombuffer(data, "<i4", 2 * groups, 12).astype(np.int64).reshape(2, groups)
-            end = 12 + 8 * groups
-            size = np.diff(np.append(starts, n))
-            so_far = np.cumsum(np.frombuffer(data, f"<u{width}", n, end + 9 * n).astype(np.int64))
-            at = so_far - np.repeat(np.concatenate(([0], so_far))[starts], size) - 1
-            place = np.where(at < 0, len(t.words), at + np.repeat(begins[p], size))
-            weight[place], more[place] = np.frombuffer(data, "<f8", n, end), np.frombuffer(data, "u1", n, end + 8 * n)
-        total = np.append(counts[0], counts[0][t.words == END])  # as many starts as ends
-        total = np.log10(np.maximum(total + more, 1))
-        order = np.argsort(t.words)
-        of = order[np.minimum(np.searchsorted(t.words, t.firsts, sorter=order), len(order) - 1)]
-        of = np.where(t.firsts == START, len(t.words), of)
-        weight, total = weight[of], total[of]
-        # a pair's own entry, or its context's weight for the second word's own probability
-        second = np.empty(len(t.firsts), dtype=np.int64)
-        second[t.pair_of] = t.word_of
-        cut = counts[1]
-        entry = np.log10(np.maximum(Discounts.discounted(cut, d.pair), 1e-300)) - total
-        score = np.where(cut > 0, entry, weight + own[second])[t.pair_of]
-        base = np.log10((c + 1) / (d.tokens + d.types + 1))
-        add = lambda v: np.add.reduceat(v, t.first)
-        nulls = np.frombuffer(row["nulls"], "?")
-        columns = [pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=nulls), pa.array(np.frombuffer(row["train"], "?")), pa.array(t.count), pa.array(add((c > 0).astype(np.int64)))]
-        columns += [pa.array(np.full(t.docs, d.tokens)), pa.array(add(base)), pa.array(add(score))]
-        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _SCORES.split(", ")])
+def _score(d: Discounts, pair: list[float], bases, table, dealt):
+    """``dealt``: the numbers of the dealt contexts, what their pairs were counted (a row for each) and own sums."""
+    by = np.array([*[r * x for r, x in enumerate(pair, 1)], 1.0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: dict[int, list[bytes]] = {_ASK_WORDS: [], _ASK_PAIRS: []}
-        weights: list[bytes] = []
-        for batch in batches:  # by block: answers, weights, and last the block itself
-            for i, kind in enumerate(batch.column("kind").to_pylist()):
-                if kind == 3:
-                    yield score_block(batch.slice(i, 1).to_pylist()[0], told, weights)
-                    told, weights = {_ASK_WORDS: [], _ASK_PAIRS: []}, []
-                elif kind == 2:
-                    weights.append(batch.column("data")[i].as_py())
-                else:
-                    told[kind].append(batch.column("data")[i].as_py())
+        for row, told in _met(batches):
+            t = Tokens(row)
+            ids, total = told.of_words(bases.value)
+            pairs = Pairs(t, ids, table.value)
+            n, kept, own = [], [], []
+            for data, (_, a, b) in zip(told.pairs, _groups(pairs.at), strict=True):
+                reply, *sums, backed = unpack(data)
+                heads = _heads(pairs.one[a:b])
+                mass, share = by @ np.stack(sums).astype(np.float64), np.zeros(len(heads))
+                share[np.minimum.reduceat(reply, heads) == 0] = backed.view(np.float64)
+                known, at = dealt.value[0], pairs.one[a:b][heads]
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, at), len(known) - 1)
+                    here = known[place] == at
+                    mass, share = np.where(here, dealt.value[1][place] @ by, mass), np.where(here, dealt.value[2][place], share)
+                size = np.diff(heads, append=b - a)
+                n.append(reply.astype(np.int64))
+                kept.append(np.repeat(mass, size))
+                own.append(np.repeat(share, size))
+            n, kept, own = (np.concatenate(x) for x in (n, kept, own))
+            ends = np.searchsorted(t.words, END)  # as many starts as ends
+            ends = total[ends] if ends < len(total) and t.words[ends] == END else 0
+            of = np.append(total, ends)[pairs.first]
+            of = of + (kept >= of - 1e-6)  # some must be left
+            backed = np.log10((1 - kept / of) / (1 - own)) + np.log10(d.own(total))[pairs.second]
+            entry = np.log10(np.maximum(discounted(n, pair), 1e-300) / of)
+            score = np.where(n > 0, entry, backed)[pairs.of]
+            known = total[t.word]
+            base = np.log10((known + 1) / (d.tokens + d.types + 1))
+            add = lambda v: np.bincount(t.piece, weights=v, minlength=len(t.flags))
+            flag = lambda bit: t.flags & bit > 0
+            whole = lambda v: pa.array(add(v).astype(np.int64))
+            columns = [pa.array(np.frombuffer(row["rows"], "<i8")), pa.array(flag(_CUT)), pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=flag(_NULL_ID)), pa.array(flag(_TRAIN))]
+            columns += [whole(np.ones(len(t.word))), whole(known > 0), pa.array(add(base)), pa.array(add(score))]
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _SCORES.split(", ")])
 
     return run
 
 
+def _grown(size: int, total: int) -> int:
+    """``size``, times the root of how many times ``ROOT_FROM`` the text is, if it is more."""
+    return int(size * max(1.0, total / ROOT_FROM) ** 0.5)
+
+
 def katz_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) for (doc_id, text, train) rows.
 
@@ -412,22 +458,43 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     ``base_score`` that under word counts with one added to each; ``n_known`` counts tokens seen in training.
     """
     rows = docs.select(docs["doc_id"], docs["text"], F.coalesce(docs["train"], F.lit(False)).alias("train"))
-    blocks = materialise(rows.mapInArrow(_as_blocks, _BLOCKS), "katz-blocks")
-    partitions = max(64, (blocks.agg(F.sum("size")).head()[0] or 0) // PARTITION_BYTES)
-    frequent = frequent_words(blocks, partitions)
-    asks = blocks.select("block", "sizes", "text", "train").mapInArrow(_asker(partitions, frequent), _ASKS)
-    told = materialise(asks.repartition("p").sortWithinPartitions("p", "kind", "block").mapInArrow(_answerer(frequent), _TOLD), "katz-tables", "kind")
-    totals = told.where(F.col("kind") == _TOTALS).groupBy("k1", "k2").agg(F.sum("c").alias("c"))  # some 16 rows
-    d = Discounts({(int(r.k1), int(r.k2)): r.c for r in totals.collect()})
-    contexts = told.where(F.col("kind") == _CONTEXT).select("k1", "block", F.col("c").alias("place"))
-    packed = contexts.join(_weights(told, d), "k1").select("block", "place", "weight", "more").mapInArrow(_pack_weights, "block long, data binary")
-    null = lambda t: F.lit(None).cast(t)
-    parts = {
-        "answers": told.where(F.col("kind") == _ANSWER).select("block", F.col("k1").cast("int").alias("kind"), "p", F.col("answer").alias("data")),
-        "weights": packed.select("block", F.lit(2).alias("kind"), "data"),
-        "blocks": blocks.select("block", F.lit(3).alias("kind"), F.col("text").alias("data"), "doc_ids", "nulls", "train", "sizes"),
-    }
-    fields = [f.split() for f in _INPUT.split(", ")]
-    full = [df.select(*[F.col(n) if n in df.columns else null(t).alias(n) for n, t in fields]) for df in parts.values()]
-    everything = full[0].unionByName(full[1]).unionByName(full[2]).repartition("block").sortWithinPartitions("block", "kind", "p")
-    return everything.mapInArrow(_scorer(d, partitions, frequent), _SCORES)
+    text = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    blocks = materialise(rows.mapInArrow(_as_blocks(_grown(BLOCK_BYTES, text)), _BLOCKS), "katz-blocks")
+    share = blocks.sparkSession.sparkContext.broadcast
+
+    def answered(asks: DataFrame, answer) -> DataFrame:
+        return materialise(asks.repartition("p").sortWithinPartitions("p", "block").mapInArrow(answer, _TOLD), "katz-told", "kind")
+
+    def meet(*told: DataFrame) -> DataFrame:
+        """The blocks and their answers, in tasks of whole blocks."""
+        all_of = blocks.withColumns({"kind": F.lit(2), "p": F.lit(0)})
+        for kind, df in enumerate(told):
+            all_of = all_of.unionByName(df.where(F.col("kind") == _ANSWER).select("block", F.lit(kind).alias("kind"), "p", F.col("answer").alias("text")), allowMissingColumns=True)
+        return all_of.repartition("block").sortWithinPartitions("block", "kind", "p")
+
+    # words: numbers, totals and discounts
+    partitions = max(8, text // _grown(PAIR_PARTITION_BYTES, text))
+    word_partitions = max(8, text // _grown(WORD_PARTITION_BYTES, text))
+    often = max(1000, text // (8 * partitions))  # more tokens than a partition has, if words take 8 bytes
+    words = answered(blocks.mapInArrow(_ask_words(word_partitions), _ASKS), _answer_words(often))
+    d = Discounts(_tallied(words))
+    bases = np.zeros(word_partitions + 1, np.int64)
+    for r in words.where(F.col("kind") == _TOTALS).select("p", "k").collect():  # one row for each partition
+        bases[r.p + 1] = r.k
+    bases = np.cumsum(bases)
+    frequent = words.where(F.col("kind") == _FREQUENT).select("p", "k", F.col("n")[0].alias("n")).collect()  # few: each has a partition's worth of tokens
+    dealt = sorted([(int(bases[r.p]) + r.k, min(partitions, 1 + 2 * r.n // often)) for r in frequent] + [(int(bases[-1]), partitions)])
+    table = Table(int(bases[-1]), partitions, *(np.array(x, np.uint64) for x in zip(*dealt, strict=True)))
+    bases, table = share(bases), share(table)
+
+    # pairs: totals, and sums of their contexts
+    pairs = answered(meet(words).mapInArrow(_ask_pairs(bases, table), _ASKS), _answer_pairs(d, table))
+    pair = good_turing(dict(enumerate(_tallied(pairs)[2:], 1)))
+    each = [F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(DISCOUNTED + 1)]
+    sums = pairs.where(F.col("kind") == _FREQUENT).groupBy("k").agg(*each, F.sum("own").alias("own")).orderBy("k").collect()
+    known = [np.array([r.k for r in sums], np.uint64), np.array([r[1:-1] for r in sums], np.float64).reshape(-1, DISCOUNTED + 1), np.array([r.own for r in sums])]
+
+    scored = materialise(meet(words, pairs).mapInArrow(_score(d, pair, bases, table, share(known)), _SCORES), "katz-scores")
+    joined = scored.where("cut").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("train").alias("train"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    found = scored.where("not cut").drop("cut").unionByName(joined)
+    return found.select("doc_id", "train", "n_tokens", "n_known", F.lit(d.tokens).cast("long").alias("train_tokens"), "base_score", "score")

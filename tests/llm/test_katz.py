@@ -26,8 +26,7 @@ class Plain:
         self.scale, self.unseen = (1 / self.n, freed / self.n) if freed > 0 else (1 / (self.n + 1), 1 / (self.n + 1))
         self.after = defaultdict(dict)
         for (a, b), c in self.pairs.items():
-            if c >= 2:
-                self.after[a][b] = self.cut(c, self.d2)
+            self.after[a][b] = self.cut(c, self.d2)
 
     @staticmethod
     def split(t):
@@ -86,6 +85,41 @@ def test_defined_results(spark):
     assert katz_scores(docs.limit(0)).count() == 0
 
 
+def test_long_texts_in_pieces(spark, monkeypatch):
+    rows = [(1, "a b  c a b " * 30, True), (2, "b" * 500 + " a \n\n" + " " * 300 + "c b a", True), (3, " " * 400, False), (4, "c a b " * 50, False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    model = Plain([t for _, t, x in rows if x])
+    monkeypatch.setattr(katz, "PIECE_BYTES", 64)
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 150)
+    got = {r.doc_id: r for r in katz_scores(docs).collect()}
+    assert len(got) == 4
+    for i, t, _ in rows:
+        assert got[i].n_tokens == len(Plain.split(t))
+        assert got[i].score == pytest.approx(model.score(t))
+
+
+def test_dealt_contexts(spark, monkeypatch):
+    """Contexts that are dealt over partitions score as others do."""
+    import random
+
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice(["the", "of", *map(str, range(60))]) for _ in range(400)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, i % 5 > 0) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    model = Plain([t for i, t in enumerate(texts) if i % 5])
+    plain = katz._answer_words
+    monkeypatch.setattr(katz, "_answer_words", lambda often: plain(50))
+    got = {r.doc_id: r for r in katz_scores(docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].score == pytest.approx(model.score(t))
+
+
+def test_pack():
+    import numpy as np
+
+    arrays = [np.array([0, 255, 256, 1 << 63], np.uint64), np.zeros(0, np.uint64), np.array([7])]
+    assert [x.tolist() for x in katz.unpack(katz.pack(*arrays))] == [x.tolist() for x in arrays]
+
+
 def test_good_turing():
     assert good_turing({}) == [1.0] * 5
     d = good_turing({1: 1000, 2: 300, 3: 140, 4: 80, 5: 50, 6: 30})
