@@ -34,6 +34,8 @@ from parlance.llm.common import encoded, hash_words, materialise, only, slices
 CLASSES = 256
 #: Words whose token ids a task remembers.
 REMEMBERED = 600_000
+#: Bytes of starting numbers that may be broadcast; more go to the pieces by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 PIECES = "part long, place long, doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
 
@@ -111,15 +113,17 @@ def token_ids(tok: Tokenizer, known: dict[bytes, bytes], texts: list[bytes], end
         at = cut
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int = 1) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int = 1, keep_ids: bool = True) -> DataFrame:
     """Pieces of at most ``capacity`` tokens, written: (part, place, doc_id, piece, start, length, ids, ids_crc32).
 
-    ``place`` numbers the pieces of one length within a part (a task's share of the rows). The tokenizer must
+    ``ids`` is there only with ``keep_ids``. ``place`` numbers the pieces of one length within a part (a task's share of the rows). The tokenizer must
     split at white space and drop it, and between ASCII letters and other ASCII characters than the apostrophe, so
     that a text's ids are those of its words' parts in order.
     """
     with open(tokenizer_path, encoding="utf-8") as file:  # on the driver; the file is a parameter of fixed size
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
+    arrow = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = {n: arrow[t] for n, t in (f.split() for f in PIECES.split(", ")) if keep_ids or n != "ids"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = zlib.crc32(shared.value[:1000].encode()) ^ len(shared.value)
@@ -129,23 +133,19 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: i
         part, seen = TaskContext.get().partitionId(), {}
         for batch in slices(batches, "text", 4 << 20):
             doc_ids = batch.column(0).to_pylist()
-            out: dict[str, list] = {k: [] for k in ("place", "doc_id", "piece", "start", "length", "ids", "crc")}
+            out: dict[str, list] = {k: [] for k in kinds}
             for doc_id, ids in zip(doc_ids, token_ids(tok, known, [t or b"" for t in encoded(batch.column(1))], end), strict=True):
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
                     length = len(cut) // 4
                     place = seen.get(length, 0)
                     seen[length] = place + 1
-                    for k, v in (("place", place), ("doc_id", doc_id), ("piece", piece), ("start", at // 4), ("length", length), ("ids", cut), ("crc", zlib.crc32(cut))):
-                        out[k].append(v)
-            n = len(out["place"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part)), pa.array(out["place"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32())]
-                + [pa.array(out["start"], pa.int64()), pa.array(out["length"], pa.int64()), pa.array(out["ids"], pa.binary()), pa.array(out["crc"], pa.int64())],
-                ["part", "place", "doc_id", "piece", "start", "length", "ids", "ids_crc32"],
-            )
+                    for k, v in (("part", part), ("place", place), ("doc_id", doc_id), ("piece", piece), ("start", at // 4), ("length", length), ("ids", cut), ("ids_crc32", zlib.crc32(cut))):
+                        if k in kinds:
+                            out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
 
-    return materialise(only(docs, "doc_id", "text").mapInArrow(run, PIECES), "pieces")
+    return materialise(only(docs, "doc_id", "text").mapInArrow(run, ", ".join(f for f in PIECES.split(", ") if f.split()[0] in kinds)), "pieces")
 
 
 # ------------------------------------------------------------------------ plan
@@ -302,28 +302,54 @@ def plan_packing(histogram: dict[int, int], capacity: int, classes: int = CLASSE
 
 
 def assign(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
-    """``pieces`` (written; part, place, length and any columns) plus sequence_id and offset."""
+    """``pieces`` (written; part, place, length and any columns) plus sequence_id and offset.
+
+    A part's starting numbers, one for each length that it has, are broadcast while those of all parts together are
+    under ``BROADCAST_BYTES``; beyond, they are sent to where the part's pieces are.
+    """
     counts = materialise(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_packing(histogram, capacity)
     runs = np.array(sorted(plan.runs), dtype=np.int64).reshape(-1, 5)
-    shared = pieces.sparkSession.sparkContext.broadcast(runs)  # its size follows the number of lengths
+    spark = pieces.sparkSession
+    shared = spark.sparkContext.broadcast(runs)  # its size follows the number of lengths
     ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("part", "length", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_start"))
-    numbered = pieces.join(starts, ["part", "length"]).withColumn("_number", F.col("_start") + F.col("place"))
-    fields = [f for f in numbered.schema.fields if not f.name.startswith("_")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
+    starts = counts.select("part", "length", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    listed = F.array_sort(F.collect_list(F.struct("length", "start")))
+    starts = materialise(starts.groupBy("part").agg(listed.alias("s")).select("part", F.col("s.length").alias("_lengths"), F.col("s.start").alias("_starts")), "starts")
+    few = 16 * (starts.agg(F.sum(F.size("_lengths"))).head()[0] or 0) <= BROADCAST_BYTES
+    columns = pieces.columns
+    if few:
+        known = spark.sparkContext.broadcast({p: (np.array(n), np.array(at)) for p, n, at in (r for r in starts.collect())})
+        rows = pieces
+    else:
+        known = None
+        rows = pieces.withColumn("_kind", F.lit(1)).unionByName(starts.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+        rows = rows.repartition("part").sortWithinPartitions("part", "_kind").drop("_kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = shared.value
         key = (runs[:, 0] << 44) + runs[:, 1]
+        of = known.value if known else {}
         for batch in batches:
-            length, number = batch.column("length").to_numpy(), batch.column("_number").to_numpy()
+            if known is None:
+                heads = batch.filter(batch.column("_lengths").is_valid())
+                of |= {p: (np.array(n), np.array(at)) for p, n, at in zip(*(heads.column(c).to_pylist() for c in ("part", "_lengths", "_starts")), strict=True)}
+                batch = batch.filter(batch.column("_lengths").is_null())
+            part, length = (batch.column(c).to_numpy() for c in ("part", "length"))
+            number = batch.column("place").to_numpy().copy()
+            for p in np.unique(part).tolist():
+                mine = part == p
+                lengths, begin = of[p]
+                number[mine] += begin[np.searchsorted(lengths, length[mine])]
+            if known is None and len(part):
+                of = {int(part[-1]): of[int(part[-1])]} | {p: v for p, v in of.items() if p not in set(part.tolist())}
             at = np.searchsorted(key, (length << 44) + number, side="right") - 1
             sequence = runs[at, 3] + number - runs[at, 1]
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in fields] + [pa.array(sequence), pa.array(runs[at, 4])], [f.name for f in fields] + ["sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(sequence), pa.array(runs[at, 4])], [*columns, "sequence_id", "offset"])
 
-    return numbered.mapInArrow(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
+    return rows.mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int = 1) -> DataFrame:

@@ -34,8 +34,8 @@ def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, cut to pieces of 4096 tokens at most and packed."""
-    pieces = tokenised(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
-    packed = assign(pieces.drop("ids"))
+    pieces = tokenised(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+    packed = assign(pieces)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

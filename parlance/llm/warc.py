@@ -6,19 +6,23 @@ responses, so that only compressed records are shuffled to find each digest's re
 archives into a folder that all machines share, under a temporary name first, so that a repeated task leaves one.
 The dictionary is trained on a bounded sample of pages (``SAMPLE_PAGES`` of at most ``SAMPLE_BYTES`` each).
 
-Reading: Spark hands each archive to a task, which loads the dictionary from the skippable frame, decodes frame after
-frame, and checks each: magic numbers, the version line, the named headers, Content-Length against the bytes that
-follow, the record's end, and the payload's length and digest. A broken archive is an error that says where.
+Reading: Spark hands each archive's path to a task, which loads the dictionary from the skippable frame, decodes frame
+after frame from bounded pieces of the file, and checks each: magic numbers, the version line, the named headers,
+Content-Length against the bytes that follow, the record's end, and a response's payload length and digest. The
+records of all archives are then joined by digest, so that every revisit is held against the response that it names.
+A broken archive, or a revisit without its response, is an error that says where.
 
 Defined results: null html is an empty payload; equal rows are records of their own, of which one (the first row
 among those with the largest page_id) is the response; null page_ids come before all others; an empty table writes
-no archive and reads back no record; columns other than page_id, url and html are not read.
+no archive and reads back no record; a long payload is one record, the only thing that a task holds whole; columns
+other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import struct
 import uuid
 from collections.abc import Iterator
@@ -38,8 +42,9 @@ from parlance.llm.common import encoded, materialise, slices
 SAMPLE_PAGES = 200
 SAMPLE_BYTES = 16 << 10
 DICTIONARY_BYTES = 32 << 10
-#: Payload bytes with which an archive is full.
+#: Payload bytes with which an archive is full, and bytes that a reader takes from it at a time.
 ARCHIVE_BYTES = 64 << 20
+PIECE_BYTES = 32 << 10
 
 # Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -101,6 +106,7 @@ def parse_record(data: bytes, where: str) -> tuple[dict[str, str], bytes]:
         must(headers.get("warc-payload-digest") == f"sha1:{payload_digest(block)}", "the payload's digest differs")
     else:
         must(headers["warc-type"] == "revisit" and "warc-refers-to" in headers and size == 0, "neither a response nor a revisit")
+        must(headers.get("warc-payload-length", "").isdigit() and headers.get("warc-payload-digest", "").startswith("sha1:"), "a revisit without its payload's length or digest")
     return headers, block
 
 
@@ -123,31 +129,67 @@ def archive_head(dictionary: bytes) -> bytes:
     return struct.pack("<II", SKIPPABLE_MAGIC, len(dictionary)) + dictionary
 
 
-def read_archive(data: bytes, where: str = "archive") -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of a whole archive, each from a frame of its own."""
-    if len(data) < 8 or struct.unpack_from("<I", data)[0] != SKIPPABLE_MAGIC:
+class Feed:
+    """A file in bounded pieces; what a frame leaves of a piece is handed back."""
+
+    def __init__(self, file):
+        self.file, self.held, self.at = file, b"", 0
+
+    def some(self) -> bytes:
+        data = self.held or self.file.read(PIECE_BYTES)
+        self.held = b""
+        self.at += len(data)
+        return data
+
+    def back(self, data: bytes) -> None:
+        self.at -= len(data)
+        self.held = data
+
+    def exactly(self, n: int) -> bytes:
+        """n bytes, or what is left of the file."""
+        parts, size = [], 0
+        while size < n and (data := self.some()):
+            parts.append(data)
+            size += len(data)
+        data = b"".join(parts)
+        self.back(data[n:])
+        return data[:n]
+
+
+def read_archive(archive, where: str = "archive") -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of a whole archive (bytes, or an open file), each from a frame of its own, in time that grows with its size."""
+    feed = Feed(io.BytesIO(archive) if isinstance(archive, bytes) else archive)
+    head = feed.exactly(8)
+    if len(head) < 8 or struct.unpack_from("<I", head)[0] != SKIPPABLE_MAGIC:
         raise ValueError(f"{where}: it does not begin with a dictionary's skippable frame")
-    size = struct.unpack_from("<I", data, 4)[0]
-    if len(data) < 8 + size:
+    size = struct.unpack_from("<I", head, 4)[0]
+    dictionary = feed.exactly(size)
+    if len(dictionary) < size:
         raise ValueError(f"{where}: the dictionary is cut short")
-    dictionary = data[8 : 8 + size]
     if dictionary[:4] == FRAME_MAGIC:  # it may itself be compressed
         dictionary = zstandard.ZstdDecompressor().decompress(dictionary)
     decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
-    at = 8 + size
-    while at < len(data):
-        place = f"{where}, byte {at}"
-        if data[at : at + 4] != FRAME_MAGIC:
+    while True:
+        place = f"{where}, byte {feed.at}"
+        magic = feed.exactly(4)
+        if not magic:
+            return
+        if magic != FRAME_MAGIC:
             raise ValueError(f"{place}: no frame begins here")
-        frame = decoder.decompressobj()
-        try:
-            record = frame.decompress(memoryview(data)[at:])
-        except zstandard.ZstdError as e:
-            raise ValueError(f"{place}: {e}") from e
+        frame, parts = decoder.decompressobj(), []
+        data = magic
+        while data:
+            try:
+                parts.append(frame.decompress(data))
+            except zstandard.ZstdError as e:
+                raise ValueError(f"{place}: {e}") from e
+            if frame.eof:
+                break
+            data = feed.some()
         if not frame.eof:
             raise ValueError(f"{place}: the frame is cut short")
-        at = len(data) - len(frame.unused_data)
-        yield parse_record(record, place)
+        feed.back(frame.unused_data)
+        yield parse_record(b"".join(parts), place)
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -198,9 +240,16 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return materialise(chosen.mapInArrow(write, "path string, records long"), "archives")
 
 
+def _placed(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system that a path names, and the path on it."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 def _put(path: str, data: bytes) -> None:
     """A file appears whole or not at all, whichever try of a task writes it."""
-    system, name = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    system, name = _placed(path)
     system.create_dir(name.rsplit("/", 1)[0], recursive=True)
     draft = f"{name}.{uuid.uuid4().hex}.tmp"
     with system.open_output_stream(draft, compression=None) as out:
@@ -208,19 +257,33 @@ def _put(path: str, data: bytes) -> None:
     system.move(draft, name)
 
 
-def read_archives(spark: SparkSession, folder: str, records: DataFrame | None = None) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the archives in ``folder``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path")  # names only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda urn: None if urn == "<urn:page:none>" else int(urn.removeprefix("<urn:page:").removesuffix(">"))
-        for batch in batches:
-            for i in range(batch.num_rows):
-                rows = []
-                for h, _ in read_archive(batch.column(1)[i].as_py(), batch.column(0)[i].as_py()):
+        for path in (p for batch in batches for p in batch.column(0).to_pylist()):
+            rows = []
+            system, name = _placed(path)
+            with system.open_input_stream(name, compression=None) as file:
+                for h, _ in read_archive(file, path):
                     refers = number(h["warc-refers-to"]) if h["warc-type"] == "revisit" else None
                     rows.append((number(h["warc-record-id"]), int(h["warc-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], refers))
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()], strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    return files.mapInArrow(run, _RECORD)
+                    if len(rows) == 10_000:
+                        yield _records(rows)
+                        rows = []
+            yield _records(rows)
+
+    records = materialise(files.mapInArrow(run, _RECORD), "records")  # without payloads
+    held = records.where("record_type = 'response'").groupBy("payload_digest").agg(F.max(F.struct("page_id", "payload_bytes")).alias("_r"), F.count("*").alias("_n"))
+    met = records.join(held, "payload_digest", "left")
+    right = (F.col("_n") == 1) & F.col("refers_to").eqNullSafe(F.col("_r.page_id")) & (F.col("payload_bytes") == F.col("_r.payload_bytes"))
+    wrong = (F.col("record_type") == "revisit") & ~F.coalesce(right, F.lit(False))
+    checked = F.when(wrong, F.raise_error(F.concat(F.lit("no response of this digest, length and name for the revisit of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))))).otherwise(F.col("record_type"))
+    return met.select("page_id", "payload_bytes", "payload_digest", checked.cast("string").alias("record_type"), "refers_to")
+
+
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()], strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
