@@ -2,7 +2,9 @@
 
 A block is some megabytes of whole rows in one binary value. An operator that must know of each key in a block
 whether and where else it occurs sends each partition of the keys the block's distinct keys, and gets an answer for
-them; so what is shuffled are distinct keys, and a key's share of any task is at most one entry for each block.
+them; so a key's share of any task is at most one entry for each block. Blocks and partitions grow with the root of
+the text's size above ``ROOT_FROM``: a question then keeps its length, though all blocks ask all partitions, and a
+task's memory grows with that root. Where answers meet their blocks, the compressed blocks are shuffled once, too.
 """
 
 from __future__ import annotations
@@ -21,12 +23,19 @@ from parlance.llm.common import materialise, slices
 #: Bytes of text in a block, and of all text for each partition of keys.
 BLOCK_BYTES = 6 << 20
 PARTITION_BYTES = 4 << 20
+#: Bytes of all text above which both grow with the root.
+ROOT_FROM = 64 << 30
 
 
+def grown(size: int, total: int) -> int:
+    """``size``, times the root of how many times ``ROOT_FROM`` the text is, if it is more."""
+    return int(size * max(1.0, total / ROOT_FROM) ** 0.5)
 
 
-def store_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(block, size, data), written: ``docs`` in order as Arrow data, blocks numbered in the order of the rows."""
+def store_blocks(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
+    """(block, size, data), written: ``docs`` in order as Arrow data, blocks numbered in the order of the rows; and the text's size."""
+    total = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
+    limit = grown(BLOCK_BYTES, total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -41,22 +50,22 @@ def store_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in slices(batches, text):
             held.append(batch)
             size += int(pc.sum(pc.binary_length(batch.column(batch.schema.get_field_index(text)))).as_py() or 0)
-            if size >= BLOCK_BYTES:
+            if size >= limit:
                 yield block()
                 number, held, size = number + 1, [], 0
         if any(b.num_rows for b in held):
             yield block()
 
-    return materialise(docs.mapInArrow(run, "block long, size long, data binary"), "blocks")
+    return materialise(docs.mapInArrow(run, "block long, size long, data binary"), "blocks"), total
 
 
 def load_block(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all().combine_chunks()
 
 
-def key_partitions(blocks: DataFrame) -> int:
+def key_partitions(size: int) -> int:
     """How many partitions the keys go to; follows the size of the text."""
-    return max(64, (blocks.agg(F.sum("size")).head()[0] or 0) // PARTITION_BYTES)
+    return max(64, size // grown(PARTITION_BYTES, size))
 
 
 def meet(told: DataFrame, blocks: DataFrame) -> DataFrame:

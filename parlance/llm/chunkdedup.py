@@ -3,16 +3,17 @@
 The hash at a byte sums a random number for each of the last 16 bytes, shifted by their distance. A text is cut at
 ends of words whose hash is in the lowest third, if the chunk has ``LEAST_CHUNK`` bytes; so cuts depend on the
 content nearby, and an insertion shifts the chunks but soon leaves them equal again. A word of over 64 bytes is cut
-inside likewise. Windows are the shortest runs of chunks with ``LEAST_WORDS`` words that begin, or that end, at each
+inside likewise; a chunk that has grown to ``LARGEST_CHUNK`` bytes ends with its word. Windows are the shortest runs of chunks with ``LEAST_WORDS`` words that begin, or that end, at each
 chunk. A window that one earlier document has as a whole is a repeat; repeats that overlap are one repeated passage.
-The first document that has its first window keeps it.
+The document with the smallest doc_id that has its first window keeps it, however the files are split.
 
 Window digests meet in partitions by digest: each block of documents asks of its distinct digests which earlier
 document has them first (see ``blocks``). A passage that every document shares is one entry for each block.
 
-Defined results: rows come in the order in which Spark reads them, which says what is earlier; a null or empty text
-has no chunk and stays as it is; equal rows repeat each other; what repeats only within one document stays;
-a null doc_id is reported as null; an empty table gives no rows; a clashing column name has no effect.
+Defined results: documents come in the order of their doc_id, null last, which says what is earlier; rows of one
+doc_id come as Spark reads them; a null or empty text has no chunk and stays as it is; equal rows repeat each other;
+what repeats only within one document stays; a long text is looked at in pieces of a megabyte; a null doc_id is
+reported as null; an empty table gives no rows; a clashing column name has no effect.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ from pyspark.sql import DataFrame
 from parlance.llm.blocks import key_partitions, load_block, meet, runs_of, spread, store_blocks, with_answers
 from parlance.llm.common import PIECE_BYTES, encoded, materialise, mix64, only
 
-#: Bytes that a chunk has at least, and words that a repeated passage has at least in whole chunks.
+#: Bytes that a chunk has at least, and from which on it ends with any word; words that a repeated passage has at least
+#: in whole chunks.
 LEAST_CHUNK = 16
-LEAST_WORDS = 24
+LARGEST_CHUNK = 64
+LEAST_WORDS = 32
 
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 _SPACE = np.zeros(256, dtype=bool)
@@ -80,9 +83,18 @@ def cut_points(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             ends, good = all_ends[order], np.concatenate((good, np.ones(len(inner), bool)))[order]
     cuts, last = [], 0
     for e in ends[good].tolist():
+        while e - last > LARGEST_CHUNK:  # as in a line of one word that never cuts
+            k = int(np.searchsorted(ends, last + LARGEST_CHUNK))
+            if ends[k] >= e:
+                break
+            last = int(ends[k])
+            cuts.append(last)
         if e - last >= LEAST_CHUNK:
             cuts.append(e)
             last = e
+    while n - last > LARGEST_CHUNK and (k := int(np.searchsorted(ends, last + LARGEST_CHUNK))) < len(ends) and ends[k] < n:
+        last = int(ends[k])
+        cuts.append(last)
     if last < n:
         cuts.append(n)
     cuts = np.array(cuts, dtype=np.int64)
@@ -93,7 +105,7 @@ def cut_points(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 class Chunks:
     """The chunks of a block's texts, their windows, and the block's distinct window digests by partition."""
 
-    def __init__(self, texts: list[bytes | None], partitions: int):
+    def __init__(self, texts: list[bytes | None], ids: np.ndarray, partitions: int):
         cuts, words, digests, counts = [], [], [], []
         digest = xxhash.xxh3_64_intdigest
         for t in texts:
@@ -115,13 +127,17 @@ class Chunks:
         upto = np.zeros(len(digests) + 1, dtype=np.uint64)
         np.cumsum(mix64(np.array(digests, dtype=np.uint64)) * up[:-1], out=upto[1:])
         self.digest = mix64((upto[self.end] - upto[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
-        keys, place, inverse = np.unique(self.digest, return_index=True, return_inverse=True)
+        rank = np.empty(len(ids), dtype=np.int64)
+        rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        earliest = np.argsort(rank[self.doc], kind="stable")  # so that unique takes the earliest document's window
+        keys, place, inverse = np.unique(self.digest[earliest], return_index=True, return_inverse=True)
+        place, inverse = earliest[place], inverse[np.argsort(earliest)]
         at = spread(keys, partitions)
         order = np.argsort(at, kind="stable")
         back = np.empty(len(order), dtype=np.int64)
         back[order] = np.arange(len(order))
         self.keys, self.at, self.of = keys[order], at[order], back[inverse]
-        self.holder = self.doc[place][order]  # the first document of the block with it
+        self.holder = self.doc[place][order]  # the earliest document of the block with it
         self.several = np.zeros(len(keys), dtype=bool)
         self.several[self.of[self.doc != self.holder[self.of]]] = True
 
@@ -147,8 +163,9 @@ def _asker(partitions: int):
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 table = load_block(data.as_py())
-                chunks = Chunks(encoded(table.column("text").combine_chunks()), partitions)
-                ids = _ids(table)[chunks.holder] if len(chunks.holder) else np.zeros(0, np.int64)
+                ids = _ids(table)
+                chunks = Chunks(encoded(table.column("text").combine_chunks()), ids, partitions)
+                ids = ids[chunks.holder] if len(chunks.holder) else np.zeros(0, np.int64)
                 rows = [(p, block, chunks.keys[a:b].tobytes(), ids[a:b].tobytes(), chunks.several[a:b].tobytes()) for p, a, b in runs_of(chunks.at)]
                 if rows:
                     p, b, *rest = zip(*rows, strict=True)
@@ -157,7 +174,7 @@ def _asker(partitions: int):
     return run
 
 
-_NO_ID = np.iinfo(np.int64).min
+_NO_ID = np.iinfo(np.int64).max  # comes last
 
 
 def _ids(table: pa.Table) -> np.ndarray:
@@ -165,7 +182,7 @@ def _ids(table: pa.Table) -> np.ndarray:
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each asking block: which of its digests are in several documents, and the first block and document."""
+    """For each asking block: which of its digests are in several documents, and the earliest's block and doc_id."""
 
     def close(p: int, asked: list[dict]) -> pa.RecordBatch:
         keys = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in asked])
@@ -173,7 +190,9 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = np.concatenate([np.frombuffer(r["several"], "?") for r in asked])
         size = np.array([len(r["keys"]) // 8 for r in asked])
         block = np.repeat(np.array([r["block"] for r in asked]), size)
-        _, place, inverse, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        earliest = np.argsort(holder, kind="stable")  # blocks come in order
+        _, place, inverse, n = np.unique(keys[earliest], return_index=True, return_inverse=True, return_counts=True)
+        place, inverse = earliest[place], inverse[np.argsort(earliest)]
         n = n + (np.bincount(inverse, weights=several) > 0)
         some = n[inverse] > 1
         out, end = [], 0
@@ -200,7 +219,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _passages(block: int, table: pa.Table, answers: list[tuple[int, bytes]], partitions: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, start, end, words, keeper) of the repeated passages of a block, in bytes; keeper is the first window's."""
-    c = Chunks(encoded(table.column("text").combine_chunks()), partitions)
+    c = Chunks(encoded(table.column("text").combine_chunks()), _ids(table), partitions)
     first = {p: a for p, a, _ in runs_of(c.at)}
     repeated, keeper, elsewhere = np.zeros(len(c.keys), bool), np.full(len(c.keys), _NO_ID), np.zeros(len(c.keys), bool)
     for p, data in answers:
@@ -231,8 +250,8 @@ def _passages(block: int, table: pa.Table, answers: list[tuple[int, bytes]], par
 
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, int]:
-    blocks = store_blocks(docs)
-    partitions = key_partitions(blocks)
+    blocks, size = store_blocks(docs)
+    partitions = key_partitions(size)
     asks = blocks.select("block", "data").mapInArrow(_asker(partitions), _ASK)
     told = materialise(asks.repartition("p").sortWithinPartitions("p", "block").mapInArrow(_answer, _TOLD), "repeats")
     return meet(told, blocks), partitions

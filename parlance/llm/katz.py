@@ -13,7 +13,7 @@ word's total, which it sends along with the pairs that end in the word. So the p
 sums up what the context's backoff weight needs, and no table of pairs is written or joined. Contexts that are too
 frequent for one partition are dealt over several by their second words; their sums are few and are broadcast.
 
-Blocks and partitions grow with the root of the text's size above ``ROOT_FROM``, so that a question keeps its length
+Blocks and partitions grow with the root of the text's size (see ``blocks``), so that a question keeps its length
 while questions are sent from every block to every partition; a task's memory then grows with that root.
 
 Defined results: a null text is an empty document, which is one end token; a text begins after a start mark that is
@@ -35,14 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.blocks import grown
 from parlance.llm.common import encoded, hash_words, materialise, mix64, slices
 
 #: Bytes of text in a block, and of all text for each partition of words and of pairs.
 BLOCK_BYTES = 4 << 20
 WORD_PARTITION_BYTES = 16 << 20
 PAIR_PARTITION_BYTES = 4 << 20
-#: Bytes of all text above which the three grow with the root.
-ROOT_FROM = 64 << 30
 #: A longer text is cut to pieces.
 PIECE_BYTES = 1 << 20
 #: Counts up to this one are discounted.
@@ -446,11 +445,6 @@ def _score(d: Discounts, pair: list[float], bases, table, dealt):
     return run
 
 
-def _grown(size: int, total: int) -> int:
-    """``size``, times the root of how many times ``ROOT_FROM`` the text is, if it is more."""
-    return int(size * max(1.0, total / ROOT_FROM) ** 0.5)
-
-
 def katz_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) for (doc_id, text, train) rows.
 
@@ -459,7 +453,7 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(docs["doc_id"], docs["text"], F.coalesce(docs["train"], F.lit(False)).alias("train"))
     text = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    blocks = materialise(rows.mapInArrow(_as_blocks(_grown(BLOCK_BYTES, text)), _BLOCKS), "katz-blocks")
+    blocks = materialise(rows.mapInArrow(_as_blocks(grown(BLOCK_BYTES, text)), _BLOCKS), "katz-blocks")
     share = blocks.sparkSession.sparkContext.broadcast
 
     def answered(asks: DataFrame, answer) -> DataFrame:
@@ -473,8 +467,8 @@ def katz_scores(docs: DataFrame) -> DataFrame:
         return all_of.repartition("block").sortWithinPartitions("block", "kind", "p")
 
     # words: numbers, totals and discounts
-    partitions = max(8, text // _grown(PAIR_PARTITION_BYTES, text))
-    word_partitions = max(8, text // _grown(WORD_PARTITION_BYTES, text))
+    partitions = max(8, text // grown(PAIR_PARTITION_BYTES, text))
+    word_partitions = max(8, text // grown(WORD_PARTITION_BYTES, text))
     often = max(1000, text // (8 * partitions))  # more tokens than a partition has, if words take 8 bytes
     words = answered(blocks.mapInArrow(_ask_words(word_partitions), _ASKS), _answer_words(often))
     d = Discounts(_tallied(words))

@@ -68,6 +68,46 @@ def test_defined_results(spark, docs_of):
     assert repeated_passages(docs.limit(0)).count() == drop_repeats(docs.limit(0)).count() == 0
 
 
+def brute_passages(rows):
+    """(doc_id, start, end, words, keeper) from chunks and dictionaries, document by document in order of doc_id."""
+    first, out = {}, []
+    for i, text in sorted(rows):
+        data = (text or "").encode()
+        cuts, words = (x.tolist() for x in cut_points(data))
+        starts = [0, *cuts[:-1]]
+        chunks = [data[a:b].strip() for a, b in zip(starts, cuts)]
+        windows = set()
+        for a in range(len(chunks)):
+            b = next((b for b in range(a + 1, len(chunks) + 1) if sum(words[a:b]) >= chunkdedup.LEAST_WORDS), None)
+            if b:
+                windows.add((a, b))
+            c = next((c for c in range(a, -1, -1) if sum(words[c : a + 1]) >= chunkdedup.LEAST_WORDS), None)
+            if c is not None:
+                windows.add((c, a + 1))
+        runs = []
+        for a, b in sorted(windows):
+            key = tuple(chunks[a:b])
+            if first.setdefault(key, i) != i:
+                if runs and a < runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], b)
+                else:
+                    runs.append([a, b, first[key]])
+        for a, b, keeper in runs:
+            out.append((i, len(data[: starts[a]].decode()), len(data[: cuts[b - 1]].decode()), sum(words[a:b]), keeper))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [12 << 20, 20_000])
+def test_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", block)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rows += [(1000 + k, "la " * 200 + prose(20) + " x" * k) for k in range(4)] + [(2000, rows[3][1]), (-5, rows[5][1])]
+    docs = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in repeated_passages(docs).select("doc_id", "start", "end", "words", "kept_doc_id").collect())
+    assert got == brute_passages(rows) and len(got) > 10
+
+
 def test_common_phrases_are_no_passage(spark, docs_of):
     text, rows = prose(100), []
     cuts = cut_points(text.encode())[0].tolist()
