@@ -1,13 +1,16 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes, with error bounds that choose what is reranked.
 
-A unit vector o is turned by a random rotation and coded by the signs of its coordinates, one bit each, packed. With
-x the corner of the sphere that the signs point to, <x, o> is kept as the correction scalar. A query's inner product
-with o is estimated as <x, q> / <x, o>; its error is that of a random direction orthogonal to o: it exceeds
-``epsilon`` * sqrt(1 - <x, o>**2) / <x, o> / sqrt(D - 1) with the chance that a normal deviate exceeds epsilon. Every
-vector whose estimate plus this bound reaches the k-th best exact score so far is compared exactly, in double precision.
+A unit vector o is turned by a random rotation and coded by the signs of its coordinates, one bit each, packed in
+words of 64. With x the corner of the sphere that the signs point to, <x, o> is kept as the correction scalar. A
+query is turned likewise and its coordinates rounded to ``LEVELS`` levels, so that <x, q> is a sum of counts of bits
+that the code shares with the query's bit planes. The inner product with o is estimated as <x, q> / <x, o>; its error
+is that of a random direction orthogonal to o, and of rounding: it exceeds ``epsilon`` * sqrt((1 - <x, o>**2) / (D - 1)
++ step**2 / 12) / <x, o> with the chance that a normal deviate exceeds epsilon. Only a vector whose estimate plus this
+bound reaches the k-th best exact score so far is compared exactly, in double precision.
 
 Every row is coded; nothing is fitted to the data. The queries are a stated set, broadcast in blocks of ``QUERY_ROWS``
-against all codes; a task keeps k results for each query, and these partial results are ranked once more.
+against all codes; a task keeps k results for each query, and these partial results are ranked once more. Codes and
+vectors stand side by side: one vector in some ten reaches a query's bound, so that a block's queries need all.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those of another than the
 commonest length, take no part, neither as queries nor as candidates; equal rows are rows of their own, and a query's
@@ -26,13 +29,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parlance.llm.common import materialise
+from parlance.llm.common import materialise, popcount
 
-#: Queries that are broadcast at a time, and codes that a task looks at together.
-QUERY_ROWS = 2048
+#: Queries that are broadcast at a time; queries and codes that a task looks at together.
+QUERY_ROWS = 16384
+SLICE_ROWS = 256
 CODE_ROWS = 2048
 #: Standard errors by which an estimate may be too low.
-EPSILON = 3.0
+EPSILON = 2.5
+#: Levels of a query's coordinates: bit planes by the power of two.
+PLANES = 4
+LEVELS = 1 << PLANES
 
 _INDEX = "rid long, vec_id long, code binary, correction double, vector binary"
 _FOUND = "query_rid long, query_id long, vec_id long, score double"
@@ -62,7 +69,7 @@ def build_index(vectors: DataFrame, seed: int = 42) -> tuple[DataFrame, int]:
             v = batch.column(1).flatten().to_numpy().reshape(n, size)
             scaled = v / np.abs(v).max(axis=1, keepdims=True)
             turned = scaled / np.linalg.norm(scaled, axis=1, keepdims=True) @ turn
-            bits = np.packbits(turned > 0, axis=1)
+            bits = packed(turned > 0)
             correction = np.abs(turned).sum(axis=1) / np.sqrt(size)
             rid = (part << 33) + number + np.arange(n)
             number += n
@@ -71,6 +78,35 @@ def build_index(vectors: DataFrame, seed: int = 42) -> tuple[DataFrame, int]:
     return materialise(usable.where(F.size("embedding") == size).mapInArrow(code, _INDEX), "codes"), size
 
 
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words."""
+    n, size = bits.shape
+    padded = np.zeros((n, -(-size // 64) * 64), dtype=np.uint8)
+    padded[:, :size] = bits
+    return np.packbits(padded, axis=1, bitorder="little").view("<u8")
+
+
+class Rounded:
+    """Turned queries on equal levels, as bit planes; gives estimates from counts of shared bits."""
+
+    def __init__(self, turned: np.ndarray):
+        self.size = turned.shape[1]
+        self.low = turned.min(axis=1)
+        self.step = np.maximum(turned.max(axis=1) - self.low, 1e-12) / (LEVELS - 1)
+        level = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.uint8)
+        self.planes = [packed(level >> j & 1) for j in range(PLANES)]
+        self.all = level.sum(axis=1, dtype=np.int64)
+
+    def estimates(self, some: slice, codes: np.ndarray, ones: np.ndarray, correction: np.ndarray) -> np.ndarray:
+        shared = np.zeros((len(self.low[some]), len(codes)), dtype=np.int32)
+        for j, plane in enumerate(self.planes):
+            for w in range(codes.shape[1]):
+                shared += popcount(plane[some, w, None] & codes[None, :, w]).astype(np.int32) << j
+        low, step, all_ = (x[some, None] for x in (self.low, self.step, self.all))
+        inner = 2 * low * ones + 2 * step * shared - low * self.size - step * all_
+        return inner / (np.sqrt(self.size) * correction)
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     scaled = v / np.abs(v).max(axis=1, keepdims=True)
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
@@ -110,34 +146,37 @@ def _search(index: DataFrame, size: int, queries: list, k: int, epsilon: float,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rids, ids, q = shared.value
         unit = _unit(q)
-        turned = (unit @ rotation(size, seed)).astype(np.float32)
-        own = {r: i for i, r in enumerate(rids.tolist())}
+        rounded = Rounded(unit @ rotation(size, seed))
+        order = np.argsort(rids)
         best = Best(len(q), k)
         for whole in batches:
             for at in range(0, whole.num_rows, CODE_ROWS):
                 batch = whole.slice(at, CODE_ROWS)
-                rid = batch.column(0).to_numpy()
+                rid, correction = batch.column(0).to_numpy(), batch.column(3).to_numpy()
                 vec_id = batch.column(1).fill_null(int(_NO_ID)).to_numpy(zero_copy_only=False)
-                packed = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(rid), -1)
-                signs = np.unpackbits(packed, axis=1, count=size).astype(np.float32) * 2 - 1
-                correction = batch.column(3).to_numpy()
-                vectors = np.frombuffer(b"".join(batch.column(4).to_pylist()), float).reshape(len(rid), size)
-                units = _unit(vectors)
-                estimate = (turned @ signs.T) / (np.sqrt(size) * correction).astype(np.float32)
-                bound = epsilon * np.sqrt(np.maximum(0, 1 - correction**2)) / correction / np.sqrt(max(1, size - 1))
-                upper = estimate + (bound + 1e-5).astype(np.float32)
-                for i in [i for i, r in enumerate(rid.tolist()) if r in own]:
-                    upper[own[rid[i]], i] = -np.inf
-                if not np.isfinite(best.score[:, -1]).all():  # at first, the best estimates give a score to reach
-                    top = min(k, len(rid) - 1) if len(rid) > 1 else 1
-                    some = np.argpartition(-upper, top - 1, axis=1)[:, :top]
-                    rows = np.repeat(np.arange(len(q)), top)
-                    self_free = upper[rows, some.ravel()] > -np.inf
-                    _rerank(best, unit, units, rows[self_free], some.ravel()[self_free], vec_id)
-                    upper[rows, some.ravel()] = -np.inf
-                rows, cols = np.nonzero((upper >= best.score[:, -1:].astype(np.float32) - 1e-6) & (upper > -np.inf))
-                for a in range(0, len(rows), 1 << 17):
-                    _rerank(best, unit, units, rows[a : a + (1 << 17)], cols[a : a + (1 << 17)], vec_id)
+                codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(len(rid), -1)
+                units = _unit(np.frombuffer(b"".join(batch.column(4).to_pylist()), float).reshape(len(rid), size))
+                ones = popcount(codes).sum(axis=1, dtype=np.int64)
+                spread = (1 - correction**2).clip(0) / max(1, size - 1)
+                place = order[np.minimum(np.searchsorted(rids, rid, sorter=order), len(rids) - 1)]
+                own_code = np.flatnonzero(rids[place] == rid)  # queries among these rows
+                own_query = place[own_code]
+                for a in range(0, len(q), SLICE_ROWS):
+                    some = slice(a, a + SLICE_ROWS)
+                    bound = epsilon * np.sqrt(spread + rounded.step[some, None] ** 2 / 12) / correction
+                    upper = rounded.estimates(some, codes, ones, correction) + bound
+                    mine = (own_query >= a) & (own_query < a + SLICE_ROWS)
+                    upper[own_query[mine] - a, own_code[mine]] = -np.inf
+                    if not np.isfinite(best.score[some, -1]).all():  # at first, the best estimates give a score to reach
+                        top = min(k, len(rid))
+                        first = np.argpartition(-upper, top - 1, axis=1)[:, :top]
+                        rows, cols = np.repeat(np.arange(len(upper)), top), first.ravel()
+                        free = upper[rows, cols] > -np.inf
+                        _rerank(best, unit, units, a + rows[free], cols[free], vec_id)
+                        upper[rows, cols] = -np.inf
+                    rows, cols = np.nonzero((upper >= best.score[some, -1:]) & (upper > -np.inf))
+                    for b in range(0, len(rows), 1 << 17):
+                        _rerank(best, unit, units, a + rows[b : b + (1 << 17)], cols[b : b + (1 << 17)], vec_id)
         got = np.isfinite(best.score)
         rows = np.nonzero(got)[0]
         found = best.id[got]
