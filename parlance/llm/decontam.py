@@ -11,8 +11,9 @@ The benchmark is a stated query set: it is broadcast in blocks of at most ``BLOC
 against all documents each, in the tasks that read them. No document text is shuffled.
 
 Defined results: texts and items that are null or without words match nothing; items of fewer words than a shingle are
-one shingle; a text shorter than an item is one window; of several windows for one item the most similar is reported,
-the first of equals; each row of a repeated document or item is reported; an empty documents or benchmark table gives
+one shingle; a text shorter than an item is one window; a long text is looked at in overlapping pieces of
+``PIECE_WORDS`` words, which changes no result; of several windows for one item the most similar is reported, the
+first of equals; each row of a repeated document or item is reported; an empty documents or benchmark table gives
 no matches; other columns are not read.
 """
 
@@ -26,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.blocks import runs_of
 from parlance.llm.common import encoded, hash_grams, hash_words, popcount, slices
 
 #: Bytes of benchmark text that are broadcast at a time.
 BLOCK_BYTES = 8 << 20
 #: Bits in which a window and an item may differ: at a similarity of 0.8 the mean is 9.7, the deviation 2.9.
 RADIUS = 23
+#: Words that windows are looked for in at a time, and as many more as the longest item has.
+PIECE_WORDS = 1 << 20
 _BITMAP = 1 << 24
 
 
@@ -58,10 +62,12 @@ class ItemIndex:
                 prints.append(_fingerprint(grams))
         self.prints = np.array(prints, dtype=np.uint64)
         self.known = np.unique(np.concatenate([*self.grams, np.zeros(0, np.uint64)]))
-        #: For each size of items, which shingles occur in an item of that size.
-        self.by_size: dict[int, np.ndarray] = {}
-        for size, grams in zip(self.sizes, self.grams, strict=True):
-            self.by_size.setdefault(size, np.zeros(len(self.known), dtype=bool))[np.searchsorted(self.known, grams)] = True
+        # the sizes of the items that each shingle occurs in, one after another: as many as there are shingles of items
+        held = [np.searchsorted(self.known, g) for g in self.grams]
+        pairs = np.unique(np.stack((np.concatenate([*held, np.zeros(0, np.int64)]), np.repeat(np.array(self.sizes, np.int64), [len(h) for h in held]))), axis=1) if held else np.zeros((2, 0), np.int64)
+        self.held_sizes = pairs[1]
+        self.held_from = np.searchsorted(pairs[0], np.arange(len(self.known) + 1))
+        self.widths = {min(s, shingle) for s in self.sizes}
         values = np.arange(256, dtype=np.uint8)
         near = popcount(values[:, None] ^ values[None, :]) <= RADIUS // 8
         own = self.prints.astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -97,35 +103,47 @@ class ItemIndex:
     def matches(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(item, start, words, similarity): for each item the best window that reaches the threshold."""
         best: dict[int, tuple[float, int, int]] = {}
+        reach = PIECE_WORDS + max(self.sizes, default=0)
+        for at in range(0, max(1, len(words) - reach + PIECE_WORDS), PIECE_WORDS):
+            at = max(0, min(at, len(words) - reach))
+            for item, s, n, alike in self._matches(words[at : at + reach]):
+                if alike > best.get(item, (0.0,))[0]:
+                    best[item] = (alike, at + s, n)
+        return [(i, s, n, a) for i, (a, s, n) in sorted(best.items())]
+
+    def _matches(self, words: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         rest = self.similarity / (1 + self.similarity)
-        looked: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size, held in self.by_size.items():
-            width = min(size, self.shingle)
+        for width in self.widths:
             if len(words) < width:
                 continue
-            if width not in looked:
-                grams = hash_grams(words, width)
-                looked[width] = grams, *self.hits(grams)
-            grams, at, which = looked[width]
-            own = size - width + 1
-            count = min(own, len(grams))
-            need = math.ceil(rest * (own + count) - 1e-9)  # so many shingles at least are in both
-            if len(at) < need:
-                continue
-            at = at[held[which]]
-            if len(at) < need:
-                continue
-            mark = np.zeros(len(grams) + 1, dtype=np.int64)
-            mark[at + 1] = 1
-            so_far = np.cumsum(mark)
-            for s in np.flatnonzero(so_far[count:] - so_far[:-count] >= need).tolist():
-                window = grams[s : s + count]
-                for item in self.within(_fingerprint(window)).tolist():
-                    if self.sizes[item] == size:
-                        alike = self.alike(window, item)
-                        if alike >= self.similarity and alike > best.get(item, (0.0,))[0]:
-                            best[item] = (alike, s, min(size, len(words)))
-        return [(i, s, n, a) for i, (a, s, n) in sorted(best.items())]
+            grams = hash_grams(words, width)
+            at, which = self.hits(grams)
+            # each hit once for each size of items that hold its shingle
+            many = self.held_from[which + 1] - self.held_from[which]
+            place = np.repeat(self.held_from[which] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            sizes, at = self.held_sizes[place], np.repeat(at, many)
+            order = np.argsort(sizes, kind="stable")
+            sizes, at = sizes[order], at[order]
+            for size, a, b in runs_of(sizes):
+                if min(size, self.shingle) == width:
+                    yield from self._windows(grams, at[a:b], size, width, rest, len(words))
+
+    def _windows(self, grams: np.ndarray, at: np.ndarray, size: int, width: int, rest: float, words: int) -> Iterator[tuple[int, int, int, float]]:
+        own = size - width + 1
+        count = min(own, len(grams))
+        need = math.ceil(rest * (own + count) - 1e-9)  # so many shingles at least are in both
+        if len(at) < need:
+            return
+        mark = np.zeros(len(grams) + 1, dtype=np.int64)
+        mark[at + 1] = 1
+        so_far = np.cumsum(mark)
+        for s in np.flatnonzero(so_far[count:] - so_far[:-count] >= need).tolist():
+            window = grams[s : s + count]
+            for item in self.within(_fingerprint(window)).tolist():
+                if self.sizes[item] == size:
+                    alike = self.alike(window, item)
+                    if alike >= self.similarity:
+                        yield item, s, min(size, words), alike
 
 
 def _item_blocks(benchmark: DataFrame, similarity: float, shingle: int) -> Iterator[ItemIndex]:

@@ -88,3 +88,18 @@ def test_given_tables_and_edges(spark, docs_of):
     odd = docs_of([(1, "a b c d e f g h")] * 2).selectExpr("*", "1 as item_id", "2 as similarity")
     found = contaminated(odd, spark.createDataFrame([(9, "B C D E F G")] * 2, ITEMS)).collect()
     assert [(r.doc_id, r.item_id, r.start, r.words, r.similarity) for r in found] == [(1, 9, 1, 6, 1.0)] * 4
+
+
+def test_long_texts_in_pieces(spark, docs_of, monkeypatch):
+    import random
+
+    from parlance.llm import decontam
+
+    draw = random.Random(1)
+    words = lambda n: " ".join(draw.choice("abcdefghijklmnop") + str(draw.randint(0, 400)) for _ in range(n))
+    items = [(k, words(n)) for k, n in enumerate((12, 30, 7, 50))]
+    rows = [(i, " ".join([words(draw.randint(0, 90)), items[i % 4][1], words(draw.randint(0, 90)), items[(i + 1) % 4][1]])) for i in range(20)] + [(20, items[2][1]), (21, words(3))]
+    docs, bench = docs_of(rows), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(tuple(r) for r in contaminated(docs, bench).collect())
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 16)
+    assert sorted(tuple(r) for r in contaminated(docs, bench).collect()) == want and len(want) >= 41
