@@ -9,11 +9,13 @@ by broadcast, because the trees grow with the documents. A task gives a spanning
 
 Defined results: a null or blank text has no shingle and fingerprint zero, linked like any other; a text of fewer
 words than a shingle is one shingle; equal rows are one group; rows with a null doc_id keep their own row and take
-part; an empty table gives an empty table. Other columns of the input are never read, whatever their names.
+part; a long text is hashed in pieces of ``PIECE_BYTES``, whose bits are counted on; an empty table gives an empty
+table. Other columns of the input are never read, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,8 @@ from parlance.llm.common import components, encoded, hash_grams, hash_words, mat
 
 #: A shard with more fingerprints than this is split by a further block of bits.
 SHARD_ROWS = 20_000
+#: Bits that may be left in a shard of the last level: it has 2 ** 15 fingerprints at most.
+LAST_BITS = 15
 #: Pairs of query and tree node that a search holds at a time.
 FRONTIER = 1 << 21
 
@@ -63,15 +67,47 @@ def shingle_xxh64(text: bytes | None, words: int = 3, seed: int = 42) -> list[in
     return [digest(line[a:b], seed) for a, b in zip(starts[:-words].tolist(), (starts[words:] - 1).tolist(), strict=True)]
 
 
+#: A longer text is hashed in pieces.
+PIECE_BYTES = 1 << 20
+_GAP = re.compile(rb"[\t-\r ]")
+
+
+def long_fingerprint(text: bytes, words: int = 3, seed: int = 42) -> np.uint64:
+    """The fingerprint of a long text; a piece begins with the words that its first shingles share with the last."""
+    ones, count, at, kept = np.zeros(64, np.int64), 0, 0, b""
+    while at < len(text):
+        gap = _GAP.search(text, at + PIECE_BYTES)
+        end = gap.start() if gap else len(text)
+        piece = kept + b" " + text[at:end]
+        at = end
+        parts = piece.split()
+        if len(parts) < words and at < len(text):  # no whole shingle yet
+            kept = b" ".join(parts)
+            continue
+        if count and len(parts) < words:
+            break
+        hashes = np.array(shingle_xxh64(piece, words, seed), dtype="<u8")
+        for a in range(0, len(hashes), 1 << 16):
+            ones += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        count += len(hashes)
+        kept = b" ".join(parts[max(0, len(parts) - words + 1) :])
+    return np.packbits(2 * ones > count, bitorder="little").view("<u8")[0] if count else _U(0)
+
+
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp): the 64-bit SimHash of each whole text as a long; one row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            hashes = [shingle_xxh64(t, words, seed) for t in encoded(batch.column(1))]
+            texts = encoded(batch.column(1))
+            long = [i for i, t in enumerate(texts) if t and len(t) > PIECE_BYTES]
+            hashes = [[] if t and len(t) > PIECE_BYTES else shingle_xxh64(t, words, seed) for t in texts]
             counts = np.array([len(h) for h in hashes], dtype=np.int64)
             flat = np.fromiter((x for h in hashes for x in h), dtype=np.uint64, count=int(counts.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_majority(flat, counts).view(np.int64))], ["doc_id", "fp"])
+            fp = _majority(flat, counts)
+            for i in long:
+                fp[i] = long_fingerprint(texts[i], words, seed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -167,17 +203,20 @@ def _sharded(fps: DataFrame) -> DataFrame:
     """(key, fp): each fingerprint in every shard that one of its partners at 3 or fewer bits may be in.
 
     A shard of the first level fixes 16 bits; partners differ in at most 3 of the other 48, so that four blocks of
-    12 of those split a large shard without losing a link; the same once more with 9 of 36.
+    12 of those split a large shard without losing a link; and so on with what is left, until so few bits are left
+    that a shard of distinct fingerprints is small whatever they are.
     """
     rows = fps.withColumn("key", F.lit(0)).withColumn("rest", F.col("fp"))
-    done = None
-    for level, (left, width) in enumerate(((64, 16), (48, 12), (36, 9))):
+    done, left, level = None, 64, 0
+    while True:
+        width = -(-left // 4)
         rows = rows.withColumn("e", F.explode(_block("rest", 4, width, level)))
         low = F.col("e.block") * F.lit(width)
         above = F.when(low + width >= left, F.lit(0).cast("long")).otherwise(F.expr(f"shiftleft(shiftrightunsigned(rest, cast(e.block * {width} + {width} as int)), cast(e.block * {width} as int))"))
         below = F.expr(f"rest & (shiftleft(1L, cast(e.block * {width} as int)) - 1)")
         rows = rows.select("fp", F.col("e.key").alias("key"), above.bitwiseOR(below).alias("rest"))
-        if level == 2:
+        left, level = 3 * width, level + 1  # the last block may be the narrowest: no more bits than these are left
+        if left <= LAST_BITS:
             return rows.select("key", "fp") if done is None else done.unionByName(rows.select("key", "fp"))
         hot = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS).select("key"), "hot")
         if hot.isEmpty():
@@ -185,7 +224,6 @@ def _sharded(fps: DataFrame) -> DataFrame:
         cool = rows.join(hot, "key", "left_anti").select("key", "fp")
         done = cool if done is None else done.unionByName(cool)
         rows = rows.join(hot, "key", "left_semi")
-    raise AssertionError
 
 
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:

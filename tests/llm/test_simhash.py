@@ -191,3 +191,33 @@ def test_large_groups_are_dealt_to_bounded_tasks(spark, docs_of, monkeypatch):
     rows += [" ".join(rng.permutation(words)) for _ in range(5)]
     assert {r.doc_id for r in drop_near_duplicates(docs_of(list(enumerate(rows)))).collect()} == {0, *range(300, 305)}
     assert sum(sizes) < 2 * 6 * len(rows) and max(sizes, default=0) <= 80
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    texts = [b"one two  three four " * 40, b"ab " * 5 + b" " * 200 + b"cd ef", b"w" * 300 + b" x y", b"a b", b" " * 500, b"a" + b" " * 300 + b"b", "é \u00a0x ".encode() * 60]
+    whole = [simhash._majority(np.array(h, np.uint64), np.array([len(h)]))[0] for h in map(simhash.shingle_xxh64, texts)]
+    monkeypatch.setattr(simhash, "PIECE_BYTES", 64)
+    assert [int(simhash.long_fingerprint(t)) for t in texts] == [int(x) for x in whole]
+
+
+def test_shards_are_split_to_the_last_bit(spark, monkeypatch):
+    """With shards of two rows every level is used, and no link is lost."""
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 2)
+    rng = np.random.default_rng(4)
+    seeds = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    prints = {int(s ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)))) for s in seeds for _ in range(30)}
+    fps = np.array(sorted(prints), np.uint64)
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    found = {tuple(sorted((r.src, r.dst))) for r in simhash.links(df).collect()}
+    label = {int(x): int(x) for x in fps.view(np.int64)}
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in found:
+        label[top(a)] = top(b)
+    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 3
+    for i, j in zip(*np.nonzero(near)):
+        assert top(int(fps.view(np.int64)[i])) == top(int(fps.view(np.int64)[j]))
