@@ -44,7 +44,7 @@ def kd_tree_shards(rows: DataFrame, dimensions: list[str], weight: str = "size",
     for d, lo, hi in zip(dimensions, ends[::2], ends[1::2], strict=True):  # to 0..1, null as the least
         scaled.append(F.coalesce((F.col(d) - F.lit(lo)) / F.lit(float(hi - lo) or 1.0), F.lit(0.0)) if lo is not None else F.lit(0.0))
     tie = F.shiftrightunsigned(F.xxhash64("rid"), 11).cast("double")
-    points = rows.select("rid", F.col(weight).cast("double").alias("w"), F.array(*scaled).alias("x"), tie.alias("tie"), F.lit(0).cast("long").alias("node"))
+    points = rows.select("rid", F.col(weight).cast("double").alias("w"), F.array(*scaled).alias("x"), tie.alias("tie"), F.shiftrightunsigned("rid", 63).alias("node"))  # 0; a literal would make the joins below nested loops
     nodes, tables = {0: (count, float(total))}, []
     while any(n > 1 for n, _ in nodes.values()):
         cuts, nodes = _split(points, nodes, len(dimensions), TOLERANCE * total / count)

@@ -63,6 +63,33 @@ def test_nnls_finds_exact_counts():
     assert (fit >= 0).all() and np.abs(a @ fit - a @ x).max() < 1e-6
 
 
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying all ways."""
+    best = [len(lengths)]
+
+    def put(rest, bins):
+        if len(bins) >= best[0]:
+            return
+        if not rest:
+            best[0] = len(bins)
+            return
+        seen = set()
+        for i, b in enumerate(bins):
+            if b + rest[0] <= capacity and b not in seen:
+                seen.add(b)
+                put(rest[1:], [*bins[:i], b + rest[0], *bins[i + 1 :]])
+        put(rest[1:], [*bins, rest[0]])
+
+    put(sorted(lengths, reverse=True), [])
+    return best[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_near_the_fewest_sequences(lengths):
+    assert plan_packing(Counter(lengths), 20, classes=20).sequences <= fewest(lengths, 20) + 1
+
+
 def test_few_sequences():
     rng = np.random.default_rng(1)
     lengths = np.clip(rng.lognormal(6.5, 0.9, 20_000).astype(int), 1, 4096)
@@ -70,8 +97,9 @@ def test_few_sequences():
     assert plan.sequences <= 1.01 * lengths.sum() / 4096 + 1
 
 
-@pytest.mark.parametrize("capacity", [16, 4096])
-def test_pack_reads_back(spark, docs_of, capacity):
+@pytest.mark.parametrize("capacity,broadcast", [(16, 32 << 20), (4096, 32 << 20), (16, 0)])
+def test_pack_reads_back(spark, docs_of, monkeypatch, capacity, broadcast):
+    monkeypatch.setattr(packing, "BROADCAST_BYTES", broadcast)
     random.seed(0)
     rows = [(i, " ".join(random.choices(["The", "quick", "zebra's", "Ünïcode", "12", "don't"], k=random.randint(0, 60)))) for i in range(200)]
     rows += [(200, None), (201, ""), (201, ""), (None, "null id"), (202, "long " * 5000)]

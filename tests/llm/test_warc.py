@@ -85,3 +85,48 @@ def test_broken_archives():
     for bad, what in ((frame, "skippable"), (good[:20], "dictionary is cut"), (good[:-3], "cut short|frame"), (good + b"tail", "no frame"), (b"", "skippable")):
         with pytest.raises(ValueError, match=what):
             list(read_archive(bad))
+
+
+def many(records):
+    d = b"some dictionary text"
+    c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d))
+    body = os.urandom(1500)
+    return archive_head(d) + c.compress(record_bytes(1, "u", body, 1500, warc.payload_digest(body), False)) * records
+
+
+def test_time_grows_with_the_archive():
+    import time
+
+    took = []
+    for n in (2_000, 16_000):
+        data = many(n)
+        began = time.process_time()
+        assert sum(1 for _ in read_archive(data)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * 2.5 * took[0]
+
+
+def test_pieces_are_bounded():
+    import io
+
+    class Watched(io.BytesIO):
+        def read(self, n=-1):
+            assert 0 < n <= warc.PIECE_BYTES
+            return super().read(n)
+
+    assert sum(1 for _ in read_archive(Watched(many(100)))) == 100
+
+
+@pytest.mark.parametrize("length,of,digest", [(3, 1, b"abd"), (4, 1, b"abc"), (3, 2, b"abc"), (3, None, b"abc")])
+def test_revisits_are_held_against_their_responses(spark, tmp_path, length, of, digest):
+    d = b"some dictionary text"
+    c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d))
+    response = record_bytes(1, "u", b"abc", 3, warc.payload_digest(b"abc"), False)
+    good, bad = (record_bytes(0, "u", b"", n, warc.payload_digest(x), i) for n, x, i in ((3, b"abc", 1), (length, digest, of)))
+    for name, revisit in (("good", good), ("bad", bad)):
+        os.makedirs(tmp_path / name)
+        (tmp_path / name / "a.warc.zst").write_bytes(archive_head(d) + c.compress(revisit))
+        (tmp_path / name / "b.warc.zst").write_bytes(archive_head(d) + c.compress(response))
+    assert read_archives(spark, str(tmp_path / "good")).count() == 2
+    with pytest.raises(Exception, match="no response"):
+        read_archives(spark, str(tmp_path / "bad")).collect()
