@@ -67,10 +67,15 @@ def stems(token_lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda ts: None if ts is None else [stem(t) for t in ts])
 
 
+def token_list(text: str | None) -> list[str]:
+    """``tokens`` of one text."""
+    text = text or ""
+    return re.findall(r"\w+", (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower())
+
+
 def query_terms(text: str) -> list[str]:
     """Distinct stems of a query, first seen first (on the driver)."""
-    lowered = unicodedata.normalize("NFKC", text).lower()
-    return list(dict.fromkeys(stem_token(t) for t in re.findall(r"\w+", lowered)))
+    return list(dict.fromkeys(map(stem_token, token_list(text))))
 
 
 # ---------------------------------------------------------------------- lines
@@ -103,7 +108,7 @@ def body(text: Column, kind: Column, filename: Column, extracted: Column) -> Col
     """The caption, else the attachment's placeholder; with what was read from the attachment after it."""
     caption = filled(stripped(text))
     marker = placeholder(kind, filename)
-    read = filled(one_line(extracted))
+    read = F.when(kind.isNotNull(), filled(one_line(extracted)))  # what was read belongs to an attachment
     return F.when(read.isNotNull(), F.concat_ws(" ", caption, marker, read)).otherwise(F.coalesce(caption, marker))
 
 

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions import links as ln
+from parlance.functions import text as tx
+from parlance.schema import CHANNEL_MARK, DEFAULT_ACCOUNT, IMPORT_PREFIX, SHARED_TYPES
+
 # What a title must reach to be near, and the score of one that holds the words.
 FUZZY_MIN_RATIO = 0.6
 SUBSTRING_BASE = 0.8
@@ -34,38 +40,132 @@ def title_score(query: str, title: str) -> float:
 
 def title_scores(chats: DataFrame, query: str) -> DataFrame:
     """(id, title, score) of chats whose titles are near the words."""
-    score = F.udf(lambda t: title_score(query, t or ""), "double")  # one row for each chat
+
+    @F.pandas_udf("double")
+    def score(titles: pd.Series) -> pd.Series:
+        return titles.map(lambda t: title_score(query, t or ""))
+
     return chats.select("id", "title", score("title").alias("score")).where("score > 0")
 
 
-def select_chats(chats: DataFrame, specs: list[str], coverage: DataFrame | None = None) -> set[int]:
-    """Ids of the chats that any of the specs selects; the chats table has a row for each chat and is small.
+def parse_target(text: str) -> tuple[str | None, str, str | int]:
+    """(account, kind, value) of what names a chat; kind is id, username, folder, import, link or words.
+
+    ``work/chat:@x`` and ``work/folder:News`` name an account first; ``chat:`` in front changes nothing else.
+    """
+    word = text.strip()
+    if not word:
+        raise UnknownChat("an empty name")
+    own = re.match(r"([A-Za-z0-9_-]+)/(?=(?:chat|folder):)", word)
+    if own:
+        _, kind, value = parse_target(word[own.end() :])
+        return own[1].casefold(), kind, value
+    head, _, rest = word.partition(":")
+    if head.casefold() == "chat":
+        return parse_target(rest)
+    if head.casefold() in ("folder", "import"):
+        if not rest.strip():
+            raise UnknownChat(f"a name is missing in {text!r}")
+        return None, head.casefold(), rest.strip()
+    if re.fullmatch(r"-?\d{1,19}", word):
+        return None, "id", int(word)
+    if word.startswith("@"):
+        if not re.fullmatch(ln.USERNAME, word[1:]):
+            raise UnknownChat(f"{text!r} is no user name")
+        return None, "username", word[1:].lower()
+    if re.match(rf"(?i)(https?://)?(www\.)?{ln.HOSTS}(/|$)|tg:", word):
+        return None, "link", word
+    return None, "words", word
+
+
+def split_source_id(source_id: str) -> tuple[str, str]:
+    """The account of a source's id, ``default`` if it names none, and what follows."""
+    own = re.match(r"([A-Za-z0-9_-]+)/(?=(?:chat|folder):)", source_id)
+    return (own[1].casefold(), source_id[own.end() :]) if own else (DEFAULT_ACCOUNT, source_id)
+
+
+def same_target(one: str, other: str) -> bool:
+    """Whether two names are the same id or user name; folders and words are nobody's identity."""
+    (_, kind, a), (_, other_kind, b) = parse_target(one), parse_target(other)
+    return kind == other_kind and kind in ("id", "username") and a == b
 
-    A number is an id, ``@name`` a user name, ``folder:name`` the chats of a source; other words take the titles that
-    hold them, or else those that are near.
+
+def _scored(chats: DataFrame, query: str, *columns: str) -> DataFrame:
+    """(id, score): the best likeness of any of the columns."""
+
+    @F.pandas_udf("double")
+    def score(*parts: pd.Series) -> pd.Series:
+        return pd.Series([max(title_score(query, t or "") for t in row) for row in zip(*parts, strict=True)])
+
+    return chats.select("id", score(*columns).alias("score")).where("score > 0")
+
+
+def matching(chats: DataFrame, spec: str, coverage: DataFrame | None = None) -> DataFrame:
+    """(id): the chats that one spec selects.
+
+    A number is an id of a row or a peer, ``@name`` a user name, ``folder:`` and ``import:`` what those sources cover;
+    other words take the titles, user names and folders that hold them, or else those that are near. An account in
+    front leaves the chats that all share and its own.
     """
-    rows = chats.select("id", "peer_id", "username", "title").collect()
+    account, kind, value = parse_target(spec)
+    if kind == "link":
+        name = chats.sparkSession.range(1).select(ln.identity(F.lit(value)).alias("t")).head().t or ""
+        public, private = re.match("@([^/]+)", name), re.match(r"c/(\d+)/|peer:(-?\d+)", name)
+        if not public and not private:
+            raise UnknownChat(f"{spec!r} names no chat that can be read")
+        kind, value = ("username", public[1]) if public else ("id", int(private[2]) if private[2] else -(int(private[1]) + CHANNEL_MARK))
+    if account is not None:
+        chats = chats.where(F.col("type").isin(*SHARED_TYPES) | (F.coalesce("scope", F.lit("")) == account))
+    if kind == "id":
+        return chats.where((F.col("id") == value) | (F.col("peer_id") == value)).select("id")
+    if kind == "username":
+        return chats.where(F.lower("username") == value).select("id")
+    of = coverage if coverage is not None else chats.select(F.col("id").alias("chat_id"), "source_id")
+    of = of.select(F.col("chat_id").alias("id"), F.regexp_replace("source_id", "^[A-Za-z0-9_-]+/(?=folder:)", "").alias("source"), F.col("source_id")).where("source is not null")
+    if account is not None:
+        of = of.where(F.col("source_id").startswith(f"{account}/"))
+    of = of.join(chats.select("id"), "id", "left_semi")
+    names = of.select("id", F.split_part("source", F.lit(":"), F.lit(1)).alias("kind"), F.expr("substring(source, instr(source, ':') + 1)").alias("name"))
+    if kind in ("folder", "import"):
+        mine = names.where(F.col("kind") == kind)
+        exact = mine.where(tx.folded(F.col("name")) == normalise(str(value))).select("id").distinct()
+        if not exact.isEmpty():
+            return exact
+        rows = mine.select("id", F.col("name").alias("title"))
+        return _tier(_scored(rows, str(value), "title"))
+    folders = names.where("kind = 'folder'").select("id", F.col("name").alias("title"))
+    return _tier(_scored(chats, str(value), "title", "username").unionByName(_scored(folders, str(value), "title")))
+
+
+def _tier(scores: DataFrame) -> DataFrame:
+    """The ids that hold the words if any do, else those that are near."""
+    held = scores.where(F.col("score") >= SUBSTRING_BASE).select("id").distinct()
+    return held if not held.isEmpty() else scores.select("id").distinct()
+
+
+def select_chats(chats: DataFrame, specs: list[str], coverage: DataFrame | None = None) -> set[int]:
+    """Ids of the chats that any of the specs selects; only what is selected comes to the driver."""
     out: set[int] = set()
     for spec in specs:
-        word = spec.strip()
-        if word.lstrip("-").isdigit():
-            hit = {r.id for r in rows if int(word) in (r.id, r.peer_id)}
-        elif word.startswith("@"):
-            hit = {r.id for r in rows if (r.username or "").lower() == word[1:].lower()}
-        elif word.startswith(("folder:", "import:")):
-            of = coverage if coverage is not None else chats.select(F.col("id").alias("chat_id"), "source_id")
-            hit = {r.chat_id for r in of.where(F.col("source_id") == word).select("chat_id").collect()}
-        else:
-            scored = [(title_score(word, r.title or ""), r.id) for r in rows]
-            held = {i for s, i in scored if s >= SUBSTRING_BASE}
-            hit = held or {i for s, i in scored if s > 0}
+        hit = {r.id for r in matching(chats, spec, coverage).collect()}
         if not hit:
-            near = difflib.get_close_matches(normalise(word), [normalise(r.title or "") for r in rows], 5, 0.4)
-            raise UnknownChat(f"no chat matches {spec!r}" + (f"; near: {', '.join(near)}" if near else ""))
+            near = title_like(chats, spec).collect()
+            raise UnknownChat(f"no chat matches {spec!r}" + (f"; near: {', '.join(r.title for r in near)}" if near else ""))
         out |= hit
     return out
 
 
+def title_like(chats: DataFrame, spec: str, most: int = 5) -> DataFrame:
+    """(title): the titles that are most like a name that matched nothing."""
+    query = normalise(spec)
+
+    @F.pandas_udf("double")
+    def ratio(titles: pd.Series) -> pd.Series:
+        return titles.map(lambda t: difflib.SequenceMatcher(None, query, normalise(t)).ratio())
+
+    return chats.where("title is not null").select("title", ratio("title").alias("_r")).where("_r >= 0.4").orderBy(F.desc("_r"), "title").limit(most).select("title")
+
+
 def one_chat(chats: DataFrame, spec: str) -> int:
     found = select_chats(chats, [spec])
     if len(found) > 1:
@@ -80,6 +180,58 @@ def reach(access: DataFrame, chats: DataFrame, account: str) -> DataFrame:
     return own.union(groups).distinct()
 
 
+def provenance(access: DataFrame, chats: DataFrame) -> DataFrame:
+    """(chat_id, accounts): the accounts that each chat came through, a group's also by its channel; the default one first."""
+    by_channel = chats.where("discussion_of is not null").select(F.col("id").alias("_group"), F.col("discussion_of").alias("chat_id")).join(access.select("chat_id", "account"), "chat_id").select(F.col("_group").alias("chat_id"), "account")
+    both = access.select("chat_id", "account").union(by_channel).distinct()
+    listed = F.array_sort(F.collect_list(F.struct((F.col("account") != DEFAULT_ACCOUNT).alias("later"), "account")))
+    return both.groupBy("chat_id").agg(F.transform(listed, lambda x: x["account"]).alias("accounts"))
+
+
+def known_accounts(accounts: DataFrame, access: DataFrame, chats: DataFrame) -> DataFrame:
+    """(account): every account that the tables mention."""
+    scoped = chats.where("scope <> ''").select(F.col("scope").alias("account"))
+    return accounts.select("account").union(access.select("account")).union(scoped).distinct()
+
+
+def resolved_sources(listed: DataFrame, stored: DataFrame, failed: DataFrame) -> DataFrame:
+    """(chat_id, source_id, position, primary): what every source covers after a resolution.
+
+    ``listed`` and ``stored`` are (chat_id, source_id, position); a source in ``failed`` (source_id) keeps what it had.
+    A chat's primary source is the first in configured order.
+    """
+    had = stored.join(failed.select("source_id"), "source_id", "left_semi").select("chat_id", "source_id", "position")
+    got = listed.join(failed.select("source_id"), "source_id", "left_anti").select("chat_id", "source_id", "position")
+    both = got.unionByName(had).dropDuplicates(["chat_id", "source_id"])
+    first = both.groupBy("chat_id").agg(F.min(F.struct("position", "source_id")).alias("_first"))
+    return both.join(first, "chat_id").select("chat_id", "source_id", "position", (F.col("source_id") == F.col("_first.source_id")).alias("primary"))
+
+
+def prune_scan(chats: DataFrame, listed: DataFrame, configured: DataFrame, failed: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, verdict, reason) of chats that came by a folder which no longer lists them; ``verdict`` is offered or kept.
+
+    ``listed`` is (chat_id) of all that sources list now, ``configured`` and ``failed`` are (source_id), ``named`` (chat_id)
+    of chats that a source names by itself. One source that failed makes all of it inconclusive: nothing is offered.
+    """
+    rows = chats.where(F.regexp_replace("source_id", "^[A-Za-z0-9_-]+/", "").startswith("folder:"))
+    covered = listed.select(F.col("chat_id").alias("id")).union(named.select(F.col("chat_id").alias("id"))).distinct()
+    rows = rows.join(covered, "id", "left_anti")
+    mark = lambda df, name: df.select("source_id", F.lit(True).alias(name)).distinct()
+    rows = rows.join(mark(configured, "_there"), "source_id", "left").join(mark(failed, "_failed"), "source_id", "left")
+    channels = chats.select(F.col("id").alias("discussion_of"), F.lit(True).alias("_channel"))
+    rows = rows.join(channels, "discussion_of", "left")
+    reason = F.when(F.col("_failed"), "could not be checked").when(F.col("_there").isNull(), "not a configured source").when(F.col("_channel"), "a channel's discussion group").otherwise("no longer listed")
+    sure = failed.isEmpty()
+    return rows.select("id", F.when((reason == "no longer listed") & F.lit(sure), "offered").otherwise("kept").alias("verdict"), F.when((reason == "no longer listed") & F.lit(not sure), "inconclusive").otherwise(reason).alias("reason"))
+
+
+def still_prunable(offered: DataFrame, chats: DataFrame) -> DataFrame:
+    """(id) of chats offered with their ``source_id`` that nothing has changed since: no import, no other source, no new link."""
+    now = chats.select("id", F.col("source_id").alias("_source"), F.col("discussion_of").alias("_of"))
+    same = offered.join(now, "id").where(F.col("source_id").eqNullSafe(F.col("_source")) & ~F.coalesce(F.col("_source").startswith(IMPORT_PREFIX), F.lit(False)))
+    return same.join(chats.select(F.col("id").alias("_of")), "_of", "left_anti").select("id")
+
+
 def primary_source(listed: DataFrame) -> DataFrame:
     """(chat_id, source_id): of the sources that list a chat, the first in configured order."""
     return listed.groupBy("chat_id").agg(F.min_by("source_id", "position").alias("source_id"))

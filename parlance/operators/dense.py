@@ -57,6 +57,10 @@ def embed(text: Column, name: str = "hashed") -> Column:
     return run(text)
 
 
+class EmbedderUnavailable(RuntimeError):
+    """An embedder that cannot run now; searches go on without it."""
+
+
 def usable(vector: Column) -> Column:
     """Not a zero vector: those are embedded, and never stored or found."""
     return F.exists(vector, lambda x: x != 0)
@@ -108,15 +112,21 @@ def knn(vectors: DataFrame, query: list[float], k: int, chats: list[int] | None
     return near.select(key, "distance").orderBy("distance", key).limit(k)
 
 
+#: Queries that may be broadcast.
+BROADCAST_QUERIES = 20_000
+
+
 def knn_each(vectors: DataFrame, queries: DataFrame, k: int, by: str, key: str = "vec_id") -> DataFrame:
     """(query_id, key, distance, rank): the k nearest of each query among the rows with its value of ``by``.
 
-    ``queries`` is (query_id, by, q), a stated set that is small enough to broadcast.
+    ``queries`` is (query_id, by, q). They are broadcast where they are few, else joined by a shuffle; a task keeps
+    each query's k nearest of what it has seen of them (a window's group limit) before they meet.
     """
     dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     left = vectors.select(key, by, "embedding", size("embedding").alias("_n"))
-    scored = left.join(F.broadcast(queries.withColumn("_m", size("q"))), by)
+    asked = queries.withColumn("_m", size("q"))
+    scored = left.join(F.broadcast(asked) if queries.count() <= BROADCAST_QUERIES else asked, by)
     scored = scored.where((F.col("_n") > 0) & (F.col("_m") > 0)).select("query_id", key, (1 - dot / (F.col("_n") * F.col("_m"))).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

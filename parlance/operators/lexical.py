@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.functions import text as tx
+from parlance.operators.ordered import last_before
+from parlance.storage import checkpointed
 
 # Fixed values of the ranking function.
 K1, B = 1.2, 0.75
@@ -13,11 +23,30 @@ LEAST_IDF = 1e-6
 WEIGHTS = {"raw": 2.0, "stemmed": 1.0}
 
 
-def index_terms(text, normalised: bool = False):
+_LETTERS = re.compile(r"[^\W_]+")
+
+
+@functools.cache
+def _folded(c: str) -> str:
+    """A character without its marks if it is a Latin letter; a mark on its own is dropped."""
+    if unicodedata.category(c) == "Mn" and "\u0300" <= c <= "\u036f":
+        return ""
+    if not unicodedata.name(c, "").startswith("LATIN"):
+        return c
+    return "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+
+
+def index_tokens(text: str | None) -> list[str]:
     """Tokens as the index splits them: letters and digits, lower case, without Latin diacritics; ``_`` separates."""
-    lowered = F.lower(text)
-    plain = F.regexp_replace(F.translate(lowered, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"), r"(?<=[a-z])\p{Mn}+", "")
-    return F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
+    lowered = (text or "").lower()
+    return _LETTERS.findall(lowered if lowered.isascii() else "".join(map(_folded, lowered)))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def index_terms(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """``index_tokens`` of a column."""
+    for part in text:
+        yield part.map(index_tokens)
 
 
 def two_columns(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -48,23 +77,37 @@ def lengths(terms: DataFrame, doc: str) -> DataFrame:
 def bm25(terms: DataFrame, query: list[str], doc: str, weights: dict[str, float] | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """(doc, score, hits): the BM25 score of each document that holds a query term, and how many of them it holds.
 
-    Document frequencies and the mean length are those of all documents; ``allowed`` restricts what is returned only.
-    A term in half of the documents or more counts next to nothing.
+    ``terms`` has one row for each document. Document frequencies and the mean length are those of all documents;
+    ``allowed`` restricts what is returned only. A term in half of the documents or more counts next to nothing. One
+    pass over the terms leaves each document's size and how often it holds each query term; all else is of these.
     """
-    spark = terms.sparkSession
-    asked = spark.createDataFrame([(t,) for t in dict.fromkeys(query)], "term string") if query else spark.createDataFrame([], "term string")
-    size = lengths(terms, doc)
-    n, mean = size.agg(F.count("*"), F.coalesce(F.avg("size"), F.lit(0.0))).head()
-    held = terms.select(doc, *[F.filter(c, lambda t: t.isin(query) if query else F.lit(False)).alias(c) for c in terms.columns if c != doc])
-    found = postings(held, doc, weights)
-    df = found.groupBy("term").agg(F.count("*").alias("df"))  # one row for each query term
+    query = list(dict.fromkeys(query))
+    columns = [c for c in terms.columns if c != doc]
+    weights = weights or {c: WEIGHTS[c] for c in columns}
+    often = lambda q: sum((F.lit(float(w)) * F.size(F.filter(c, lambda t: t == q)) for c, w in weights.items()), F.lit(0.0))
+    size = sum((F.size(c) for c in columns), F.lit(0)).cast("long")
+    return scored(terms.select(doc, size.alias("size"), F.array(*map(often, query)).cast("array<double>").alias("f")), len(query), doc, allowed)
+
+
+def scored(rows: DataFrame, terms: int, doc: str, allowed: DataFrame | None = None, corpus: tuple[int, float] | None = None) -> DataFrame:
+    """(doc, score, hits) from (doc, size, f) rows, f being how often each of the query's terms is held, by weight.
+
+    ``corpus`` is the number of documents and their mean size where ``rows`` are not all of them.
+    """
+    rows = checkpointed(rows)
+    held = [F.coalesce(F.sum((F.col("f")[i] > 0).cast("long")), F.lit(0)) for i in range(terms)]
+    n, mean, *df = rows.agg(F.count("*"), F.coalesce(F.avg("size"), F.lit(0.0)), *held).head()
+    if corpus:
+        n, mean = corpus
     if allowed is not None:
-        found = found.join(allowed.select(doc).distinct(), doc, "left_semi")
-    joined = found.join(F.broadcast(df.join(asked, "term", "left_semi")), "term").join(size, doc)
-    raw = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(raw > 0, raw).otherwise(LEAST_IDF)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.lit(mean or 1.0)))
-    return joined.groupBy(doc).agg(F.round(F.sum(part), 12).alias("score"), F.countDistinct("term").alias("hits"))  # rounded: the order of a sum makes no difference
+        rows = rows.join(allowed.select(doc).distinct(), doc, "left_semi")
+    score, hits = F.lit(0.0), F.lit(0)
+    for i, d in enumerate(df):
+        f = F.col("f")[i]
+        idf = max(math.log((n - d + 0.5) / (d + 0.5)), 0.0) or LEAST_IDF
+        score = score + F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / F.lit(mean or 1.0)))
+        hits = hits + (f > 0).cast("int")
+    return rows.select(doc, F.round(score, 12).alias("score"), hits.alias("hits")).where("hits > 0")
 
 
 def and_then_or(scored: DataFrame, terms: int, limit: int, doc: str) -> DataFrame:
@@ -74,10 +117,9 @@ def and_then_or(scored: DataFrame, terms: int, limit: int, doc: str) -> DataFram
     return top.withColumn("place", F.row_number().over(Window.orderBy("tier", F.desc("score"), doc))).select(doc, "score", "tier", "place")
 
 
-def lexical(docs: DataFrame, query: str, limit: int, doc: str = "doc_id", text: str = "text", allowed: DataFrame | None = None) -> DataFrame:
-    """The best documents for the words of ``query`` over raw and stemmed columns; none for a query without words."""
-    terms = [t for s in tx.query_terms(query) for t in s.split("_") if t]
-    return and_then_or(bm25(two_columns(docs, doc, text), terms, doc, allowed=allowed), len(set(terms)), limit, doc)
+def phrases(query: str) -> list[tuple[str, ...]]:
+    """The distinct stems of a query as the index splits them; a stem of several tokens is a phrase."""
+    return list(dict.fromkeys(p for s in tx.query_terms(query) if (p := tuple(index_tokens(s)))))
 
 
 def index_gaps(docs: DataFrame, indexed: DataFrame, doc: str) -> DataFrame:
@@ -98,18 +140,14 @@ def containing_unit(messages: DataFrame, units: DataFrame) -> DataFrame:
     rows = messages.select("chat_id", "msg_id", "topic_id", F.floor(F.col("msg_id") / step).alias("_step"))
     on = (F.col("chat_id") == F.col("_chat")) & (F.col("_step") == F.col("_at")) & F.col("topic_id").eqNullSafe(F.col("_topic")) & F.col("msg_id").between(F.col("_a"), F.col("_b"))
     met = rows.join(spans, on).select("chat_id", "msg_id", "_unit", "_a")
-    best = met.groupBy("chat_id", "msg_id").agg(F.max_by("_unit", "_a").alias("_window"))
+    best = met.groupBy("chat_id", "msg_id").agg(F.max_by("_unit", F.struct("_a", "_unit")).alias("_window"))
     post = units.where("kind = 'post'").select("chat_id", F.col("msg_id_start").alias("msg_id"), F.col("unit_id").alias("_post"))
     out = messages.join(best, ["chat_id", "msg_id"], "left").join(post, ["chat_id", "msg_id"], "left")
     return out.withColumn("unit_id", F.coalesce("_window", "_post")).drop("_window", "_post")
 
 
 def window_before(messages: DataFrame, units: DataFrame) -> DataFrame:
-    """Backward as-of join: the window of the chat with the greatest start at or before each message.
-
-    Both sides are sorted into one sequence; the last start seen goes along. No pairs are made.
-    """
-    starts = units.where("kind = 'window'").select("chat_id", F.col("msg_id_start").alias("at"), F.lit(0).alias("side"), F.col("unit_id").alias("before"), F.lit(None).cast("long").alias("msg_id"))
-    asks = messages.select("chat_id", F.col("msg_id").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("before"), "msg_id")
-    w = Window.partitionBy("chat_id").orderBy("at", "side", "before").rowsBetween(Window.unboundedPreceding, 0)
-    return starts.unionByName(asks).withColumn("before", F.last("before", ignorenulls=True).over(w)).where("side = 1").select("chat_id", "msg_id", "before")
+    """(chat_id, topic_id, msg_id, before): the window of each message's chat and topic with the greatest start at or before it."""
+    starts = units.where("kind = 'window'").select("chat_id", "topic_id", F.col("msg_id_start").alias("at"), F.col("unit_id").alias("before"))
+    asks = messages.select("chat_id", "topic_id", "msg_id", F.col("msg_id").alias("at"))
+    return last_before(asks, starts, ["chat_id", "topic_id"], "at", "before").drop("at")

@@ -45,6 +45,10 @@ def overlap_scores(query: str, text: Column) -> Column:
 RERANKERS = {"overlap": overlap_scores}
 
 
+class RerankerUnavailable(RuntimeError):
+    """A reranker that cannot run now; candidates stay as they were fused."""
+
+
 def rerank(candidates: DataFrame, query: str, name: str = "overlap") -> DataFrame:
     """Candidates by the reranker's score; equal ones stay as they were."""
     scored = candidates.withColumn("score", RERANKERS[name](query, F.col("text")))
@@ -53,13 +57,15 @@ def rerank(candidates: DataFrame, query: str, name: str = "overlap") -> DataFram
 
 def reaction_bonus(candidates: DataFrame, weight: float = schema.REACTION_WEIGHT) -> DataFrame:
     """Scores on the span of all, plus ``weight`` for reactions; as they are where there is no span to speak of."""
-    whole = Window.partitionBy(F.lit(0))
-    low, high, n = F.min("score").over(whole), F.max("score").over(whole), F.count("*").over(whole)
-    better = (F.col("score") - low) / (high - low) + weight * tx.reaction_share(F.col("reactions"))
-    scored = candidates.withColumn("_low", low).withColumn("_span", high - low).withColumn("_n", n)
-    better = (F.col("score") - F.col("_low")) / F.col("_span") + weight * tx.reaction_share(F.col("reactions"))
-    scored = scored.withColumn("score", F.when((F.col("_n") >= 2) & (F.col("_span") >= 1e-6) & F.lit(weight > 0), better).otherwise(F.col("score"))).drop("_low", "_span", "_n")
-    return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "place")))
+    low, high, n = candidates.agg(F.min("score"), F.max("score"), F.count("*")).head()
+    if n < 2 or high - low < 1e-6 or weight <= 0:
+        return candidates
+    return candidates.withColumn("score", (F.col("score") - low) / (high - low) + weight * tx.reaction_share(F.col("reactions")))
+
+
+def in_order(candidates: DataFrame) -> DataFrame:
+    """Some forty candidates with their places by score; equal ones stay as they were."""
+    return candidates.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "place")))
 
 
 def dedup(candidates: DataFrame, threshold: float = schema.DEDUP_OVERLAP) -> DataFrame:
@@ -80,30 +86,33 @@ def dedup(candidates: DataFrame, threshold: float = schema.DEDUP_OVERLAP) -> Dat
     return candidates.join(kept, "unit_id", "left_semi")
 
 
-def best_line(lines: list[str], query: str) -> int:
-    """The first line that shares most stems with the query."""
+def best_line(lines: list[str], query: str | None) -> int:
+    """The first line that shares most stems with the query; the first of all where none does."""
+    if not lines or not query:
+        return 0
     asked = set(tx.query_terms(query))
     shared = [len(asked & set(tx.query_terms(x))) for x in lines]
     return max(range(len(lines)), key=lambda i: (shared[i], -i))
 
 
 def snippet_lines(lines: list[str], anchor: int, limit: int = schema.SNIPPET_CHARS) -> list[str]:
-    """The anchor line and its neighbours, after and before in turn, while they fit; a side ends at its first misfit."""
+    """The anchor line first, then its neighbours in their order: those after and before in turn while they fit.
+
+    A side ends at its first misfit. An anchor over the limit is clipped and stands alone.
+    """
     if not lines:
         return []
-    if len(lines[anchor]) >= limit:
-        return [lines[anchor] if len(lines[anchor]) == limit else lines[anchor][: limit - 1] + "…"]
-    taken, size = {anchor}, len(lines[anchor])
-    sides = {1: anchor + 1, -1: anchor - 1}
-    turn = 1
-    while sides:
-        if turn in sides:
-            i = sides[turn]
-            if 0 <= i < len(lines) and size + 1 + len(lines[i]) <= limit:
-                taken.add(i)
-                size += 1 + len(lines[i])
-                sides[turn] = i + turn
-            else:
-                del sides[turn]
-        turn = -turn
-    return [lines[i] for i in sorted(taken)]
+    head = lines[anchor]
+    if len(head) > limit:
+        return [head[: max(limit - 1, 0)] + "…"]
+    room, taken = limit - len(head), []
+    ahead = {1: anchor + 1, -1: anchor - 1}
+    while ahead:
+        for way, i in list(ahead.items()):
+            if not 0 <= i < len(lines) or len(lines[i]) + 1 > room:
+                del ahead[way]
+                continue
+            taken.append(i)
+            room -= len(lines[i]) + 1
+            ahead[way] = i + way
+    return [head, *(lines[i] for i in sorted(taken))]

@@ -75,42 +75,66 @@ def runs(rows: DataFrame, keys: list[str], at: str, tie: str, gap_s: int) -> Dat
     return found.select(*rows.columns, F.col("_start.a").alias("run_at"), F.col("_start.t").alias("run_tie"))
 
 
-def number_windows(messages: DataFrame, gap_min: int = schema.WINDOW_GAP_MIN, max_msgs: int = schema.WINDOW_MAX_MSGS, max_chars: int = schema.WINDOW_MAX_CHARS) -> DataFrame:
-    """Messages with ``run_at``, ``run_tie`` and ``window``: the number of the time window within its run.
+#: A topic with more messages than this is walked by runs, in several tasks.
+BUSY_ROWS = 200_000
+
+
+def windows(messages: DataFrame, gap_min: int = schema.WINDOW_GAP_MIN, max_msgs: int = schema.WINDOW_MAX_MSGS, max_chars: int = schema.WINDOW_MAX_CHARS) -> DataFrame:
+    """``window`` units of rendered messages.
 
     In order of (date, msg_id) a message begins a window when more than ``gap_min`` minutes lie before it, when the
     open window is full, or when its line and a line feed would not fit any more; a longer line is a window alone.
-    A gap ends a window whatever came before, so runs between gaps are walked apart from each other, in order; a
-    task holds no more than the open window's counters.
+    Each topic is walked in order, after one shuffle; a task holds no more than the open window. A gap ends a window
+    whatever came before, so that the runs between gaps of a busy topic are walked apart from each other. A run
+    without a gap depends on its order throughout and is one task's.
     """
-    apart = runs(messages, ["chat_id", "topic_id"], "date", "msg_id", gap_min * 60)
-    names = apart.columns
-    at = {n: names.index(n) for n in ("chat_id", "topic_id", "run_at", "run_tie", "line")}
+    key = ["chat_id", "topic_id"]
+    rows = messages.select(*key, "date", "msg_id", "line", "reactions")
+    busy = checkpointed(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > BUSY_ROWS).drop("n"))
+    walk = _window_walk(gap_min * 60, max_msgs, max_chars)
+    if busy.isEmpty():
+        return rows.repartition(*key).sortWithinPartitions(*key, "date", "msg_id").mapInArrow(walk, schema.UNITS)
+    named = busy.select(F.col("chat_id").alias("_chat"), F.col("topic_id").alias("_topic"))
+    on = (F.col("chat_id") == F.col("_chat")) & F.col("topic_id").eqNullSafe(F.col("_topic"))
+    cool = rows.join(F.broadcast(named) if busy.count() <= 100_000 else named, on, "left_anti").withColumn("run_at", F.lit(0).cast("long")).withColumn("run_tie", F.lit(0).cast("long"))
+    hot = runs(rows.join(named, on, "left_semi"), key, "date", "msg_id", gap_min * 60)
+    both = cool.unionByName(hot).repartition(*key, "run_at", "run_tie")
+    return both.sortWithinPartitions(*key, "date", "msg_id").drop("run_at", "run_tie").mapInArrow(walk, schema.UNITS)
+
+
+def _window_walk(gap_s: int, max_msgs: int, max_chars: int):
+    fields = [f.split()[0] for f in schema.UNITS.split(", ")]
+    types = {"kind": pa.string(), "text": pa.string(), "msg_ids": pa.list_(pa.int64())}
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, number, count, chars = None, 0, 0, 0
+        done: list[tuple] = []
+        now, last, chars, held = None, 0, 0, []
+
+        def close() -> None:
+            if held:
+                dates, ids, lines, reactions = zip(*held, strict=True)
+                done.append((*now, "window", min(ids), max(ids), list(ids), min(dates), max(dates), "\n".join(x for x in lines if x is not None), sum(r or 0 for r in reactions)))
+                held.clear()
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [[]] * len(fields)
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.int64())) for c, n in zip(columns, fields, strict=True)], fields)
+
         for batch in batches:
-            *key, line = (batch.column(i).to_pylist() for i in at.values())
-            out = []
-            for k, text in zip(zip(*key, strict=True), line, strict=True):
-                size = len(text or "")
-                if k != now:
-                    now, number, count, chars = k, 0, 0, 0
-                elif count >= max_msgs or chars + 1 + size > max_chars:
-                    number, count, chars = number + 1, 0, 0
-                chars += size + (count > 0)
-                count += 1
-                out.append(number)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*names, "window"])
-
-    key = ["chat_id", "topic_id", "run_at", "run_tie"]
-    ordered = apart.repartition(*key).sortWithinPartitions(*key, "date", "msg_id")
-    return ordered.mapInArrow(walk, T.StructType([*apart.schema.fields, T.StructField("window", T.LongType())]))
-
-
-def windows(messages: DataFrame, **limits: int) -> DataFrame:
-    """``window`` units of rendered messages."""
-    return _gather(number_windows(messages, **limits), ["chat_id", "topic_id", "run_at", "run_tie", "window"], "window", ["date"]).select(*UNIT_COLUMNS)
+            for chat, topic, date, i, line, r in zip(*(batch.column(c).to_pylist() for c in ("chat_id", "topic_id", "date", "msg_id", "line", "reactions")), strict=True):
+                size = len(line or "")
+                if (chat, topic) != now or date - last > gap_s or len(held) >= max_msgs or chars + 1 + size > max_chars:
+                    close()
+                    now, chars = (chat, topic), -1
+                chars += 1 + size
+                last = date
+                held.append((date, i, line, r))
+            yield flush()
+        close()
+        yield flush()
+
+    return walk
 
 
 def gap_sessions(events: DataFrame, key: str, at: str, tie: str, gap_s: int) -> DataFrame:

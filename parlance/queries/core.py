@@ -1,14 +1,8 @@
-"""One query for each operator over the given tables, and its twin in DuckDB SQL where SQL can express it.
-
-Conversations and events stand for chats: a conversation is a chat and its turns are messages; a user's events are a
-chat on a time line.
-"""
+"""Queries of functions, units, retrieval, readers, storage and streams, each with its twin in DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,64 +11,15 @@ from parlance.functions import links as ln
 from parlance.functions import text as tx
 from parlance.operators import chats as ch
 from parlance.operators import dense, leads, lexical, rank, readers, units
-from parlance.plans.search import search
-from parlance.storage import PENDING, changed, checkpointed, deleted, latest, merge, next_media_state
-from parlance.streaming.maintenance import latest_version, maintain
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-BASE = 1_704_067_200
-
-_TALKS = f"""talks AS (
-  SELECT conv_id AS chat_id, turn AS msg_id, {BASE} + turn * 60 + turn // 5 * 3600 AS date, role AS from_name, text,
-    CASE WHEN turn % 3 > 0 THEN turn - 1 END AS reply_to_msg_id, (conv_id * 7 + turn) % 11 AS reactions
-  FROM conversations)"""
-
-_EVENTS = """notes AS (
-  SELECT user_id AS chat_id, event_id AS msg_id, CAST(floor(epoch(ts)) AS BIGINT) AS date, event_type AS text, CAST(floor(value) AS BIGINT) AS reactions,
-    '[' || strftime(to_timestamp(floor(epoch(ts))) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') || '] id' || user_id || ': ' || event_type AS line
-  FROM events)"""
-
-
-def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as messages: a minute a turn, an hour's pause every five, chains of three replies."""
-    t = table(spark, sf_dir, "conversations")
-    null = lambda kind: F.lit(None).cast(kind)
-    return t.select(
-        F.col("conv_id").alias("chat_id"), F.col("turn").alias("msg_id"), (F.lit(BASE) + F.col("turn") * 60 + F.floor(F.col("turn") / 5) * 3600).alias("date"), null("long").alias("from_id"), F.col("role").alias("from_name"), "text",
-        F.when(F.col("turn") % 3 > 0, F.col("turn") - 1).alias("reply_to_msg_id"), null("long").alias("topic_id"), null("string").alias("media_kind"), null("string").alias("media_filename"), null("string").alias("extracted"),
-        ((F.col("conv_id") * 7 + F.col("turn")) % 11).alias("reactions"),
-    )
-
-
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as messages of their users."""
-    e = table(spark, sf_dir, "events")
-    date = F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp")))
-    rows = e.select(F.col("user_id").alias("chat_id"), F.col("event_id").alias("msg_id"), F.lit(None).cast("long").alias("topic_id"), date.alias("date"), F.col("event_type").alias("text"), F.floor("value").alias("reactions"))
-    return rows.withColumn("line", tx.line(F.col("date"), tx.sender(F.lit(""), F.col("chat_id")), F.col("text")))
+from parlance.queries.base import EVENTS, TALKS, notes, query, table, talks
+from parlance.storage import PENDING, changed, deleted, latest, merge, next_media_state, shared_folder
+from parlance.streaming.maintenance import Store, maintain
 
 
 # ------------------------------------------------------------------ functions
 
 
-@query(f"""WITH {_TALKS}
+@query(f"""WITH {TALKS}
 SELECT chat_id, msg_id, '[' || strftime(to_timestamp(date) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') || '] ' || from_name || ': ' || trim(text, ' \t\n\r') AS line FROM talks""")
 def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message as the line that stands for it in a unit."""
@@ -105,7 +50,7 @@ def stemmer_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.language(F.col("text")).alias("stemmer"), tx.clip(F.col("text"), 80).alias("clipped"))
 
 
-@query(f"""WITH {_TALKS}, kinds AS (SELECT *, ['channel', 'supergroup', 'group', 'user'][CAST(chat_id % 4 AS INT) + 1] AS kind FROM talks)
+@query(f"""WITH {TALKS}, kinds AS (SELECT *, ['channel', 'supergroup', 'group', 'user'][CAST(chat_id % 4 AS INT) + 1] AS kind FROM talks)
 SELECT chat_id, msg_id, kind, CASE kind WHEN 'channel' THEN 'https://t.me/c/' || chat_id || '/' || msg_id
   WHEN 'supergroup' THEN 'https://t.me/room' || chat_id || '/5/' || msg_id
   WHEN 'group' THEN 'tg://openmessage?chat_id=' || chat_id || '&message_id=' || msg_id
@@ -119,7 +64,7 @@ def message_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("url", ln.message_url(F.col("kind"), peer, name, F.col("kind") == "supergroup", F.col("msg_id"), F.lit(5)))
 
 
-@query(f"""WITH {_TALKS} SELECT chat_id, msg_id, CASE WHEN reactions > 0 THEN round(ln(1 + reactions) / (1 + ln(1 + reactions)), 9) ELSE 0.0 END AS share FROM talks""")
+@query(f"""WITH {TALKS} SELECT chat_id, msg_id, CASE WHEN reactions > 0 THEN round(ln(1 + reactions) / (1 + ln(1 + reactions)), 9) ELSE 0.0 END AS share FROM talks""")
 def reaction_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What reactions add to a score."""
     return talks(spark, sf_dir).select("chat_id", "msg_id", F.round(tx.reaction_share(F.col("reactions")), 9).alias("share"))
@@ -128,7 +73,7 @@ def reaction_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------- units
 
 
-@query(f"""WITH RECURSIVE {_EVENTS}, placed AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY date, msg_id) AS i FROM notes), cut AS (
+@query(f"""WITH RECURSIVE {EVENTS}, placed AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY date, msg_id) AS i FROM notes), cut AS (
   SELECT chat_id, msg_id, date, reactions, line, i, CAST(0 AS BIGINT) AS w, CAST(1 AS BIGINT) AS n, CAST(length(line) AS BIGINT) AS chars FROM placed WHERE i = 1
   UNION ALL
   SELECT p.chat_id, p.msg_id, p.date, p.reactions, p.line, p.i,
@@ -144,7 +89,7 @@ def window_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("chat_id", "msg_id_start", "msg_id_end", F.size("msg_ids").cast("long").alias("n"), "date_start", "date_end", "text", "reactions")
 
 
-@query(f"""WITH {_EVENTS}, marked AS (SELECT *, CASE WHEN date - lag(date) OVER (PARTITION BY chat_id ORDER BY date) > 86400 THEN 1 ELSE 0 END AS fresh FROM notes),
+@query(f"""WITH {EVENTS}, marked AS (SELECT *, CASE WHEN date - lag(date) OVER (PARTITION BY chat_id ORDER BY date) > 86400 THEN 1 ELSE 0 END AS fresh FROM notes),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY chat_id ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM marked)
 SELECT chat_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(date) AS date_start, max(date) AS date_end FROM numbered GROUP BY ALL""")
 def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +98,7 @@ def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("chat_id", "session").agg(F.count("*").alias("n"), F.min("date").alias("date_start"), F.max("date").alias("date_end"))
 
 
-_ROOTS = f"""{_TALKS}, climb AS (
+_ROOTS = f"""{TALKS}, climb AS (
   SELECT chat_id, msg_id, msg_id AS root, reply_to_msg_id AS up FROM talks
   UNION ALL SELECT c.chat_id, c.msg_id, t.msg_id, t.reply_to_msg_id FROM climb c JOIN talks t ON t.chat_id = c.chat_id AND t.msg_id = c.up),
 roots AS (SELECT chat_id, msg_id, min(root) AS root FROM climb GROUP BY ALL)"""
@@ -175,7 +120,7 @@ def thread_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("chat_id", "msg_id_start", "msg_id_end", F.size("msg_ids").cast("long").alias("n"), "date_start", "date_end", "reactions")
 
 
-@query(f"""WITH {_TALKS}, c AS (SELECT chat_id, msg_id, date, (row_number() OVER (PARTITION BY chat_id ORDER BY date, msg_id) - 1) // 2 AS piece FROM talks WHERE msg_id > 0)
+@query(f"""WITH {TALKS}, c AS (SELECT chat_id, msg_id, date, (row_number() OVER (PARTITION BY chat_id ORDER BY date, msg_id) - 1) // 2 AS piece FROM talks WHERE msg_id > 0)
 SELECT p.chat_id, CAST(0 AS BIGINT) AS post_id, count(*) AS comments, max(c.date) AS date_end, min(p.reactions) AS reactions FROM c JOIN talks p ON p.chat_id = c.chat_id AND p.msg_id = 0 GROUP BY p.chat_id, piece""")
 def post_comment_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First turns as posts, the others as their comments, three messages a piece."""
@@ -191,7 +136,7 @@ def _event_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.withColumn("unit_id", F.xxhash64("chat_id", "msg_id_start"))
 
 
-@query(f"""WITH {_EVENTS} SELECT chat_id, CAST(sum(reactions) + count(*) AS BIGINT) AS reactions, count(*) AS listed FROM notes GROUP BY chat_id""")
+@query(f"""WITH {EVENTS} SELECT chat_id, CAST(sum(reactions) + count(*) AS BIGINT) AS reactions, count(*) AS listed FROM notes GROUP BY chat_id""")
 def refreshed_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units' reactions summed again after each message got one more."""
     cut = _event_units(spark, sf_dir)
@@ -199,7 +144,7 @@ def refreshed_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.groupBy("chat_id").agg(F.sum("reactions").alias("reactions"), F.sum(F.size("msg_ids")).cast("long").alias("listed"))
 
 
-@query(f"""WITH {_EVENTS} SELECT 'gone' AS what, count(*) AS n FROM notes WHERE chat_id % 10 = 3 UNION ALL SELECT 'new', count(*) FROM notes WHERE chat_id % 10 = 4""")
+@query(f"""WITH {EVENTS} SELECT 'gone' AS what, count(*) AS n FROM notes WHERE chat_id % 10 = 3 UNION ALL SELECT 'new', count(*) FROM notes WHERE chat_id % 10 = 4""")
 def changed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units that go and units that come, by what they hold."""
     u = units.posts(notes(spark, sf_dir))
@@ -208,7 +153,7 @@ def changed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(gone, "gone").union(count(new, "new"))
 
 
-@query(f"WITH {_EVENTS} SELECT msg_id FROM notes WHERE chat_id % 2 = 1")
+@query(f"WITH {EVENTS} SELECT msg_id FROM notes WHERE chat_id % 2 = 1")
 def uncut_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages that no window lists."""
     return units.uncut(notes(spark, sf_dir), _event_units(spark, sf_dir).where("chat_id % 2 = 0")).select("msg_id")
@@ -255,13 +200,6 @@ def filtered_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
-def two_column_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best 20 documents over plain and stemmed columns."""
-    found = lexical.lexical(table(spark, sf_dir, "documents").select("doc_id", "text"), "thanding ononer", 20)
-    return found.select("doc_id", "tier", "place", F.round("score", 6).alias("score"))
-
-
 @query(r"""SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY ALL""")
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All postings."""
@@ -275,16 +213,16 @@ def index_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.index_gaps(docs.where("doc_id % 5 <> 0 or doc_id % 7 = 0"), docs.where("doc_id % 7 <> 0"), "doc_id")
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, label, embedding AS q FROM embeddings WHERE vec_id < 8)
+@query("""WITH q AS (SELECT vec_id AS query_id, label, embedding AS q FROM embeddings WHERE vec_id % 100 = 0)
 SELECT query_id, vec_id, CAST(rank AS INT) AS rank, round(distance, 6) + 0.0 AS distance FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (
     SELECT query_id, vec_id, 1 - list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), lambda x: x[1] * x[2]))
       / (sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) * sqrt(list_sum(list_transform(CAST(q AS DOUBLE[]), lambda x: x * x)))) AS distance
     FROM embeddings JOIN q USING (label))) WHERE rank <= 10""")
 def nearest_in_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest of eight vectors, each within its own label."""
+    """The ten nearest of every hundredth vector, each within its own label."""
     v = table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
     found = dense.knn_each(v, asked, 10, by="label")
     return found.select("query_id", "vec_id", "rank", (F.round("distance", 6) + 0.0).alias("distance"))
 
@@ -320,63 +258,69 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.select("doc_id", F.round("score", 9).alias("score"))
 
 
-@query(f"""WITH {_TALKS}, c AS (SELECT chat_id, CAST(sum(reactions) AS BIGINT) AS reactions, CAST(count(*) AS DOUBLE) AS score FROM talks GROUP BY chat_id ORDER BY chat_id LIMIT 40)
+@query(f"""WITH {TALKS}, c AS (SELECT chat_id, CAST(sum(reactions) AS BIGINT) AS reactions, CAST(count(*) AS DOUBLE) AS score FROM talks GROUP BY chat_id)
 SELECT chat_id, round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) + 0.05 * (ln(1 + reactions) / (1 + ln(1 + reactions))), 9) AS score FROM c""")
 def reaction_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates on a common span, with what reactions add."""
-    c = talks(spark, sf_dir).groupBy("chat_id").agg(F.sum("reactions").alias("reactions"), F.count("*").cast("double").alias("score")).orderBy("chat_id").limit(40)
-    boosted = rank.reaction_bonus(c.withColumn("place", F.col("chat_id")))
+    c = talks(spark, sf_dir).groupBy("chat_id").agg(F.sum("reactions").alias("reactions"), F.count("*").cast("double").alias("score"))
+    boosted = rank.reaction_bonus(c)
     return boosted.select("chat_id", F.round("score", 9).alias("score"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT l_orderkey AS unit_id, list_sort(list_distinct(list(l_suppkey))) AS ids, row_number() OVER (ORDER BY sum(l_quantity) DESC, l_orderkey) AS place FROM lineitem GROUP BY l_orderkey),
+fold AS (SELECT CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[][]) AS kept, CAST(NULL AS BIGINT) AS unit_id
+  UNION ALL SELECT o.place, CASE WHEN list_bool_or(list_transform(f.kept, lambda x: 2 * len(list_intersect(o.ids, x)) >= len(o.ids))) THEN f.kept ELSE list_append(f.kept, o.ids) END,
+    CASE WHEN list_bool_or(list_transform(f.kept, lambda x: 2 * len(list_intersect(o.ids, x)) >= len(o.ids))) THEN NULL ELSE o.unit_id END
+  FROM fold f JOIN o ON o.place = f.place + 1 WHERE o.place <= 40)
+SELECT unit_id, CAST(place AS INT) AS place FROM fold WHERE unit_id IS NOT NULL""")
 def kept_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of which none overlaps a better one by half."""
-    o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("msg_ids"), F.sum("l_quantity").alias("score")).orderBy(F.desc("score"), "l_orderkey").limit(40)
-    c = o.select(F.col("l_orderkey").alias("unit_id"), F.lit(1).alias("chat_id"), "msg_ids", "score", F.row_number().over(units.Window.orderBy(F.desc("score"), "l_orderkey")).alias("place"))
+    """Of the best forty candidates, as many as a search reranks, those that overlap no better one by half."""
+    best = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("msg_ids"), F.sum("l_quantity").alias("score")).orderBy(F.desc("score"), "l_orderkey").limit(40)
+    c = best.select(F.col("l_orderkey").alias("unit_id"), F.lit(1).alias("chat_id"), "msg_ids", "score", F.row_number().over(units.Window.orderBy(F.desc("score"), "l_orderkey")).alias("place"))
     return rank.dedup(c).select("unit_id", "place")
 
 
-@query()
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole search over conversations: windows and threads, lexical and dense lists."""
-    m = units.render(talks(spark, sf_dir))
-    u = checkpointed(units.windows(m).unionByName(units.threads(m)).withColumn("unit_id", F.xxhash64("chat_id", "kind", F.to_json("msg_ids"))))
-    v = u.select("unit_id", "chat_id", "date_start", dense.embed(F.col("text")).alias("embedding"))
-    found, _ = search(u, m, v, "thonen inging thand")
-    return found.select("unit_id", "chat_id", "kind", "msg_ids", "place", "anchor", F.round("score", 6).alias("score"))
+# -------------------------------------------------------------- joins, readers
 
 
-# -------------------------------------------------------------- joins, readers
+_TOPICS = f"""{EVENTS}, t AS (SELECT *, CASE WHEN chat_id % 3 > 0 AND msg_id % 5 > 0 THEN msg_id % 5 END AS topic_id FROM notes)"""
+
+
+def _in_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages; two chats in three are forums of four topics, and of messages outside of any."""
+    return notes(spark, sf_dir).withColumn("topic_id", F.when((F.col("chat_id") % 3 > 0) & (F.col("msg_id") % 5 > 0), F.col("msg_id") % 5))
 
 
-@query(f"""WITH {_EVENTS}, w AS (SELECT chat_id, msg_id AS a, msg_id + 40 AS b FROM notes WHERE msg_id % 9 = 0)
-SELECT n.chat_id, n.msg_id, max(w.a) AS unit FROM notes n LEFT JOIN w ON w.chat_id = n.chat_id AND n.msg_id BETWEEN w.a AND w.b GROUP BY ALL""")
+@query(f"""WITH {_TOPICS}, w AS (SELECT chat_id, topic_id, msg_id AS a, msg_id + 400 AS b FROM t WHERE msg_id % 9 = 0 AND chat_id % 4 > 0), p AS (SELECT chat_id, msg_id AS a FROM t WHERE msg_id % 2 = 0)
+SELECT t.chat_id, t.msg_id, coalesce(max(w.a), max(CASE WHEN p.a IS NOT NULL THEN -1 - p.a END)) AS unit FROM t
+LEFT JOIN w ON w.chat_id = t.chat_id AND w.topic_id IS NOT DISTINCT FROM t.topic_id AND t.msg_id BETWEEN w.a AND w.b LEFT JOIN p ON p.chat_id = t.chat_id AND p.a = t.msg_id GROUP BY ALL""")
 def containing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Range join: the last window that spans each message."""
-    n = notes(spark, sf_dir)
-    w = n.where("msg_id % 9 = 0").select("chat_id", "topic_id", F.lit("window").alias("kind"), F.col("msg_id").alias("unit_id"), F.col("msg_id").alias("msg_id_start"), (F.col("msg_id") + 40).alias("msg_id_end"))
-    return lexical.containing_unit(n, w).select("chat_id", "msg_id", F.col("unit_id").alias("unit"))
+    """Range join: the last window of its topic that spans each message, else the post that it is."""
+    n = _in_topics(spark, sf_dir)
+    unit = lambda kind, key, end: (F.lit(kind).alias("kind"), key.alias("unit_id"), F.col("msg_id").alias("msg_id_start"), end.alias("msg_id_end"))
+    w = n.where("msg_id % 9 = 0 and chat_id % 4 > 0").select("chat_id", "topic_id", *unit("window", F.col("msg_id"), F.col("msg_id") + 400))
+    p = n.where("msg_id % 2 = 0").select("chat_id", "topic_id", *unit("post", -1 - F.col("msg_id"), F.col("msg_id")))
+    return lexical.containing_unit(n, w.unionByName(p)).select("chat_id", "msg_id", F.col("unit_id").alias("unit"))
 
 
-@query(f"""WITH {_EVENTS}, w AS (SELECT chat_id, msg_id AS a FROM notes WHERE msg_id % 9 = 0)
-SELECT n.chat_id, n.msg_id, max(w.a) AS before FROM notes n LEFT JOIN w ON w.chat_id = n.chat_id AND w.a <= n.msg_id GROUP BY ALL""")
+@query(f"""WITH {_TOPICS}, w AS (SELECT chat_id, topic_id, msg_id AS a FROM t WHERE msg_id % 9 = 0)
+SELECT t.chat_id, t.topic_id, t.msg_id, max(w.a) AS before FROM t LEFT JOIN w ON w.chat_id = t.chat_id AND w.topic_id IS NOT DISTINCT FROM t.topic_id AND w.a <= t.msg_id GROUP BY ALL""")
 def window_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of join: the last window that starts at or before each message."""
-    n = notes(spark, sf_dir)
-    w = n.where("msg_id % 9 = 0").select("chat_id", F.lit("window").alias("kind"), F.col("msg_id").alias("unit_id"), F.col("msg_id").alias("msg_id_start"))
+    """As-of join: the last window of its topic that starts at or before each message."""
+    n = _in_topics(spark, sf_dir)
+    w = n.where("msg_id % 9 = 0").select("chat_id", "topic_id", F.lit("window").alias("kind"), F.col("msg_id").alias("unit_id"), F.col("msg_id").alias("msg_id_start"))
     return lexical.window_before(n, w)
 
 
-@query(f"""WITH {_EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY date, msg_id) AS i FROM notes)
-SELECT a.chat_id, a.msg_id AS anchor, b.msg_id, CAST(b.i - a.i AS INT) AS step FROM r a JOIN r b ON a.chat_id = b.chat_id AND b.i BETWEEN a.i - 2 AND a.i + 2 WHERE a.msg_id % 20 = 0""")
+@query(f"""WITH {_TOPICS}, r AS (SELECT *, row_number() OVER (PARTITION BY chat_id, topic_id ORDER BY msg_id) AS i FROM t)
+SELECT a.chat_id, a.msg_id AS anchor, b.msg_id, CAST(b.i - a.i AS INT) AS step FROM r a JOIN r b ON a.chat_id = b.chat_id AND a.topic_id IS NOT DISTINCT FROM b.topic_id AND b.i BETWEEN a.i - 2 AND a.i + 2""")
 def context_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two messages before and after each of many."""
-    n = notes(spark, sf_dir)
-    return readers.contexts(n, n.where("msg_id % 20 = 0")).select("chat_id", "anchor", "msg_id", "step")
+    """Two messages before and after each message, in its topic."""
+    n = _in_topics(spark, sf_dir)
+    return readers.contexts(n, n).select("chat_id", "anchor", "msg_id", "step")
 
 
-@query(f"WITH {_TALKS} SELECT chat_id, msg_id FROM talks WHERE chat_id = (SELECT min(chat_id) FROM talks WHERE msg_id = 4) AND msg_id BETWEEN 3 AND 5")
+@query(f"WITH {TALKS} SELECT chat_id, msg_id FROM talks WHERE chat_id = (SELECT min(chat_id) FROM talks WHERE msg_id = 4) AND msg_id BETWEEN 3 AND 5")
 def one_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reply thread that the fifth turn of a conversation is in."""
     t = talks(spark, sf_dir)
@@ -384,7 +328,7 @@ def one_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.thread(t, chat, 4).select("chat_id", "msg_id")
 
 
-@query(f"WITH {_TALKS} SELECT chat_id, msg_id FROM talks WHERE chat_id = (SELECT min(chat_id) FROM talks WHERE msg_id = 4) AND msg_id BETWEEN 2 AND 5")
+@query(f"WITH {TALKS} SELECT chat_id, msg_id FROM talks WHERE chat_id = (SELECT min(chat_id) FROM talks WHERE msg_id = 4) AND msg_id BETWEEN 2 AND 5")
 def one_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two turns before and one after the fifth."""
     t = talks(spark, sf_dir)
@@ -421,7 +365,7 @@ def changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed(c, c.withColumn("c_acctbal", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal"))), ["c_custkey"])
 
 
-@query(f"""WITH {_EVENTS}, s AS (SELECT chat_id, min(msg_id) AS a, max(msg_id) AS b FROM notes WHERE msg_id % 4 <> 1 GROUP BY chat_id)
+@query(f"""WITH {EVENTS}, s AS (SELECT chat_id, min(msg_id) AS a, max(msg_id) AS b FROM notes WHERE msg_id % 4 <> 1 GROUP BY chat_id)
 SELECT n.chat_id, n.msg_id FROM notes n JOIN s USING (chat_id) WHERE n.msg_id % 4 = 1 AND n.msg_id BETWEEN a AND b""")
 def deleted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages that a second look no longer finds, within the range it covered."""
@@ -429,63 +373,19 @@ def deleted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deleted(n, n.where("msg_id % 4 <> 1")).select("chat_id", "msg_id")
 
 
-@query("""WITH s AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0 ELSE CAST(event_id % 6 AS INT) END AS state, ['text', 'empty', 'error', 'unsupported'][CAST(event_id % 4 AS INT) + 1] AS outcome, event_id % 3 AS tries FROM events)
-SELECT CASE WHEN state <> 0 THEN state WHEN outcome = 'text' THEN 1 WHEN outcome = 'empty' THEN 2 WHEN outcome = 'unsupported' THEN 3 WHEN outcome = 'error' AND tries + 1 < 3 THEN 0 WHEN outcome = 'error' THEN 4 ELSE 0 END AS state, count(*) AS n FROM s GROUP BY 1""")
+@query("""WITH s AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0 ELSE CAST(event_id % 6 AS INT) END AS state, event_type AS outcome FROM events)
+SELECT event_id, CASE WHEN state <> 0 THEN state ELSE CASE outcome WHEN 'view' THEN 1 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'error' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END END AS state FROM s""")
 def media_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where attachments stand after a round of extraction."""
+    """Where attachments stand after a round of extraction; events' types stand for outcomes."""
     e = table(spark, sf_dir, "events")
     state = F.when(F.col("event_id") % 2 == 0, PENDING).otherwise((F.col("event_id") % 6).cast("int"))
-    outcome = F.element_at(F.array(*map(F.lit, ("text", "empty", "error", "unsupported"))), (F.col("event_id") % 4 + 1).cast("int"))
-    return e.select(next_media_state(state, outcome, F.col("event_id") % 3).alias("state")).groupBy("state").agg(F.count("*").alias("n"))
+    says = {"view": "text", "click": "empty", "signup": "unsupported", "error": "error", "purchase": "skipped"}
+    outcome = F.element_at(F.create_map(*[F.lit(x) for p in says.items() for x in p]), F.col("event_type"))
+    return e.select("event_id", next_media_state(state, outcome).alias("state"))
 
 
 # ------------------------------------------------------------------ discovery
 
-_MENTIONS = """named AS (SELECT page_id % 40 AS chat_id, page_id AS msg_id, 'chan_' || page_id % 60 AS name, page_id * 13 % 500 AS post, page_id % 3 = 0 AS sent FROM pages)"""
-
-
-def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages made of pages: each shows a link to a post, every third is forwarded."""
-    p = table(spark, sf_dir, "pages").select(F.col("page_id"))
-    text = F.concat(F.lit("see https://T.me/s/Chan_"), (F.col("page_id") % 60).cast("string"), F.lit("/"), (F.col("page_id") * 13 % 500).cast("string"), F.lit(" (and @Chan_"), (F.col("page_id") % 60).cast("string"), F.lit("), t.me/share/x."))
-    sent = F.col("page_id") % 3 == 0
-    null = F.lit(None)
-    return p.select(
-        (F.col("page_id") % 40).alias("chat_id"), F.col("page_id").alias("msg_id"), text.alias("text"), null.cast("array<struct<kind:string,target:string>>").alias("links"),
-        F.when(sent, -(F.lit(10**12) + F.col("page_id") % 7)).alias("fwd_from_id"), null.cast("string").alias("fwd_from_name"), F.when(sent, F.lit(100)).alias("fwd_date"),
-    )
-
-
-@query(f"""WITH {_MENTIONS} SELECT chat_id, msg_id, 'link' AS via, '@' || name || CASE WHEN post > 0 THEN '/' || post ELSE '' END AS target, '@' || name AS chat FROM named WHERE post > 0
-UNION ALL SELECT chat_id, msg_id, 'mention', '@' || name, '@' || name FROM named
-UNION ALL SELECT chat_id, msg_id, 'forward', 'peer:' || (-1000000000000 - msg_id % 7), 'peer:' || (-1000000000000 - msg_id % 7) FROM named WHERE sent""")
-def lead_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What messages name: links and mentions in their text, and where they were forwarded from."""
-    return leads.message_leads(_mentions(spark, sf_dir)).select("chat_id", "msg_id", "via", "target", "chat")
-
-
-@query(f"""WITH {_MENTIONS}, l AS (SELECT chat_id, msg_id, '@' || name AS chat, CASE WHEN sent THEN 'fwd:' || (-1000000000000 - msg_id % 7) || '@100' ELSE 'msg:' || chat_id || '/' || msg_id END AS origin FROM named)
-SELECT chat, count(DISTINCT origin) AS corroboration, count(DISTINCT chat_id) AS chats, CAST(row_number() OVER (ORDER BY count(DISTINCT origin) DESC, chat) AS INT) AS rank FROM l GROUP BY chat""")
-def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chats that messages mention, by how many origins name them."""
-    found = leads.message_leads(_mentions(spark, sf_dir)).where("via = 'mention'")
-    return leads.ranked(leads.candidates(found), found).select("chat", "corroboration", "chats", "rank")
-
-
-@query(f"WITH {_MENTIONS} SELECT chat_id, count(DISTINCT name) AS names FROM named GROUP BY chat_id HAVING count(DISTINCT name) >= 3")
-def directories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chats that name at least three others."""
-    return leads.directories(leads.message_leads(_mentions(spark, sf_dir)).where("via = 'mention'"), 3)
-
-
-@query(f"""WITH {_MENTIONS}, c AS (SELECT '@' || name AS chat, count(DISTINCT CASE WHEN sent THEN 'f' || msg_id % 7 ELSE 'm' || msg_id END) AS n FROM named GROUP BY 1)
-SELECT chat FROM c WHERE chat NOT IN ('@chan_1', '@chan_2') ORDER BY n DESC, chat LIMIT 10""")
-def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best candidates that are neither known nor excluded."""
-    found = leads.message_leads(_mentions(spark, sf_dir)).where("via = 'mention'")
-    name = lambda n: spark.range(1).select(F.lit(n).alias("chat"))
-    return leads.propose(leads.candidates(found), name("@chan_1"), name("@chan_2"), 2, 10).select("chat")
-
 
 @query("SELECT o_custkey AS chat_id, CAST(min(CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_orderkey % 4 END) AS INT) AS depth FROM orders GROUP BY o_custkey")
 def scan_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -495,11 +395,19 @@ def scan_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leads.scan_targets(o.where("chat_id % 3 = 0").select("chat_id").distinct(), o, no_groups)
 
 
-@query("SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY c_nationkey) AS \"group\" FROM customer")
+@query("""WITH i AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN c_custkey // 2 END AS peer, CASE WHEN c_custkey % 5 > 0 THEN 'n' || c_custkey // 4 END AS name FROM customer),
+p AS (SELECT peer, min(id) AS first FROM i WHERE peer IS NOT NULL GROUP BY peer),
+k AS (SELECT name, arg_min(i.peer, first) AS peer FROM i JOIN p USING (peer) WHERE name IS NOT NULL GROUP BY name),
+f AS (SELECT i.id, i.name, k.peer FROM i LEFT JOIN k USING (name) WHERE i.peer IS NULL),
+a AS (SELECT id, 'p' || peer AS key FROM i WHERE peer IS NOT NULL UNION ALL SELECT id, coalesce('p' || peer, 'g' || coalesce(name, CAST(id AS VARCHAR))) FROM f)
+SELECT id, min(id) OVER (PARTITION BY key) AS "group" FROM a""")
 def same_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that share an identity, directly or through others."""
+    """Customers as candidates, some of a known peer, some of a name only: which are one chat. Different peers never are."""
     c = table(spark, sf_dir, "customer")
-    return leads.same_chats(c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("peer_id"), F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("username"), F.lit(None).cast("string").alias("invite")))
+    key = F.col("c_custkey")
+    peer = F.when(key % 3 > 0, F.floor(key / 2).cast("long"))
+    name = F.when(key % 5 > 0, F.concat(F.lit("N"), F.floor(key / 4).cast("string")))
+    return leads.same_chats(c.select(key.alias("id"), peer.alias("peer_id"), name.alias("username"), F.lit(None).cast("string").alias("invite")))
 
 
 # ------------------------------------------------------------- chats, streaming
@@ -531,17 +439,14 @@ def near_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.title_scores(parts, "steel rod").select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_EVENTS}, marked AS (SELECT *, CASE WHEN date - lag(date) OVER (PARTITION BY chat_id ORDER BY date, msg_id) > 86400 THEN 1 ELSE 0 END AS fresh FROM notes),
+@query(f"""WITH {EVENTS}, marked AS (SELECT *, CASE WHEN date - lag(date) OVER (PARTITION BY chat_id ORDER BY date, msg_id) > 86400 THEN 1 ELSE 0 END AS fresh FROM notes),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY chat_id ORDER BY date, msg_id) AS w FROM marked)
 SELECT chat_id, min(date) AS date_start, max(date) AS date_end, count(*) AS n FROM numbered GROUP BY chat_id, w""")
 def streamed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows kept up to date from a stream of events, read back when all has been read."""
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    rows = stream.select(F.col("user_id").alias("chat_id"), F.col("event_id").alias("msg_id"), F.lit(None).cast("long").alias("topic_id"), F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("date"), F.col("event_type").alias("line"), F.lit(0).cast("long").alias("reactions"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parlance-")
-    folder = f"{base}/stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    columns = "chat_id long, msg_id long, topic_id long, date long, line string, reactions long"
-    cut = lambda m: units.windows(m, gap_min=1440, max_msgs=10**6, max_chars=10**9)
-    maintain(rows, folder, f"{folder}/checkpoint", cut, ["chat_id", "msg_id"], columns).awaitTermination()
-    found = latest_version(spark, f"{folder}/units", cut(spark.createDataFrame([], columns)).schema)
+    rows = stream.select(F.col("user_id").alias("chat_id"), F.col("event_id").alias("msg_id"), F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("date"), F.col("event_type").alias("text"), F.lit(0).cast("long").alias("reactions"))
+    folder = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    maintain(rows, folder, f"{folder}/checkpoint", order=["date"], buckets=8, gap_min=1440, max_msgs=10**6, max_chars=10**9).awaitTermination()
+    found = Store(spark, folder, buckets=8).read("units").where("kind = 'window'")
     return found.select("chat_id", "date_start", "date_end", F.size("msg_ids").cast("long").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import links as ln
-from parlance.operators import rank
+from parlance.operators import leads, rank, units
 
 
 def with_links(hits: DataFrame, chats: DataFrame) -> DataFrame:
@@ -19,14 +19,35 @@ def with_links(hits: DataFrame, chats: DataFrame) -> DataFrame:
     return joined.withColumn("url", url).withColumn("fallback", ln.fallback_url(F.col("type"), F.col("_peer"))).drop("_peer", "_name", "_forum")
 
 
-def hit_documents(hits: DataFrame, query: str) -> list[dict]:
-    """The hits of one search, some ten of them, as dictionaries in order; the snippet is around the best line."""
+def unit_messages(units: DataFrame, messages: DataFrame) -> DataFrame:
+    """The stored messages of units in the order their texts have them, with ``unit_id`` and ``pos``."""
+    listed = units.select("unit_id", "chat_id", F.posexplode("msg_ids").alias("pos", "msg_id"))
+    return listed.join(messages, ["chat_id", "msg_id"])
+
+
+def hit_documents(hits: DataFrame, query: str, messages: DataFrame | None = None, full: bool = False) -> list[dict]:
+    """The hits of one search, some ten of them, as dictionaries in order.
+
+    The snippet is cut from a unit's rendered ``messages`` around the anchor; a post thread's, whose comments are not
+    among its messages, from its text around the best line.
+    """
+    lines_of: dict[int, list[tuple[int, str]]] = {}
+    if messages is not None:
+        lines = units.render(messages.join(hits.select("chat_id").distinct(), "chat_id", "left_semi"))
+        for r in unit_messages(hits, lines).select("unit_id", "pos", "msg_id", "line").orderBy("unit_id", "pos").collect():
+            lines_of.setdefault(r.unit_id, []).append((r.msg_id, r.line))
     out = []
     for r in hits.orderBy("place").collect():
-        lines = (r.text or "").split("\n")
-        at = r.msg_ids.index(r.anchor) if r.anchor in r.msg_ids and len(r.msg_ids) == len(lines) else rank.best_line(lines, query)
         row = r.asDict()
-        out.append({k: row[k] for k in ("place", "score", "kind", "chat_id", "anchor") if k in row} | {k: row.get(k) for k in ("title", "url", "fallback")} | {"since": row["date_start"], "until": row["date_end"], "snippet": "\n".join(rank.snippet_lines(lines, at))})
+        own = lines_of.get(row.get("unit_id"), [])
+        lines = (r.text or "").split("\n")
+        if own and not (r.kind == "thread" and len(r.msg_ids) == 1):
+            ids, lines = zip(*own, strict=True)
+            at = ids.index(r.anchor) if r.anchor in ids else 0
+        else:
+            at = r.msg_ids.index(r.anchor) if r.anchor in r.msg_ids and len(r.msg_ids) == len(lines) else rank.best_line(lines, query)
+        shown = {k: row[k] for k in ("place", "score", "kind", "chat_id", "anchor", "msg_ids", "accounts") if k in row} | {k: row.get(k) for k in ("title", "url", "fallback")}
+        out.append(shown | {"since": row["date_start"], "until": row["date_end"], "snippet": "\n".join(rank.snippet_lines(list(lines), at))} | ({"text": r.text} if full else {}))
     return out
 
 
@@ -61,14 +82,10 @@ def account_status(accounts: DataFrame, access: DataFrame) -> DataFrame:
     return joined.withColumn("place", (F.col("account") != "default").cast("int")).orderBy("place", "account")
 
 
-def prunable(chats: DataFrame, listed: DataFrame, keep: DataFrame | None = None) -> DataFrame:
-    """Chats that no source lists any more: no imports, no discussion groups of listed chats, none to keep."""
-    held = listed.select(F.col("chat_id").alias("id")).distinct()
-    groups = chats.join(held.withColumnRenamed("id", "discussion_of"), "discussion_of", "left_semi").select("id")
-    out = chats.join(held.union(groups), "id", "left_anti").where(~F.coalesce(F.col("source_id").startswith("import:"), F.lit(False)))
-    return out.join(keep.select(F.col("chat_id").alias("id")), "id", "left_anti") if keep is not None else out
-
-
-def lead_clock(rows: DataFrame, batch: int) -> DataFrame:
-    """Rows stamped with the batch that read their links; rows whose links were not read keep their stamp."""
-    return rows.withColumn("lead_seq", F.when(F.col("links").isNotNull(), F.lit(batch).cast("long")).otherwise(F.col("lead_seq")))
+def session_report(cands: DataFrame, evidence: DataFrame, cursors: DataFrame, grants: DataFrame, now: int) -> dict:
+    """A session as one document: how many candidates there are of each status, chats read, lists among them, evidence and live grants."""
+    live = leads.granted(grants, now)
+    return {
+        "candidates": {r.status: r.n for r in status_counts(cands).collect()}, "chats": cursors.count(), "directories": cursors.where("directory").count(),
+        "evidence": evidence.count(), "grants": [r.asDict() for r in live.orderBy("chat").limit(100).collect()],
+    }

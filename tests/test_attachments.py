@@ -22,20 +22,3 @@ def test_extract(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: (r.outcome, r.text) for r in at.extract(spark, str(tmp_path)).collect()}
     assert got["a.docx"] == ("text", "one\ntwo\nc1\nc2") and got["b.txt"] == ("text", "x\ny") and got["c.docx"][0] == "error" and got["d.bin"] == ("unsupported", None)
     assert got["e"] == ("text", "by its bytes") and got["f.txt"] == ("empty", None) and got["g.txt"] == ("text", "z" * 4000)
-
-
-def test_feed(spark):
-    rows = [
-        (1, 5, 100, False, 7, "Ann", "😀 t.me/aaaa @bbbb x", 3, 2, True, ("document", "audio/ogg", None, ["audio", "voice"]), None, [(2,), (3,)], [("url", 3, 9, None, None), ("mention", 13, 5, None, None), ("text_url", 0, 2, "https://t.me/cccc/9", None)]),
-        (1, 6, 100, True, None, None, "joined", None, None, None, None, None, None, None), (1, 7, None, False, None, None, "x", None, None, None, None, None, None, None),
-        (1, 8, 101, False, None, None, None, 5, 4, False, ("photo", None, None, None), (None, -9, "Old", None, 50), None, None),
-    ]
-    got = {r.msg_id: r for r in at.feed_messages(spark.createDataFrame(rows, at.FEED)).collect()}
-    assert sorted(got) == [5, 8]
-    assert (got[5].media_kind, got[5].reactions, got[5].topic_id) == ("voice", 5, 2)
-    assert [tuple(x) for x in got[5].links] == [("link", "@aaaa"), ("mention", "@bbbb"), ("text_url", "@cccc/9")]
-    assert (got[8].media_kind, got[8].fwd_from_id, got[8].fwd_from_name, got[8].topic_id, got[8].text, got[8].links) == ("photo", -9, "Old", None, "", None)
-
-
-def test_targets():
-    assert [at.target_of(x)[0] for x in ("-100", "@Name", "t.me/x", "folder:a", "some words")] == ["id", "username", "link", "folder", "words"]

@@ -3,11 +3,13 @@ import random
 
 from pyspark.sql import functions as F
 
-from parlance import storage
+import pytest
+
+from parlance import schema, storage
 from parlance.operators import chats as ch
-from parlance.operators import leads, readers, units
+from parlance.operators import leads, readers, units, upkeep
 from parlance.sources import export
-from parlance.streaming.maintenance import latest_version, maintain
+from parlance.streaming.maintenance import Store, maintain
 
 COLUMNS = "chat_id long, msg_id long, topic_id long, date long, line string, reactions long, reply_to_msg_id long"
 
@@ -66,21 +68,88 @@ def test_units_of_all_chats(spark):
     assert got == {(1, "window", (1, 2), None, 3, 20), (1, "thread", (1, 2), 7, 3, 20), (2, "post", (1,), None, 5, 10), (2, "thread", (1,), None, 5, 30), (3, "window", (9,), 1, 1, 30), (3, "window", (10,), 2, 1, 31)}
 
 
-def test_shuffled_stream_equals_one_cut(spark, tmp_path):
+FEW = {"gap_min": 30, "max_msgs": 4, "max_chars": 80}
+
+
+def shown(found):
+    return sorted((r.chat_id, r.kind, tuple(r.msg_ids), r.text, r.reactions) for r in found.collect())
+
+
+def talk(n, chats=3):
     random.seed(5)
-    rows = [(1 + i % 3, i, None, i * random.choice([10, 700]), f"line {i}", 0, None) for i in range(60)]
-    shuffled = [*rows, *rows[:5]]
+    return [(1 + i % chats, i, i * random.choice([10, 700]), f"line {i}", i - random.choice([3, 6]) if i % 4 == 0 else None, i % 3) for i in range(1, n)]
+
+
+TALK = "chat_id long, msg_id long, date long, text string, reply_to_msg_id long, reactions long"
+
+
+def test_stream_survives_repeated_batches(spark, tmp_path):
+    """Rows come late and again, edits win by their date, and a batch that stopped anywhere is repeated without a trace."""
+    rows = [(*r, 0) for r in talk(40)]
+    edited = [(c, i, d, f"{t} edited", up, n + 5, 1) for c, i, d, t, up, n, _ in rows[::9]]
+    shuffled = [*rows, *rows[:5], *edited]
     random.shuffle(shuffled)
-    cut = lambda m: units.windows(m, gap_min=30, max_msgs=4, max_chars=60)
-    source = str(tmp_path / "in")
+    source, out, cp = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    stream = lambda: spark.readStream.schema(f"{TALK}, version int").option("maxFilesPerTrigger", 1).parquet(source)
+    run = lambda: maintain(stream(), out, cp, order=["version"], buckets=2, **FEW).awaitTermination()
+    feed = lambda part: spark.createDataFrame(part, f"{TALK}, version int").coalesce(1).write.mode("append").parquet(source)
+    feed([r for r in shuffled if r[-1] == 0][::2])
+    run()
+    feed([r for r in shuffled if r[-1] == 0][1::2])
+    feed([r for r in shuffled if r[-1] == 1])
+    run()
+    latest = {r[1]: r for r in sorted(shuffled, key=lambda r: r[-1])}
+    m = schema.conform(spark.createDataFrame([r[:-1] for r in latest.values()], TALK), schema.MESSAGES)
+    want = shown(units.windows(units.render(m), **FEW).unionByName(units.threads(units.render(m))))
+    store = Store(spark, out, buckets=2)
+    assert shown(store.read("units")) == want and store.read("messages").count() == 39
+    last = store.commits()[-1]
+    for lost in ([f"out/commits/{last}"], [f"out/commits/{last}", f"out/units/{last}"], [f"out/commits/{last}", f"out/units/{last}", f"out/messages/{last}"]):
+        for path in [*lost, f"cp/commits/{last}"]:
+            target = tmp_path / path
+            target.rename(tmp_path / f"gone-{len(list(tmp_path.iterdir()))}")
+        run()
+        assert shown(store.read("units")) == want and store.commits()[-1] == last
+
+
+def test_chunks_in_any_order_equal_one_cut(spark):
+    rows = talk(60, 2)
+    m = schema.conform(spark.createDataFrame(rows, TALK), schema.MESSAGES)
+    chats = spark.createDataFrame([(1, False, False), (2, False, False)], "id long, is_forum boolean, is_broadcast boolean")
+    random.shuffle(rows)
+    have = upkeep.with_ids(units.windows(units.render(m).limit(0)))
     for k in range(3):
-        spark.createDataFrame(shuffled[k::3], COLUMNS).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(COLUMNS).option("maxFilesPerTrigger", 1).parquet(source)
-    maintain(stream, str(tmp_path / "out"), str(tmp_path / "cp"), cut, ["chat_id", "msg_id"], COLUMNS).awaitTermination()
-    whole = cut(spark.createDataFrame(rows, COLUMNS))
-    got = latest_version(spark, str(tmp_path / "out/units"), whole.schema)
-    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
-    assert latest_version(spark, str(tmp_path / "none"), COLUMNS).count() == 0
+        so_far = m.join(spark.createDataFrame([(r[0], r[1]) for r in rows[: 20 * (k + 1)]], "chat_id long, msg_id long"), ["chat_id", "msg_id"])
+        fresh = spark.createDataFrame([(r[0], r[1]) for r in rows[20 * k : 20 * (k + 1)]], "chat_id long, msg_id long")
+        gone, new = upkeep.rebuild(so_far, have, fresh, chats, **FEW)
+        have = storage.checkpointed(upkeep.applied(have, gone, new))
+    whole = units.windows(units.render(m), **FEW).unionByName(units.threads(units.render(m)))
+    assert shown(have) == shown(whole)
+    same = upkeep.rebuild(m, have, m.select("chat_id", "msg_id"), chats, **FEW)
+    assert same[0].count() == same[1].count() == 0  # what is cut to the same content keeps its id
+
+
+def test_an_edit_in_a_closed_window_waits_for_invalidation(spark):
+    rows = [(1, i, i * 10_000, f"line {i}", None, 0) for i in range(1, 6)]
+    m = schema.conform(spark.createDataFrame(rows, TALK), schema.MESSAGES)
+    chats = spark.createDataFrame([(1, False, False)], "id long, is_forum boolean, is_broadcast boolean")
+    have = storage.checkpointed(upkeep.with_ids(units.windows(units.render(m))))
+    now = m.withColumn("text", F.when(F.col("msg_id") == 2, "new").otherwise(F.col("text")))
+    edited = m.where("msg_id = 2")
+    assert upkeep.rebuild(now, have, edited, chats)[1].count() == 0
+    gone, new = upkeep.invalidate(now, have, edited, chats)
+    assert [tuple(r.msg_ids) for r in gone.collect()] == [tuple(r.msg_ids) for r in new.collect()] == [(2,)]
+    gone, new = upkeep.invalidate(m.where("msg_id <> 3"), have, m.where("msg_id = 3"), chats)
+    assert [tuple(r.msg_ids) for r in gone.collect()] == [(3,)] and new.count() == 0
+
+
+def test_a_busy_chat_is_walked_by_runs(spark, monkeypatch):
+    monkeypatch.setattr(units, "BUSY_ROWS", 20)
+    rows = [(*r[:2], None if r[0] == 1 else r[1] % 2, *r[2:]) for r in talk(120, 2)] + [(9, 1, None, 5, "alone", None, 0)]
+    m = schema.conform(spark.createDataFrame(rows, "chat_id long, msg_id long, topic_id long, date long, text string, reply_to_msg_id long, reactions long"), schema.MESSAGES)
+    busy = shown(units.windows(units.render(m), **FEW))
+    monkeypatch.setattr(units, "BUSY_ROWS", 10**6)
+    assert busy == shown(units.windows(units.render(m), **FEW)) and len(busy) > 30
 
 
 def test_upsert_of_messages(spark):
@@ -103,54 +172,104 @@ def test_export(spark, tmp_path):
     ]}
     whole = json.dumps({"about": "x", "chats": {"list": [chat, {"name": "?", "type": "unheard_of", "id": 3, "messages": []}]}})
     (tmp_path / "result.json").write_text(whole)
-    read = export.chats(export.read_chats(spark, str(tmp_path / "result.json")))
-    assert [(r.id, r.type, r.title) for r in read.collect()] == [(-1000000000077, "supergroup", "Room")]
+    read = export.read_entries(spark, str(tmp_path))
+    assert [(r.id, r.type, r.title, r.unavailable) for r in export.chats(read).collect()] == [(-1000000000077, "supergroup", "Room", True)]
     got = {r.msg_id: r for r in export.messages(read).collect()}
     assert sorted(got) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 13] and got[2].text == "a b!" and got[3].text == "see thisBo" and got[13].date == 60 and got[1].date == 101
     assert [tuple(x) for x in got[3].links] == [("mention", "peer:9"), ("text_url", "@name/4")] and got[1].links is None
     assert [(got[i].media_kind, got[i].media_filename) for i in (1, 4, 5, 6)] == [(None, None), ("photo", None), ("voice", "y z.pdf"), ("poll", None)]
     assert got[6].text == "Q?\nA\nB" and got[7].reactions == 5 and (got[7].fwd_from_name, got[7].fwd_from_id) == ("Old", -1000000000008)
     assert (got[8].reply_to_msg_id, got[9].reply_to_msg_id, got[1].from_id) == (1, None, 5)
-    assert {r.reason: r.n for r in export.report(read).collect()} == {"service": 1, "no id": 1, "no date": 1}
+    assert {r.reason: r.n for r in export.report(read).collect()} == {"service": 1, "no id": 1, "no date": 1, "a chat of an unknown type": 1}
     cut = whole[: whole.index('"id": 5')]
     (tmp_path / "cut.json").write_text(cut)
-    found = export.messages(export.chats(export.read_chats(spark, str(tmp_path / "cut.json")))).collect()
+    found = export.messages(export.read_entries(spark, str(tmp_path / "cut.json"))).collect()
     assert {1, 2, 3, 4} >= {r.msg_id for r in found} >= {1, 2, 3}
     (tmp_path / "one.json").write_text(json.dumps(chat))
-    assert export.messages(export.chats(export.read_chats(spark, str(tmp_path / "one.json")))).count() == 10
-    assert export.recover("no json") is None and export.recover("[1, [2, 3], {") == "[1, [2, 3]]"
+    assert export.messages(export.read_entries(spark, str(tmp_path / "one.json"))).count() == 10
+    with pytest.raises(export.ExportError):
+        export.read_entries(spark, str(tmp_path / "none.json"))
+    assert export.recover("no json") is None and export.recover("[1, [2, 3], {") == "[1, [2, 3]]" and export.recover("[1]}") is None
+    odd = export.entries(spark.createDataFrame([("a", json.dumps({"type": "bot_chat", "id": 1, "messages": [message(1, text="[1, 2]"), message(2, date_unixtime="999999999999"), message(3, date_unixtime=None, date="2024-01-01T00:00:00+02:00"), 5, message(4, forwarded_from=None)]})), ("b", "[]"), ("c", "nothing")], "file string, text string"))
+    got = {r.msg_id: r for r in export.messages(odd).collect()}
+    assert got[1].text == "[1, 2]" and got[3].date == 1704060000 and got[4].fwd_from_name == "unknown" and got[1].fwd_from_name is None
+    assert {r.reason: r.n for r in export.report(odd).collect()} == {"a message is no object": 1, "no date": 1, "the file holds no object": 1, "the file is no JSON": 1}
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")  # what has no zone is UTC whatever the session's is
+    try:
+        assert export.messages(read).where("msg_id = 13").head().date == 60
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_import_beside_live_chats(spark):
+    chat = lambda *rows: schema.conform(spark.createDataFrame(rows, "id long, peer_id long, type string, title string, source_id string, scope string"), schema.CHATS)
+    stored = chat((5, 5, "user", "Bo", "import:bo", "home"), (-1000000000009, -1000000000009, "channel", "News", "folder:x", ""), (7, 7, "user", "Al", "chat:@al", "home"))
+    fresh = chat((5, 5, "user", "Bo", None, None), (8, 8, "user", "Bo", None, None), (9, 9, "user", "🙂", None, None))
+    none = schema.conform(spark.createDataFrame([(5, 1), (8, 2)], "chat_id long, msg_id long"), schema.MESSAGES)
+    every, found = export.import_chats(stored, fresh, none, "work")
+    got = {(r.scope, r.peer_id): (r.id, r.source_id) for r in every.collect()}
+    assert got["work", 5] == (schema.SYNTHETIC_BASE, "import:bo-5") and got["work", 8] == (8, "import:bo-8") and got["work", 9] == (9, "import:chat-9") and got["home", 5] == (5, "import:bo")
+    assert sorted((r.chat_id, r.msg_id) for r in found.collect()) == [(8, 2), (schema.SYNTHETIC_BASE, 1)]
+    again, _ = export.import_chats(every, fresh, none, "work")
+    assert {(r.scope, r.peer_id): (r.id, r.source_id) for r in again.collect()} == got
+    with pytest.raises(export.ImportConflict):
+        export.import_chats(stored, chat((7, 7, "user", "Al", None, None)), none, "home")
+
+
+def test_origins(spark):
+    """A post and its forwards are one origin, an author and a time are one, hidden authors and plain messages are each their own."""
+    m = "chat_id long, msg_id long, text string, fwd_from_id long, fwd_msg_id long, fwd_from_name string, fwd_date long"
+    post = -1000000000050
+    rows = [(1, 7, "@target_x", None, None, None, None), (2, 1, "@target_x", post, 7, "n", 9), (3, 1, "@target_x", post, None, "n", None), (2, 2, "@target_x", post, None, "n", None), (2, 3, "@target_x", None, None, "hidden", 5), (3, 3, "@target_x", None, None, "hidden", 5)]
+    chats = spark.createDataFrame([(1, post, "channel", ""), (2, 12, "user", "work"), (3, 13, "user", "work")], "id long, peer_id long, type string, scope string")
+    found = {(r.chat_id, r.msg_id): r.origin for r in leads.message_leads(spark.createDataFrame(rows, m), chats).where("chat = '@target_x'").collect()}
+    assert found[1, 7] == found[2, 1] == f"post:{post}/7" and found[3, 1] == found[2, 2] == f"fwd:{post}@0"
+    assert found[2, 3] == "msg:work:12/3" and found[3, 3] == "msg:work:13/3"
 
 
 def test_discovery(spark):
-    m = "chat_id long, msg_id long, text string, links array<struct<kind:string,target:string>>, fwd_from_id long, fwd_from_name string, fwd_date long"
-    rows = [(1, 1, "t.me/aaaa and @self_name", None, None, None, None), (1, 2, "t.me/bbbb", [], None, None, None), (2, 1, "x", [("link", "https://t.me/AAAA/5")], None, None, None), (2, 2, "x", [("link", "t.me/aaaa")], -100, "n", 9), (3, 1, "x", [("link", "t.me/aaaa")], -100, "n", 9), (3, 2, "tg://user?id=4", None, None, None, None)]
-    chats = spark.createDataFrame([(1, 11, "Self_Name"), (2, 12, None), (3, 13, None)], "id long, peer_id long, username string")
-    found = leads.collect_leads(spark.createDataFrame(rows, m), chats)
+    m = "chat_id long, msg_id long, text string, links array<struct<kind:string,target:string>>, fwd_from_id long, fwd_from_name string, fwd_date long, lead_seq long"
+    rows = [(1, 1, "t.me/aaaa and @self_name", None, None, None, None, 1), (1, 2, "t.me/bbbb", [], None, None, None, 2), (2, 1, "x", [("link", "https://t.me/AAAA/5")], None, None, None, 3), (2, 2, "x", [("link", "t.me/aaaa")], -100, "n", 9, 4), (3, 1, "x", [("link", "t.me/aaaa")], -100, "n", 9, 5), (3, 2, "tg://user?id=4", None, None, None, None, 6)]
+    chats = spark.createDataFrame([(1, 11, "Self_Name", "user", "a", None), (2, 12, None, "user", "a", None), (3, 13, None, "user", "a", None)], "id long, peer_id long, username string, type string, scope string, discussion_of long")
+    messages = spark.createDataFrame(rows, m)
+    found = storage.checkpointed(leads.collect_leads(messages, chats))
     assert {(r.chat, r.corroboration, r.chats) for r in leads.candidates(found).collect()} == {("@aaaa", 3, 3), ("peer:-100", 1, 2)}
     after = spark.createDataFrame([(1, 1), (2, 9), (3, 9)], "chat_id long, after long")
-    assert leads.collect_leads(spark.createDataFrame(rows, m), chats, after).count() == 0
+    assert leads.collect_leads(messages, chats, after).count() == 0
     ranked = leads.ranked(leads.candidates(found), found, "see aaaa 12").collect()
     assert [r.chat for r in sorted(ranked, key=lambda r: r.rank)] == ["@aaaa", "peer:-100"]
-    stored = found.where("chat_id = 1")
+    assert leads.question_terms("see the 123 ox walking") == ["see", "the", "walk"]
+    columns = leads.EVIDENCE.replace(" string", "").replace(" long", "").split(", ")
+    stored = found.select(*columns).where("chat_id = 1")
     assert leads.evidence(stored, found.unionByName(found)).count() == found.count()
-    assert leads.evidence(found, found).count() == found.count()
-    ids = spark.createDataFrame([(1, 5, None, None), (2, None, "Name", None), (3, 5, "name", None), (4, None, None, "h"), (5, 6, None, "h"), (6, None, None, None)], "id long, peer_id long, username string, invite string")
-    assert {r.id: r.group for r in leads.same_chats(ids).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
-    assert {(r.chat, r.chat_id) for r in leads.held(leads.candidates(found).unionByName(spark.createDataFrame([("@self_name", 1, 1, 1, 1)], leads.candidates(found).schema)), chats).collect()} == {("@self_name", 1)}
+    ids = spark.createDataFrame([(1, 5, None, None), (2, None, "Name", None), (3, 5, "name", None), (4, None, None, "h"), (5, 6, None, "h"), (6, None, None, None), (7, 8, "NAME", None), (8, None, "name", "k")], "id long, peer_id long, username string, invite string")
+    assert {r.id: r.group for r in leads.same_chats(ids).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 1}  # 3 and 7 share a name and are not one
+    cands = leads.candidates(found).select("chat").unionByName(spark.createDataFrame([("@self_name",)], "chat string"))
+    assert {(r.chat, r.chat_id) for r in leads.held(cands, chats).collect()} == {("@self_name", 1)}
 
 
 def test_choosing_chats(spark):
-    chats = spark.createDataFrame([(1, 101, "Name", "Visa and residence", "folder:a"), (2, 102, None, "Bank talk", "folder:a"), (3, 103, None, "Weather", "folder:b")], "id long, peer_id long, username string, title string, source_id string")
+    cols = "id long, peer_id long, username string, title string, source_id string, type string, scope string"
+    chats = spark.createDataFrame([(1, 101, "Name", "Visa and residence", "folder:a", "supergroup", ""), (2, 102, None, "Bank talk", "work/folder:a", "user", "work"), (3, 103, None, "Weather", "folder:b", "user", "home"), (4, 104, None, "Old", "import:old", "user", "home")], cols)
     pick = lambda *s: ch.select_chats(chats, list(s))
     assert pick("101") == {1} and pick("@name") == {1} and pick("bank") == {2} and pick("folder:a", "3") == {1, 2, 3} and pick("wether") == {3} and ch.one_chat(chats, "BANK") == 2
-    import pytest
-
+    assert pick("work/folder:a") == {2} and pick("import:old") == {4} and pick("https://t.me/Name/5") == {1} and pick("chat:@name") == {1} and pick("work/chat:102") == {2}
     with pytest.raises(ch.UnknownChat):
         pick("nothing like it")
+    with pytest.raises(ch.UnknownChat):
+        pick("home/chat:102")
     with pytest.raises(ch.UnknownChat):
         ch.one_chat(chats, "folder:a")
+    assert ch.parse_target("Work/folder:x") == ("work", "folder", "x") and ch.split_source_id("work/chat:@x") == ("work", "chat:@x") and ch.split_source_id("import:x") == ("default", "import:x")
+    assert ch.same_target("@Name", "chat:@name") and not ch.same_target("some words", "some words") and [ch.parse_target(x)[1] for x in ("-100", "t.me/x", "some words")] == ["id", "link", "words"]
     assert ch.title_score("visa", "Visa and residence") == pytest.approx(0.8 + 0.2 * 4 / 18) and ch.title_score("", "x") == 0
     dialogs = spark.createDataFrame([(1, "group", True, False, False), (2, "group", False, False, False), (3, "channel", False, False, False), (4, "bot", False, False, False)], "id long, kind string, muted boolean, read boolean, archived boolean")
     assert {r.id for r in ch.folder_members(dialogs, [4], [1], [3], ["group", "channel"], no_muted=True).collect()} == {1, 2, 4}
-    media = spark.range(1).select(storage.next_media_state(F.lit(0), F.lit("error"), F.lit(0)), storage.next_media_state(F.lit(0), F.lit("error"), F.lit(2)), storage.next_media_state(F.lit(1), F.lit("error"), F.lit(0))).head()
-    assert tuple(media) == (0, 4, 1)
+    media = spark.range(1).select(storage.next_media_state(F.lit(0), F.lit("error")), storage.next_media_state(F.lit(0), F.lit("empty")), storage.next_media_state(F.lit(1), F.lit("error"))).head()
+    assert tuple(media) == (storage.FAILED, storage.EXTRACTED, 1)
+
+
+def test_pruned_only_if_unchanged(spark):
+    offered = spark.createDataFrame([(1, "folder:a"), (2, "folder:a"), (3, "folder:a"), (4, "folder:a")], "id long, source_id string")
+    now = spark.createDataFrame([(1, "folder:a", None), (2, "import:x", None), (3, "folder:b", None), (4, "folder:a", 1)], "id long, source_id string, discussion_of long")
+    assert [r.id for r in ch.still_prunable(offered, now).collect()] == [1]

@@ -8,14 +8,12 @@ def test_hits(spark):
     chats = spark.createDataFrame([(1, -1000000000123, "supergroup", "Room", "room", False), (2, 42, "user", "Eve", None, False)], "id long, peer_id long, type string, title string, username string, is_forum boolean")
     docs = results.hit_documents(results.with_links(hits, chats), "bank")
     assert [(d["url"], d["fallback"]) for d in docs] == [("https://t.me/room/5", None), ("tg://openmessage?user_id=42&message_id=9", "tg://user?id=42")]
-    assert docs[0]["snippet"].split("\n")[1] == "[x] bob: bank opened"
-    assert results.hit_text(docs).startswith("1. 0.5000 window Room 1970-01-01 00:01 - 1970-01-01 00:02\n[x] ann")
+    assert docs[0]["snippet"].split("\n") == ["[x] bob: bank opened", "[x] ann: opening"]
+    assert results.hit_text(docs).startswith("1. 0.5000 window Room 1970-01-01 00:01 - 1970-01-01 00:02\n[x] bob")
 
 
 def test_reports(spark):
     chats = spark.createDataFrame([(1, None, "folder:a", 100), (2, 1, None, None), (3, None, "import:x", None), (4, None, None, 700), (5, None, None, None)], "id long, discussion_of long, source_id string, last_sync_at long")
-    listed, keep = spark.createDataFrame([(1,)], "chat_id long"), spark.createDataFrame([(5,)], "chat_id long")
-    assert {r.id for r in results.prunable(chats, listed).collect()} == {4, 5} and {r.id for r in results.prunable(chats, listed, keep).collect()} == {4}
     assert results.index_age(chats, 1000) == 5 and results.index_age(chats.where("id = 2"), 1000) is None
     accounts = spark.createDataFrame([("b",), ("default",), ("a",)], "account string")
     access = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2)], "account string, chat_id long")
@@ -23,6 +21,5 @@ def test_reports(spark):
     ev = spark.createDataFrame([("@x", "o1", 1, 2, "link", "s"), ("@x", "o1", 1, 1, "link", "s"), ("@x", "o2", 3, 1, "mention", "t")], "chat string, origin string, chat_id long, msg_id long, via string, snippet string")
     got = results.candidate_report(spark.createDataFrame([("@x", 2), ("@y", 0)], "chat string, corroboration long"), ev, 1).collect()
     assert {r.chat: r.evidence and [e.msg_id for e in r.evidence] for r in got} == {"@x": [1], "@y": None}
-    rows = spark.createDataFrame([(1, [], 3), (2, None, 3)], "id long, links array<string>, lead_seq long")
-    assert {r.id: r.lead_seq for r in results.lead_clock(rows, 9).collect()} == {1: 9, 2: 3}
+    rows = spark.range(2)
     assert {r.status: r.n for r in results.status_counts(rows.select(F.lit("new").alias("status"))).collect()} == {"new": 2}
