@@ -104,10 +104,9 @@ def test_stream_survives_repeated_batches(spark, tmp_path):
     store = Store(spark, out, buckets=2)
     assert shown(store.read("units")) == want and store.read("messages").count() == 39
     last = store.commits()[-1]
-    for lost in ([f"out/commits/{last}"], [f"out/commits/{last}", f"out/units/{last}"], [f"out/commits/{last}", f"out/units/{last}", f"out/messages/{last}"]):
-        for path in [*lost, f"cp/commits/{last}"]:
-            target = tmp_path / path
-            target.rename(tmp_path / f"gone-{len(list(tmp_path.iterdir()))}")
+    for lost in ([f"out/commits/{last}"], [f"out/commits/{last}", f"out/units/{last}", f"out/messages/{last}"]):
+        for path in [*lost, f"cp/commits/{last}", f"cp/commits/.{last}.crc"]:
+            (tmp_path / path).rename(tmp_path / f"gone-{len(list(tmp_path.iterdir()))}")
         run()
         assert shown(store.read("units")) == want and store.commits()[-1] == last
 
