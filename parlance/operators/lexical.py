@@ -68,12 +68,6 @@ def postings(terms: DataFrame, doc: str, weights: dict[str, float] | None = None
     return both.groupBy("term", doc).agg(F.sum("w").alias("f"), F.count("*").alias("tf"))
 
 
-def lengths(terms: DataFrame, doc: str) -> DataFrame:
-    """(doc, size): the terms of all columns of every document, also of those with none."""
-    size = sum((F.size(c) for c in terms.columns if c != doc), F.lit(0))
-    return terms.select(doc, size.cast("long").alias("size"))
-
-
 def bm25(terms: DataFrame, query: list[str], doc: str, weights: dict[str, float] | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """(doc, score, hits): the BM25 score of each document that holds a query term, and how many of them it holds.
 

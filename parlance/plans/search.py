@@ -39,6 +39,18 @@ def build_indexes(units: DataFrame, messages: DataFrame, folder: str | None = No
     return found
 
 
+def index_delta(indexes: tuple[Index, Index], gone: DataFrame, new: DataFrame, changed: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+    """Bring the indexes up to date after units went and came (see ``upkeep``), and messages changed or were removed.
+
+    A message whose text is empty now leaves the index.
+    """
+    indexes[0].add(new.select(F.col("unit_id").alias("doc"), "text"), gone.select(F.col("unit_id").alias("doc")))
+    if changed is not None or removed is not None:
+        rows = changed if changed is not None else removed.limit(0)
+        keys = rows.select("chat_id", "msg_id") if removed is None else rows.select("chat_id", "msg_id").unionByName(removed.select("chat_id", "msg_id"))
+        indexes[1].add(message_documents(rows), keys.select(F.xxhash64("chat_id", "msg_id").alias("doc")))
+
+
 def message_places(messages: DataFrame, units: DataFrame, scores: DataFrame, terms: int, limit: int, allowed: DataFrame | None = None) -> DataFrame:
     """(unit_id, place, anchor): units by the best message they hold; messages in no unit are passed over."""
     docs = messages.select("chat_id", "msg_id", "topic_id", F.xxhash64("chat_id", "msg_id").alias("doc"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import links as ln
-from parlance.schema import CHATS, DEFAULT_ACCOUNT, IMPORT_PREFIX, MESSAGES, SHARED_TYPES, SYNTHETIC_BASE, conform
+from parlance.schema import CHATS, DEFAULT_ACCOUNT, IMPORT_PREFIX, MESSAGES, SYNTHETIC_BASE, conform
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -321,8 +321,3 @@ def refetchable(chats: DataFrame) -> DataFrame:
 def fetchable_by(chats: DataFrame, account: str) -> DataFrame:
     """Chats that an account may fetch: those all accounts share, and its own."""
     return chats.where((F.coalesce("scope", F.lit("")) == "") | (F.col("scope") == account))
-
-
-def unlisted_kinds(chats: DataFrame) -> DataFrame:
-    """Chats of types that only one account reaches."""
-    return chats.where(~F.col("type").isin(*SHARED_TYPES))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parlance.functions import text as tx
 from parlance.operators import dense, lexical, rank
 from parlance.operators.index import Index
-from parlance.plans.search import build_indexes, search
+from parlance.plans.search import build_indexes, index_delta, search
 
 
 def fts_scores(docs, terms, op):
@@ -179,3 +179,14 @@ def test_anchors(spark, tmp_path):
     messages = spark.createDataFrame([(1, i, None, i, t, None) for i, t in text.items()], "chat_id long, msg_id long, topic_id long, date long, text string, extracted string")
     found, _ = search(units, messages, None, "banks opening", indexes=build_indexes(units, messages, str(tmp_path)))
     assert [r.anchor for r in found.collect()] == [12]
+
+
+def test_indexes_follow_units(spark, tmp_path):
+    units = spark.createDataFrame([(1, "open"), (2, "bank")], "unit_id long, text string")
+    messages = spark.createDataFrame([(1, 1, "open", None), (1, 2, "bank", None)], "chat_id long, msg_id long, text string, extracted string")
+    indexes = build_indexes(units, messages, str(tmp_path))
+    edited = spark.createDataFrame([(1, 1, "", None), (1, 3, "news", None)], messages.schema)
+    index_delta(indexes, units.where("unit_id = 1"), spark.createDataFrame([(3, "open news")], "unit_id long, text string"), edited, messages.where("msg_id = 2"))
+    found = lambda k, q: indexes[k].scores(q).count()
+    assert [r.doc for r in indexes[0].scores("open").collect()] == [3] and found(0, "bank") == 1
+    assert [found(1, q) for q in ("open", "bank", "news")] == [0, 0, 1] and indexes[1].stats()[0] == 1
