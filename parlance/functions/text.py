@@ -19,6 +19,8 @@ TOKEN = r"([\p{L}\p{N}_]+)"
 CYRILLIC = "[\u0400-\u052f\u1c80-\u1c8f\u2de0-\u2dff\ua640-\ua69f]"
 LATIN = "[a-z\u00c0-\u024f]"
 _SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
+#: Fixed value: the characters that are white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 @F.pandas_udf(T.StringType())
@@ -82,7 +84,7 @@ def query_terms(text: str) -> list[str]:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_SPACE}|{_SPACE}$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def one_line(text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from parlance import schema
 from parlance.functions import text as tx
+from parlance.storage import spread
 
 # Words that stand for one another across languages in the deterministic embedder.
 LEXICON = {
@@ -77,7 +78,7 @@ def embed_dirty(units: DataFrame, stored: DataFrame, name: str = "hashed") -> Da
     """Vectors after a change: those of units that are still there, and new ones for units without."""
     have = stored.join(units.select("unit_id"), "unit_id", "left_semi")
     new = units.join(stored.select("unit_id"), "unit_id", "left_anti")
-    fresh = new.select("unit_id", "chat_id", "date_start", embed(F.col("text"), name).alias("embedding")).where(usable(F.col("embedding")))
+    fresh = spread(new.select("unit_id", "chat_id", "date_start", "text")).select("unit_id", "chat_id", "date_start", embed(F.col("text"), name).alias("embedding")).where(usable(F.col("embedding")))
     return have.unionByName(fresh)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
 from parlance.operators.lexical import WEIGHTS, and_then_or, index_tokens, phrases, scored
+from parlance.storage import spread
 
 #: Folders that postings are spread over by term, and parts that each folder's rows are written in by document.
 BUCKETS = 32
@@ -93,7 +94,7 @@ class Index:
         before = self.segments()
         number = number if number is not None else max(before, default=0) + 1
         before = [n for n in before if n < number]
-        self._write(posted(docs), docs, gone, before, number)
+        self._write(posted(spread(docs.select("doc", "text"))), docs, gone, before, number)
         return number
 
     def _write(self, postings: DataFrame, docs: DataFrame, gone: DataFrame | None, before: list[int], number: int) -> None:

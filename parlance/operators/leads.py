@@ -15,7 +15,7 @@ from parlance import schema
 from parlance.functions import links as ln
 from parlance.functions import text as tx
 from parlance.operators.ordered import placed
-from parlance.storage import checkpointed
+from parlance.storage import checkpointed, spread
 
 CANDIDATES = "chat string, peer_id long, username string, invite string, slug string, depth int, status string, decided boolean"
 EVIDENCE = "chat string, chat_id long, msg_id long, via string, origin string, snippet string"
@@ -77,7 +77,7 @@ def message_leads(messages: DataFrame, chats: DataFrame) -> DataFrame:
     """
     about = chats.select(F.col("id").alias("chat_id"), "type", "scope", "peer_id")
     columns = ["chat_id", "msg_id", "text", "links", "links_read", "fwd_from_id", "fwd_msg_id", "fwd_date"]
-    rows = lead_rows(schema.conform(messages, schema.MESSAGES).select(*columns)).join(about, "chat_id")
+    rows = lead_rows(spread(schema.conform(messages, schema.MESSAGES).select(*columns))).join(about, "chat_id")
     shown = F.when(F.col("links").isNull() & ~F.coalesce("links_read", F.lit(False)), ln.spans(F.col("text")))
     forward = F.when(F.col("fwd_from_id").isNotNull(), F.array(F.struct(F.lit("forward").alias("kind"), F.concat(F.lit("peer:"), F.col("fwd_from_id").cast("string")).alias("target"))))
     none = F.array().cast(_LEADS)

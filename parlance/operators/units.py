@@ -213,13 +213,13 @@ def post_threads(messages: DataFrame, comments: DataFrame, cap: int = schema.THR
     return joined.withColumn("text", F.array_join(lines, "\n")).withColumn("date_end", F.greatest("date_end", "c_end")).withColumn("kind", F.lit("thread")).select(*UNIT_COLUMNS)
 
 
-def build_units(messages: DataFrame, chats: DataFrame, comments: bool = True) -> DataFrame:
+def build_units(messages: DataFrame, chats: DataFrame, comments: bool = True, cap: int = schema.THREAD_MAX_MSGS, **limits: int) -> DataFrame:
     """All units: posts and post threads of channels, windows and threads of all other chats."""
     lines = render(messages)
     cast = chats.where(F.coalesce("is_broadcast", F.lit(False))).select(F.col("id").alias("chat_id"))
     channel, talk = lines.join(cast, "chat_id", "left_semi"), lines.join(cast, "chat_id", "left_anti")
-    out = windows(window_topic(talk, chats)).unionByName(threads(talk)).unionByName(posts(channel))
-    return out.unionByName(post_threads(channel, talk)) if comments else out
+    out = windows(window_topic(talk, chats), **limits).unionByName(threads(talk, cap)).unionByName(posts(channel))
+    return out.unionByName(post_threads(channel, talk, cap)) if comments else out
 
 
 # ---------------------------------------------------------------- maintenance

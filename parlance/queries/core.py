@@ -12,7 +12,7 @@ from parlance.functions import text as tx
 from parlance.operators import chats as ch
 from parlance.operators import dense, leads, lexical, rank, readers, units
 from parlance.queries.base import EVENTS, TALKS, notes, query, table, talks
-from parlance.storage import PENDING, changed, deleted, latest, merge, next_media_state, shared_folder
+from parlance.storage import PENDING, changed, deleted, latest, merge, next_media_state, shared_folder, spread
 from parlance.streaming.maintenance import Store, maintain
 
 
@@ -30,7 +30,7 @@ def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM documents) GROUP BY token""")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents, and in how many each is."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
     return rows.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
@@ -174,7 +174,7 @@ scored AS (SELECT doc_id, count(*) AS hits,
 
 
 def _raw_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)).alias("raw"))
 
 

@@ -14,7 +14,7 @@ from parlance.operators.lexical import and_then_or
 from parlance.plans.search import build_indexes, search
 from parlance.queries.base import query, table, talks
 from parlance.sinks import results
-from parlance.storage import checkpointed, shared_folder
+from parlance.storage import checkpointed, shared_folder, spread
 
 
 def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -100,11 +100,11 @@ def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     folder = _folder(spark, sf_dir, "corpus")
     m = schema.conform(talks(spark, sf_dir), schema.MESSAGES)
     if not Index(spark, f"{folder}/index/units").segments():
-        lines = units.render(m)
+        lines = units.render(spread(m))
         u = upkeep.with_ids(units.windows(lines).unionByName(units.threads(lines)))
         u.write.mode("overwrite").parquet(f"{folder}/units")
         u = spark.read.parquet(f"{folder}/units")
-        u.select("unit_id", "chat_id", "date_start", dense.embed(F.col("text")).alias("embedding")).where(dense.usable(F.col("embedding"))).write.mode("overwrite").parquet(f"{folder}/vectors")
+        spread(u.select("unit_id", "chat_id", "date_start", "text")).select("unit_id", "chat_id", "date_start", dense.embed(F.col("text")).alias("embedding")).where(dense.usable(F.col("embedding"))).write.mode("overwrite").parquet(f"{folder}/vectors")
         build_indexes(u, m, f"{folder}/index")
     return m, spark.read.parquet(f"{folder}/units"), spark.read.parquet(f"{folder}/vectors")
 

@@ -30,6 +30,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of input for each core below which rows are spread.
+SMALL_BYTES = 16 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over as many tasks as there are cores, where Spark takes them for small; a large input has more parts as it is.
+
+    Before work that costs far more than moving the rows; a small file is a single task's otherwise.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size < cores * SMALL_BYTES else rows
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key: one aggregate with map-side combine, so a key with many rows is no burden."""
     payload = [c for c in rows.columns if c not in keys]

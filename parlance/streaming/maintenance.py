@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from parlance import schema
 from parlance.operators import upkeep
+from parlance.operators.units import build_units
 from parlance.storage import checkpointed, conform, latest, upsert_messages
 
 UNITS = f"{schema.UNITS}, unit_id long"
@@ -96,8 +97,11 @@ def maintain(stream: DataFrame, folder: str, checkpoint: str, chats: DataFrame |
         now = spark.read.schema(f"{schema.MESSAGES}, bucket int").parquet(paths).drop("bucket")
         units = checkpointed(store.read("units", number, touched))
         kinds = chats if chats is not None else now.select(F.col("chat_id").alias("id"), F.lit(False).alias("is_forum"), F.lit(False).alias("is_broadcast")).distinct()
-        gone, new = upkeep.rebuild(now, units, fresh.select("chat_id", "msg_id"), kinds, cap=cap, **limits)
-        current = upkeep.units_with_reactions(upkeep.applied(units, gone, new), now, fresh)
+        if units.isEmpty():  # nothing was cut before
+            current = upkeep.with_ids(build_units(now, kinds, cap=cap, **limits)).select(*units.columns)
+        else:
+            gone, new = upkeep.rebuild(now, units, fresh.select("chat_id", "msg_id"), kinds, cap=cap, **limits)
+            current = upkeep.units_with_reactions(upkeep.applied(units, gone, new), now, fresh)
         store.write("units", current, number)
         store.commit(touched, number)
 
