@@ -46,16 +46,20 @@ _FORMS = {
 _COLUMNS = " UNION ALL ".join(f"SELECT doc_id, '{stem}' AS stem, term, '{stem}' = term AS raw FROM terms WHERE term IN ({', '.join(repr(f) for f in forms)})" for stem, forms in _FORMS.items())
 
 
-@query(rf"""WITH {_TERMS}, held AS ({_COLUMNS}), sizes AS (SELECT d.doc_id, 2 * count(t.term) AS size FROM documents d LEFT JOIN terms t USING (doc_id) GROUP BY d.doc_id), whole AS (SELECT count(*) AS n, avg(size) AS mean FROM sizes),
-f AS (SELECT doc_id, stem, sum(CASE WHEN raw THEN 2.0 ELSE 0.0 END) + count(*) AS f FROM held GROUP BY ALL), df AS (SELECT stem, count(*) AS df FROM f GROUP BY stem)
-SELECT doc_id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score, CAST(count(*) AS INT) AS hits FROM f JOIN df USING (stem) JOIN sizes USING (doc_id), whole GROUP BY doc_id""")
+_SCORED = rf"""{_TERMS}, held AS ({_COLUMNS}), sizes AS (SELECT d.doc_id, 2 * count(t.term) AS size FROM documents d LEFT JOIN terms t USING (doc_id) GROUP BY d.doc_id), whole AS (SELECT count(*) AS n, avg(size) AS mean FROM sizes),
+f AS (SELECT doc_id, stem, sum(CASE WHEN raw THEN 2.0 ELSE 0.0 END) + count(*) AS f FROM held GROUP BY ALL), df AS (SELECT stem, count(*) AS df FROM f GROUP BY stem),
+s AS (SELECT doc_id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / mean))) AS score, CAST(count(*) AS INT) AS hits FROM f JOIN df USING (stem) JOIN sizes USING (doc_id), whole GROUP BY doc_id)"""
+
+
+@query(f"WITH {_SCORED} SELECT doc_id, round(score, 6) AS score, hits FROM s")
 def two_column_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of all documents over the plain and the stemmed column, for two words, from the stored index."""
     found = document_index(spark, sf_dir).scores("haing inging")
     return found.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "hits")
 
 
-@query()
+@query(f"""WITH {_SCORED}, r AS (SELECT *, CASE WHEN hits = 2 THEN 0 ELSE 1 END AS tier FROM s)
+SELECT doc_id, tier, CAST(row_number() OVER (ORDER BY tier, round(score, 12) DESC, doc_id) AS INT) AS place, round(score, 6) AS score FROM r QUALIFY place <= 20""")
 def two_column_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 20 documents over both columns: those with both words first."""
     found = document_index(spark, sf_dir).search("haing inging", 20)
