@@ -14,6 +14,7 @@ from parlance.llm.common import documents, shared_dir
 from parlance.llm.decontam import contaminated
 from parlance.llm.katz import katz_scores
 from parlance.llm.langid import fold, identify
+from parlance.llm.merkle import audit, leaf
 from parlance.llm.packing import assign, tokenised
 from parlance.llm.rabitq import nearest
 from parlance.llm.sharding import shard_documents
@@ -132,5 +133,64 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op2_simhash_decontamination, op3_pattern_packing, op4_rabitq_search, op5_prefix_target_chat, op6_warc_zstd, op7_gear_chunks, op8_ppm_language, op9_katz_backoff, op10_simhash_bktree)}
-ORACLES: dict[str, str] = {"op5_prefix_target_chat": _OP5_SQL, "op6_warc_zstd": _OP6_SQL}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, each held against it; of those whose doc_id's checksum 7 divides, n_chars is tampered with."""
+    docs = documents(spark, sf_dir)
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    longer = leaf(*[docs[c].cast("decimal(20,0)") + 1 if c == "n_chars" else docs[c] for c in columns])
+    tampered = F.when((F.crc32(docs["doc_id"].cast("string")) % 7 == 0) & docs["n_chars"].isNotNull(), longer)
+    return audit(docs, columns, altered=tampered).withColumnRenamed("key", "doc_id")
+
+
+_LEAF_SQL = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "{n_chars}", "text"))
+_OP11_SQL = f"""
+WITH RECURSIVE crcs AS (  -- the unsigned crc32 of the decimal doc_id, bit by bit
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 1 AS i, CAST(4294967295 AS BIGINT) AS c FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL
+  SELECT doc_id, s, i + 1, list_reduce(list_prepend(xor(c, CAST(ascii(substr(s, i, 1)) AS BIGINT)), CAST(range(8) AS BIGINT[])),
+    lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, CAST(3988292384 AS BIGINT)) ELSE a // 2 END)
+  FROM crcs WHERE i <= length(s)
+), sums AS (
+  SELECT doc_id, xor(c, CAST(4294967295 AS BIGINT)) AS crc FROM crcs WHERE i = length(s) + 1
+), leaves AS (
+  SELECT d.doc_id, coalesce('=' || lang, '') AS tree, sha256({_LEAF_SQL.replace("{n_chars}", "n_chars")}) AS leaf,
+    CASE WHEN s.crc % 7 = 0 AND n_chars IS NOT NULL THEN sha256({_LEAF_SQL.replace("{n_chars}", "(n_chars + 1)")}) END AS altered
+  FROM (SELECT doc_id, source, lang, n_chars, text FROM documents) d LEFT JOIN sums s USING (doc_id)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves
+), levels AS (
+  SELECT 0 AS level, tree, place, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT level + 1, tree, place // 2, sha256(string_agg(h, '' ORDER BY place)), (n + 1) // 2
+  FROM levels WHERE n > 1 GROUP BY level, tree, place // 2, n
+), subroots AS (
+  SELECT tree, h AS subroot, level AS height, row_number() OVER (ORDER BY tree) - 1 AS tree_place FROM levels WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, tree_place AS place, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 2, sha256(string_agg(h, '' ORDER BY place)), (n + 1) // 2
+  FROM tops WHERE n > 1 GROUP BY level, place // 2, n
+), nodes AS (
+  SELECT tree, level, place, h FROM levels UNION ALL
+  SELECT s.tree, s.height + t.level, t.place, t.h FROM subroots s, tops t
+), folds AS (
+  SELECT p.doc_id, p.leaf, p.tree, s.subroot, s.height, s.tree_place, 0 AS level, p.place, coalesce(p.altered, p.leaf) AS h, '' AS proof,
+    s.height + (SELECT max(level) FROM tops) AS most, p.place AS own
+  FROM placed p JOIN subroots s USING (tree)
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.tree, f.subroot, f.height, f.tree_place, f.level + 1,
+    CASE WHEN f.level + 1 = f.height THEN f.tree_place ELSE f.place // 2 END,
+    sha256(CASE WHEN f.place % 2 = 0 THEN f.h || coalesce(x.h, '') ELSE coalesce(x.h, '') || f.h END),
+    f.proof || coalesce(x.h, ''), f.most, f.own
+  FROM (SELECT * REPLACE (CASE WHEN level = 0 AND height = 0 THEN tree_place ELSE place END AS place) FROM folds WHERE level < most) f
+  LEFT JOIN (SELECT tree, level, place, h FROM levels WHERE n > 1 UNION ALL
+             SELECT s.tree, s.height + t.level, t.place, t.h FROM subroots s, tops t WHERE t.n > 1) x
+    ON x.tree = f.tree AND x.level = f.level AND x.place = xor(CAST(f.place AS BIGINT), CAST(1 AS BIGINT))
+)
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM folds f, (SELECT h FROM tops WHERE n = 1) r WHERE f.level = f.most
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op2_simhash_decontamination, op3_pattern_packing, op4_rabitq_search, op5_prefix_target_chat, op6_warc_zstd, op7_gear_chunks, op8_ppm_language, op9_katz_backoff, op10_simhash_bktree, op11_merkle_manifest)}
+ORACLES: dict[str, str] = {"op5_prefix_target_chat": _OP5_SQL, "op6_warc_zstd": _OP6_SQL, "op11_merkle_manifest": _OP11_SQL}
