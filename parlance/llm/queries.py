@@ -12,6 +12,7 @@ from parlance.llm.chat import format_examples, loss_text, parse_turns
 from parlance.llm.chunkdedup import repeated_passages
 from parlance.llm.common import documents, shared_dir
 from parlance.llm.decontam import contaminated
+from parlance.llm.divergence import source_divergence
 from parlance.llm.katz import katz_scores
 from parlance.llm.langid import fold, identify
 from parlance.llm.merkle import audit, leaf
@@ -192,5 +193,50 @@ FROM folds f, (SELECT h FROM tops WHERE n = 1) r WHERE f.level = f.most
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op2_simhash_decontamination, op3_pattern_packing, op4_rabitq_search, op5_prefix_target_chat, op6_warc_zstd, op7_gear_chunks, op8_ppm_language, op9_katz_backoff, op10_simhash_bktree, op11_merkle_manifest)}
-ORACLES: dict[str, str] = {"op5_prefix_target_chat": _OP5_SQL, "op6_warc_zstd": _OP6_SQL, "op11_merkle_manifest": _OP11_SQL}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each source of each language differs from its others, and in which terms from the language."""
+    return source_divergence(documents(spark, sf_dir))
+
+
+_OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), tokens AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS total FROM tokens GROUP BY lang, term HAVING count(DISTINCT d) >= 30
+), langs AS (
+  SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang
+), counts AS (
+  SELECT lang, source, term, count(*) AS c FROM tokens JOIN kept USING (lang, term) GROUP BY lang, source, term
+), sums AS (
+  SELECT lang, source, sum(c) AS n FROM counts GROUP BY lang, source
+), groups AS (
+  SELECT lang, source, coalesce(s.n, 0) AS n, coalesce(l.v, 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN sums s USING (lang, source) LEFT JOIN langs l USING (lang)
+), prices AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+    1 + CAST((CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 5)) // (g.n + 5 * g.v) AS BIGINT) AS p,
+    1 + CAST((CAST(1000000000 AS HUGEINT) * (k.total + 5)) // (l.n + 5 * l.v) AS BIGINT) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM prices a JOIN prices b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), told AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT), row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term)
+  FROM prices WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM told WHERE part = 'pair' OR rank <= 50
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op2_simhash_decontamination, op3_pattern_packing, op4_rabitq_search, op5_prefix_target_chat, op6_warc_zstd, op7_gear_chunks, op8_ppm_language, op9_katz_backoff, op10_simhash_bktree, op11_merkle_manifest, op13_source_divergence)}
+ORACLES: dict[str, str] = {"op5_prefix_target_chat": _OP5_SQL, "op6_warc_zstd": _OP6_SQL, "op11_merkle_manifest": _OP11_SQL, "op13_source_divergence": _OP13_SQL}
