@@ -17,6 +17,7 @@ from parlance.llm.katz import katz_scores
 from parlance.llm.langid import fold, identify
 from parlance.llm.merkle import audit, leaf
 from parlance.llm.packing import assign, tokenised
+from parlance.llm.quality import assess
 from parlance.llm.rabitq import nearest
 from parlance.llm.sharding import shard_documents
 from parlance.llm.simhash import simhash_components
@@ -193,6 +194,11 @@ FROM folds f, (SELECT h FROM tops WHERE n = 1) r WHERE f.level = f.most
 """
 
 
+def op12_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, and whether it was held out."""
+    return assess(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each source of each language differs from its others, and in which terms from the language."""
     return source_divergence(documents(spark, sf_dir))
@@ -238,5 +244,5 @@ SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM told
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op2_simhash_decontamination, op3_pattern_packing, op4_rabitq_search, op5_prefix_target_chat, op6_warc_zstd, op7_gear_chunks, op8_ppm_language, op9_katz_backoff, op10_simhash_bktree, op11_merkle_manifest, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_kd_tree_sharding, op2_simhash_decontamination, op3_pattern_packing, op4_rabitq_search, op5_prefix_target_chat, op6_warc_zstd, op7_gear_chunks, op8_ppm_language, op9_katz_backoff, op10_simhash_bktree, op11_merkle_manifest, op12_attention_quality, op13_source_divergence)}
 ORACLES: dict[str, str] = {"op5_prefix_target_chat": _OP5_SQL, "op6_warc_zstd": _OP6_SQL, "op11_merkle_manifest": _OP11_SQL, "op13_source_divergence": _OP13_SQL}
