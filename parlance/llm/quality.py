@@ -1,6 +1,6 @@
 """Quality classification by attention-based multiple-instance learning.
 
-A document is a bag of passages of ``PASSAGE`` bytes; only documents have labels. Every passage is encoded by a layer
+A document is a bag of passages of ``PASSAGE`` bytes each but the last; only documents have labels. Every passage is encoded by a layer
 over its byte frequencies, its pairs of byte classes and the repetition of its words. A gated attention, the product of
 a tanh and a sigmoid layer, learns from the documents' labels how much each passage counts: the weights are a softmax
 over the bag, and the weighted mean of the encoded passages is what is scored. All layers are learned together, by
@@ -47,50 +47,47 @@ _PAIRS = np.flatnonzero([a < _KINDS - 1 and b < _KINDS - 1 for a in range(_KINDS
 FEATURES = 256 + len(_PAIRS) + 6
 
 
-def features(texts: list[bytes], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """A row for each passage of texts (or pieces of texts), and the text it belongs to. sizes: of the whole texts."""
-    n = np.array([len(t) for t in texts], dtype=np.int64)
+def features(passages: list[bytes], sizes: list[int]) -> np.ndarray:
+    """A row for each passage, of nothing but its bytes and the size of its whole text."""
+    n = np.array([len(p) for p in passages], dtype=np.int64)
     starts = np.cumsum(n + 1) - (n + 1)
-    each = np.maximum(1, -(-n // PASSAGE))
-    owner = np.repeat(np.arange(len(texts)), each)
-    last = np.cumsum(each) - 1
-    begin = starts[owner] + (np.arange(len(owner)) - np.repeat(last + 1 - each, each)) * PASSAGE
-    line = b"\n".join(texts) + b"\n"
+    line = b"\n".join(passages) + b"\n"
     raw = np.frombuffer(line, dtype=np.uint8).astype(np.int64)
-    of = np.repeat(np.arange(len(owner)), np.diff(np.append(begin, len(line))))
-    count = np.bincount(of * 256 + raw, minlength=256 * len(owner)).reshape(-1, 256).astype(np.float64)
-    count[last, 10] -= 1  # the line break after each text
+    of = np.repeat(np.arange(len(n)), n + 1)
+    count = np.bincount(of * 256 + raw, minlength=256 * len(n)).reshape(-1, 256).astype(np.float64)
+    count[:, 10] -= 1  # the line break after each passage
     kind = _KIND[raw]
     kind[starts + n] = _KINDS - 1
-    pairs = np.bincount(of[:-1] * _KINDS**2 + kind[:-1] * _KINDS + kind[1:], minlength=_KINDS**2 * len(owner)).reshape(-1, _KINDS**2)[:, _PAIRS]
-    size = count.sum(axis=1)
-    per = 1 / np.maximum(size, 1)
+    pairs = np.bincount(of[:-1] * _KINDS**2 + kind[:-1] * _KINDS + kind[1:], minlength=_KINDS**2 * len(n)).reshape(-1, _KINDS**2)[:, _PAIRS]
     h, at, end = hash_words(line)
     place = of[at]
-    words = np.bincount(place, minlength=len(owner))
-    again = np.bincount(place[1:][(h[1:] == h[:-1]) & (place[1:] == place[:-1])], minlength=len(owner))
+    words = np.bincount(place, minlength=len(n))
+    again = np.bincount(place[1:][(h[1:] == h[:-1]) & (place[1:] == place[:-1])], minlength=len(n))
     _, first = np.unique(mix64(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-    distinct = np.bincount(place[first], minlength=len(owner))
-    long = np.bincount(place, weights=np.minimum(end - at, 64), minlength=len(owner))
-    many = 1 / np.maximum(words, 1)
-    more = [words * per, long * many, again * many, distinct * many, size / PASSAGE, np.log1p(np.array(sizes, dtype=np.float64))[owner]]
-    return np.hstack([np.sqrt(count * per[:, None]), np.sqrt(pairs * per[:, None]), np.stack(more, axis=1)]).astype(np.float32), owner
+    distinct = np.bincount(place[first], minlength=len(n))
+    long = np.bincount(place, weights=end - at, minlength=len(n))
+    per, many = 1 / np.maximum(n, 1), 1 / np.maximum(words, 1)
+    more = [words * per, long * many, again * many, distinct * many, n / PASSAGE, np.log1p(np.array(sizes, dtype=np.float64))]
+    return np.hstack([np.sqrt(count * per[:, None]), np.sqrt(pairs * per[:, None]), np.stack(more, axis=1)]).astype(np.float32)
 
 
-def pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Texts, and pieces of texts, of AT_A_TIME passages or so, and whose they are."""
-    whose, held, size, limit = [], [], 0, AT_A_TIME * PASSAGE
+def passages_of(text: bytes) -> list[bytes]:
+    """A text cut into passages; an empty one is one."""
+    return [text[i : i + PASSAGE] for i in range(0, max(1, len(text)), PASSAGE)]
+
+
+def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """All passages in order, at most AT_A_TIME together, and of which text each is."""
+    whose, held = [], []
     for i, text in enumerate(texts):
-        for at in range(0, max(1, len(text)), limit):
-            part = text[at : at + limit]
-            if size and size + len(part) > limit:
-                yield whose, held
-                whose, held, size = [], [], 0
+        for at in range(0, max(1, len(text)), PASSAGE):
             whose.append(i)
-            held.append(part)
-            size += len(part)
+            held.append(text[at : at + PASSAGE])
+            if len(held) == AT_A_TIME:
+                yield np.array(whose), held
+                whose, held = [], []
     if held:
-        yield whose, held
+        yield np.array(whose), held
 
 
 @dataclass
@@ -168,25 +165,24 @@ class Attention:
         """Of each text its probability, how many passages it has, the most attended one, and that one's weight."""
         n, sizes = len(texts), [len(t) for t in texts]
         top, total, bags = np.full(n, -np.inf), np.zeros(n), np.zeros((n, WIDTH))
-        count, best, best_e = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -np.inf)
+        count, best = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for whose, held in pieces(texts):
-            rows, owner = features(held, [sizes[i] for i in whose])
-            h, _, _, e = self.passages(self.scaled(rows))
-            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            ends = np.append(starts[1:], len(owner))
-            peak = np.maximum.reduceat(e, starts)
+            h, _, _, e = self.passages(self.scaled(features(held, [sizes[i] for i in whose])))
+            starts = np.flatnonzero(np.append(True, whose[1:] != whose[:-1]))
+            ends = np.append(starts[1:], len(whose))
+            own, peak = whose[starts], np.maximum.reduceat(e, starts)
             share = np.exp(e - np.repeat(peak, ends - starts))
-            own, sums, mixed = np.array(whose), np.add.reduceat(share, starts), np.add.reduceat(share[:, None] * h, starts)
-            for k, i in enumerate(own.tolist()):  # a text may have several pieces here
-                new = max(top[i], peak[k])
-                old, fresh = np.exp(top[i] - new), np.exp(peak[k] - new)
-                total[i] = total[i] * old + sums[k] * fresh
-                bags[i] = bags[i] * old + mixed[k] * fresh
-                top[i] = new
-                if peak[k] > best_e[i]:
-                    best_e[i], best[i] = peak[k], count[i] + int(e[starts[k] : ends[k]].argmax())
-                count[i] += ends[k] - starts[k]
-        return self.probability(bags / total[:, None]), count, best, np.exp(best_e - top) / total
+            new = np.maximum(top[own], peak)
+            old, fresh = np.exp(top[own] - new), np.exp(peak - new)
+            total[own] = total[own] * old + np.add.reduceat(share, starts) * fresh
+            bags[own] = bags[own] * old[:, None] + np.add.reduceat(share[:, None] * h, starts) * fresh[:, None]
+            for i, a, b in zip(own.tolist(), starts.tolist(), ends.tolist(), strict=True):
+                k = a + int(e[a:b].argmax())
+                if e[k] > top[i]:
+                    best[i] = count[i] + k - a
+                count[i] += b - a
+            top[own] = new
+        return self.probability(bags / total[:, None]), count, best, 1 / total
 
 
 # --------------------------------------------------------------------- Spark
@@ -206,9 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, size: i
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [t or b"" for t in encoded(batch.column(1))]
-            rows, owner = features(texts, [len(t) for t in texts])
-            found = [rows[owner == i].astype(np.float16).tobytes() for i in range(len(texts))]
+            found = [features(passages_of(t or b""), [len(t or b"")] * len(passages_of(t or b""))).astype(np.float16).tobytes() for t in encoded(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["label", "rows"])
 
     bags, label, weight = [], [], []

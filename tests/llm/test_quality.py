@@ -18,7 +18,7 @@ def model():
 
 def plain(model, text):
     """The score of a text, from the formulas, all passages at once."""
-    rows = np.concatenate([features([text[i : i + PASSAGE]], [len(text)])[0] for i in range(0, max(1, len(text)), PASSAGE)])
+    rows = np.concatenate([features([text[i : i + PASSAGE]], [len(text)]) for i in range(0, max(1, len(text)), PASSAGE)])
     p = model.parts
     h = np.tanh(model.scaled(rows) @ p["encode"] + p["encode0"])
     e = (np.tanh(h @ p["tanh"] + p["tanh0"]) / (1 + np.exp(-(h @ p["gate"] + p["gate0"])))) @ p["weigh"]
@@ -27,9 +27,8 @@ def plain(model, text):
 
 
 def test_features_count_bytes_pairs_and_words():
-    rows, owner = features([b"", b"Ab ab ab 1!", b"x" * PASSAGE + b" y"], [0, 11, PASSAGE + 2])
-    assert owner.tolist() == [0, 1, 2, 2] and rows.shape == (4, FEATURES)
-    assert not rows[0, :-1].any()
+    rows = features([b"", b"Ab ab ab 1!", b"x" * PASSAGE], [0, 11, PASSAGE + 2])
+    assert rows.shape == (3, FEATURES) and not rows[0, :-1].any()
     assert np.isclose(rows[1, ord("b")] ** 2, 3 / 11) and np.isclose(rows[1, 32] ** 2, 3 / 11) and rows[1, 10] == 0
     assert np.allclose(rows[1, -6:], [4 / 11, 8 / 4, 2 / 4, 2 / 4, 11 / PASSAGE, np.log1p(11)])
     assert np.isclose((rows[1, 256 : FEATURES - 6] ** 2).sum(), 10 / 11)
@@ -55,9 +54,7 @@ def test_scores_from_piece_to_piece(model, monkeypatch):
     for passages in (2048, 3):
         monkeypatch.setattr(quality, "AT_A_TIME", passages)
         for got, text in zip(zip(*model.scores(texts), strict=True), texts, strict=True):
-            cut = [text[i : i + PASSAGE] for i in range(0, max(1, len(text)), PASSAGE)]
-            want = plain(model, text)
-            assert got[1] == len(cut) and np.allclose(got[0], want[0], atol=2e-3) and np.isclose(got[3], want[3], atol=2e-2)
+            assert np.allclose(got, plain(model, text), rtol=1e-9)
 
 
 def test_held_out_accuracy(spark):
@@ -87,16 +84,17 @@ def test_held_out_labels_teach_nothing(spark):
 
 def test_odd_tables(spark):
     """Nulls, repeats, several labels, one label only, no label, no rows, an extra column of each name, a very long text."""
-    rows = [(None, None), (None, "some text"), (1, ""), (2, "a b"), (2, "a b"), (3, "x" * 5_000_000), (4, "plain words here")]
+    two, four = [k for k in range(20, 40) if zlib.crc32(str(k).encode()) % 3 != 1][:2]
+    rows = [(None, None), (None, "some text"), (1, ""), (two, "a b"), (two, "a b"), (3, "x" * 5_000_000), (four, "plain words here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     wide = docs
     for name in ("score", "label", "good", "rows", "_0", "_text", "held_out", "predicted", "passages", "weight", "quality"):
         wide = wide.withColumn(name, F.lit(name))
-    labels = spark.createDataFrame([(2, 1, 0), (2, 0, 0), (2, 1, None), (4, 1, 0), (None, 1, 0), (1, None, 0), (77, 0, 0)], LABELS)
+    labels = spark.createDataFrame([(two, 1, 0), (two, 0, 0), (two, 1, None), (four, 1, 0), (None, 1, 0), (1, None, 0), (77, 0, 0)], LABELS)
     found = assess(wide, labels).collect()
     assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found)
-    assert len({r.score for r in found if r.doc_id == 2}) == 1
-    assert len({r.score for r in found if r.doc_id in (None, 1)} - {r.score for r in found if r.doc_id == 1}) == 1  # the null text scores as the empty one
+    assert len({r.score for r in found if r.doc_id == two}) == 1
+    assert len({r.score for r in found if r.doc_id in (None, 1)}) == 2  # the null text scores as the empty one
     none = assess(docs, labels.limit(0)).collect()
     assert len(none) == len(rows) and all((r.score, r.predicted) == (0.5, 1) for r in none)
     assert assess(docs.limit(0), labels).count() == 0
