@@ -132,25 +132,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
+# A word's hash sums a value for each byte at its place: mixed values of both, so that no two words share a hash by
+# any rule, but two given ones once in 2**64. Values of the first places are kept.
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0xD1B54A32D192ED03))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    """The first n powers of the odd base, or of its inverse, modulo 2**64."""
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
-        size = 1 << max(n - 1, 1).bit_length()
-        out = np.empty(size, dtype=np.uint64)
-        out[0], filled = 1, 1
-        while filled < size:
-            out[filled : 2 * filled] = out[:filled] * _U(pow(base, filled, 1 << 64))
-            filled *= 2
-        have = out
-        if size <= 4 * PIECE_BYTES:
-            _powers[kind] = have
-    return have[:n]
+_PLACES = 64
+
+
+def _value(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return mix64(mix64(place.astype(np.uint64) * _U(_BASE)) + _BYTE[byte])
+
+
+_VALUES = _value(np.repeat(np.arange(_PLACES), 256), np.tile(np.arange(256), _PLACES))
 
 
 def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,10 +156,16 @@ def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         space = np.concatenate(([True], _SPACE[raw], [True]))
         turn = np.flatnonzero(space[1:] != space[:-1])
         starts, ends = turn[::2], turn[1::2]
+        size = ends - starts
+        first = np.cumsum(size) - size
+        raw = raw[~space[1:-1]]
+        place = np.arange(len(raw)) - np.repeat(first, size)
+        values = _VALUES[np.minimum(place, _PLACES - 1) * 256 + raw]
+        far = np.flatnonzero(place >= _PLACES)
+        values[far] = _value(place[far], raw[far])
         total = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[raw] * _power("up", len(raw)), out=total[1:])
-        h = (total[ends] - total[starts]) * _power("down", len(raw))[starts]
-        found.append((mix64(h + (ends - starts).astype(np.uint64) * _U(0xA0761D6478BD642F)), starts + at, ends + at))
+        np.cumsum(values, out=total[1:])
+        found.append((mix64(total[first + size] - total[first]), starts + at, ends + at))
         at = end
     if not found:
         none = np.zeros(0, dtype=np.int64)
@@ -177,6 +175,27 @@ def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def distinct_words(line: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of a lower-cased text, which of them each word is, and where the words start.
+
+    Words of one hash are compared, byte by byte; should two differ, all are told apart by their bytes.
+    """
+    hashes, starts, ends = hash_words(line)
+    _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+    raw, size = np.frombuffer(line, dtype=np.uint8), ends - starts
+    same = np.array_equal(size, size[first][of])
+    for lo in range(0, len(starts) if same else 0, 1 << 17):
+        n = size[lo : lo + (1 << 17)]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        own, other = (np.repeat(x, n) + inner for x in (starts[lo : lo + (1 << 17)], starts[first][of[lo : lo + (1 << 17)]]))
+        same = same and np.array_equal(raw[own], raw[other])
+    if not same:
+        places: dict[bytes, int] = {}
+        of = np.array([places.setdefault(line[a:b], len(places)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.int64)
+        return list(places), of, starts
+    return [line[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], of, starts
+
+
 def hash_grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the runs of n words in order; of the whole sequence if it is shorter; none for no words."""
     if len(words) == 0:

@@ -202,6 +202,8 @@ class Table:
     """Where pairs are: how many words have a number, and the contexts (the start mark among them) that are dealt."""
 
     def __init__(self, ids: int, partitions: int, frequent: np.ndarray, shares: np.ndarray):
+        if ids >= 1 << 32:
+            raise ValueError(f"{ids} distinct words: a pair of them has no 64-bit key")
         self.ids, self.partitions, self.frequent, self.shares = ids, partitions, frequent, shares
 
 

@@ -161,20 +161,27 @@ def _predict(model: ByteModel | None, texts: list[bytes | None]) -> tuple[list[s
     return langs, scores, rates
 
 
-def predict(docs: DataFrame, model: ByteModel | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and lang_pred, score (the posterior of the best code) and bits_per_byte."""
+def _predicted(docs: DataFrame, model: ByteModel | None, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` under names by place, _0 and on, and lang_pred, score and bits_per_byte."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[docs[k].alias(k) for k in keep], docs["text"].alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    names = [f"_{i}" for i in range(len(keep))]
+    rows = docs.select(*[docs[k].alias(n) for k, n in zip(keep, names, strict=True)], docs["text"].alias("text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             langs, scores, rates = _predict(shared.value, encoded(batch.column(len(keep))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], [*keep, "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], [*names, "lang_pred", "score", "bits_per_byte"])
 
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_byte double")
 
 
+def predict(docs: DataFrame, model: ByteModel | None, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and lang_pred, score (the posterior of the best code) and bits_per_byte."""
+    found = _predicted(docs, model, keep)
+    return found.select(*[found[f"_{i}"].alias(k) for i, k in enumerate(keep)], "lang_pred", "score", "bits_per_byte")
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the doc_id's decimal text modulo ``folds``; a null counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
@@ -191,5 +198,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def drop_unidentified(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose language is ``und``; lang becomes the predicted one. Learns from all labelled rows."""
     names = docs.columns
-    found = predict(docs, train(docs.select(docs["doc_id"], docs["text"], docs["lang"])), names)
-    return found.where("lang_pred <> 'und'").select(*[F.col("lang_pred").alias(n) if n == "lang" else F.col(n) for n in names])
+    found = _predicted(docs, train(docs.select(docs["doc_id"], docs["text"], docs["lang"])), names)
+    return found.where("lang_pred <> 'und'").select(*[F.col("lang_pred" if n == "lang" else f"_{i}").alias(n) for i, n in enumerate(names)])

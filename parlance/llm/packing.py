@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from parlance.llm.common import encoded, hash_words, materialise, only, slices
+from parlance.llm.common import distinct_words, encoded, materialise, only, slices
 
 #: Length classes that patterns are made of. Patterns have at most three documents.
 CLASSES = 256
@@ -90,9 +90,7 @@ def token_ids(tok: Tokenizer, known: dict[bytes, bytes], texts: list[bytes], end
         apart = {i: np.array(tok.encode(texts[i].decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for i in marked}
         texts = [b"" if i in apart else t for i, t in enumerate(texts)]
     line = b"\n".join(texts).lower()
-    hashes, starts, ends = hash_words(line)
-    _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
-    words = [line[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    words, of, starts = distinct_words(line)
     missing = [w for w in words if w not in known]
     if len(missing) + len(known) > REMEMBERED:
         known.clear()

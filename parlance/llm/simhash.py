@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.blocks import runs_of
-from parlance.llm.common import components, encoded, hash_grams, hash_words, materialise, mix64, only, popcount, slices
+from parlance.llm.common import PIECE_BYTES, components, encoded, hash_grams, hash_words, materialise, mix64, only, popcount, slices
 
 #: A shard with more fingerprints than this is split by a further block of bits.
 SHARD_ROWS = 20_000
@@ -293,6 +293,20 @@ def _sketch(grams: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def _words_digest(text: bytes) -> bytes:
+    """A digest of the words of a text, lower-cased, whatever stands between them; long texts go piece by piece."""
+    made, at = xxhash.xxh3_128(), 0
+    while at < len(text):
+        end = at + PIECE_BYTES
+        gap = _GAP.search(text, end)
+        end = gap.start() if gap else len(text)
+        words = text[at:end].lower().split()
+        if words:
+            made.update(b" ".join(words) + b" ")
+        at = end
+    return made.digest()
+
+
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
     """(rid, digest, fp, sketch, minima) of each row: rid as in ``docs``; texts of equal words have equal digests."""
 
@@ -302,7 +316,7 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
             grams = [np.unique(hash_grams(hash_words(t or b"")[0], words)) for t in texts]  # sets: repeats weigh nothing
             counts = np.array([len(g) for g in grams], dtype=np.int64)
             fp = _majority(np.concatenate(grams) if grams else np.zeros(0, np.uint64), counts)
-            digest = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts]
+            digest = [_words_digest(t or b"") for t in texts]
             minima = [[int(mix64(g * m).min().view(np.int64)) for m in _ROUTE_MULTIPLIERS[:-1]] if len(g) else [0] * ROUTES for g in grams]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(fp.view(np.int64)), pa.array([_sketch(g) for g in grams], pa.binary()), pa.array(minima, pa.list_(pa.int64()))], ["rid", "digest", "fp", "sketch", "minima"])
 
@@ -546,8 +560,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates (the first), its columns as they are."""
-    if "rid" in docs.columns:
-        raise ValueError("rid names the row numbers here")
-    rows = materialise(docs.withColumn("rid", F.monotonically_increasing_id()), "numbered")  # once: splits may differ from job to job
-    gone = near_duplicates(rows, similarity, words).where("rid <> kept_rid").select("rid")
-    return rows.join(gone, "rid", "left_anti").select(*docs.columns)
+    names = docs.columns
+    numbered = docs.select(*[docs[n].alias(f"_{i}") for i, n in enumerate(names)], F.monotonically_increasing_id().alias("rid"))
+    rows = materialise(numbered, "numbered")  # once: splits may differ from job to job
+    texts = rows.select("rid", F.col(f"_{names.index('text')}").alias("text"))
+    gone = near_duplicates(texts, similarity, words).where("rid <> kept_rid").select("rid")
+    return rows.join(gone, "rid", "left_anti").select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)])
