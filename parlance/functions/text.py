@@ -36,6 +36,13 @@ def folded(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
 
 
+@F.pandas_udf(T.StringType())
+def casefolded(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Case folding alone, which lower-casing is not: a sharp s becomes two letters, and a sigma is one whatever its place."""
+    for part in text:
+        yield part.map(lambda t: t if t is None else t.casefold())
+
+
 def tokens(text: Column, normalised: bool = False) -> Column:
     """Lower-case tokens in order. Say ``normalised`` where the text is known to be NFKC already: no Python then."""
     return F.regexp_extract_all(F.lower(text if normalised else nfkc(text)), F.lit(TOKEN), F.lit(1))
@@ -139,8 +146,8 @@ def evidence_snippet(text: Column, needle: Column, limit: int = 240) -> Column:
 
 
 def slug(name: Column, limit: int = 40) -> Column:
-    """Words of letters and digits joined by dashes."""
-    dashed = F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", "-")
+    """Case-folded words of letters and digits joined by dashes."""
+    dashed = F.regexp_replace(casefolded(name), r"[^\p{L}\p{N}]+", "-")
     return F.regexp_replace(F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, limit), "^-+|-+$", "")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from parlance import schema
 from parlance.functions import links as ln
 from parlance.functions import text as tx
+from parlance.operators.components import components
 from parlance.operators.ordered import placed
 from parlance.storage import checkpointed, spread
 
@@ -203,14 +204,9 @@ def same_chats(identities: DataFrame) -> DataFrame:
     names = F.array(F.concat(F.lit("u"), F.lower("username")), F.concat(F.lit("i"), F.col("invite")))
     named = checkpointed(identities.select("id", "peer_id", F.explode(names).alias("key")).where("key is not null"))
     free = named.where("peer_id is null").select("id", "key")
-    state = checkpointed(identities.where("peer_id is null").select("id", F.col("id").alias("group")))
-    while True:
-        low = free.join(state, "id").groupBy("key").agg(F.min("group").alias("group"))
-        reached = free.join(low, "key").groupBy("id").agg(F.min("group").alias("_g"))
-        nxt = checkpointed(state.join(reached, "id", "left").select("id", F.least("group", "_g").alias("group")))
-        if nxt.agg(F.sum("group")).head()[0] == state.agg(F.sum("group")).head()[0]:
-            break
-        state = nxt
+    hubs = free.groupBy("key").agg(F.min("id").alias("b"))
+    near, _ = components(free.join(hubs, "key").select(F.col("id").alias("a"), "b"))
+    state = checkpointed(identities.where("peer_id is null").select("id").join(near.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("least", "id").alias("group")))
     peers = identities.where("peer_id is not null").groupBy("peer_id").agg(F.min("id").alias("first"))
     keyed = named.where("peer_id is not null").join(peers, "peer_id").groupBy("key").agg(F.min(F.struct("first", "peer_id")).alias("peer"))
     led = free.join(keyed, "key").join(state, "id").groupBy("group").agg(F.min("peer").alias("peer"))

@@ -185,11 +185,11 @@ def message_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talks(spark, sf_dir).select("chat_id", "msg_id", text.placeholder(kind, F.when(i % 4 == 2, "a.pdf")).alias("placeholder"), text.one_line(F.col("text")).alias("one_line"), text.index_text(F.col("text"), read).alias("indexed"), scope.alias("scope"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name || ' ' || p_type || CASE WHEN p_partkey % 2 = 0 THEN '  «Größe» ' ELSE '' END AS name FROM part)
-SELECT p_partkey, trim(regexp_replace(replace(lower(name), 'ß', 'ss'), '\\s+', ' ', 'g')) AS folded, rtrim(substr(trim(regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', '-', 'g'), '-'), 1, 12), '-') AS slug FROM p""")
+@query("""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '  «Größe ΣΑΣ» ' ELSE '' END || p_name || ' ' || p_type AS name FROM part)
+SELECT p_partkey, trim(regexp_replace(replace(replace(lower(name), 'ß', 'ss'), 'ς', 'σ'), '\\s+', ' ', 'g')) AS folded, rtrim(substr(trim(regexp_replace(replace(replace(lower(name), 'ß', 'ss'), 'ς', 'σ'), '[^\\p{L}\\p{N}]+', '-', 'g'), '-'), 1, 12), '-') AS slug FROM p""")
 def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names as they are compared, and as they name sources."""
-    name = F.concat("p_name", F.lit(" "), "p_type", F.when(F.col("p_partkey") % 2 == 0, "  «Größe» ").otherwise(""))
+    name = F.concat(F.when(F.col("p_partkey") % 2 == 0, "  «Größe ΣΑΣ» ").otherwise(""), "p_name", F.lit(" "), "p_type")
     return table(spark, sf_dir, "part").select("p_partkey", text.folded(name).alias("folded"), text.slug(name, 12).alias("slug"))
 
 

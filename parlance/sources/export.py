@@ -51,7 +51,7 @@ def recover(text: str) -> str | None:
     """A cut JSON text up to the last closer that leaves something open, closed; null if nothing can be read. One pass."""
     open_: list[str] = []
     end, still = 0, 0
-    for m in re.finditer(r'"(?:[^"\\]|\\.)*(?:"|$)|[][{}]', text, re.DOTALL):
+    for m in re.finditer(r'"(?:[^"\\]|\\.)*(?:"|\\?$)|[][{}]', text, re.DOTALL):
         c = m[0]
         if c in "[{":
             open_.append("]" if c == "[" else "}")

@@ -255,11 +255,12 @@ def upsert_chats(stored: DataFrame, fresh: DataFrame, account: str = DEFAULT_ACC
     new = fresh.join(stored.select(*keys), keys, "left_anti")
     held = stored.select(F.col("id").alias("peer_id"), F.lit(True).alias("_held")).distinct()
     new = new.join(held, "peer_id", "left").withColumn("_taken", F.coalesce("_held", F.lit(False)))
-    # there is a row for each chat that clashes, which are few
-    number = F.row_number().over(Window.partitionBy("_taken").orderBy("scope", "peer_id")) - 1
+    taken = new.where("_taken").select(*keys).distinct()  # only chats that clash are numbered
+    turn = F.row_number().over(Window.orderBy(*keys)) - 1
+    new = new.join(taken.withColumn("_turn", turn), keys, "left")
     clash = F.raise_error(F.concat(F.lit("chat id is held by another row: "), F.col("peer_id").cast("string"))).cast("long")
     start = F.greatest(F.lit(mark), F.lit(_top_id(stored)))
-    new = new.withColumn("id", F.when(~F.col("_taken"), F.col("peer_id")).when(F.col("scope") == "", clash).otherwise(start + number.cast("long")))
+    new = new.withColumn("id", F.when(~F.col("_taken"), F.col("peer_id")).when(F.col("scope") == "", clash).otherwise(start + F.col("_turn").cast("long")))
     return kept.unionByName(new.select(*stored.columns))
 
 

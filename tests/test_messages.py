@@ -272,3 +272,26 @@ def test_pruned_only_if_unchanged(spark):
     offered = spark.createDataFrame([(1, "folder:a"), (2, "folder:a"), (3, "folder:a"), (4, "folder:a")], "id long, source_id string")
     now = spark.createDataFrame([(1, "folder:a", None), (2, "import:x", None), (3, "folder:b", None), (4, "folder:a", 1)], "id long, source_id string, discussion_of long")
     assert [r.id for r in ch.still_prunable(offered, now).collect()] == [1]
+
+
+def test_every_cut_of_an_export(spark):
+    """Wherever a file ends, within a string, an escape or between brackets, whole messages before that are kept."""
+    whole = '{"chats":{"list":[{"id":1,"type":"x","messages":[{"id":1,"t":"a]}[{\\\\"},{"id":2,"t":"q\\"}]\\\\\\"b\\n"},{"id":3}]}]}}'
+    data = json.loads(whole)["chats"]["list"][0]["messages"]
+    ends = [whole.index('"},{"id":2') + 2, whole.index('"},{"id":3') + 2, whole.index('{"id":3}') + 8]
+    for at in range(1, len(whole) + 1):
+        closed = export.recover(whole[:at])
+        kept = sum(e <= at for e in ends)
+        if closed is None:
+            assert kept == 0
+        else:
+            chats = json.loads(closed).get("chats", {}).get("list", [{}])
+            assert [m["id"] for m in (chats[0].get("messages", []) if chats else [])][:kept] == [m["id"] for m in data[:kept]]
+
+
+def test_slugs_fold_case(spark):
+    from parlance.functions import text as tx
+
+    cases = {"Größe ΣΑΣ": "grösse-σασ", "  Чат № 5!": "чат-5", "ﬁ x": "fi-x", "?!": "", "A" * 50: "a" * 40, "a" * 39 + " b": "a" * 39}
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    assert {r.v: r.s for r in df.select("v", tx.slug(F.col("v")).alias("s")).collect()} == cases
