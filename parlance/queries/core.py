@@ -11,9 +11,10 @@ from parlance.functions import links as ln
 from parlance.functions import text as tx
 from parlance.operators import chats as ch
 from parlance.operators import dense, leads, lexical, rank, readers, units
-from parlance.queries.base import EVENTS, TALKS, notes, query, table, talks
-from parlance.storage import PENDING, changed, deleted, latest, merge, next_media_state, shared_folder, spread
+from parlance.queries.base import EVENTS, ORACLES, TALKS, notes, query, table, talks
+from parlance.storage import PENDING, changed, checkpointed, deleted, latest, merge, next_media_state, shared_folder, spread
 from parlance.streaming.maintenance import Store, maintain
+from parlance.streaming.windows import WindowLog, keep_windows
 
 
 # ------------------------------------------------------------------ functions
@@ -450,3 +451,20 @@ def streamed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     maintain(rows, folder, f"{folder}/checkpoint", order=["date"], buckets=8, gap_min=1440, max_msgs=10**6, max_chars=10**9).awaitTermination()
     found = Store(spark, folder, buckets=8).read("units").where("kind = 'window'")
     return found.select("chat_id", "date_start", "date_end", F.size("msg_ids").cast("long").alias("n"))
+
+
+@query(ORACLES["window_units"])
+def state_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows from streaming state, over five batches by time of arrival; every 97th event arrives days late."""
+    folder = f"{shared_folder(spark)}/windows-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    rows = notes(spark, sf_dir)
+    delay = F.when(F.col("msg_id") % 97 == 0, 20 * 86_400 + F.col("msg_id") % 1000).otherwise(F.pmod(F.xxhash64("msg_id"), F.lit(3600)))
+    rows = checkpointed(rows.withColumn("arrived", F.timestamp_seconds(F.col("date") + delay)))
+    edges = rows.agg(F.percentile_approx(F.unix_seconds("arrived"), [k / 5 for k in range(1, 5)])).head()[0] or []
+    batch = sum([(F.unix_seconds("arrived") > e).cast("int") for e in edges], F.lit(0))
+    for k in range(5):  # a file for each batch, the first to arrive first
+        rows.where(batch == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    keep_windows(stream, f"{folder}/out", f"{folder}/checkpoint", gap_min=720, max_msgs=5, max_chars=140, lateness_s=3600).awaitTermination()
+    found = WindowLog(spark, f"{folder}/out").settled(rows, ended=True, gap_min=720, max_msgs=5, max_chars=140)
+    return found.where("state <> 'late'").select("chat_id", "msg_id_start", "msg_id_end", F.size("msg_ids").cast("long").alias("n"), "date_start", "date_end", "text", "reactions")

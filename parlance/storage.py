@@ -30,6 +30,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def finished(spark: SparkSession, folder: str, below: int | None = None) -> list[int]:
+    """The numbers that name folders below a folder which were written to their end, in order."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    path = make(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [s.getPath() for s in files.listStatus(path) if files.exists(make(s.getPath(), "_SUCCESS"))]
+    return sorted(n for n in (int(p.getName()) for p in names) if below is None or n < below)
+
+
 #: Bytes of input for each core below which rows are spread.
 SMALL_BYTES = 16 << 20
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from parlance import schema
 from parlance.operators import upkeep
 from parlance.operators.units import build_units
-from parlance.storage import checkpointed, conform, latest, upsert_messages
+from parlance.storage import checkpointed, conform, finished, latest, upsert_messages
 
 UNITS = f"{schema.UNITS}, unit_id long"
 #: Buckets that chats are dealt to.
@@ -39,11 +39,7 @@ class Store:
 
     def commits(self, below: int | None = None) -> list[int]:
         """Numbers of the batches that were finished, before ``below``."""
-        path, files = self._files(f"{self.folder}/commits")
-        if not files.exists(path):
-            return []
-        done = [s.getPath() for s in files.listStatus(path) if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(n for n in (int(p.getName()) for p in done) if below is None or n < below)
+        return finished(self.spark, f"{self.folder}/commits", below)
 
     def versions(self, below: int | None = None) -> dict[int, int]:
         """Bucket: the batch that wrote it last, of the batches before ``below``. There is a row for each bucket."""
