@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance import schema
 from parlance.operators import units, upkeep
+from parlance.operators.sweep import Sweep, sweep
 from parlance.queries.base import EVENTS, TALKS, notes, query, table, talks
 from parlance.storage import checkpointed, comment_counts
 
@@ -167,3 +168,46 @@ def reaction_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = m.groupBy("chat_id", F.floor(F.col("msg_id") / 500)).agg(F.collect_list("msg_id").alias("msg_ids"), F.sum("reactions").alias("reactions"), F.min("msg_id").alias("unit_id"))
     now = m.withColumn("reactions", F.col("reactions") + F.when(F.col("msg_id") % 7 == 3, 10).otherwise(0))
     return upkeep.units_with_reactions(cut, now, m.where("msg_id % 7 = 3")).select("chat_id", F.col("unit_id").alias("first"), F.size("msg_ids").cast("long").alias("n"), "reactions")
+
+
+# who reaches a customer's orders, who of them can be asked, and what they say
+_SWEEP = """m AS (SELECT o_custkey AS chat_id, o_orderkey AS msg_id FROM orders),
+accounts AS (SELECT 'a' || range AS account, range AS n FROM range(4)),
+reach AS (SELECT c_custkey AS chat_id, account FROM customer, accounts WHERE (c_custkey + n) % 3 > 0 AND c_custkey % 11 > 0 AND (n < 3 OR c_custkey % 7 = 0)),
+refused AS (SELECT chat_id, account FROM reach WHERE chat_id % 5 = 0 AND (account = 'a1' OR chat_id % 10 = 0)),
+said AS (SELECT m.chat_id, msg_id, account, (msg_id + n) % 4 = 0 AS there FROM m JOIN accounts ON n < 3 WHERE (msg_id // 32 + n) % 9 > 0 AND m.chat_id * 10 + n NOT IN (SELECT r.chat_id * 10 + CAST(substr(r.account, 2) AS BIGINT) FROM refused r)),
+who AS (SELECT chat_id, count(*) AS w, count(*) FILTER (account <> 'a3') AS asked, count(*) FILTER ((chat_id, account) IN (SELECT (chat_id, account) FROM refused)) AS refusals,
+  count(*) FILTER (account <> 'a3' AND (chat_id, account) IN (SELECT (chat_id, account) FROM said)) AS speakers FROM reach GROUP BY chat_id),
+paged AS (SELECT *, (row_number() OVER (PARTITION BY chat_id ORDER BY msg_id) - 1) // 3 AS page FROM m),
+votes AS (SELECT chat_id, msg_id, bool_or(there) AS there, count(*) FILTER (NOT there) AS empty FROM said JOIN reach USING (chat_id, account) GROUP BY chat_id, msg_id),
+told AS (SELECT p.chat_id, msg_id, page, w, asked, refusals, speakers, coalesce(asked = w AND refusals = 0 AND NOT coalesce(there, false) AND coalesce(empty, 0) = w, false) AS gone,
+  coalesce(asked = w AND refusals = 0 AND coalesce(there, false), false) AS kept FROM paged p LEFT JOIN votes USING (chat_id, msg_id) LEFT JOIN who USING (chat_id)),
+ends AS (SELECT chat_id, min(page) FILTER (NOT gone AND NOT kept) AS stop FROM told GROUP BY chat_id),
+passed AS (SELECT t.* FROM told t JOIN ends USING (chat_id) WHERE stop IS NULL OR page < stop)"""
+
+
+def _sweep(spark: SparkSession, sf_dir: str) -> Sweep:
+    m = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chat_id"), F.col("o_orderkey").alias("msg_id"))
+    account = lambda n: F.concat(F.lit("a"), n.cast("string"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chat_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n"))
+    key, n = F.col("chat_id"), F.col("n")
+    reach = c.where(((key + n) % 3 > 0) & (key % 11 > 0) & ((n < 3) | (key % 7 == 0))).select("chat_id", account(n).alias("account"))
+    refused = reach.where((key % 5 == 0) & ((F.col("account") == "a1") | (key % 10 == 0)))
+    said = m.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2)))).where((F.floor(F.col("msg_id") / 32) + n) % 9 > 0)
+    said = said.select("chat_id", "msg_id", account(n).alias("account"), ((F.col("msg_id") + n) % 4 == 0).alias("there")).join(refused, ["chat_id", "account"], "left_anti")
+    return sweep(m, reach, spark.createDataFrame([(f"a{k}",) for k in range(3)], "account string"), said, refused, page=3)
+
+
+@query(f"WITH {_SWEEP} SELECT chat_id, msg_id FROM passed WHERE gone")
+def swept_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that every account which reaches the customer says are gone, page by page."""
+    return _sweep(spark, sf_dir).gone
+
+
+@query(f"""WITH {_SWEEP}, sums AS (SELECT chat_id, count(*) AS checked, count(*) FILTER (gone) AS removed, max(msg_id) AS last FROM passed GROUP BY chat_id),
+out AS (SELECT e.chat_id, CASE WHEN coalesce(asked, 0) = 0 THEN 'unreachable' WHEN asked < w THEN 'remaining' WHEN refusals > 0 AND speakers > 0 THEN 'held' WHEN refusals > 0 OR stop IS NOT NULL THEN 'remaining' ELSE 'done' END AS outcome,
+  coalesce(removed, 0) AS removed, coalesce(checked, 0) AS checked, last FROM ends e LEFT JOIN who USING (chat_id) LEFT JOIN sums USING (chat_id))
+SELECT chat_id, outcome, removed, checked, CASE WHEN outcome <> 'done' THEN last END AS after FROM out""")
+def sweep_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each customer's sweep: done, remaining, held by a refusal, or out of reach."""
+    return _sweep(spark, sf_dir).chats
