@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance import schema
+from parlance.budget import Budget
 from parlance.operators import units, upkeep
 from parlance.operators.sweep import Sweep, sweep
+from parlance.operators.vectors import VectorLog
 from parlance.queries.base import EVENTS, TALKS, notes, query, table, talks
-from parlance.storage import checkpointed, comment_counts
+from parlance.storage import checkpointed, comment_counts, shared_folder
+from parlance.streaming.changes import Changes
+from parlance.streaming.maintenance import Store
 
 _LIMITS = {"gap_min": 720, "max_msgs": 5, "max_chars": 140}
 
@@ -211,3 +218,40 @@ SELECT chat_id, outcome, removed, checked, CASE WHEN outcome <> 'done' THEN last
 def sweep_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of each customer's sweep: done, remaining, held by a refusal, or out of reach."""
     return _sweep(spark, sf_dir).chats
+
+
+class _Stopped(Store):
+    """A store that stops before its commit, as a run that is killed there."""
+
+    def commit(self, touched: list[int], number: int) -> None:
+        raise InterruptedError
+
+
+@query(f"""WITH RECURSIVE {EVENTS}, {_NOTES}, e AS (SELECT chat_id, topic_id, msg_id, date, reactions, CASE WHEN msg_id % 50 = 7 THEN line || ' (edited)' ELSE line END AS line FROM n WHERE msg_id % 40 <> 3), {_windows_sql('e')}""")
+def replayed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows after edits and deletions whose run was killed before its commit, finished by the next run from what was written down."""
+    m, c = checkpointed(_notes(spark, sf_dir)), _chats(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/changes-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    first = Changes(Store(spark, folder, buckets=8), c, **_LIMITS)
+    first.declare(put=m)
+    first.replay()
+    edited = m.where("msg_id % 50 = 7").withColumn("text", F.concat("text", F.lit(" (edited)")))
+    killed = Changes(_Stopped(spark, folder, buckets=8), c, **_LIMITS)
+    killed.declare(put=edited, drop=m.where("msg_id % 40 = 3"))
+    with contextlib.suppress(InterruptedError):
+        killed.replay()
+    again = Changes(Store(spark, folder, buckets=8), c, **_LIMITS)
+    again.replay()
+    return _shown(again.store.read("units"))
+
+
+@query("""SELECT o_orderkey AS unit_id, o_custkey AS chat_id, (row_number() OVER (ORDER BY o_orderkey) - 1) // 4096 AS slice,
+CASE WHEN row_number() OVER (ORDER BY o_orderkey) <= 2 * 4096 THEN 1 ELSE 2 END AS run FROM orders""")
+def embedded_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' comments embedded in slices: a run whose time is up after two slices, and one that goes on from there."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit_id"), F.col("o_custkey").alias("chat_id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("date_start"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("text"))
+    log = VectorLog(spark, f"{shared_folder(spark)}/vectors-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
+    looks = iter([0, 0, 0, 9])  # the clock at the start and at each look between slices
+    log.embed(o, size=4096, budget=Budget(1, clock=lambda: next(looks, 9)))
+    log.embed(o, size=4096)
+    return log.rows().select("unit_id", "chat_id", "slice", "run")
