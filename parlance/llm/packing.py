@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -317,34 +318,47 @@ def assign(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     starts = materialise(starts.groupBy("part").agg(listed.alias("s")).select("part", F.col("s.length").alias("_lengths"), F.col("s.start").alias("_starts")), "starts")
     few = 16 * (starts.agg(F.sum(F.size("_lengths"))).head()[0] or 0) <= BROADCAST_BYTES
     columns = pieces.columns
+    key = (runs[:, 0] << 44) + runs[:, 1]
+
+    def places(number: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and offset of the pieces that have these numbers among all of their length."""
+        runs = shared.value
+        at = np.searchsorted(key, (length << 44) + number, side="right") - 1
+        return runs[at, 3] + number - runs[at, 1], runs[at, 4]
+
+    def numbers(part: np.ndarray, place: np.ndarray, length: np.ndarray, of: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        number = place.copy()
+        for p in np.unique(part).tolist():
+            mine = part == p
+            lengths, begin = of[p]
+            number[mine] += begin[np.searchsorted(lengths, length[mine])]
+        return number
+
     if few:
         known = spark.sparkContext.broadcast({p: (np.array(n), np.array(at)) for p, n, at in (r for r in starts.collect())})
-        rows = pieces
-    else:
-        known = None
-        rows = pieces.withColumn("_kind", F.lit(1)).unionByName(starts.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-        rows = rows.repartition("part").sortWithinPartitions("part", "_kind").drop("_kind")
+
+        @F.pandas_udf("sequence_id long, offset long")  # of three numbers: the ids stay where they are
+        def placed(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            for part, place, length in parts:
+                size = length.to_numpy()
+                sequence, offset = places(numbers(part.to_numpy(), place.to_numpy(), size, known.value), size)
+                yield pd.DataFrame({"sequence_id": sequence, "offset": offset})
+
+        return pieces.withColumn("_at", placed("part", "place", "length")).select(*columns, "_at.sequence_id", "_at.offset")
+    rows = pieces.withColumn("_kind", F.lit(1)).unionByName(starts.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    rows = rows.repartition("part").sortWithinPartitions("part", "_kind").drop("_kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = shared.value
-        key = (runs[:, 0] << 44) + runs[:, 1]
-        of = known.value if known else {}
+        of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            if known is None:
-                heads = batch.filter(batch.column("_lengths").is_valid())
-                of |= {p: (np.array(n), np.array(at)) for p, n, at in zip(*(heads.column(c).to_pylist() for c in ("part", "_lengths", "_starts")), strict=True)}
-                batch = batch.filter(batch.column("_lengths").is_null())
-            part, length = (batch.column(c).to_numpy() for c in ("part", "length"))
-            number = batch.column("place").to_numpy().copy()
-            for p in np.unique(part).tolist():
-                mine = part == p
-                lengths, begin = of[p]
-                number[mine] += begin[np.searchsorted(lengths, length[mine])]
-            if known is None and len(part):
+            heads = batch.filter(batch.column("_lengths").is_valid())
+            of |= {p: (np.array(n), np.array(at)) for p, n, at in zip(*(heads.column(c).to_pylist() for c in ("part", "_lengths", "_starts")), strict=True)}
+            batch = batch.filter(batch.column("_lengths").is_null())
+            part, place, length = (batch.column(c).to_numpy() for c in ("part", "place", "length"))
+            sequence, offset = places(numbers(part, place, length, of), length)
+            if len(part):
                 of = {int(part[-1]): of[int(part[-1])]} | {p: v for p, v in of.items() if p not in set(part.tolist())}
-            at = np.searchsorted(key, (length << 44) + number, side="right") - 1
-            sequence = runs[at, 3] + number - runs[at, 1]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(sequence), pa.array(runs[at, 4])], [*columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
     return rows.mapInArrow(run, schema)
