@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from parlance import schema
 from parlance.functions import text as tx
+from parlance.operators.ordered import numbered
 from parlance.storage import checkpointed
 
 UNIT_COLUMNS = ["chat_id", "topic_id", "kind", "msg_id_start", "msg_id_end", "msg_ids", "date_start", "date_end", "text", "reactions"]
@@ -175,8 +176,8 @@ def threads(messages: DataFrame, cap: int = schema.THREAD_MAX_MSGS) -> DataFrame
     """``thread`` units: a root that has replies, and all below it by time, in pieces that repeat the root first."""
     roots = reply_roots(messages)
     replies = messages.join(roots, ["chat_id", "msg_id"]).where("msg_id <> root")
-    turn = F.row_number().over(Window.partitionBy("chat_id", "root").orderBy("date", "msg_id")) - 1
-    replies = replies.withColumn("piece", F.floor(turn / max(cap - 1, 1)))
+    # a thread of any number of replies is numbered by slices of a day, not sorted by one task
+    replies = numbered(replies, ["chat_id", "root"], "date", "_turn", [F.col("msg_id")], 86_400).withColumn("piece", F.floor((F.col("_turn") - 1) / max(cap - 1, 1))).drop("_turn")
     pieces = replies.select("chat_id", "root", "piece").distinct()
     heads = messages.withColumnRenamed("msg_id", "root").join(pieces, ["chat_id", "root"]).withColumn("msg_id", F.col("root"))
     shown = ["chat_id", "root", "piece", "msg_id", "date", "line", "reactions"]
@@ -206,8 +207,8 @@ def post_threads(messages: DataFrame, comments: DataFrame, cap: int = schema.THR
     own = comments.where("comment_of_chat_id is not null and comment_of_msg_id is not null").select(
         F.col("comment_of_chat_id").alias("chat_id"), F.col("comment_of_msg_id").alias("post_id"), F.col("msg_id").alias("comment_id"), F.col("date").alias("c_date"), F.col("line").alias("c_line")
     )
-    turn = F.row_number().over(Window.partitionBy("chat_id", "post_id").orderBy("c_date", "comment_id")) - 1
-    pieces = own.withColumn("piece", F.floor(turn / max(cap - 1, 1))).groupBy("chat_id", "post_id", "piece").agg(F.array_sort(F.collect_list(F.struct("c_date", "comment_id", "c_line"))).alias("c"), F.max("c_date").alias("c_end"))
+    own = numbered(own, ["chat_id", "post_id"], "c_date", "_turn", [F.col("comment_id")], 86_400)
+    pieces = own.withColumn("piece", F.floor((F.col("_turn") - 1) / max(cap - 1, 1))).groupBy("chat_id", "post_id", "piece").agg(F.array_sort(F.collect_list(F.struct("c_date", "comment_id", "c_line"))).alias("c"), F.max("c_date").alias("c_end"))
     joined = posts(messages).withColumn("post_id", F.col("msg_id_start")).join(pieces, ["chat_id", "post_id"])
     lines = F.concat(F.array("text"), F.transform("c", lambda x: x["c_line"]))
     return joined.withColumn("text", F.array_join(lines, "\n")).withColumn("date_end", F.greatest("date_end", "c_end")).withColumn("kind", F.lit("thread")).select(*UNIT_COLUMNS)
