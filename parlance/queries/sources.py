@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance import schema
 from parlance.functions import dates, links, text
 from parlance.operators import units
-from parlance.queries.base import BASE, TALKS, query, table, talks
-from parlance.sources import export, feeds
+from parlance.queries.base import BASE, ORACLES, TALKS, query, table, talks
+from parlance.sources import export, feeds, large_export
+from parlance.storage import shared_folder
 
 _KINDS = ("personal_chat", "private_group", "public_supergroup", "private_channel", "no_such_chat")
 
 
-def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _exports(spark: SparkSession, sf_dir: str, cuts: bool = True) -> DataFrame:
     """(file, text): an export of one chat for each conversation, of all shapes that a message has; some files are cut."""
     c, t = F.col("conv_id"), F.col("turn")
     i = t % 8
@@ -41,7 +44,7 @@ def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = row.select(c.alias("c"), F.struct(t.alias("t"), message.alias("m")).alias("m")).groupBy("c").agg(F.array_sort(F.collect_list("m")).alias("ms"))
     names = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("c") % 5 + 1).cast("int"))
     whole = F.concat(F.lit('{"name":" Room '), F.col("c").cast("string"), F.lit('","type":"'), names, F.lit('","id":'), (F.col("c") + 1).cast("string"), F.lit(',"messages":['), F.array_join(F.transform("ms", lambda x: x["m"]), ","), F.lit("]}"))
-    cut = F.when(F.col("c") % 3 == 0, F.expr("substring(w, 1, length(w) - 2)")).otherwise(F.col("w"))  # as a stopped export leaves it
+    cut = F.when((F.col("c") % 3 == 0) & F.lit(cuts), F.expr("substring(w, 1, length(w) - 2)")).otherwise(F.col("w"))  # as a stopped export leaves it
     return listed.select(F.concat(F.lit("chat"), F.col("c").cast("string")).alias("file"), whole.alias("w"), "c").select("file", cut.alias("text"))
 
 
@@ -56,11 +59,30 @@ m AS (SELECT * FROM x WHERE i <> 7 AND NOT (i = 0 AND c % 5 IN (1, 2)))"""
   CASE WHEN i = 4 THEN -1000000000008 END AS fwd_from_id, CASE WHEN i = 4 THEN 'unknown' END AS fwd_from_name, CASE WHEN i = 1 THEN 'mention peer:7' || CASE WHEN c > 0 THEN ' text_url @some_name/' || c ELSE '' END END AS links FROM m""")
 def export_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of exports: plain texts and runs, polls, photos, files, forwards, replies, both kinds of dates, cut files."""
-    m = export.messages(export.entries(_exports(spark, sf_dir)))
+    return _export_columns(export.messages(export.entries(_exports(spark, sf_dir))))
+
+
+def _export_columns(m: DataFrame) -> DataFrame:
     shown = F.array_join(F.transform("links", lambda x: F.concat(x["kind"], F.lit(" "), x["target"])), " ")
     return m.select("chat_id", "msg_id", "date", "edit_date", "from_id", "from_name", "reply_to_msg_id", "text", "media_kind", "media_filename", "reactions", "fwd_from_id", "fwd_from_name", shown.alias("links"))
 
 
+@query(ORACLES["export_messages"])
+def ranged_export_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same messages from an account's export, one file that is read by ranges of bytes."""
+    folder = f"{shared_folder(spark)}/export-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    place = F.regexp_extract("file", r"(\d+)$", 1).cast("long")
+    chats = _exports(spark, sf_dir, cuts=False).select((place + 1).alias("i"), F.concat(F.when(place > 0, ",").otherwise(""), "text").alias("value"))
+    ends = spark.createDataFrame([(0, '{"about":"]","chats":{"list":['), (1 << 60, "]}}")], "i long, value string")
+    chats.unionByName(ends).repartition(1).sortWithinPartitions("i").select("value").write.text(folder)  # one file is what an export is
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    files = make(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(x.getPath() for x in files.listStatus(make(folder)) if x.getPath().getName().startswith("part-"))
+    files.rename(part, make(folder, "result.json"))
+    return _export_columns(export.messages(large_export.read_large(spark, folder)))
+
+
+
 @query("""WITH x AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id % 5 < 4)
 SELECT CASE c % 5 WHEN 0 THEN c + 1 WHEN 1 THEN -(c + 1) ELSE -(1000000000000 + c + 1) END AS id, ['user', 'group', 'supergroup', 'channel'][CAST(c % 5 AS INT) + 1] AS type, 'Room ' || c AS title, true AS unavailable FROM x""")
 def export_chats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Chat exports: JSON of an account or of one chat, as chats and messages; and their import beside live chats.
 
-A file is read by one task, as JSON must be, which hands on a row for each message; everything after that is columns.
+A file is read by one task, which hands on a row for each message; everything after that is columns. ``large_export``
+reads one file by many tasks.
 """
 
 from __future__ import annotations
@@ -97,8 +98,11 @@ def _plain(m: dict) -> dict:
     }
 
 
-def _entries(name: str, text: str) -> Iterator[tuple]:
-    """(file, chat_id, chat_type, title, body, note) rows: of each chat, of each of its messages, and of each problem."""
+def _entries(name: str, text: str, marks: bool = False) -> Iterator[tuple]:
+    """(file, chat_id, chat_type, title, body, note) rows: of each chat, of each of its messages, and of each problem.
+
+    With ``marks`` a message may stand as ``{"@": [...]}``, whose list is then its body (see ``large_export``).
+    """
     note = lambda what, chat=(None, None, None): (name, *chat, None, what)
     try:
         data, cut = _loads(text)
@@ -138,7 +142,9 @@ def _entries(name: str, text: str) -> Iterator[tuple]:
             yield note("a message list that is none", head)
             continue
         for m in messages or ():
-            if isinstance(m, dict):
+            if marks and isinstance(m, dict) and isinstance(m.get("@"), list):
+                yield (name, *head, m["@"], None)
+            elif isinstance(m, dict):
                 yield (name, *head, json.dumps(_plain(m)), None)
             else:
                 yield note("a message is no object", head)
