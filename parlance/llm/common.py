@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass looks at; a longer text is walked in such pieces.
 PIECE_BYTES = 1 << 20
+#: Rows that go to and from Python together while a table is written; rows with texts are some kilobytes each.
+ARROW_ROWS = 2000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 # ----------------------------------------------------------------- tables
@@ -44,7 +47,12 @@ def materialise(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    before = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
+    try:
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._parlance_path = path
     return out
@@ -226,6 +234,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2
             size += s
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # a worker lives on, and other tasks share its machine
 
 
 #: Counts the ones of 64-bit integers.

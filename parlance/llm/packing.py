@@ -34,7 +34,7 @@ from parlance.llm.common import distinct_words, encoded, materialise, only, slic
 #: Length classes that patterns are made of. Patterns have at most three documents.
 CLASSES = 256
 #: Words whose token ids a task remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Bytes of starting numbers that may be broadcast; more go to the pieces by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -93,9 +93,10 @@ def token_ids(tok: Tokenizer, known: dict[bytes, bytes], texts: list[bytes], end
     line = b"\n".join(texts).lower()
     words, of, starts = distinct_words(line)
     missing = [w for w in words if w not in known]
-    if len(missing) + len(known) > REMEMBERED:
+    if len(missing) + len(known) > REMEMBERED:  # what is in use stays, and so do most frequent words
+        used = {w: known[w] for w in words if w in known}
         known.clear()
-        missing = words
+        known.update(used)
     for at in range(0, len(missing), 20_000):
         _learn(tok, known, missing[at : at + 20_000])
     ids_of = list(map(known.__getitem__, words))
