@@ -5,9 +5,11 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import links as ln
@@ -38,14 +40,35 @@ def title_score(query: str, title: str) -> float:
     return SUBSTRING_BASE * ratio if ratio >= FUZZY_MIN_RATIO else 0.0
 
 
+def _may_be_near(title: Column, query: str) -> Column:
+    """Whether a title can have a score at all, from how often it has the characters of the words; never false for one that has.
+
+    Likeness is twice the characters that match, over all; those are at most the characters that both have. Titles that
+    are not ASCII are not judged here, as folding may change them.
+    """
+    q = normalise(query)
+    flat = F.trim(F.regexp_replace(F.lower(title), r"[\x09-\x0D\x1C-\x20]+", " "))
+
+    def near(text: Column) -> Column:
+        both = F.lit(0)
+        for c, n in Counter(q).items():
+            both = both + F.least(F.lit(n), F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))))
+        return 2 * both >= F.lit(FUZZY_MIN_RATIO) * (F.length(text) + len(q)) - 1e-9
+
+    judged = F.contains(flat, F.lit(q)) | near(flat) | F.exists(F.split(flat, " "), near)
+    return F.coalesce(F.when(title.rlike(r"^[\x00-\x7F]*$"), judged).otherwise(F.lit(True)), F.lit(False)) if q else F.lit(False)
+
+
 def title_scores(chats: DataFrame, query: str) -> DataFrame:
-    """(id, title, score) of chats whose titles are near the words."""
+    """(id, title, score) of chats whose titles are near the words; Python compares only those that may be."""
 
     @F.pandas_udf("double")
-    def score(titles: pd.Series) -> pd.Series:
-        return titles.map(lambda t: title_score(query, t or ""))
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for titles in parts:
+            yield titles.map(lambda t: title_score(query, t or ""))
 
-    return chats.select("id", "title", score("title").alias("score")).where("score > 0")
+    some = chats.select("id", "title").where(_may_be_near(F.col("title"), query))
+    return some.select("id", "title", score("title").alias("score")).where("score > 0")
 
 
 def parse_target(text: str) -> tuple[str | None, str, str | int]:

@@ -1,8 +1,9 @@
 """A stored inverted index: what a search reads are its terms' postings, not the documents.
 
 Postings are (term, doc, size, raw, stemmed): where a document holds a term in its text and in the stems of its words,
-and how many terms it has in all; the empty term stands for every document. They lie in folders by a hash of the term and sorted by term within, so that a
-query reads few row groups. Documents come in numbered segments. A segment replaces the documents it holds, or that
+and how many terms it has in all. They lie in folders by a hash of the term and sorted by term within, so that a query
+reads few row groups; the sizes of all documents are a table of their own. Tasks that write follow the size of what is
+written, and no term is one task's. Documents come in numbered segments. A segment replaces the documents it holds, or that
 it says are gone, in all segments before it; it counts once its statistics are written, last, so that writing one
 again after a failure changes nothing. ``compact`` makes one segment of all.
 """
@@ -20,9 +21,9 @@ from parlance.functions import text as tx
 from parlance.operators.lexical import WEIGHTS, and_then_or, index_tokens, phrases, scored
 from parlance.storage import spread
 
-#: Folders that postings are spread over by term, and parts that each folder's rows are written in by document.
+#: Folders that postings are spread over by term, and bytes of postings in each part, by document, of a folder's rows.
 BUCKETS = 32
-PARTS = 4
+PART_BYTES = 128 << 20
 POSTINGS = "term string, doc long, size long, raw array<int>, stemmed array<int>"
 
 
@@ -50,7 +51,7 @@ def posted(docs: DataFrame) -> DataFrame:
                     for at, term in enumerate(terms):
                         places.setdefault(term, ([], []))[side].append(at)
                 size = len(raw) + len(stems)
-                out.append(("", doc, size, [], []))
+                out.append((None, doc, size, None, None))  # the document itself, whether it has a term or not
                 out += [(term, doc, size, *sides) for term, sides in places.items()]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
@@ -98,13 +99,22 @@ class Index:
         return number
 
     def _write(self, postings: DataFrame, docs: DataFrame, gone: DataFrame | None, before: list[int], number: int) -> None:
-        placed = postings.withColumn("bucket", bucket(F.col("term")).cast("int")).withColumn("_part", F.pmod(F.col("doc"), F.lit(PARTS)))
-        placed = placed.repartition("bucket", "_part").sortWithinPartitions("bucket", "term", "doc").drop("_part")
+        """``postings`` with a row without a term for each document. They are made once, beside what is kept of them."""
+        spark, made = self.spark, f"{self.folder}/made/{number}"
+        postings.write.mode("overwrite").parquet(made)
+        path = spark._jvm.org.apache.hadoop.fs.Path(made)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        parts = max(1, -(-int(files.getContentSummary(path).getLength()) // (BUCKETS * PART_BYTES)))
+        rows = spark.read.schema(POSTINGS).parquet(made)
+        placed = rows.where("term is not null").withColumn("bucket", bucket(F.col("term")).cast("int")).withColumn("_part", F.pmod(F.xxhash64("doc"), F.lit(parts)))
+        placed = placed.repartition(BUCKETS * parts, "bucket", "_part").sortWithinPartitions("bucket", "term", "doc").drop("_part")
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/{number}")
+        rows.where("term is null").select("doc", "size").write.mode("overwrite").parquet(f"{self.folder}/docs/{number}")
         dead = docs.select("doc") if gone is None else docs.select("doc").unionByName(gone.select("doc"))
         dead.distinct().write.mode("overwrite").parquet(f"{self.folder}/gone/{number}")
         live = self.docs([*before, number])
         live.agg(F.count("*").alias("n"), F.coalesce(F.avg("size"), F.lit(0.0)).alias("mean")).write.mode("overwrite").parquet(f"{self.folder}/stats/{number}")
+        files.delete(path, True)
 
     def _read(self, what: str, schema: str, numbers: list[int]) -> DataFrame:
         out = self.spark.createDataFrame([], f"{schema}, segment int")
@@ -122,8 +132,7 @@ class Index:
     def docs(self, numbers: list[int] | None = None) -> DataFrame:
         """(doc, size) of all documents."""
         numbers = self.segments() if numbers is None else numbers
-        rows = self._read("postings", f"{POSTINGS}, bucket int", numbers).where((F.col("bucket") == zlib.crc32(b"") % BUCKETS) & (F.col("term") == ""))
-        return self._live(rows.select("doc", "size", "segment"), numbers).select("doc", "size")
+        return self._live(self._read("docs", "doc long, size long", numbers), numbers).select("doc", "size")
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """Postings of all terms or of these; then only their folders and row groups are read."""
@@ -131,8 +140,6 @@ class Index:
         rows = self._read("postings", f"{POSTINGS}, bucket int", numbers)
         if terms is not None:
             rows = rows.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})) & F.col("term").isin(terms)) if terms else rows.limit(0)
-        else:
-            rows = rows.where("term <> ''")
         return self._live(rows, numbers).drop("segment", "bucket")
 
     def stats(self) -> tuple[int, float]:
@@ -163,7 +170,7 @@ class Index:
             return
         number = numbers[-1] + 1
         live = self.docs()
-        every = live.select(F.lit("").alias("term"), "doc", "size", *[F.array().cast("array<int>").alias(c) for c in WEIGHTS])
+        every = live.select(F.lit(None).cast("string").alias("term"), "doc", "size", *[F.lit(None).cast("array<int>").alias(c) for c in WEIGHTS])
         self._write(self.postings().unionByName(every), live, None, [], number)
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.folder}/whole/{number}")
 

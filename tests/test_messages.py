@@ -295,3 +295,17 @@ def test_slugs_fold_case(spark):
     cases = {"Größe ΣΑΣ": "grösse-σασ", "  Чат № 5!": "чат-5", "ﬁ x": "fi-x", "?!": "", "A" * 50: "a" * 40, "a" * 39 + " b": "a" * 39}
     df = spark.createDataFrame([(k,) for k in cases], "v string")
     assert {r.v: r.s for r in df.select("v", tx.slug(F.col("v")).alias("s")).collect()} == cases
+
+
+def test_titles_that_may_be_near_lose_none(spark):
+    """What the bound lets through has every title with a score, and little else."""
+    rng = random.Random(12)
+    words = ["steel", "stele", "rod", "rods", "brass", "Street", "road", "red", "Größe", "ＳＴＥＥＬ", "x"]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 5))) + rng.choice(["", "  ", "\t!"]) for _ in range(400)] + [None]
+    df = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
+    for query in ("steel rod", "stel", "GRÖSSE", "r", "", "roads and rails to the north"):
+        got = {r.id: r.score for r in ch.title_scores(df, query).collect()}
+        want = {i: s for i, t in enumerate(titles) if (s := ch.title_score(query, t or "")) > 0}
+        assert got == want
+    passed = df.where(ch._may_be_near(F.col("title"), "steel rod")).where("title rlike '^[ -~]*$'").count()
+    assert passed < 0.9 * sum(t is not None and t.isascii() for t in titles)
