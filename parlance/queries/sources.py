@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from parlance import schema
 from parlance.functions import dates, links, text
 from parlance.operators import units
 from parlance.queries.base import BASE, ORACLES, TALKS, query, table, talks
-from parlance.sources import export, feeds, large_export
+from parlance.sources import export, feeds, large_export, live
 from parlance.storage import shared_folder
 
 _KINDS = ("personal_chat", "private_group", "public_supergroup", "private_channel", "no_such_chat")
@@ -245,3 +246,19 @@ def units_of_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = schema.conform(talks(spark, sf_dir), schema.MESSAGES)
     c = m.select(F.col("chat_id").alias("id"), F.lit(False).alias("is_forum"), (F.col("chat_id") % 3 == 0).alias("is_broadcast")).distinct()
     return units.build_units(m.withColumn("text", F.lit("x")), c).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT conv_id % 10 AS chat_id, conv_id * 1000 + turn AS id, {BASE} + conv_id * 1000 + turn AS date, text FROM conversations WHERE conv_id * 1000 + turn >= 20000""")
+def fed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns through a live feed: a first run from a date on, and a second one that asks above each chat's mark only."""
+    folder = f"{shared_folder(spark)}/feed-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    i = F.col("conv_id") * 1000 + F.col("turn")
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("chat_id"), i.alias("id"), (F.lit(BASE) + i).alias("date"), "text")
+    half = (rows.agg(F.max("id")).head()[0] or 0) // 2
+    spark.dataSource.register(live.ChatFeed)
+    for part in (rows.where(F.col("id") <= half), rows.where(F.col("id") > half)):
+        part.repartition("chat_id").write.mode("append").partitionBy("chat_id").json(f"{folder}/feed")
+        uri = re.sub("^(file:)?/+", "file:///", folder)  # as an address, however the shared folder is named
+        feed = spark.readStream.format("chat_feed").options(client="parlance.sources.live:folder_client", path=f"{uri}/feed", page=100_000, since=BASE + 20_000)
+        feed.load().writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(live.ROWS).parquet(f"{folder}/out")
