@@ -192,11 +192,12 @@ def distinct_words(line: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
     raw, size = np.frombuffer(line, dtype=np.uint8), ends - starts
     same = np.array_equal(size, size[first][of])
-    for lo in range(0, len(starts) if same else 0, 1 << 17):
-        n = size[lo : lo + (1 << 17)]
-        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        own, other = (np.repeat(x, n) + inner for x in (starts[lo : lo + (1 << 17)], starts[first][of[lo : lo + (1 << 17)]]))
-        same = same and np.array_equal(raw[own], raw[other])
+    again = np.flatnonzero(starts != starts[first][of]) if same else starts[:0]  # all but the first of each
+    for lo in range(0, len(again), 1 << 17):
+        at = again[lo : lo + (1 << 17)]
+        n = size[at]
+        own = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        same = same and np.array_equal(raw[own], raw[own + np.repeat(starts[first][of[at]] - starts[at], n)])
     if not same:
         places: dict[bytes, int] = {}
         of = np.array([places.setdefault(line[a:b], len(places)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.int64)

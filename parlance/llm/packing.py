@@ -34,7 +34,7 @@ from parlance.llm.common import distinct_words, encoded, materialise, only, slic
 #: Length classes that patterns are made of. Patterns have at most three documents.
 CLASSES = 256
 #: Words whose token ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 #: Bytes of starting numbers that may be broadcast; more go to the pieces by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -60,12 +60,16 @@ def _learn(tok: Tokenizer, known: dict[bytes, bytes], missing: list[bytes]) -> N
     others: dict[bytes, None] = {}
     encode = tok.model.tokenize
     for w in missing:
+        if w.isalpha():  # ASCII letters alone
+            if w not in known:
+                known[w] = array("I", [t.id for t in encode(w.decode())]).tobytes()
+            continue
         parts = _PARTS.findall(w) if w.isascii() and b"'" not in w else [w]
         if len(parts) > 1:
             made[w] = parts
         for p in parts:
             if p not in known:
-                if p.isalpha() and p.isascii():
+                if p.isalpha():
                     known[p] = array("I", [t.id for t in encode(p.decode())]).tobytes()
                 else:
                     others[p] = None
