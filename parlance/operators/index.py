@@ -13,6 +13,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,39 +27,77 @@ from parlance.storage import spread
 BUCKETS = 32
 PART_BYTES = 128 << 20
 POSTINGS = "term string, doc long, size long, raw array<int>, stemmed array<int>"
+_COLUMNS = [f.split()[0] for f in POSTINGS.split(", ")]
+#: Tokens of documents that are posted together, and rows that a task hands over together.
+TOKENS, ROWS = 200_000, 10_000
+
+
+def _grouped(docs: list[int], sizes: list[int], tokens: list[str], counts: list[int]) -> pa.RecordBatch:
+    """Postings of some documents, whose tokens follow each other: of each document those of its text, then its stems'."""
+    code, terms = pd.factorize(np.array(tokens, dtype=object))
+    counts = np.array(counts, dtype=np.int64)  # two for each document
+    at = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
+    side = np.repeat(np.tile([0, 1], len(docs)), counts)
+    key = np.repeat(np.repeat(np.arange(len(docs)), 2), counts) * len(terms) + code
+    order = np.argsort(key, kind="stable")  # of a document and term: places in the text, then in the stems
+    key, at, side = key[order], at[order], side[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    lists = []
+    for k in (0, 1):
+        held = np.add.reduceat(side == k, first, dtype=np.int64) if len(first) else first
+        lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(held)], pa.int32()), pa.array(at[side == k], pa.int32())))
+    own, term = np.divmod(key[first], max(len(terms), 1))
+    one = lambda values: pa.array(np.array(values, dtype=np.int64)[own], pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()).take(pa.array(term)), one(docs), one(sizes), *lists], _COLUMNS)
+
+
+def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of postings of batches of (doc, text), and a row without a term for each document, whether it has one or not.
+
+    Documents are taken together up to ``TOKENS`` tokens, so that a task's memory follows neither the rows of a batch
+    nor their length; only one document is held as a whole.
+    """
+    known: dict[str, list[str]] = {}
+
+    def stemmed(token: str) -> list[str]:
+        found = known.get(token)
+        if found is None:
+            if len(known) > 100_000:
+                known.clear()
+            found = known[token] = index_tokens(tx.stem_token(token))
+        return found
+
+    docs, sizes, tokens, counts = [], [], [], []
+
+    def told() -> Iterator[pa.RecordBatch]:
+        none = [pa.nulls(len(docs), t) for t in (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([none[0], pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), *none[1:]], _COLUMNS)
+        if tokens:
+            made = _grouped(docs, sizes, tokens, counts)
+            for a in range(0, made.num_rows, ROWS):
+                yield made.slice(a, ROWS)
+        for held in (docs, sizes, tokens, counts):
+            held.clear()
+
+    for batch in batches:
+        for a in range(0, batch.num_rows, 100):
+            for doc, text in zip(*(c.to_pylist() for c in batch.slice(a, 100).columns), strict=True):
+                raw = index_tokens(text)
+                stems = [t for w in tx.token_list(text) for t in stemmed(w)]
+                docs.append(doc)
+                sizes.append(len(raw) + len(stems))
+                counts += [len(raw), len(stems)]
+                tokens += raw
+                tokens += stems
+                if len(tokens) >= TOKENS or len(docs) >= ROWS:
+                    yield from told()
+    if docs:
+        yield from told()
 
 
 def posted(docs: DataFrame) -> DataFrame:
     """Postings of (doc, text) rows; a document is complete in its row, so nothing is shuffled to count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
-
-        def stemmed(token: str) -> list[str]:
-            found = known.get(token)
-            if found is None:
-                if len(known) > 200_000:
-                    known.clear()
-                found = known[token] = index_tokens(tx.stem_token(token))
-            return found
-
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                places: dict[str, tuple[list[int], list[int]]] = {}
-                raw = index_tokens(text)
-                stems = [t for w in tx.token_list(text) for t in stemmed(w)]
-                for side, terms in enumerate((raw, stems)):
-                    for at, term in enumerate(terms):
-                        places.setdefault(term, ([], []))[side].append(at)
-                size = len(raw) + len(stems)
-                out.append((None, doc, size, None, None))  # the document itself, whether it has a term or not
-                out += [(term, doc, size, *sides) for term, sides in places.items()]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["term", "doc", "size", "raw", "stemmed"])
-
-    return docs.select("doc", "text").mapInArrow(run, POSTINGS)
+    return docs.select("doc", "text").mapInArrow(post, POSTINGS)
 
 
 def _less(k: int):
