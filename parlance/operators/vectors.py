@@ -1,11 +1,15 @@
 """Stored vectors of units, embedded slice by slice under a budget.
 
-A slice is written as a folder of its own and counts once it is finished, so that a run which stops anywhere goes on
-where it stopped. A unit's id follows from its content: what has an id among the slices needs no embedding again.
+Under a budget a slice is written as a folder of its own and counts once it is finished, so that a run which stops
+anywhere goes on where it stopped. Without one, slices are written in rounds, each a folder named after its last slice
+and twice as long as the round before: a run that stops loses no more than about what it had done, and jobs grow with
+the logarithm of the slices. A unit's id follows from its content: what has an id among the slices needs no embedding again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,15 @@ VECTORS = "unit_id long, chat_id long, date_start long, embedding array<float>,
 SLICE = 256
 
 
+def _rounds(slices: int, growing: bool) -> Iterator[tuple[int, int]]:
+    """From which slice to which each round goes: one after the other, or twice as many each time."""
+    a, n = 0, 1
+    while a < slices:
+        b = min(a + n, slices)
+        yield a, b
+        a, n = b, 2 * n if growing else 1
+
+
 class VectorLog:
     """Vectors in a folder that driver and executors share, of one embedder."""
 
@@ -43,7 +56,8 @@ class VectorLog:
     def embed(self, units: DataFrame, name: str = "hashed", size: int = SLICE, budget: Budget | None = None) -> int:
         """Embed units (unit_id, chat_id, date_start, text) that have no vector, in order of id; how many were embedded.
 
-        The budget is looked at between slices. What is left is written once, in order, and a slice reads its own rows.
+        The budget is looked at between slices. What is left is written once, in order, and a round of slices (of one, where
+        there is a budget) reads its own rows.
         """
         if name not in EMBEDDERS:
             raise KeyError(f"no embedder named {name}")
@@ -59,11 +73,12 @@ class VectorLog:
         rows = self.spark.read.parquet(queue)
         count = rows.agg(F.max("place")).head()[0] or 0
         embedded = 0
-        for k in (budget or Budget(None)).over(range(-(-count // size))):
-            part = spread(rows.where(F.col("place").between(k * size + 1, (k + 1) * size)))
-            made = part.select("unit_id", "chat_id", "date_start", embed(F.col("text"), name).alias("embedding"))
+        for a, b in (budget or Budget(None)).over(_rounds(-(-count // size), budget is None)):
+            part = spread(rows.where(F.col("place").between(a * size + 1, b * size)))
+            made = part.select("unit_id", "chat_id", "date_start", "place", embed(F.col("text"), name).alias("embedding"))
             kept = F.when(usable(F.col("embedding")), F.col("embedding"))
-            told = made.select("unit_id", "chat_id", "date_start", kept.alias("embedding"), F.lit(name).alias("model"), F.lit(first + k).cast("long").alias("slice"), F.lit(run).alias("run"))
-            told.write.mode("overwrite").parquet(f"{self.folder}/slices/{first + k}")
-            embedded += min(size, count - k * size)
+            number = F.lit(first) + F.floor((F.col("place") - 1) / size)
+            told = made.select("unit_id", "chat_id", "date_start", kept.alias("embedding"), F.lit(name).alias("model"), number.cast("long").alias("slice"), F.lit(run).alias("run"))
+            told.write.mode("overwrite").parquet(f"{self.folder}/slices/{first + b - 1}")
+            embedded += min(b * size, count) - a * size
         return embedded

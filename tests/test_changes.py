@@ -141,3 +141,15 @@ def test_a_stream_ends_at_its_deadline(spark, tmp_path):
     finally:
         spark.streams.removeListener(deadline)
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(60))
+
+
+def test_slices_without_a_budget_go_in_rounds_that_double(spark, tmp_path):
+    """40 slices are 6 writes, not 40; rows tell their slices as before, and a later run goes on above them."""
+    some = spark.range(158).selectExpr("id as unit_id", "1L as chat_id", "id as date_start", "concat('words ', id) as text")
+    log = VectorLog(spark, str(tmp_path))
+    assert log.embed(some, size=4) == 158
+    assert [(r.unit_id, r.slice) for r in log.rows().orderBy("unit_id").collect()] == [(k, k // 4) for k in range(158)]
+    assert len([p for p in (tmp_path / "slices").iterdir() if p.is_dir()]) == 6
+    more = some.selectExpr("unit_id + 100 as unit_id", "chat_id", "date_start", "text")
+    assert log.embed(more, size=4, budget=Budget(None)) == 100
+    assert {r.slice for r in log.rows().where("unit_id >= 158").collect()} == set(range(40, 65))
