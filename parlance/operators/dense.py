@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -28,16 +29,32 @@ def features(text: str | None) -> list[str]:
     import unicodedata
 
     words = re.findall(r"\w+", unicodedata.normalize("NFKC", text or "").lower())
-    stems = (tx.stem_token(w) for w in words if len(w) > 1 and not w.isdigit())
-    return [_STEMMED.get(s, s) for s in stems]
+    return [_feature(w) for w in words if len(w) > 1 and not w.isdigit()]
+
+
+#: Words that a process remembers the stems and places of.
+REMEMBERED = 50_000
+
+
+@functools.lru_cache(REMEMBERED)
+def _feature(word: str) -> str:
+    stem = tx.stem_token(word)
+    return _STEMMED.get(stem, stem)
+
+
+@functools.lru_cache(REMEMBERED)
+def _hashed(feature: str) -> tuple[int, float]:
+    """A number that gives a feature's place, and its sign."""
+    d = hashlib.blake2b(feature.encode(), digest_size=8).digest()
+    return int.from_bytes(d[:4], "big"), 1.0 if d[4] % 2 else -1.0
 
 
 def hashed_vector(text: str | None, dim: int = schema.EMBED_DIM) -> list[float]:
     """Signed counts of hashed features, of unit length; zero for a text without features."""
     out = np.zeros(dim)
     for f in features(text):
-        d = hashlib.blake2b(f.encode(), digest_size=8).digest()
-        out[int.from_bytes(d[:4], "big") % dim] += 1.0 if d[4] % 2 else -1.0
+        at, sign = _hashed(f)
+        out[at % dim] += sign
     size = np.linalg.norm(out)
     return (out / size if size else out).tolist()
 
@@ -46,6 +63,18 @@ def hashed_vector(text: str | None, dim: int = schema.EMBED_DIM) -> list[float]:
 EMBEDDERS: dict[str, tuple[Callable[[list[str | None]], list[list[float]]], int]] = {"hashed": (lambda texts: [hashed_vector(t) for t in texts], schema.EMBED_DIM)}
 
 
+#: Texts that a model is given together.
+TEXTS = 256
+
+
+def vectors_of(texts: pd.Series, model: Callable[[list[str | None]], list[list[float]]]) -> pd.Series:
+    """The vectors of texts as arrays of 32-bit floats; only some rows are lists of Python's numbers at a time."""
+    found: list[np.ndarray] = []
+    for a in range(0, len(texts), TEXTS):
+        found += [np.asarray(v, dtype=np.float32) for v in model(texts.iloc[a : a + TEXTS].tolist())]
+    return pd.Series(found, index=texts.index, dtype=object)
+
+
 def embed(text: Column, name: str = "hashed") -> Column:
     """The vectors of a text column, in batches; a model would be loaded once for each task."""
     model = EMBEDDERS[name][0]
@@ -53,7 +82,7 @@ def embed(text: Column, name: str = "hashed") -> Column:
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series(model(part.tolist()), index=part.index)
+            yield vectors_of(part, model)
 
     return run(text)
 
