@@ -29,6 +29,16 @@ def nfkc(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+#: A character outside of those that NFKC leaves alone whatever stands beside them: ASCII, most of Latin, Cyrillic, dashes and quotes.
+_UNSURE = "[^\\x00-\\x7f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0400-\u0482\u2010\u2012-\u2016\u2018-\u2023\u20ac]"
+
+
+def normal(text: Column) -> Column:
+    """Text in NFKC; Python is sent only what may not be."""
+    unsure = text.rlike(_UNSURE)
+    return F.coalesce(F.when(~unsure, text), nfkc(F.when(unsure, text)))
+
+
 @F.pandas_udf(T.StringType())
 def folded(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKC, case folding, white space runs to one space, ends trimmed (null stays)."""
@@ -45,7 +55,7 @@ def casefolded(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def tokens(text: Column, normalised: bool = False) -> Column:
     """Lower-case tokens in order. Say ``normalised`` where the text is known to be NFKC already: no Python then."""
-    return F.regexp_extract_all(F.lower(text if normalised else nfkc(text)), F.lit(TOKEN), F.lit(1))
+    return F.regexp_extract_all(F.lower(text if normalised else normal(text)), F.lit(TOKEN), F.lit(1))
 
 
 def language(text: Column) -> Column:
