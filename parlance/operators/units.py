@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from parlance import schema
 from parlance.functions import text as tx
 from parlance.operators.ordered import numbered
-from parlance.storage import checkpointed
+from parlance.storage import checkpointed, shuffled
 
 UNIT_COLUMNS = ["chat_id", "topic_id", "kind", "msg_id_start", "msg_id_end", "msg_ids", "date_start", "date_end", "text", "reactions"]
 
@@ -155,7 +155,7 @@ def reply_roots(messages: DataFrame) -> DataFrame:
     the rounds grow with the logarithm of the longest chain; members of a cycle have no root and are left out.
     """
     own = messages.select("chat_id", "msg_id", "reply_to_msg_id")
-    stored = own.select("chat_id", F.col("msg_id").alias("reply_to_msg_id"), F.lit(True).alias("_there"))
+    stored = shuffled(own.select("chat_id", F.col("msg_id").alias("reply_to_msg_id"), F.lit(True).alias("_there")))
     up = own.join(stored, ["chat_id", "reply_to_msg_id"], "left")
     parent = F.when(F.col("_there") & (F.col("reply_to_msg_id") != F.col("msg_id")), F.col("reply_to_msg_id"))
     state = checkpointed(up.select("chat_id", "msg_id", parent.alias("up"), F.coalesce(parent, F.col("msg_id")).alias("root")))
@@ -174,16 +174,16 @@ def reply_roots(messages: DataFrame) -> DataFrame:
 
 def threads(messages: DataFrame, cap: int = schema.THREAD_MAX_MSGS) -> DataFrame:
     """``thread`` units: a root that has replies, and all below it by time, in pieces that repeat the root first."""
-    roots = reply_roots(messages)
-    replies = messages.join(roots, ["chat_id", "msg_id"]).where("msg_id <> root")
+    roots = reply_roots(messages).where("msg_id <> root")
+    replies = shuffled(messages).join(roots, ["chat_id", "msg_id"])
     # a thread of any number of replies is numbered by slices of a day, not sorted by one task
     replies = numbered(replies, ["chat_id", "root"], "date", "_turn", [F.col("msg_id")], 86_400).withColumn("piece", F.floor((F.col("_turn") - 1) / max(cap - 1, 1))).drop("_turn")
     pieces = replies.select("chat_id", "root", "piece").distinct()
-    heads = messages.withColumnRenamed("msg_id", "root").join(pieces, ["chat_id", "root"]).withColumn("msg_id", F.col("root"))
+    heads = shuffled(messages.withColumnRenamed("msg_id", "root")).join(pieces, ["chat_id", "root"]).withColumn("msg_id", F.col("root"))
     shown = ["chat_id", "root", "piece", "msg_id", "date", "line", "reactions"]
     rows = replies.select(*shown, F.lit(1).alias("later")).unionByName(heads.select(*shown, F.lit(0).alias("later")))
     topics = messages.select("chat_id", F.col("msg_id").alias("root"), F.col("topic_id").alias("_topic"))
-    units = _gather(rows, ["chat_id", "root", "piece"], "thread", ["later", "date"]).join(topics, ["chat_id", "root"])
+    units = _gather(rows, ["chat_id", "root", "piece"], "thread", ["later", "date"]).join(shuffled(topics), ["chat_id", "root"])
     return units.withColumn("topic_id", F.col("_topic")).select(*UNIT_COLUMNS)
 
 

@@ -41,6 +41,15 @@ def finished(spark: SparkSession, folder: str, below: int | None = None) -> list
     return sorted(n for n in (int(p.getName()) for p in names) if below is None or n < below)
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """``rows``, never broadcast in the join they go into.
+
+    For tables that grow with the input: of a few columns of a wide one Spark guesses a small part of the compressed
+    file, so that millions of rows would go through the driver.
+    """
+    return rows.hint("merge")
+
+
 #: Bytes of input for each core below which rows are spread.
 SMALL_BYTES = 16 << 20
 
