@@ -147,7 +147,11 @@ def clip(text: Column, limit: int) -> Column:
 
 def evidence_snippet(text: Column, needle: Column, limit: int = 240) -> Column:
     """At most ``limit`` characters of the flattened text, from a third of that before the needle; null for no text."""
-    flat = one_line(text)
+    return flat_snippet(one_line(text), needle, limit)
+
+
+def flat_snippet(flat: Column, needle: Column, limit: int = 240) -> Column:
+    """``evidence_snippet`` of a text that is flattened already."""
     found = F.coalesce(F.instr(F.lower(flat), F.lower(needle)), F.lit(0))
     start = F.when(found > 0, F.greatest(F.lit(0), F.least(found - 1 - limit // 3, F.length(flat) - limit))).otherwise(0)
     head = F.when(start > 0, "…").otherwise("")

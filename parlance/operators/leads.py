@@ -73,8 +73,8 @@ def lead_rows(messages: DataFrame) -> DataFrame:
 def message_leads(messages: DataFrame, chats: DataFrame) -> DataFrame:
     """(chat_id, msg_id, via, target, chat, origin, snippet): what messages name by links, forwards and text; ``chat`` is null for people.
 
-    Links that were never read (null) are looked for in the text, once each: a text's links are cut out first, and
-    only then is each one parsed.
+    Links that were never read (null) are looked for in the text: a text's links are cut out first, and only then is
+    each one parsed, in the text's row, so that no text is moved once for each of its links.
     """
     about = chats.select(F.col("id").alias("chat_id"), "type", "scope", "peer_id")
     columns = ["chat_id", "msg_id", "text", "links", "links_read", "fwd_from_id", "fwd_msg_id", "fwd_date"]
@@ -83,12 +83,14 @@ def message_leads(messages: DataFrame, chats: DataFrame) -> DataFrame:
     forward = F.when(F.col("fwd_from_id").isNotNull(), F.array(F.struct(F.lit("forward").alias("kind"), F.concat(F.lit("peer:"), F.col("fwd_from_id").cast("string")).alias("target"))))
     none = F.array().cast(_LEADS)
     every = F.concat(F.coalesce("links", shown, none), F.coalesce(forward, none))
-    each = rows.select("chat_id", "msg_id", "text", origin_key().alias("origin"), F.explode(every).alias("l"))
-    each = each.select("chat_id", "msg_id", "text", "origin", F.col("l.kind").alias("via"), F.col("l.target").alias("_raw"))
-    found = ln.identified(each, "_raw", "target").where("target is not null").drop("_raw")
+    named = F.transform(every, lambda l: F.struct(l["kind"].alias("via"), ln.identity(l["target"]).alias("target")))
+    told = F.array_distinct(F.filter(named, lambda l: l["target"].isNotNull()))  # a text may say it twice
+    # texts stay in their rows until snippets are cut; of a plain explode Spark asks first whether it gives rows, and parses all twice
+    each = rows.select("chat_id", "msg_id", tx.one_line(F.col("text")).alias("_flat"), origin_key().alias("origin"), F.explode_outer(told).alias("l")).where("l is not null")
+    each = each.select("chat_id", "msg_id", "_flat", "origin", F.col("l.via").alias("via"), F.col("l.target").alias("target"))
     needle = F.regexp_replace(F.col("target"), r"^(@|\+|addlist/)|/.*$", "")
-    found = found.dropDuplicates(["chat_id", "msg_id", "via", "target"])  # a text may say it twice
-    return found.select("chat_id", "msg_id", "via", "target", chat_level(F.col("target")).alias("chat"), "origin", tx.evidence_snippet(F.col("text"), needle, schema.EVIDENCE_CHARS).alias("snippet"))
+    found = each.select("chat_id", "msg_id", "via", "target", chat_level(F.col("target")).alias("chat"), "origin", tx.flat_snippet(F.col("_flat"), needle, schema.EVIDENCE_CHARS).alias("snippet"))
+    return found.dropDuplicates(["chat_id", "msg_id", "via", "target"])
 
 
 def own_names(chats: DataFrame) -> DataFrame:

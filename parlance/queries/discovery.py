@@ -82,9 +82,9 @@ c AS (SELECT chat, count(DISTINCT origin) AS n FROM s GROUP BY chat), o AS (SELE
 
 
 def _round(spark: SparkSession, sf_dir: str) -> leads.Discovery:
-    m = checkpointed(_messages(spark, sf_dir))
+    m = _messages(spark, sf_dir)
     seeds = spark.range(0, 40, 2).select(F.col("id").alias("chat_id"))
-    found = leads.collect_leads(m, _chats(spark)).select("chat").distinct()
+    found = checkpointed(leads.collect_leads(m, _chats(spark)).select("chat").distinct())
     known = schema.conform(found.where("chat like '@o%'").withColumn("depth", F.lit(3)).withColumn("status", F.lit("approved")).withColumn("decided", F.lit(True)), leads.CANDIDATES)
     cursors = spark.createDataFrame([(4, 0, "this", 5, False), (6, 0, "other", 8, False)], leads.CURSORS)
     none = spark.createDataFrame([], leads.EVIDENCE)

@@ -50,18 +50,22 @@ def shuffled(rows: DataFrame) -> DataFrame:
     return rows.hint("merge")
 
 
-#: Bytes of input for each core below which rows are spread.
-SMALL_BYTES = 16 << 20
+#: Bytes of input that a task is given, and tasks for each core at most. Sizes behind joins are guesses, often far too large: a
+#: table of more than ``GUESSED`` bytes counts as of unknown size.
+TASK_BYTES, TASKS, GUESSED = 16 << 20, 64, 1 << 50
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` over as many tasks as there are cores, where Spark takes them for small; a large input has more parts as it is.
+    """``rows`` over as many tasks as there are cores, and over more where a task would have over ``TASK_BYTES``.
 
-    Before work that costs far more than moving the rows; a small file is a single task's otherwise.
+    Before work that costs far more than moving the rows: a file's row group, however large, is a single task's otherwise.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return rows.repartition(cores) if size < cores * SMALL_BYTES else rows
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    read = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = min(int(plan.stats().sizeInBytes()), sum(n for n in read if n < GUESSED))
+    return rows.repartition(max(cores, min(-(-size // TASK_BYTES), TASKS * cores)))
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Steps whose cost must grow no faster than their input: what is broadcast, how often a table is read, and how it is dealt to tasks."""
 
-from parlance import schema
-from parlance.operators import units
+from parlance import schema, storage
+from parlance.operators import leads, units
 
 
 def _messages(spark, n=20):
@@ -20,3 +20,21 @@ def test_threads_broadcast_no_messages(spark, tmp_path):
     cut = units.threads(units.render(stored))
     assert "BroadcastExchange" not in _plan(cut)
     assert sorted(r.msg_ids for r in cut.collect()) == [[i, i + 1, i + 2][: 20 - i] for i in range(0, 20, 3)]
+
+
+def test_a_large_row_group_is_spread(spark, tmp_path, monkeypatch):
+    """A file of one row group is many tasks' work, and a guessed size behind a join doesn't make thousands of them."""
+    spark.range(50_000).selectExpr("id", "uuid() as t").coalesce(1).write.parquet(f"{tmp_path}/f")
+    rows = spark.read.parquet(f"{tmp_path}/f")
+    monkeypatch.setattr(storage, "TASK_BYTES", 1 << 17)
+    assert 8 < storage.spread(rows).rdd.getNumPartitions() <= 64
+    asked = storage.checkpointed(rows.crossJoin(spark.range(10).toDF("k")).select("id"))
+    assert storage.spread(rows.join(asked, "id")).rdd.getNumPartitions() <= 4 * storage.TASKS
+
+
+def test_links_are_parsed_where_their_text_lies(spark, tmp_path):
+    """The texts' rows are read once, and no text is moved for each of its links."""
+    _messages(spark).write.parquet(f"{tmp_path}/m")
+    chats = schema.conform(spark.range(1).selectExpr("id", "id as peer_id", "'channel' as type"), schema.CHATS)
+    m = spark.read.parquet(f"{tmp_path}/m")
+    assert _plan(leads.message_leads(m, chats)).count(f"{tmp_path}/m") <= 1
