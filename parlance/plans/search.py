@@ -31,11 +31,17 @@ def build_indexes(units: DataFrame, messages: DataFrame, folder: str | None = No
     """Indexes of units and of messages, written to a folder once; searches read only their terms' postings."""
     spark = units.sparkSession
     folder = folder or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    found = Index(spark, f"{folder}/units"), Index(spark, f"{folder}/messages")
-    if not found[0].segments():
-        found[0].add(units.select(F.col("unit_id").alias("doc"), "text"), number=1)
-    if not found[1].segments():
-        found[1].add(message_documents(messages), number=1)
+    found = Index(spark, f"{folder}/units")
+    if not found.segments():
+        found.add(units.select(F.col("unit_id").alias("doc"), "text"), number=1)
+    return found, message_index(messages, folder)
+
+
+def message_index(messages: DataFrame, folder: str) -> Index:
+    """The index of messages alone, in its place below the folder of ``build_indexes``."""
+    found = Index(messages.sparkSession, f"{folder}/messages")
+    if not found.segments():
+        found.add(message_documents(messages), number=1)
     return found
 
 

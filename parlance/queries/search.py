@@ -11,7 +11,7 @@ from parlance import schema
 from parlance.operators import dense, units, upkeep
 from parlance.operators.index import Index
 from parlance.operators.lexical import and_then_or
-from parlance.plans.search import build_indexes, search
+from parlance.plans.search import build_indexes, message_index, search
 from parlance.queries.base import query, table, talks
 from parlance.sinks import results
 from parlance.storage import checkpointed, shared_folder, spread
@@ -99,10 +99,15 @@ def repaired_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.postings().where(F.size("raw") > 0).groupBy("term").agg(F.countDistinct("doc").alias("docs"))
 
 
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as messages."""
+    return schema.conform(talks(spark, sf_dir), schema.MESSAGES)
+
+
 def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(messages, units, vectors) of conversations, written once."""
     folder = _folder(spark, sf_dir, "corpus")
-    m = schema.conform(talks(spark, sf_dir), schema.MESSAGES)
+    m = _messages(spark, sf_dir)
     if not Index(spark, f"{folder}/index/units").segments():
         lines = units.render(spread(m))
         u = upkeep.with_ids(units.windows(lines).unionByName(units.threads(lines)))
@@ -125,8 +130,8 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT chat_id, msg_id FROM t WHERE term IN ('the', 'und', 'la') AND chat_id % 2 = 0""")
 def matching_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of every second chat that hold any of three words, by the messages' index."""
-    m, u, _ = _corpus(spark, sf_dir)
-    index = build_indexes(u, m, f"{_folder(spark, sf_dir, 'corpus')}/index")[1]
+    m = _messages(spark, sf_dir)
+    index = message_index(m, f"{_folder(spark, sf_dir, 'corpus')}/index")  # all it asks: no units, no vectors
     allowed = m.where("chat_id % 2 = 0").select(F.xxhash64("chat_id", "msg_id").alias("doc"))
     held = index.postings(["the", "und", "la"]).where(F.size("raw") > 0).select("doc").distinct().join(allowed, "doc", "left_semi")
     return m.withColumn("doc", F.xxhash64("chat_id", "msg_id")).join(held, "doc", "left_semi").select("chat_id", "msg_id")

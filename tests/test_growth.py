@@ -2,6 +2,8 @@
 
 from parlance import schema, storage
 from parlance.operators import leads, units
+from parlance.operators.index import Index
+from parlance.queries import search
 
 
 def _messages(spark, n=20):
@@ -38,3 +40,10 @@ def test_links_are_parsed_where_their_text_lies(spark, tmp_path):
     chats = schema.conform(spark.range(1).selectExpr("id", "id as peer_id", "'channel' as type"), schema.CHATS)
     m = spark.read.parquet(f"{tmp_path}/m")
     assert _plan(leads.message_leads(m, chats)).count(f"{tmp_path}/m") <= 1
+
+
+def test_matching_messages_writes_no_units_and_no_vectors(spark, tmp_path):
+    """Its index of messages is all it asks for."""
+    spark.createDataFrame([(2, 0, "user", "the one"), (2, 1, "user", "other"), (3, 0, "user", "the")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in search.matching_messages(spark, str(tmp_path)).collect()] == [(2, 0)]
+    assert not Index(spark, f"{search._folder(spark, str(tmp_path), 'corpus')}/index/units").segments()
