@@ -76,7 +76,11 @@ def vectors_of(texts: pd.Series, model: Callable[[list[str | None]], list[list[f
 
 
 def embed(text: Column, name: str = "hashed") -> Column:
-    """The vectors of a text column, in batches; a model would be loaded once for each task."""
+    """The vectors of a text column, in batches; a model would be loaded once for each task.
+
+    It is marked as not deterministic so that each text is embedded once, where it lies: else Spark moves a filter on the
+    vectors to before a shuffle, and embeds for the filter, in the tasks of the table's files, and again after it.
+    """
     model = EMBEDDERS[name][0]
 
     @F.pandas_udf("array<float>")
@@ -84,7 +88,7 @@ def embed(text: Column, name: str = "hashed") -> Column:
         for part in parts:
             yield vectors_of(part, model)
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 class EmbedderUnavailable(RuntimeError):

@@ -1,7 +1,7 @@
 """Steps whose cost must grow no faster than their input: what is broadcast, how often a table is read, and how it is dealt to tasks."""
 
 from parlance import schema, storage
-from parlance.operators import leads, units
+from parlance.operators import dense, leads, units
 from parlance.operators.index import Index
 from parlance.queries import search
 
@@ -42,6 +42,16 @@ def test_links_are_parsed_where_their_text_lies(spark, tmp_path):
     assert _plan(leads.message_leads(m, chats)).count(f"{tmp_path}/m") <= 1
 
 
+def test_texts_are_embedded_once_after_they_are_spread(spark, tmp_path):
+    """A filter on the vectors must not embed every text before the shuffle too, in the tasks of the file."""
+    rows = spark.createDataFrame([(i, 1, 0, t) for i, t in enumerate(["one two", "", None, "three"])], "unit_id long, chat_id long, date_start long, text string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/u")
+    have = spark.createDataFrame([], "unit_id long, chat_id long, date_start long, embedding array<float>")
+    made = dense.embed_dirty(spark.read.parquet(f"{tmp_path}/u"), have)
+    assert _plan(made).count("ArrowEvalPython") == 1
+    assert sorted(r.unit_id for r in made.collect()) == [0, 3]
+
+
 def test_matching_messages_writes_no_units_and_no_vectors(spark, tmp_path):
     """Its index of messages is all it asks for."""
     spark.createDataFrame([(2, 0, "user", "the one"), (2, 1, "user", "other"), (3, 0, "user", "the")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
