@@ -1,11 +1,12 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from parlance.operators import units
 from parlance.storage import finished
-from parlance.streaming.windows import WindowLog, cut, keep_windows
+from parlance.streaming.windows import WindowLog, cut, keep_windows, open_windows
 
 LINES = "chat_id long, topic_id long, date long, msg_id long, line string, reactions long, arrived timestamp"
 LIMITS = {"gap_min": 10, "max_msgs": 4, "max_chars": 60}
@@ -90,3 +91,35 @@ def test_an_empty_log(spark, tmp_path):
     log = WindowLog(spark, str(tmp_path))
     assert log.state("closed").count() == log.state("open").count() == 0
     log.compact(spark.createDataFrame([], LINES), **LIMITS)
+
+
+class Kept:
+    """A key's state as Spark hands it over."""
+
+    def __init__(self, watermark_s, value=None, hasTimedOut=False):
+        self.get, self.exists, self.hasTimedOut, self.watermark_s, self.timeout = value, value is not None, hasTimedOut, watermark_s, None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark_s * 1000
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def setTimeoutTimestamp(self, at):
+        self.timeout = at
+
+
+def test_state_goes_with_the_rows_of_its_key():
+    """What is held comes and goes as one value, large ids stay whole beside nulls, and a timer closes what is left."""
+    tell, i = open_windows(600, 4, 60, 60), (1 << 60) + 1
+    rows = pd.DataFrame({"date": [1000, 1010], "msg_id": [i, i + 2], "line": ["a", None], "reactions": [None, 2.0]})
+    first = Kept(0)
+    [told] = tell((5, -1), iter([rows]), first)
+    assert told[["topic_id", "msg_id_start", "msg_id_end", "msg_ids", "text", "reactions", "state"]].values.tolist() == [[None, i, i + 2, [i, i + 2], "a", 2, "open"]]
+    assert first.timeout == (1010 + 600 + 60 + 1) * 1000
+    later = Kept(1671, first.get, True)
+    [told] = tell((5, -1), iter([]), later)
+    assert told[["msg_ids", "state"]].values.tolist() == [[[i, i + 2], "closed"], [[], "open"]]
+    assert later.get[:3] == (1611, -(1 << 63), []) and later.timeout is None
+    [told] = tell((5, -1), iter([rows[:1]]), Kept(1671, later.get))
+    assert told[["msg_ids", "state"]].values.tolist() == [[[i], "late"], [[], "open"]]
