@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.units import reply_roots
-from parlance.storage import checkpointed
+from parlance.storage import checkpointed, shuffled
 
 #: Levels that are climbed or descended one by one; chains that are longer are looked up as a whole.
 LEVELS = 24
@@ -18,7 +18,7 @@ def _small(rows: DataFrame) -> tuple[DataFrame, int]:
     """``rows``, written, as one side of a join with all messages; broadcast where their number is small, and that number."""
     own = checkpointed(rows)
     n = own.count()
-    return (F.broadcast(own) if n <= FEW else own), n
+    return (F.broadcast(own) if n <= FEW else shuffled(own)), n
 
 
 def tops_of(messages: DataFrame, ids: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +35,7 @@ def tops_of(messages: DataFrame, ids: DataFrame, levels: int = LEVELS) -> tuple[
             break
         met = checkpointed(near.join(own, ["chat_id", "at"]).select("chat_id", "at", "up").distinct())
         ends.append(met.where("up is null").select("chat_id", F.col("at").alias("root")))
-        missed = near.where("child is not null").join(met.select("chat_id", "at"), ["chat_id", "at"], "left_anti")
+        missed = near.where("child is not null").join(shuffled(met.select("chat_id", "at")), ["chat_id", "at"], "left_anti")
         ends.append(missed.select("chat_id", F.col("child").alias("root")))
         front = met.where("up is not null").select("chat_id", F.col("up").alias("at"), F.col("at").alias("child"))
     found = ends[0] if ends else ids.select("chat_id", F.col("msg_id").alias("root")).limit(0)

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from parlance.functions import text as tx
 from parlance.operators.ordered import last_before
-from parlance.storage import checkpointed
+from parlance.storage import checkpointed, shuffled
 
 # Fixed values of the ranking function.
 K1, B = 1.2, 0.75
@@ -133,10 +133,10 @@ def containing_unit(messages: DataFrame, units: DataFrame) -> DataFrame:
     spans = spans.withColumn("_at", F.explode(F.sequence(F.floor(F.col("_a") / step), F.floor(F.col("_b") / step))))
     rows = messages.select("chat_id", "msg_id", "topic_id", F.floor(F.col("msg_id") / step).alias("_step"))
     on = (F.col("chat_id") == F.col("_chat")) & (F.col("_step") == F.col("_at")) & F.col("topic_id").eqNullSafe(F.col("_topic")) & F.col("msg_id").between(F.col("_a"), F.col("_b"))
-    met = rows.join(spans, on).select("chat_id", "msg_id", "_unit", "_a")
+    met = rows.join(shuffled(spans), on).select("chat_id", "msg_id", "_unit", "_a")
     best = met.groupBy("chat_id", "msg_id").agg(F.max_by("_unit", F.struct("_a", "_unit")).alias("_window"))
     post = units.where("kind = 'post'").select("chat_id", F.col("msg_id_start").alias("msg_id"), F.col("unit_id").alias("_post"))
-    out = messages.join(best, ["chat_id", "msg_id"], "left").join(post, ["chat_id", "msg_id"], "left")
+    out = messages.join(shuffled(best), ["chat_id", "msg_id"], "left").join(shuffled(post), ["chat_id", "msg_id"], "left")
     return out.withColumn("unit_id", F.coalesce("_window", "_post")).drop("_window", "_post")
 
 

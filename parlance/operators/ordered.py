@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.storage import checkpointed
+from parlance.storage import checkpointed, shuffled
 
 #: Values of the ordering column that share a slice.
 SLICE = 10_000
@@ -33,7 +33,7 @@ def last_before(points: DataFrame, marks: DataFrame, keys: list[str], at: str, v
     tops = both.groupBy(*own, "_slice").agg(F.max("_mark").alias("_top"))
     before = Window.partitionBy(*own).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = tops.select(*own, "_slice", F.last("_top", ignorenulls=True).over(before).alias("_carry"))
-    found = both.withColumn("_near", F.last("_mark", ignorenulls=True).over(inside)).where("_side = 1").join(carried, [*own, "_slice"])
+    found = both.withColumn("_near", F.last("_mark", ignorenulls=True).over(inside)).where("_side = 1").join(shuffled(carried), [*own, "_slice"])
     return found.select("_row.*", F.coalesce("_near", "_carry")["v"].alias(value))
 
 
@@ -43,7 +43,7 @@ def numbered(rows: DataFrame, keys: list[str], at: str, name: str, ties: list[Co
     before = Window.partitionBy(*own).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     ahead = cut.groupBy(*own, "_slice").agg(F.count("*").alias("_n")).select(*own, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
     place = F.row_number().over(Window.partitionBy(*own, "_slice").orderBy(at, *(ties or [])))
-    return cut.withColumn("_place", place).join(ahead, [*own, "_slice"]).select(*rows.columns, (F.col("_ahead") + F.col("_place")).alias(name))
+    return cut.withColumn("_place", place).join(shuffled(ahead), [*own, "_slice"]).select(*rows.columns, (F.col("_ahead") + F.col("_place")).alias(name))
 
 
 def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:

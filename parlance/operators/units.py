@@ -24,6 +24,11 @@ from parlance.storage import checkpointed, shuffled
 UNIT_COLUMNS = ["chat_id", "topic_id", "kind", "msg_id_start", "msg_id_end", "msg_ids", "date_start", "date_end", "text", "reactions"]
 
 
+def none(like: DataFrame) -> DataFrame:
+    """No units."""
+    return like.sparkSession.createDataFrame([], schema.UNITS)
+
+
 def render(messages: DataFrame) -> DataFrame:
     """Messages with the ``line`` that stands for them in a unit's text."""
     what = tx.body(F.col("text"), F.col("media_kind"), F.col("media_filename"), F.col("extracted"))
@@ -154,16 +159,25 @@ def reply_roots(messages: DataFrame) -> DataFrame:
     A parent counts if it is another stored message of the chat. Pointers double their reach every round, so that
     the rounds grow with the logarithm of the longest chain; members of a cycle have no root and are left out.
     """
+    below = _below(messages)
+    tops = messages.select("chat_id", "msg_id").join(shuffled(below.select("chat_id", "msg_id")), ["chat_id", "msg_id"], "left_anti")
+    return _climbed(below).unionByName(tops.withColumn("root", F.col("msg_id")))
+
+
+def _below(messages: DataFrame) -> DataFrame:
+    """(chat_id, msg_id, up): the messages that reply to another stored one."""
     own = messages.select("chat_id", "msg_id", "reply_to_msg_id")
-    stored = shuffled(own.select("chat_id", F.col("msg_id").alias("reply_to_msg_id"), F.lit(True).alias("_there")))
-    up = own.join(stored, ["chat_id", "reply_to_msg_id"], "left")
-    parent = F.when(F.col("_there") & (F.col("reply_to_msg_id") != F.col("msg_id")), F.col("reply_to_msg_id"))
-    state = checkpointed(up.select("chat_id", "msg_id", parent.alias("up"), F.coalesce(parent, F.col("msg_id")).alias("root")))
-    # ``up`` is the ancestor reached so far while there may be one above it, ``root`` the highest seen
+    up = own.where("reply_to_msg_id <> msg_id").withColumnRenamed("reply_to_msg_id", "up")
+    return checkpointed(up.join(shuffled(own.select("chat_id", F.col("msg_id").alias("up"))), ["chat_id", "up"], "left_semi").select("chat_id", "msg_id", "up"))
+
+
+def _climbed(below: DataFrame) -> DataFrame:
+    """(chat_id, msg_id, root) of the messages that ``_below`` gives; ``up`` is the ancestor reached so far while there may be one above it, ``root`` the highest seen."""
+    state = below.withColumn("root", F.col("up"))
     for _ in range(64):
         if state.where("up is not null").isEmpty():
             break
-        above = state.select("chat_id", F.col("msg_id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"))
+        above = shuffled(state.select("chat_id", F.col("msg_id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root")))
         nxt = checkpointed(state.join(above, ["chat_id", "up"], "left").select("chat_id", "msg_id", F.col("_up").alias("up"), F.coalesce("_root", "root").alias("root")))
         if nxt.where("up is not null").count() == state.where("up is not null").count():
             state = nxt  # only cycles are left
@@ -174,7 +188,10 @@ def reply_roots(messages: DataFrame) -> DataFrame:
 
 def threads(messages: DataFrame, cap: int = schema.THREAD_MAX_MSGS) -> DataFrame:
     """``thread`` units: a root that has replies, and all below it by time, in pieces that repeat the root first."""
-    roots = reply_roots(messages).where("msg_id <> root")
+    below = _below(messages)
+    if below.isEmpty():
+        return none(messages)
+    roots = _climbed(below)
     replies = shuffled(messages).join(roots, ["chat_id", "msg_id"])
     # a thread of any number of replies is numbered by slices of a day, not sorted by one task
     replies = numbered(replies, ["chat_id", "root"], "date", "_turn", [F.col("msg_id")], 86_400).withColumn("piece", F.floor((F.col("_turn") - 1) / max(cap - 1, 1))).drop("_turn")

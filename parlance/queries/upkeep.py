@@ -230,7 +230,7 @@ class _Stopped(Store):
 @query(f"""WITH RECURSIVE {EVENTS}, {_NOTES}, e AS (SELECT chat_id, topic_id, msg_id, date, reactions, CASE WHEN msg_id % 50 = 7 THEN line || ' (edited)' ELSE line END AS line FROM n WHERE msg_id % 40 <> 3), {_windows_sql('e')}""")
 def replayed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows after edits and deletions whose run was killed before its commit, finished by the next run from what was written down."""
-    m, c = checkpointed(_notes(spark, sf_dir)), _chats(spark, sf_dir)
+    m, c = _notes(spark, sf_dir), _chats(spark, sf_dir)
     folder = f"{shared_folder(spark)}/changes-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     first = Changes(Store(spark, folder, buckets=8), c, **_LIMITS)
     first.declare(put=m)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared folder, so that its lineage ends there.
+
+    For tables that grow with the input: a checkpoint has rows as they lie in memory, which take some times the disk.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/written-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def finished(spark: SparkSession, folder: str, below: int | None = None) -> list[int]:
     """The numbers that name folders below a folder which were written to their end, in order."""
     make = spark._jvm.org.apache.hadoop.fs.Path

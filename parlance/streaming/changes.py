@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from parlance import schema
 from parlance.budget import Budget
 from parlance.operators import upkeep
+from parlance.operators.units import build_units
 from parlance.schema import conform
-from parlance.storage import checkpointed, finished, latest, upsert_messages
+from parlance.storage import finished, latest, shuffled, upsert_messages, written
 from parlance.streaming.maintenance import Store, bucket
 
 INTENTS = f"{schema.MESSAGES}, what string, recipe string"
@@ -72,20 +73,24 @@ class Changes:
         """Messages, then units, then the commit that clears the intent; a closed window that an edit fell into is cut again."""
         store, rows = self.store, self.intent(number)
         touched = self._touched(rows)
-        put = checkpointed(conform(latest(rows.where("what = 'put'").drop("what", "recipe"), ["chat_id", "msg_id"], [F.col("date")]), schema.MESSAGES))
+        put = written(conform(latest(rows.where("what = 'put'").drop("what", "recipe"), ["chat_id", "msg_id"], [F.col("date")]), schema.MESSAGES))
         drop = rows.where("what = 'drop'").select("chat_id", "msg_id").distinct()
         recut = rows.where("what = 'recut'").select("chat_id").distinct()
         stored = store.read("messages", number, touched)
-        merged = upsert_messages(stored, put, tick=number + 2).withColumn("indexed", F.lit(True)).join(drop, ["chat_id", "msg_id"], "left_anti")
+        merged = upsert_messages(stored, put, tick=number + 2).withColumn("indexed", F.lit(True)).join(shuffled(drop), ["chat_id", "msg_id"], "left_anti")
         store.write("messages", merged, number)
         now = self.spark.read.schema(f"{schema.MESSAGES}, bucket int").parquet(f"{store.folder}/messages/{number}").drop("bucket")
-        units = checkpointed(store.read("units", number, touched))
-        ids = put.select("chat_id", "msg_id").unionByName(drop)
-        before = checkpointed(stored.join(ids, ["chat_id", "msg_id"], "left_semi"))  # where they stood when units were cut
-        fresh = put.select("chat_id", "msg_id").join(before.select("chat_id", "msg_id"), ["chat_id", "msg_id"], "left_anti")
-        for step in self._steps(now, before, fresh, recut):
-            units = checkpointed(upkeep.applied(units, *step(units)))
-        store.write("units", upkeep.units_with_reactions(units, now, put), number)
+        units = store.read("units", number, touched)
+        if units.isEmpty():  # nothing was cut before
+            current = upkeep.with_ids(build_units(now, self.chats, cap=self.cap, **self.limits)).select(*units.columns)
+        else:
+            ids = put.select("chat_id", "msg_id").unionByName(drop)
+            before = written(stored.join(shuffled(ids), ["chat_id", "msg_id"], "left_semi"))  # where they stood when units were cut
+            fresh = put.select("chat_id", "msg_id").join(shuffled(before.select("chat_id", "msg_id")), ["chat_id", "msg_id"], "left_anti")
+            for step in self._steps(now, before, fresh, recut):
+                units = written(upkeep.applied(units, *step(units)))
+            current = upkeep.units_with_reactions(units, now, put)
+        store.write("units", current, number)
         store.commit(touched, number)
 
     def _steps(self, now: DataFrame, before: DataFrame, fresh: DataFrame, recut: DataFrame) -> list:

@@ -1,7 +1,7 @@
 """Steps whose cost must grow no faster than their input: what is broadcast, how often a table is read, and how it is dealt to tasks."""
 
 from parlance import schema, storage
-from parlance.operators import dense, leads, units
+from parlance.operators import dense, leads, units, upkeep
 from parlance.operators.index import Index
 from parlance.queries import search
 
@@ -57,3 +57,16 @@ def test_matching_messages_writes_no_units_and_no_vectors(spark, tmp_path):
     spark.createDataFrame([(2, 0, "user", "the one"), (2, 1, "user", "other"), (3, 0, "user", "the")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [tuple(r) for r in search.matching_messages(spark, str(tmp_path)).collect()] == [(2, 0)]
     assert not Index(spark, f"{search._folder(spark, str(tmp_path), 'corpus')}/index/units").segments()
+
+
+def test_kept_units_broadcast_no_table_that_grows(spark, tmp_path):
+    """Ids of units and of messages are few bytes of wide stored tables, and as many as the units and the messages."""
+    _messages(spark).write.parquet(f"{tmp_path}/m")
+    m = spark.read.parquet(f"{tmp_path}/m")
+    upkeep.with_ids(units.windows(units.render(m), max_msgs=3)).write.parquet(f"{tmp_path}/u")
+    u = spark.read.parquet(f"{tmp_path}/u")
+    steps = [upkeep.applied(u, u.where("msg_id_start = 0"), u.where("msg_id_start = 3")), upkeep.units_with_reactions(u, m, m.where("msg_id = 4")), upkeep.windowed(m, u), upkeep.threads_touching(u, m)]
+    chats = schema.conform(spark.range(1).selectExpr("id"), schema.CHATS)
+    steps += upkeep.invalidate(m, u, m.where("msg_id = 4"), chats, max_msgs=3)
+    assert not [s for s in steps if "BroadcastExchange" in _plan(s)]
+    assert steps[0].count() == 7 and steps[2].count() == 20
