@@ -1,9 +1,12 @@
 """Steps whose cost must grow no faster than their input: what is broadcast, how often a table is read, and how it is dealt to tasks."""
 
+import os
+
 from parlance import schema, storage
 from parlance.operators import dense, leads, units, upkeep
 from parlance.operators.index import Index
 from parlance.queries import search
+from parlance.queries import upkeep as kept
 
 
 def _messages(spark, n=20):
@@ -70,3 +73,14 @@ def test_kept_units_broadcast_no_table_that_grows(spark, tmp_path):
     steps += upkeep.invalidate(m, u, m.where("msg_id = 4"), chats, max_msgs=3)
     assert not [s for s in steps if "BroadcastExchange" in _plan(s)]
     assert steps[0].count() == 7 and steps[2].count() == 20
+
+
+def test_kept_units_are_written_once_and_compressed(spark, tmp_path):
+    """Units of a change lie in the shared folder as a compressed table, and the messages of the query not at all."""
+    rows = spark.range(3000).selectExpr("id as event_id", "id % 30 as user_id", "timestamp_seconds(1704067200 + id * 600) as ts", "'view' as event_type", "1.0d as value", "'' as props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    shared = storage.shared_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(shared) for f in files)
+    before = size()
+    assert kept.invalidated_windows(spark, str(tmp_path)).count() > 500
+    assert size() - before < 100_000, size() - before
