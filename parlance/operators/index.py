@@ -1,9 +1,10 @@
 """A stored inverted index: what a search reads are its terms' postings, not the documents.
 
 Postings are (term, doc, size, raw, stemmed): where a document holds a term in its text and in the stems of its words,
-and how many terms it has in all. They lie in folders by a hash of the term and sorted by term within, so that a query
-reads few row groups; the sizes of all documents are a table of their own. Tasks that write follow the size of what is
-written, and no term is one task's. Documents come in numbered segments. A segment replaces the documents it holds, or that
+and how many terms it has in all. They lie in folders by a hash of the term and sorted by term within each file, so that
+a query reads few row groups; the sizes of all documents are a table of their own. A task posts its documents, sorts
+what it made and writes it to all folders: postings, which take some times the disk of the text, are never shuffled, and
+no term is one task's. Documents come in numbered segments. A segment replaces the documents it holds, or that
 it says are gone, in all segments before it; it counts once its statistics are written, last, so that writing one
 again after a failure changes nothing. ``compact`` makes one segment of all.
 """
@@ -21,11 +22,10 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
 from parlance.operators.lexical import WEIGHTS, and_then_or, index_tokens, phrases, scored
-from parlance.storage import spread
+from parlance.storage import spread, swept
 
-#: Folders that postings are spread over by term, and bytes of postings in each part, by document, of a folder's rows.
-BUCKETS = 32
-PART_BYTES = 128 << 20
+#: Folders that postings are spread over by term, and the one beside them for rows without a term while a segment is written.
+BUCKETS, TERMLESS = 32, -1
 POSTINGS = "term string, doc long, size long, raw array<int>, stemmed array<int>"
 _COLUMNS = [f.split()[0] for f in POSTINGS.split(", ")]
 #: Tokens of documents that are posted together, and rows that a task hands over together.
@@ -139,22 +139,19 @@ class Index:
         return number
 
     def _write(self, postings: DataFrame, docs: DataFrame, gone: DataFrame | None, before: list[int], number: int) -> None:
-        """``postings`` with a row without a term for each document. They are made once, beside what is kept of them."""
-        spark, made = self.spark, f"{self.folder}/made/{number}"
-        postings.write.mode("overwrite").parquet(made)
-        path = spark._jvm.org.apache.hadoop.fs.Path(made)
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        parts = max(1, -(-int(files.getContentSummary(path).getLength()) // (BUCKETS * PART_BYTES)))
-        rows = spark.read.schema(POSTINGS).parquet(made)
-        placed = rows.where("term is not null").withColumn("bucket", bucket(F.col("term")).cast("int")).withColumn("_part", F.pmod(F.xxhash64("doc"), F.lit(parts)))
-        placed = placed.repartition(BUCKETS * parts, "bucket", "_part").sortWithinPartitions("bucket", "term", "doc").drop("_part")
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/{number}")
-        rows.where("term is null").select("doc", "size").write.mode("overwrite").parquet(f"{self.folder}/docs/{number}")
+        """``postings`` with a row without a term for each document. They are made once and written where they are made."""
+        spark, made = self.spark, f"{self.folder}/postings/{number}"
+        placed = postings.withColumn("bucket", F.coalesce(bucket(F.col("term")), F.lit(TERMLESS)).cast("int")).sortWithinPartitions("bucket", "term", "doc")
+        placed.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(made)
+        rows = spark.read.schema(f"{POSTINGS}, bucket int").parquet(made).where(F.col("bucket") == TERMLESS)
+        rows.select("doc", "size").write.mode("overwrite").parquet(f"{self.folder}/docs/{number}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{made}/bucket={TERMLESS}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         dead = docs.select("doc") if gone is None else docs.select("doc").unionByName(gone.select("doc"))
         dead.distinct().write.mode("overwrite").parquet(f"{self.folder}/gone/{number}")
         live = self.docs([*before, number])
         live.agg(F.count("*").alias("n"), F.coalesce(F.avg("size"), F.lit(0.0)).alias("mean")).write.mode("overwrite").parquet(f"{self.folder}/stats/{number}")
-        files.delete(path, True)
+        swept(spark)
 
     def _read(self, what: str, schema: str, numbers: list[int]) -> DataFrame:
         out = self.spark.createDataFrame([], f"{schema}, segment int")

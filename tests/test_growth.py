@@ -2,6 +2,8 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from parlance import schema, storage
 from parlance.operators import dense, leads, units, upkeep
 from parlance.operators.index import Index
@@ -84,3 +86,16 @@ def test_kept_units_are_written_once_and_compressed(spark, tmp_path):
     before = size()
     assert kept.invalidated_windows(spark, str(tmp_path)).count() > 500
     assert size() - before < 100_000, size() - before
+
+
+def test_postings_are_written_where_they_are_made(spark, tmp_path):
+    """Postings take some times the disk of the text: no task reads those that another made, and none lie there twice."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 7}x{j} the" for j in range(40)) if i % 9 else None) for i in range(60)], "doc long, text string")
+    index = Index(spark, f"{tmp_path}/i")
+    index.add(docs)
+    rows = index.postings().withColumn("task", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1))
+    assert {r.n for r in rows.groupBy("doc").agg(F.countDistinct("task").alias("n")).collect()} == {1}
+    assert rows.select("task").distinct().count() > 1 and rows.where("term is null").isEmpty()
+    assert rows.where("term = 'the'").count() == 53 and index.docs().count() == 60 and index.docs().where("size = 0").count() == 7
+    folders = sorted(os.listdir(f"{tmp_path}/i"))
+    assert folders == ["docs", "gone", "postings", "stats"] and f"bucket={-1}" not in os.listdir(f"{tmp_path}/i/postings/1")
