@@ -257,7 +257,7 @@ def fed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = max((rows.agg(F.max("id")).head()[0] or 0) // 2, 19_999)  # what lies before the date is there at the first run
     spark.dataSource.register(live.ChatFeed)
     for part in (rows.where(F.col("id") <= half), rows.where(F.col("id") > half)):
-        part.repartition("chat_id").write.mode("append").partitionBy("chat_id").json(f"{folder}/feed")
+        live.write_feed(part, f"{folder}/feed")
         uri = re.sub("^(file:)?/+", "file:///", folder)  # as an address, however the shared folder is named
         feed = spark.readStream.format("chat_feed").options(client="parlance.sources.live:folder_client", path=f"{uri}/feed", page=100_000, since=BASE + 20_000)
         feed.load().writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
